@@ -4,12 +4,12 @@ Encoding.  A text is cut into pieces (`Pieces`, vectorised over code points) and
 each distinct piece goes through `Transducer`.  The transducer reads bytes.  Its
 state holds every start position whose bytes so far can still grow into a token
 (a trie node), the token that ends there, and the tokens since the last decided
-boundary; two facts about merge vocabularies make this exact: the encoding of a
+boundary.  Two facts about merge vocabularies make this exact: the encoding of a
 prefix is a prefix path of valid tokens, and a path is valid if each pair of
 neighbours is.  A token is emitted once all open positions agree on it, so output
 lags input by a lookahead bounded by the longest token.  States are interned and
-transitions computed on first use; the tables are dropped when they outgrow
-their bound and grow again as needed.
+transitions computed on first use; once the tables reach their bound, the automaton
+runs on without interning what it reaches.
 
 Decoding.  Ids become bytes by table; `Utf8Stream` is an incremental UTF-8 state
 machine that releases only complete sequences and holds an unfinished one until
@@ -40,8 +40,8 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 #: A rank file larger than this is refused, as it is broadcast.
 RANK_BYTES = 64 << 20
 #: Bounds of a worker's tables: transitions, checked token pairs, known pieces.
-TRANSITIONS = 1_000_000
-PAIRS = 500_000
+TRANSITIONS = 150_000
+PAIRS = 300_000
 KNOWN = 300_000
 #: Bytes of text cut, encoded and decoded together.
 SLICE = 2 << 20
@@ -68,10 +68,8 @@ class Transducer:
                     self.token.append(-1)
                 node = nxt
             self.token[node] = r
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
+        self.pairs: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         self.states: dict[tuple, int] = {}
         self.open: list[tuple] = []
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -84,11 +82,11 @@ class Transducer:
             self.open.append(state)
         return at
 
-    def merged(self, piece: bytes) -> list[bytes]:
-        """Merges by rank, the definition; used on pairs of tokens only."""
+    def merged(self, piece: bytes, down_to: int = 1) -> list[bytes]:
+        """Merges by rank, the definition, until ``down_to`` parts are left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         ranks = self.ranks
-        while len(parts) > 1:
+        while len(parts) > down_to:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
@@ -99,18 +97,49 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _halves(self, token: int) -> tuple[int, int]:
+        """The last merge that makes a token; a single byte, or a token that merges never make, has none: (-1, -1)."""
+        got = self.halves.get(token)
+        if got is None:
+            t = self.bytes_of[token]
+            parts = self.merged(t, 2) if len(t) > 1 else []
+            got = self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
+        return got
+
     def fits(self, left: int, right: int) -> bool:
-        """Whether ``right`` can follow ``left`` (-1: nothing) in an encoding."""
-        key = (left, right)
+        """Whether ``right`` can follow ``left`` (-1: nothing) in an encoding.
+
+        Undoes the merges of both sides, the later one first, along the border: the pair holds
+        unless two parts that face each other merge before the one that absorbed them.
+        """
+        if left < 0:
+            return len(self.bytes_of[right]) == 1 or self._halves(right)[0] >= 0
+        key = left << 24 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            t = self.bytes_of[right]
-            want = [t] if left < 0 else [self.bytes_of[left], t]
-            known = self.pairs[key] = self.merged(b"".join(want)) == want
+            known = self.pairs[key] = self._fits(left, right)
         return known
 
+    def _fits(self, left: int, right: int) -> bool:
+        if len(self.bytes_of[right]) > 1 and self._halves(right)[0] < 0:
+            return False
+        ranks, names = self.ranks, self.bytes_of
+        limit = 1 << 62
+        while True:
+            together = ranks.get(names[left] + names[right])
+            if together is not None and together < limit:
+                return False
+            a, b = self._halves(left)[1], self._halves(right)[0]
+            if a < 0 and b < 0:
+                return True
+            if b < 0 or (a >= 0 and left > right):
+                limit, left = left, a
+            else:
+                # at equal rank the left border of the right side wins: merges run from the left
+                limit, right = right + 1, b
+
     def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         grown, born = [], None
         for node, last, path in self.open[state]:
@@ -139,17 +168,47 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.step) > TRANSITIONS:
-            self._reset()
         state, step, out = self.start, self.step, []
-        for b in piece:
-            entry = step.get(state << 8 | b) or self._advance(state, b)
+        for k, b in enumerate(piece):
+            entry = step.get(state << 8 | b)
+            if entry is None:
+                if len(step) >= TRANSITIONS:
+                    return out + self._simulate(state, piece[k:])
+                entry = self._advance(state, b)
             state = entry[0]
             if entry[1]:
                 out += entry[1]
         out += self.open[state][-1][2]
         return out
 
+    def _simulate(self, state: int, rest: bytes) -> list[int]:
+        """The same automaton from ``state`` on without interning what it reaches: for full tables."""
+        children, token, fits = self.children, self.token, self.fits
+        # a path is (token, path before it); the paths of the open state go in front
+        live = []
+        for node, last, path in self.open[state]:
+            link = None
+            for t in path:
+                link = (t, link)
+            live.append((node, last, link))
+        for b in rest:
+            grown, born = [], None
+            for node, last, link in live:
+                child = children[node].get(b)
+                if child is None:
+                    continue
+                if born is None and token[child] >= 0 and fits(last, token[child]):
+                    born = (0, token[child], (token[child], link))
+                if children[child]:
+                    grown.append((child, last, link))
+            grown.append(born)
+            live = grown
+        out, link = [], live[-1][2]
+        while link is not None:
+            out.append(link[0])
+            link = link[1]
+        return out[::-1]
+
 
 def _classes() -> np.ndarray:
     """Per code point: 1 letter, 2 number, 3 white space, 0 anything else."""
