@@ -70,12 +70,13 @@ TEXTS = 0
 class TextPacker:
     """Sends whole texts to the buckets of their doc_id."""
 
-    def __init__(self, n: int, limit: int = 24 << 20):
+    def __init__(self, n: int, limit: int = 24 << 20, nulls: bool = False):
+        self.nulls = nulls
         self.n, self.limit, self.ids, self.parts, self.size = n, limit, [], [], 0
 
     def add(self, ids: np.ndarray, s: K.TextSlice) -> None:
         self.ids.append(ids)
-        self.parts.append((s.buf, np.diff(s.offsets)))
+        self.parts.append((s.buf, np.diff(s.offsets), s.valid))
         self.size += len(s.buf)
 
     def full(self) -> bool:
@@ -88,6 +89,7 @@ class TextPacker:
         sizes = np.concatenate([p[1] for p in self.parts])
         buf = np.concatenate([p[0] for p in self.parts])
         starts = np.cumsum(sizes) - sizes
+        shown = np.where(np.concatenate([p[2] for p in self.parts]), sizes, -1) if self.nulls else sizes
         self.ids, self.parts, self.size = [], [], 0
         buckets = bucket_of(ids, self.n)
         order = np.argsort(buckets, kind="stable")
@@ -95,15 +97,15 @@ class TextPacker:
         out = []
         for a, b in zip(cuts[:-1], cuts[1:]):
             own = order[a:b]
-            out.append((int(buckets[own[0]]), TEXTS, K.pack_columns(ids[own], sizes[own], buf[K.spread(starts[own], sizes[own])])))
+            out.append((int(buckets[own[0]]), TEXTS, K.pack_columns(ids[own], shown[own], buf[K.spread(starts[own], sizes[own])])))
         return out
 
 
-def texts(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of kind TEXTS with every document's whole text; a null text has no bytes."""
+def texts(docs: DataFrame, n: int, nulls: bool = False) -> DataFrame:
+    """Rows of kind TEXTS with every document's whole text; a null text has no bytes, and size -1 with ``nulls``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = TextPacker(n)
+        packer = TextPacker(n, nulls=nulls)
         for batch in batches:
             ids = K.long_column(batch.column(0))
             for s in K.slices(batch.column(1), 8 << 20):

@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_byte_bpe": "byte_bpe",
     "op3_decontamination": "decontaminate",
+    "op4_line_dedup": "line_dedup",
     "op8_ngram_jaccard": "jaccard",
     "op10_suffix_dedup": "suffix_dedup",
 }
