@@ -9,6 +9,7 @@ MODULES = {
     "op1_byte_bpe": "byte_bpe",
     "op3_decontamination": "decontaminate",
     "op4_line_dedup": "line_dedup",
+    "op7_quality": "quality",
     "op8_ngram_jaccard": "jaccard",
     "op10_suffix_dedup": "suffix_dedup",
 }
