@@ -39,8 +39,9 @@ from candlewick.llm.session import read, width
 LENGTH = 100
 GRAM = 32
 ANCHORS, SPANS, WANTED, CONTEXTS = 1, 2, 3, 4
-#: Anchors that a task gathers before it sends them; bytes of contexts that are indexed together.
-FLUSH, INDEX = 1_000_000, 2 << 20
+#: Anchors that a task gathers before it sends them; bytes of contexts that are indexed
+#: together, and that are sent together.
+FLUSH, INDEX, SEND = 1_000_000, 2 << 20, 32 << 20
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -200,19 +201,32 @@ def fetch_contexts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Rec
     key, doc, at, many = columns(got.get(WANTED, []), np.uint64, np.int64, np.int64, np.int64)
     order = np.argsort(doc, kind="stable")
     key, doc, at, many = key[order], doc[order], at[order], many[order]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        which = np.concatenate([h[0] for h in held])
+        flat = np.concatenate([h[1] for h in held])
+        sizes = many[which] - 1 + LENGTH
+        starts = np.cumsum(sizes) - sizes
+
+        def pack(which: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
+            return K.pack_columns(key[which], doc[which], at[which], many[which], flat[K.spread(starts, sizes)])
+
+        return rows(by_bucket(bucket_of(key[which], n), [which, starts, sizes], CONTEXTS, pack))
+
     for ids, offsets, buf in read_texts(got.get(TEXTS, [])):
         a, b = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
         which = K.spread(a, b - a)
         if not len(which):
             continue
-        base = np.repeat(offsets[:-1], b - a)
-        sizes = many[which] - 1 + LENGTH
-        flat_starts = base + at[which]
-
-        def pack(which: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buf: np.ndarray = buf) -> bytes:
-            return K.pack_columns(key[which], doc[which], at[which], many[which], buf[K.spread(starts, sizes)])
-
-        yield rows(by_bucket(bucket_of(key[which], n), [which, flat_starts, sizes], CONTEXTS, pack))
+        held.append((which, buf[K.spread(np.repeat(offsets[:-1], b - a) + at[which], many[which] - 1 + LENGTH)]))
+        size += len(held[-1][1])
+        if size >= SEND:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
 
 
 def bounded_suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
