@@ -194,18 +194,17 @@ class Benchmark:
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<long>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: words, words inside any occurrence of a benchmark window, and the items found.
-
-    The benchmark is collected once its size is known to fit ``PASS_BYTES``; a larger one is
-    refused here, and `contamination_passes` splits it.
-    """
-    spark = docs.sparkSession
+def shipped_items(benchmark: DataFrame) -> list[tuple[int, str | None]]:
+    """The benchmark's rows, once its size is known to fit ``PASS_BYTES``, as they are broadcast."""
     size = benchmark.selectExpr("coalesce(sum(octet_length(text)), 0) n").first()[0]
     if size > PASS_BYTES:
         raise ValueError(f"the benchmark holds {size} bytes; split it into passes of at most {PASS_BYTES}")
-    rows = [(r[0], r[1]) for r in benchmark.select("item_id", "text").collect() if r[0] is not None]
-    shipped = spark.sparkContext.broadcast(rows)
+    return [(r[0], r[1]) for r in benchmark.select("item_id", "text").collect() if r[0] is not None]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document: words, words inside any occurrence of a benchmark window, and the items found."""
+    shipped = docs.sparkSession.sparkContext.broadcast(shipped_items(benchmark))
     kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +220,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def stage(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without those that hold an occurrence of any window, in one pass over them."""
+    shipped = docs.sparkSession.sparkContext.broadcast(shipped_items(benchmark))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = Benchmark(shipped.value, window)
+        for batch in batches:
+            for s in K.slices(batch.column(at)):
+                yield batch.slice(s.first, s.n).filter(pa.array(bench.scan(s)[1] == 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("item_ids")
 

@@ -459,6 +459,12 @@ def linked(docs: DataFrame) -> DataFrame:
     return about.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def stage(docs: DataFrame) -> DataFrame:
+    """One document of each component: the smallest doc_id."""
+    first = linked(docs).where("component_id = doc_id").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(first, docs.doc_id.cast("bigint") == first.kept_id, "left_semi")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(read(spark, sf_dir, "documents"))
 
