@@ -10,6 +10,7 @@ MODULES = {
     "op3_decontamination": "decontaminate",
     "op4_line_dedup": "line_dedup",
     "op7_quality": "quality",
+    "op5_exact_topk": "topk",
     "op6_toxicity": "toxicity",
     "op8_ngram_jaccard": "jaccard",
     "op10_suffix_dedup": "suffix_dedup",
