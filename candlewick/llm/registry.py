@@ -13,6 +13,7 @@ MODULES = {
     "op5_exact_topk": "topk",
     "op6_toxicity": "toxicity",
     "op8_ngram_jaccard": "jaccard",
+    "op9_html_extraction": "html_extract",
     "op10_suffix_dedup": "suffix_dedup",
 }
 
