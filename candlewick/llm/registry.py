@@ -7,6 +7,7 @@ import importlib
 #: query name -> module of this subpackage with query(spark, sf_dir) and, where SQL can express it, ORACLE.
 MODULES = {
     "op1_byte_bpe": "byte_bpe",
+    "op2_warc": "warc",
     "op3_decontamination": "decontaminate",
     "op4_line_dedup": "line_dedup",
     "op7_quality": "quality",
