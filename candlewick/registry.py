@@ -1,11 +1,261 @@
-"""Queries over bar data and the SQL they are held against."""
+"""Queries over bar data, each with the SQL that it is held against where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from candlewick.functions import series as S
+from candlewick.operators import calibration, indicators, labels, quality, signals, store, walkforward
+from candlewick.operators.costs import EXAMPLE
+from candlewick.plans import oracles as O
+from candlewick.plans import trade_log
+from candlewick.plans.strategies import STRATEGIES
+from candlewick.sources import bars as B
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: The folds of the walk-forward queries; training is anchored.
+FOLDS = walkforward.folds(date(1992, 1, 1), date(1998, 12, 31), test_months=12, min_train_months=24)
+FOLD_VALUES = "folds(fold, train_start, test_start, test_end) as (values " + ", ".join(f"({f.number}, date '{f.train_start}', date '{f.test_start}', date '{f.test_end}')" for f in FOLDS) + ")"
+TODAY = "1998-12-10"
+
+
+def query(name: str, oracle: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+def rounded(frame: DataFrame, *keep: str) -> DataFrame:
+    """The named columns, floating ones to six places, counts as long."""
+    kinds = dict(frame.dtypes)
+    out = []
+    for c in keep or frame.columns:
+        k = kinds[c]
+        out.append(F.round(F.col(c).cast("double"), 6).alias(c) if k in ("double", "float") or k.startswith("decimal") else F.col(c).cast("bigint").alias(c) if k in ("int", "smallint", "tinyint") else F.col(c))
+    return frame.select(*out)
+
+
+def r(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) {n}" for n in names)
+
+
+query("bars_walk", O.sql("select * from bars", O.DUCK_BARS))(lambda s, d: rounded(B.bars(s, d)))
+query("bars_dirty", O.sql("select ticker, date, open, high, low, close, cast(volume as bigint) volume, cast(split_factor as double) split_factor from dirty", O.DUCK_DIRTY))(lambda s, d: rounded(B.dirty_bars(s, d).withColumn("split_factor", F.col("split_factor").cast("double"))))
+
+query("sma_stack", O.sql(f"select ticker, date, {r('ma5', 'ma20', 'ma50', 'ma100', 'ma200')} from sma", O.DUCK_BARS, O.N, O.SMA))(lambda s, d: rounded(indicators.moving_averages(B.bars(s, d)), "ticker", "date", "ma5", "ma20", "ma50", "ma100", "ma200"))
+
+BB = f"bb as (select *, {O.full('avg', 'close', 20)} bb_mid, {O.full('stddev_pop', 'close', 20)} sd from n)"
+query("bollinger", O.sql("select ticker, date, round(bb_mid, 6) bb_mid, round(bb_mid + 2 * sd, 6) bb_upper, round(bb_mid - 2 * sd, 6) bb_lower from bb", O.DUCK_BARS, O.N, BB))(lambda s, d: rounded(indicators.bollinger(B.bars(s, d)), "ticker", "date", "bb_mid", "bb_upper", "bb_lower"))
+query("capitulation", O.sql("select ticker, date, cast(case when bb_mid is not null then (round(close, 6) < round(bb_mid - 2 * sd, 6))::int end as bigint) capitulation from bb", O.DUCK_BARS, O.N, BB))(
+    lambda s, d: rounded(indicators.bollinger(B.bars(s, d)).withColumn("capitulation", F.when(F.col("bb_lower").isNotNull(), (F.col("close") < F.round("bb_lower", 6)).cast("int"))), "ticker", "date", "capitulation")
+)
+query("donchian", O.sql(f"select ticker, date, {O.full('max', 'high', 20)} donchian_upper, {O.full('min', 'low', 20)} donchian_lower from n", O.DUCK_BARS, O.N))(lambda s, d: rounded(indicators.donchian(B.bars(s, d)), "ticker", "date", "donchian_upper", "donchian_lower"))
+ICHI = "ichi as (select ticker, date, " + ", ".join(f"({O.full('max', 'high', n)} + {O.full('min', 'low', n)}) / 2 {x}" for n, x in ((9, "tenkan"), (26, "kijun"), (52, "senkou_b"))) + " from n)"
+query("ichimoku", O.sql("select ticker, date, tenkan, kijun, senkou_b, (tenkan + kijun) / 2 senkou_a from ichi", O.DUCK_BARS, O.N, ICHI))(lambda s, d: rounded(indicators.ichimoku(B.bars(s, d)), "ticker", "date", "tenkan", "kijun", "senkou_b", "senkou_a"))
+query("fractals_raw", O.sql("select ticker, date, fractal_up, fractal_down from frac", O.DUCK_BARS, O.N, O.FRACTALS))(lambda s, d: rounded(indicators.raw_fractals(B.bars(s, d)), "ticker", "date", "fractal_up", "fractal_down"))
+PIVOTS = """piv as (select ticker, date, lag(high, 4) over w mh, lag(low, 4) over w ml,
+  case when n > 8 then max(high) over (partition by ticker order by date rows between 8 preceding and 5 preceding) end oh, case when n > 8 then max(high) over (partition by ticker order by date rows between 3 preceding and current row) end nh,
+  case when n > 8 then min(low) over (partition by ticker order by date rows between 8 preceding and 5 preceding) end ol, case when n > 8 then min(low) over (partition by ticker order by date rows between 3 preceding and current row) end nl
+  from n window w as (partition by ticker order by date))"""
+query("pivots", O.sql("select ticker, date, case when mh > oh and mh > nh then mh end pivot_high, case when ml < ol and ml < nl then ml end pivot_low from piv", O.DUCK_BARS, O.N, PIVOTS))(lambda s, d: rounded(indicators.pivot_columns(B.bars(s, d)), "ticker", "date", "pivot_high", "pivot_low"))
+query("prior_range", O.sql("select ticker, date, case when n > 25 then max(high) over (partition by ticker order by date rows between 25 preceding and 1 preceding) end range_high, case when n > 25 then min(low) over (partition by ticker order by date rows between 25 preceding and 1 preceding) end range_low from n", O.DUCK_BARS, O.N))(
+    lambda s, d: rounded(B.bars(s, d).withColumns({"range_high": S.full_before(F.max, "high", 25), "range_low": S.full_before(F.min, "low", 25)}), "ticker", "date", "range_high", "range_low")
+)
+query("year_range", O.sql(f"select ticker, date, {O.full('max', 'high', 252)} hi52, {O.full('min', 'low', 252)} lo52, round({O.full('avg', 'close', 150)}, 6) ma150, round({O.full('avg', '(close * volume)', 20)}, 2) turnover20 from n", O.DUCK_BARS, O.N))(
+    lambda s, d: B.bars(s, d).withColumns({"hi52": S.full(F.max, "high", 252), "lo52": S.full(F.min, "low", 252), "ma150": F.round(S.full(F.avg, "close", 150), 6), "turnover20": F.round(S.full(F.avg, F.col("close") * F.col("volume"), 20), 2)}).select("ticker", "date", "hi52", "lo52", "ma150", "turnover20")
+)
+
+query("ema12", O.sql("select ticker, date, case when n >= 12 then round(e12, 6) end ema12 from e", O.DUCK_BARS, O.N, O.EMAS))(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "ema12"))
+query("macd", O.sql("select ticker, date, case when n >= 26 then round(e12 - e26, 6) end macd_line, case when n >= 34 then round(sig, 6) end macd_signal, case when n >= 34 then round(e12 - e26 - sig, 6) end macd_hist from e", O.DUCK_BARS, O.N, O.EMAS))(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "macd_line", "macd_signal", "macd_hist"))
+query("ribbon", O.sql("select ticker, date, case when n >= 26 then cast(2 * (e8 > e21)::int + (e12 > e26)::int as double) end ribbon from e", O.DUCK_BARS, O.N, O.EMAS))(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "ribbon"))
+query("rsi14", O.sql("select n.ticker, n.date, round(rsi14, 6) rsi14 from n left join rsi on rsi.ticker = n.ticker and rsi.n = n.n", O.DUCK_BARS, O.N, O.RSI))(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "rsi14"))
+query("atr14", O.sql("select m.ticker, m.date, round(a, 6) atr14 from moves m left join rma on rma.ticker = m.ticker and rma.n = m.n", O.DUCK_BARS, O.N, O.DMI))(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "atr14"))
+query("adx14", O.sql("select m.ticker, m.date, round(dip, 6) di_plus, round(dim, 6) di_minus, round(y, 6) adx14 from moves m join dx on dx.ticker = m.ticker and dx.n = m.n left join adx on adx.ticker = m.ticker and adx.n = m.n", O.DUCK_BARS, O.N, O.DMI))(
+    lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "di_plus", "di_minus", "adx14")
+)
+query("chaos_bands")(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"))
+query("indicators")(lambda s, d: rounded(indicators.indicators(B.bars(s, d))))
+
+Q_COLUMNS = "ticker, date, insufficient_history, stale_price, zero_volume, suspicious_jump, gap, impossible_bar, cast(stale_run_length as bigint) stale_run_length, round(jump_pct, 6) jump_pct, cast(gap_days as bigint) gap_days, cast(bars_available as bigint) bars_available, is_clean"
+query("quality_flags", O.sql(f"select {Q_COLUMNS} from quality", O.DUCK_DIRTY, O.ND, O.QUALITY))(lambda s, d: rounded(quality.flagged(B.dirty_bars(s, d))))
+FLAGS = ["insufficient_history", "stale_price", "zero_volume", "suspicious_jump", "gap", "impossible_bar"]
+query("quality_summary", O.sql("select count(distinct ticker) tickers, count(*) bars, " + ", ".join(f"count(*) filter ({f}) {f}" for f in FLAGS) + ", count(*) filter (is_clean) clean from quality", O.DUCK_DIRTY, O.ND, O.QUALITY))(lambda s, d: quality.summary(quality.flagged(B.dirty_bars(s, d))))
+query("quality_summary_rows", O.sql(" union all ".join(f"select '{f}' flag, count(*) filter ({f}) bars from quality" for f in FLAGS), O.DUCK_DIRTY, O.ND, O.QUALITY))(lambda s, d: quality.summary_rows(quality.flagged(B.dirty_bars(s, d))))
+query("stale_runs", O.sql("select ticker, date, cast(stale_run_length as bigint) stale_run_length from q2", O.DUCK_DIRTY, O.ND, O.QUALITY))(lambda s, d: rounded(quality.stale_runs(B.dirty_bars(s, d)), "ticker", "date", "stale_run_length"))
+query(
+    "ohlc_integrity",
+    O.sql("select * from (select ticker, date, case when high < low then 'high_below_low' when high < open then 'high_below_open' when high < close then 'high_below_close' when low > open then 'low_above_open' when low > close then 'low_above_close' when least(open, high, low, close) <= 0 then 'non_positive_price' end reason from dirty) where reason is not null", O.DUCK_DIRTY),
+)(lambda s, d: quality.integrity_reasons(B.dirty_bars(s, d)))
+
+
+def dirty_signals(s: SparkSession, d: str) -> DataFrame:
+    return signals.signals(B.dirty_bars(s, d))
+
+
+SIGNAL = "ticker, date, cast(alignment_depth as bigint) alignment_depth, rsi_gate, above_ma5, cast(days_since_ma5_cross as bigint) days_since_ma5_cross, tier, data_quality, cast(bars_available as bigint) bars_available"
+query("signals", O.sql(f"select {SIGNAL} from signals", *O.ALL))(lambda s, d: rounded(dirty_signals(s, d)))
+query("latest_signals", O.sql(f"select {SIGNAL} from signals qualify row_number() over (partition by ticker order by date desc) = 1", *O.ALL))(lambda s, d: rounded(signals.latest(dirty_signals(s, d)).orderBy(F.desc("alignment_depth"), "ticker")))
+query("criteria", O.sql("select ticker, date, concat_ws(', ', case when alignment_depth >= 5 then 'K1' end, case when alignment_depth >= 4 then 'K2' end, case when alignment_depth >= 3 then 'K3' end, case when alignment_depth >= 5 and rsi_gate then 'K4' end, case when alignment_depth >= 4 and rsi_gate then 'K5' end, case when alignment_depth >= 3 and rsi_gate then 'K6' end) criteria from signals", *O.ALL))(
+    lambda s, d: dirty_signals(s, d).select("ticker", "date", signals.criteria(F.col("alignment_depth"), F.col("rsi_gate")).alias("criteria"))
+)
+COUNTS = "select date, count(*) filter (alignment_depth = 5 and rsi_gate) depth5_gated, count(*) filter (alignment_depth >= 4 and rsi_gate) depth4plus_gated, count(*) filter (alignment_depth >= 3 and rsi_gate) depth3plus_gated, count(*) tickers from signals group by date order by date desc limit 60"
+query("signal_counts_by_date", O.sql(COUNTS, *O.ALL))(lambda s, d: signals.counts_by_day(dirty_signals(s, d), 60))
+query("signal_distribution", O.sql("select cast(alignment_depth as bigint) alignment_depth, coalesce(rsi_gate, false) gate, count(*) n from signals group by 1, 2", *O.ALL))(lambda s, d: rounded(dirty_signals(s, d).groupBy("alignment_depth", F.coalesce("rsi_gate", F.lit(False)).alias("gate")).agg(F.count(F.lit(1)).alias("n"))))
+query(
+    "screener",
+    O.sql(
+        "select s.ticker, date, cast(alignment_depth as bigint) alignment_depth, tier, sector from (select * from signals qualify row_number() over (partition by ticker order by date desc) = 1) s left join tickers using (ticker) "
+        "where coalesce(is_active, true) and alignment_depth >= 3 and rsi_gate and above_ma5 and data_quality not in ('stale', 'suspect', 'insufficient_history')",
+        *O.ALL,
+        O.DUCK_TICKERS,
+    ),
+)(lambda s, d: rounded(signals.screened(signals.latest(dirty_signals(s, d)).join(F.broadcast(B.tickers(s, d)), "ticker", "left")), "ticker", "date", "alignment_depth", "tier", "sector"))
+
+query("liquidity", O.sql("select ticker, round(avg(close * volume), 2) turnover, round(avg(volume) / 100, 6) avg_lots from (select *, row_number() over (partition by ticker order by date desc) k from bars) where k <= 60 group by ticker", O.DUCK_BARS))(lambda s, d: trade_log.liquidity(B.bars(s, d)).select("ticker", F.round("turnover", 2).alias("turnover"), F.round("avg_lots", 6).alias("avg_lots")))
+query("universe_counts", O.sql("select count(*) filter (is_active) active, count(*) filter (not is_active) inactive from tickers", O.DUCK_TICKERS))(lambda s, d: B.tickers(s, d).agg(F.count_if("is_active").alias("active"), F.count_if(~F.col("is_active")).alias("inactive")))
+query("coverage", O.sql('select ticker, count(*) bars, min(date) as "first", max(date) as "last" from bars group by ticker', O.DUCK_BARS))(lambda s, d: store.coverage(B.bars(s, d)))
+query(
+    "freshness",
+    O.sql(f"select max(date) latest, (select count(distinct ticker) from bars where date = (select max(date) from bars)) tickers_at_latest, count(distinct ticker) tickers, case when date_diff('day', max(date), date '{TODAY}') <= 4 then 'fresh' when date_diff('day', max(date), date '{TODAY}') <= 10 then 'aging' else 'stale' end state from bars", O.DUCK_BARS),
+)(lambda s, d: store.freshness(B.bars(s, d), TODAY))
+
+
+def gated(s: SparkSession, d: str) -> DataFrame:
+    """Bars with the market gate as of their day: the index, one row a day, is densified onto the bars' days and met by an equi join."""
+    bars = B.bars(s, d)
+    index = B.index_series(bars).withColumn("ticker", F.lit("index"))
+    w = S.by_ticker()
+    avg = lambda n: F.avg("close").over(w.rowsBetween(-(n - 1), 0))
+    gate = index.select("date", S.yes((F.row_number().over(w) >= 200) & (avg(20) > avg(50)) & (F.col("close") > avg(200))).alias("own"))
+    days = bars.select("date").distinct().join(gate, "date", "left").withColumn("ticker", F.lit("index"))
+    carried = days.select("date", F.coalesce(F.last("own", ignorenulls=True).over(w.rowsBetween(S.W.unboundedPreceding, 0)), F.lit(False)).alias("index_ok"))
+    return bars.join(carried, "date")
+
+
+query("asof_gate", O.sql("select b.ticker, b.date, coalesce(g.k >= 200 and g.f > g.s and g.close > g.m, false) index_ok from bars b asof left join gate g on b.date >= g.date", O.DUCK_BARS, O.INDEX_GATE))(lambda s, d: gated(s, d).select("ticker", "date", "index_ok"))
+
+
+def trades(s: SparkSession, d: str, *rules: labels.Rule, costs=None) -> tuple[DataFrame, DataFrame]:
+    bars = B.dirty_bars(s, d)
+    own = signals.signals(bars)
+    return labels.labelled(bars, labels.eligible(own), list(rules), costs), own
+
+
+L_COLUMNS = ["ticker", "entry_date", "rule_version", "fill_date", "fill_price", "exit_date", "exit_price", "outcome", "bars_held", "gross_return_pct", "mae", "mfe"]
+L_SELECT = "ticker, entry_date, rule_version, fill_date, round(fill_price, 6) fill_price, exit_date, round(exit_price, 6) exit_price, outcome, cast(bars_held as bigint) bars_held, round(gross_return_pct, 6) gross_return_pct, round(mae, 6) mae, round(mfe, 6) mfe"
+HOLD = (*O.ALL, O.ELIGIBLE, O.labels(20, None, None, labels.HOLD_20.version))
+TARGET = (*O.ALL, O.ELIGIBLE, O.labels(20, 8.0, 4.0, labels.TARGET_8_4.version))
+query("labels_hold20", O.sql(f"select {L_SELECT} from trade_labels", *HOLD))(lambda s, d: rounded(trades(s, d, labels.HOLD_20)[0], *L_COLUMNS))
+query("labels_t8_s4", O.sql(f"select {L_SELECT} from trade_labels", *TARGET))(lambda s, d: rounded(trades(s, d, labels.TARGET_8_4)[0], *L_COLUMNS))
+query("labels_many_rules")(lambda s, d: rounded(trades(s, d, labels.HOLD_20, labels.TARGET_8_4, labels.Rule(10), labels.Rule(20, 12.0, 6.0, "favourable"), costs=EXAMPLE)[0], *labels.COLUMNS))
+
+JOINED = "j as (select l.*, s.tier, gross_return_pct r from trade_labels l join signals s on s.ticker = l.ticker and s.date = l.entry_date)"
+
+
+def tiered(s: SparkSession, d: str, rule: labels.Rule = labels.TARGET_8_4) -> DataFrame:
+    return calibration.tiered(*trades(s, d, rule))
+
+
+query(
+    "tier_summary",
+    O.sql("select tier, count(*) n, round(avg((r > 0)::int) * 100, 6) win_pct, round(avg(r), 6) mean_return, round(median(r), 6) median_return, round(avg(mae), 6) mean_mae, round(median(mae), 6) median_mae, round(avg(mfe), 6) mean_mfe, round(avg(bars_held), 6) mean_bars, round(avg((outcome = 'target')::int) * 100, 6) target_pct from j where r is not null and tier is not null group by tier", *TARGET, JOINED),
+)(lambda s, d: rounded(calibration.tier_summary(tiered(s, d))))
+BY_YEAR = "by_year as (select cast(year(entry_date) as bigint) yr, tier, count(*) n, avg(r) mean_return from j where r is not null and tier is not null group by 1, 2)"
+query("tier_by_year", O.sql("select yr, tier, n, round(mean_return, 6) mean_return from by_year", *TARGET, JOINED, BY_YEAR))(lambda s, d: rounded(calibration.tier_by_year(tiered(s, d))))
+query(
+    "tier_pivot",
+    O.sql("select yr, " + ", ".join(f"round(max(mean_return) filter (tier = '{t}'), 6) \"{t}_mean\", max(n) filter (tier = '{t}') \"{t}_n\"" for t in "ABCD") + ", cast(sum(n) as bigint) total from by_year group by yr", *TARGET, JOINED, BY_YEAR),
+)(lambda s, d: rounded(calibration.tier_pivot(tiered(s, d))))
+query("mae_quantiles", O.sql("select tier, count(*) n, round(quantile_cont(mae, 0.5), 6) p50, round(quantile_cont(mae, 0.25), 6) p75, round(quantile_cont(mae, 0.1), 6) p90, round(quantile_cont(mae, 0.01), 6) p99 from j where tier is not null and outcome <> 'open' group by tier", *HOLD, JOINED))(lambda s, d: rounded(calibration.mae_quantiles(tiered(s, d, labels.HOLD_20))))
+
+
+def clean(s: SparkSession, d: str) -> DataFrame:
+    bars = B.dirty_bars(s, d)
+    return bars.join(quality.flagged(bars).where("is_clean").select("ticker", "date"), ["ticker", "date"])
+
+
+BASE = "clean as (select n.* from n join quality q on q.ticker = n.ticker and q.date = n.date where is_clean), ahead as (select ticker, date, lead(open, 1) over w b, lead(close, 20) over w c from clean window w as (partition by ticker order by date)), rets as (select *, (c * (1 - 0.0025) / (b * (1 + 0.0015)) - 1) * 100 r from ahead where b > 0 and c is not null)"
+query("baseline_universe", O.sql("select count(*) n, round(avg((r > 0)::int) * 100, 6) win_pct, round(avg(r), 6) mean_return, round(median(r), 6) median_return from rets", O.DUCK_DIRTY, O.ND, O.QUALITY, BASE))(lambda s, d: rounded(calibration.baseline(clean(s, d), 20, ["ticker"], 0.0015, 0.0025)))
+query("baseline_index", O.sql("select count(*) n, round(avg((r > 0)::int) * 100, 6) win_pct, round(avg(r), 6) mean_return, round(median(r), 6) median_return from (select (lead(close, 20) over (order by date) / close - 1) * 100 r from ix) where r is not null", O.DUCK_BARS, O.DUCK_INDEX))(lambda s, d: rounded(calibration.index_baseline(B.index_series(B.bars(s, d)), 20)))
+
+FOLDED = "fold, count(*) n, round(avg(gross_return_pct), 6) mean_return from trade_labels join folds on"
+query("folds_purged", O.sql(f"select {FOLDED} entry_date >= train_start and entry_date < test_start and exit_date < test_start where gross_return_pct is not null group by fold", *HOLD, FOLD_VALUES))(
+    lambda s, d: rounded(walkforward.scores(walkforward.training(trades(s, d, labels.HOLD_20)[0], walkforward.fold_table(s, FOLDS)), "fold"), "fold", "n", "mean_return")
+)
+query("folds_tested", O.sql(f"select {FOLDED} entry_date between test_start and test_end where gross_return_pct is not null group by fold", *HOLD, FOLD_VALUES))(
+    lambda s, d: rounded(walkforward.scores(walkforward.testing(trades(s, d, labels.HOLD_20)[0], walkforward.fold_table(s, FOLDS)), "fold"), "fold", "n", "mean_return")
+)
+query("universe_by_fold", O.sql("select fold, count(*) n, round(avg(r), 6) mean_return from rets join folds on date between test_start and test_end group by fold", O.DUCK_DIRTY, O.ND, O.QUALITY, BASE, FOLD_VALUES))(lambda s, d: rounded(walkforward.universe_by_fold(clean(s, d), walkforward.fold_table(s, FOLDS), 20, 0.0015, 0.0025)))
+TIER_SETS = {"1:A": ["A"], "2:AB": ["A", "B"], "3:ABC": ["A", "B", "C"]}
+
+
+def walk_choices(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = tiered(s, d, labels.HOLD_20)
+    sets = s.createDataFrame([(k, t) for k, ts in TIER_SETS.items() for t in ts], "candidate string, tier string")
+    rows, folds = rows.join(F.broadcast(sets), "tier"), walkforward.fold_table(s, FOLDS)
+    picked = walkforward.chosen(walkforward.scores(walkforward.training(rows, folds), "fold", "candidate"))
+    tested = walkforward.scores(walkforward.testing(rows, folds), "fold", "candidate")
+    return picked, tested.join(picked.select("fold", "candidate"), ["fold", "candidate"])
+
+
+CANDIDATES = "sets(candidate, tier) as (values " + ", ".join(f"('{k}', '{t}')" for k, ts in TIER_SETS.items() for t in ts) + "), jc as (select j.*, candidate from j join sets using (tier) where r is not null)"
+TRAIN = "train as (select fold, candidate, count(*) n, avg(r) / avg(greatest(bars_held, 1)) rpb from jc join folds on entry_date >= train_start and entry_date < test_start and exit_date < test_start group by all), pick as (select fold, candidate, n, rpb from train where n >= 30 qualify row_number() over (partition by fold order by rpb desc, candidate) = 1)"
+query("walkforward_choice", O.sql("select cast(fold as bigint) fold, candidate, n, round(rpb, 6) return_per_bar from pick", *HOLD, JOINED, FOLD_VALUES, CANDIDATES, TRAIN))(lambda s, d: rounded(walk_choices(s, d)[0], "fold", "candidate", "n", "return_per_bar"))
+query("walkforward_test", O.sql("select cast(fold as bigint) fold, candidate, count(*) n, round(avg(r), 6) mean_return from jc join folds using () on entry_date between test_start and test_end join pick using (fold, candidate) group by all".replace(" using () on", " on"), *HOLD, JOINED, FOLD_VALUES, CANDIDATES, TRAIN))(lambda s, d: rounded(walk_choices(s, d)[1], "fold", "candidate", "n", "mean_return"))
+query("walkforward_rollup")(lambda s, d: rounded(walkforward.rolled_up(walk_choices(s, d)[1])))
+
+
+def half_updated(s: SparkSession, d: str) -> DataFrame:
+    bars = B.bars(s, d)
+    late = bars.where(F.col("date") >= "1998-01-01").withColumns({"close": F.col("close") + 1, "stamp": F.lit(2)})
+    older = bars.where(F.col("date") >= "1998-06-01").withColumns({"close": F.col("close") - 5, "stamp": F.lit(1)})
+    return store.upsert(bars, late.unionByName(older), ["ticker", "date"], "stamp").select("ticker", "date", "close", F.col("stamp").cast("bigint").alias("stamp"))
+
+
+query("upsert_latest_wins", O.sql("select ticker, date, case when date >= date '1998-01-01' then close + 1 else close end as close, case when date >= date '1998-01-01' then 2::bigint end stamp from bars", O.DUCK_BARS))(half_updated)
+
+
+def synced(s: SparkSession, d: str) -> DataFrame:
+    known = B.tickers(s, d).select("ticker", "name", "sector", "is_active", F.lit("2024-01-01").cast("date").alias("first_seen"), F.lit("2024-01-01").cast("date").alias("last_seen"), F.lit(None).cast("date").alias("delisted_at"))
+    incoming = B.tickers(s, d).where(~F.col("ticker").endswith("7")).select("ticker", "name", F.lit(None).cast("string").alias("sector"))
+    return store.sync_universe(known, incoming, "2024-06-01", allow_large_drop=True).tickers
+
+
+query(
+    "universe_sync",
+    O.sql("select ticker, name, sector, not suffix(ticker, '7') is_active, date '2024-01-01' first_seen, case when suffix(ticker, '7') then date '2024-01-01' else date '2024-06-01' end last_seen, case when suffix(ticker, '7') and is_active then date '2024-06-01' end delisted_at from tickers", O.DUCK_TICKERS),
+)(synced)
+query(
+    "refetch_diff",
+    O.sql("select ticker, date, close stored_close, close * (1 + (row_number() over (partition by ticker order by date) % 7 = 0)::int * 0.02) fetched_close, round(2.0, 6) diff_pct from bars qualify row_number() over (partition by ticker order by date) % 7 = 0", O.DUCK_BARS),
+)(lambda s, d: (lambda b: rounded(store.refetch_differences(b, b.withColumn("close", F.col("close") * F.when(S.position() % 7 == 0, 1.02).otherwise(1.0)))).withColumn("fetched_close", F.col("stored_close") * 1.02))(B.bars(s, d)))
+query("fetch_failures", "select count(*) n, count(*) filter (event_type = 'error' or event_type = 'click') failed from events")(lambda s, d: store.failure_rate(B.table(s, d, "events").select(F.when(F.col("event_type").isin("error", "click"), "error").otherwise("ok").alias("status"))).select("n", "failed"))
+
+
+def strategy_bars(s: SparkSession, d: str, key: str) -> DataFrame:
+    return gated(s, d) if key == "H" else B.bars(s, d)
+
+
+for _key in STRATEGIES:
+    query(f"trade_log_{_key}")(lambda s, d, key=_key: rounded(trade_log.build(strategy_bars(s, d, key), STRATEGIES[key])))
+    query(f"trade_summary_{_key}")(lambda s, d, key=_key: rounded(trade_log.summary(trade_log.build(strategy_bars(s, d, key), STRATEGIES[key]))))
+query("latest_trades")(lambda s, d: rounded(trade_log.latest(trade_log.build(B.bars(s, d), STRATEGIES["D"]))))
+query("trade_log_published")(lambda s, d: rounded(trade_log.published(gated(s, d))))
+query("trade_log_last_year")(lambda s, d: rounded(trade_log.last_months(trade_log.build(B.bars(s, d), STRATEGIES["D"]), 12)))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
