@@ -107,4 +107,50 @@ trade_labels as (
 INDEX_GATE = f"""{DUCK_INDEX},
 gate as (select date, row_number() over w k, close, avg(close) over (order by date rows 19 preceding) f, avg(close) over (order by date rows 49 preceding) s, avg(close) over (order by date rows 199 preceding) m from ix window w as (order by date))"""
 
-__all__ = ["ALL", "DMI", "DUCK_BARS", "DUCK_DIRTY", "DUCK_INDEX", "DUCK_TICKERS", "ELIGIBLE", "EMAS", "FRACTALS", "INDEX_GATE", "N", "ND", "QUALITY", "RSI", "SIGNALS", "SMA", "full", "labels", "sql"]
+
+def emas(*spans: int) -> str:
+    """EMAs of several spans in one recursion, null until full: em(ticker, n, e<span>...)."""
+    first = ", ".join(f"close e{s}" for s in spans)
+    after = ", ".join(f"e{s} * (1 - 2.0 / {s + 1}) + b.close * 2 / {s + 1}" for s in spans)
+    shown = ", ".join(f"case when n >= {s} then e{s} end e{s}" for s in spans)
+    return f"em0 as (select ticker, n, {first} from n where n = 1 union all select b.ticker, b.n, {after} from em0 join n b on b.ticker = em0.ticker and b.n = em0.n + 1), em as (select ticker, n, {shown} from em0)"
+
+
+def before(agg: str, column: str, k: int) -> str:
+    w = f"over (partition by ticker order by date rows between {k} preceding and 1 preceding)"
+    return f"case when count({column}) {w} = {k} then {agg}({column}) {w} end"
+
+
+def base_signal(bars: int, box: float, ceiling: int, volume_bars: int, volume: float, close_in_range: float | None, trend: str) -> str:
+    """feat: the bars with ``signal`` of a quiet base, a breakout and volume."""
+    strong = f"and close >= low + (high - low) * {close_in_range}" if close_in_range is not None else ""
+    return f"""fa as (
+  select n.*, {before('max', 'high', bars)} top, {before('min', 'low', bars)} bottom, {before('max', 'high', ceiling)} roof, {full('avg', 'volume', volume_bars)} usual, lag(close) over (partition by ticker order by date) prev from n),
+fb as (select fa.*, em.* exclude (ticker, n), coalesce((top - bottom) / bottom * 100 <= {box} and {trend}, false) quiet, lag(roof) over (partition by fa.ticker order by date) roof_before from fa join em on em.ticker = fa.ticker and em.n = fa.n),
+fc as (select *, lag(quiet) over (partition by ticker order by date) was_quiet from fb),
+feat as (select *, coalesce(close > roof and prev <= roof_before and was_quiet and volume >= usual * {volume} {strong}, false) signal from fc)"""
+
+
+BRACKET = """walk as (
+  select distinct ticker, 0::bigint n, false pb, false hold, cast(null as double) entry, cast(null as bigint) en, cast(null as double) px, cast(null as varchar) code, cast(null as double) sold_entry, cast(null as bigint) sold_en from feat
+  union all
+  select f.ticker, f.n, not ((w.pb or w.hold) and not x.out) and f.signal, (w.pb or w.hold) and not x.out, case when w.pb then f.open else w.entry end, case when w.pb then f.n else w.en end,
+    case when x.out then case when f.low <= w.entry * (1 - 10.0 / 100) then least(f.open, w.entry * (1 - 10.0 / 100)) else greatest(f.open, w.entry * (1 + 7.0 / 100)) end end,
+    case when x.out then case when f.low <= w.entry * (1 - 10.0 / 100) then 'CL Stop 10%' else 'TP Target 7%' end end, w.entry, w.en
+  from walk w join feat f on f.ticker = w.ticker and f.n = w.n + 1, lateral (select w.hold and (f.low <= w.entry * (1 - 10.0 / 100) or f.high >= w.entry * (1 + 7.0 / 100)) as out) x)"""
+
+CHANDELIER = """fx as (select feat.*, a atr from feat left join rma on rma.ticker = feat.ticker and rma.n = feat.n),
+walk as (
+  select distinct ticker, 0::bigint n, false pb, false ps, false hold, cast(null as double) entry, cast(null as bigint) en, cast(null as double) peak, cast(null as double) stop, cast(null as double) px, cast(null as varchar) code, cast(null as double) sold_entry, cast(null as bigint) sold_en from fx
+  union all
+  select f.ticker, f.n, not x.h and f.signal, x.h and f.close < x.s, x.h, case when w.pb then f.open else w.entry end, case when w.pb then f.n else w.en end,
+    case when x.h then x.p when f.signal then f.high end, case when x.h then x.s when f.signal then f.close - 3 * f.atr end,
+    case when w.ps then f.open end, case when w.ps then case when f.open > w.entry then 'TP Trailing stop' else 'CL Trailing stop' end end, w.entry, w.en
+  from walk w join fx f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select (w.hold and not w.ps) or w.pb h, greatest(w.peak, f.high) p, greatest(w.stop, greatest(w.peak, f.high) - 3 * f.atr) s) x)"""
+
+TRADES = """select w.ticker, e.date entry_date, sold_entry entry_price, x.date exit_date, round(px, 6) exit_price, code exit_code, w.n - sold_en bars_held, true resolved
+from walk w join n e on e.ticker = w.ticker and e.n = sold_en join n x on x.ticker = w.ticker and x.n = w.n where code is not null
+union all
+select w.ticker, e.date, entry, x.date, x.close, 'OPEN', w.n - en, false
+from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) w join n e on e.ticker = w.ticker and e.n = en join n x on x.ticker = w.ticker and x.n = w.n where hold"""

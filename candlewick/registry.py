@@ -13,8 +13,9 @@ from candlewick.operators import calibration, indicators, labels, quality, signa
 from candlewick.operators.costs import EXAMPLE
 from candlewick.plans import oracles as O
 from candlewick.plans import trade_log
-from candlewick.plans.strategies import STRATEGIES
+from candlewick.plans.strategies import STRATEGIES, run
 from candlewick.sources import bars as B
+from candlewick.streaming.bars import bars_of_ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -253,6 +254,21 @@ query("trade_log_published")(lambda s, d: rounded(trade_log.published(gated(s, d
 query("trade_log_last_year")(lambda s, d: rounded(trade_log.last_months(trade_log.build(B.bars(s, d), STRATEGIES["D"]), 12)))
 
 
+RAW_TRADES = ["ticker", "entry_date", "entry_price", "exit_date", "exit_price", "exit_code", "bars_held", "resolved"]
+
+
+def raw_trades(s: SparkSession, d: str, key: str) -> DataFrame:
+    return rounded(run(B.bars(s, d), STRATEGIES[key]).where("entry_date is not null"), *RAW_TRADES)
+
+
+query("trades_D", O.sql(O.TRADES, O.DUCK_BARS, O.N, O.DMI, O.emas(50), O.base_signal(25, 15.0, 25, 25, 1.3, None, "close >= e50 * 0.95"), O.CHANDELIER))(lambda s, d: raw_trades(s, d, "D"))
+query("trades_K", O.sql(O.TRADES, O.DUCK_BARS, O.N, O.emas(50, 150, 200), O.base_signal(40, 12.0, 20, 50, 2.0, 0.7, "close > e50 and e50 > e150 and e150 > e200"), O.BRACKET))(lambda s, d: raw_trades(s, d, "K"))
+query(
+    "event_bars",
+    """select event_type ticker, date_trunc('day', ts) as "start", arg_min(value, ts) as open, max(value) as high, min(value) as low, arg_max(value, ts) as close, count(*) volume from events group by 1, 2""",
+)(lambda s, d: bars_of_ticks(B.table(s, d, "events").select(F.col("event_type").alias("ticker"), "ts", F.col("value").alias("price"), F.lit(1).alias("volume"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
