@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.functions import series as S
-from candlewick.operators import calibration, indicators, labels, quality, signals, store, walkforward
+from candlewick.operators import calibration, indicators, labels, quality, readers, signals, store, walkforward
 from candlewick.operators.costs import EXAMPLE
 from candlewick.plans import oracles as O
 from candlewick.plans import trade_log
@@ -269,6 +269,21 @@ query(
 )(lambda s, d: bars_of_ticks(B.table(s, d, "events").select(F.col("event_type").alias("ticker"), "ts", F.col("value").alias("price"), F.lit(1).alias("volume"))))
 
 
+query("ticker_history", O.sql("select ticker, date, close, round(ma5, 6) ma5, round(ma200, 6) ma200 from sma where ticker = 'S00003' order by date desc limit 120", O.DUCK_BARS, O.N, O.SMA))(lambda s, d: rounded(readers.ticker_history(indicators.moving_averages(B.bars(s, d)), "S00003", 120), "ticker", "date", "close", "ma5", "ma200"))
+query(
+    "measured_outcomes",
+    O.sql("select tier, count(*) n, round(avg((r > 0)::int) * 100, 6) win_pct, round(avg(r), 6) mean_return, round(median(r), 6) median_return, min(entry_date) first_entry, max(entry_date) last_entry, any_value(rule_version) rule_version from j where r is not null and tier is not null group by tier", *HOLD, JOINED),
+)(lambda s, d: rounded(readers.measured_outcomes(tiered(s, d, labels.HOLD_20), labels.HOLD_20.version)))
+query("radar_D")(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["D"]))
+query("radar_A")(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["A"]))
+query("recent_entries_G")(lambda s, d: readers.recent_entries(B.bars(s, d), STRATEGIES["G"], 20))
+query("trade_span_D")(lambda s, d: rounded(readers.span_guard(run(B.bars(s, d), STRATEGIES["D"]).where("entry_date is not null"))))
+query(
+    "stock_list",
+    "select concat('C', cast(c_custkey as varchar), '.JK') ticker, c_name as name from customer where c_custkey < 100000",
+)(lambda s, d: readers.stock_list(B.table(s, d, "customer").select(F.concat(F.lit(" c"), F.col("c_custkey").cast("string"), F.lit(".jk")).alias("Kode Saham"), F.col("c_name").alias("Nama Perusahaan"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
