@@ -29,6 +29,16 @@ def deal(frame: DataFrame, n: int) -> DataFrame:
     return frame.repartitionById(n, F.col("bucket"))
 
 
+def bound(step: Callable, n: int) -> Callable:
+    """The step with its number of buckets, under its own name in the plan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return step(batches, n)
+
+    run.__name__ = step.__name__
+    return run
+
+
 def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], schema=ARROW)
 

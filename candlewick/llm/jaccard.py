@@ -7,18 +7,20 @@ sequence; one without words (or a null text) is empty and links with nothing.
 1.  Shingles are ordered rare first: by the class of their document count where they
     are common (a bounded table of the most common ones), then by hash.  Any order is
     right; this one keeps passages that many documents share out of the prefixes.
-2.  A document sends its prefix, the 25 % of its shingles that any partner must meet,
-    to the shingles' buckets; the first 14 % may also be met by larger partners.
+2.  A document sends its prefix to the shingles' buckets: of n shingles the n / 4 of
+    which any partner must hold one, and n / 12 more, so that a partner must hold
+    1 + n / 12 of them.  The first n / 7 + n / 12 are those a larger partner must meet.
     Documents of a task with equal sets send once.
 3.  In a bucket, the documents with one prefix shingle form a list; those with identical
     prefixes and size collapse into one group.  Group pairs are filtered by size and
     prefix position.  Instead of all pairs a list proposes stars: each group to the
     smallest one it can link to, and each member to its group's first.
-4.  Proposals are verified on the full sets, the centre's set travelling once to each
-    bucket that holds partners.
+4.  Proposals made for enough shingles are verified on the full sets, the centre's set
+    travelling once to each bucket that holds partners.
 5.  Links give components.  A list whose members now share a component needs nothing
-    more; in any other, every remaining pair across components is verified, so no link
-    between components is missed, and components are joined once more.
+    more; in any other, the shared prefix shingles of every pair across components are
+    counted, and pairs that reach the bound are verified, so no link between components
+    is missed, and components are joined once more.
 
 Result: one row per doc_id with the size of its set and the smallest doc_id reachable
 by links.  Repeated rows of a doc_id, null texts, and empty tables are allowed.
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from candlewick.llm import kernels as K
 from candlewick.llm.components import components
-from candlewick.llm.dealing import SCHEMA, TEXTS, bucket_of, by_bucket, columns, deal, gathered, rows, texts
-from candlewick.llm.session import kept, read, width
+from candlewick.llm.dealing import SCHEMA, TEXTS, bound, bucket_of, by_bucket, columns, deal, gathered, rows, texts
+from candlewick.llm.session import kept, most, read, width
 
 WORDS = 5
 #: The most common shingles, with their class, known to every task: at most so many.
@@ -45,7 +47,9 @@ COMMON = 200_000
 COMMON_LOCAL = 4
 #: Documents whose postings a task packs together.
 FLUSH = 8192
-POSTINGS, LISTS, CENTRES, PARTNERS, SETS, LABELS = 1, 2, 3, 4, 5, 6
+POSTINGS, LISTS, CENTRES, PARTNERS, SETS, LABELS, COUNTS = 1, 2, 3, 4, 5, 6, 7
+#: Bytes of sets that a task sends together.
+SEND = 32 << 20
 WEIGHTS = K.mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -129,17 +133,23 @@ def common(counts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         sums = np.bincount(inverse, many).astype(np.int64) if len(own) else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(sums)], names=["name", "many"])
 
-    top = deal(counts, n).mapInArrow(total, "name long, many long").orderBy(F.desc("many"), "name").limit(COMMON).toPandas()
-    names = top["name"].to_numpy(np.int64).view(np.uint64)
-    classes = np.log2(np.maximum(top["many"].to_numpy(np.int64), 1)).astype(np.uint8) + 1
+    sums = kept(counts.sparkSession, deal(counts, n).mapInArrow(total, "name long, many long"), "common")
+    top = most(sums, "many", COMMON).toArrow()
+    names = np.asarray(top["name"]).view(np.uint64)
+    classes = np.log2(np.maximum(np.asarray(top["many"]), 1)).astype(np.uint8) + 1
     order = np.argsort(names)
     return names[order], classes[order].astype(np.uint8)
 
 
+def shared(n: int | np.ndarray) -> int | np.ndarray:
+    """Prefix shingles that two documents of at least n shingles share if they link."""
+    return 1 + n // 12
+
+
 def prefix(own: np.ndarray, names: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
     """The shingles that a partner must meet, and how many of them a larger partner must."""
     n = len(own)
-    probe, index = n - (3 * n + 3) // 4 + 1, n - (6 * n + 6) // 7 + 1
+    probe, index = n - (3 * n + 3) // 4 + shared(n), n - (6 * n + 6) // 7 + shared(n)
     if len(names):
         at = np.minimum(np.searchsorted(names, own), len(names) - 1)
         level = np.where(names[at] == own, classes[at], 0)
@@ -168,7 +178,7 @@ def send_postings(docs: DataFrame, n: int, names: np.ndarray, classes: np.ndarra
                 order = np.argsort(token, kind="stable")
                 token, owner, early = token[order], owner[order], early[order]
                 used, inverse = np.unique(owner, return_inverse=True)
-                return K.pack_columns(K.deltas(token), (inverse << 1 | early).astype(np.uint32), K.deltas(doc[used]), size[used].astype(np.uint32), group[used])
+                return K.pack_columns(K.deltas(token), (inverse << 1 | early).astype(np.uint32), K.deltas(doc[used]), size[used].astype(np.uint32), group[used].astype(np.uint32))
 
             return rows(by_bucket(bucket_of(token, n), [(token & np.uint64(0xFFFFFFFF)).astype(np.uint32), owner, early], POSTINGS, pack))
 
@@ -198,14 +208,26 @@ def send_postings(docs: DataFrame, n: int, names: np.ndarray, classes: np.ndarra
 
 
 def unpack_postings(blob: bytes) -> tuple[np.ndarray, ...]:
-    token, owner, doc, size, group = K.unpack_columns(blob, np.uint32, np.uint32, np.int64, np.uint32, np.uint64)
+    token, owner, doc, size, group = K.unpack_columns(blob, np.uint32, np.uint32, np.int64, np.uint32, np.uint32)
     early = (owner & 1).astype(bool)
     owner = owner >> 1
     return np.cumsum(token, dtype=np.uint32), np.cumsum(doc)[owner], size[owner].astype(np.int64), group[owner], early
 
 
-def pack_lists(name: np.ndarray, doc: np.ndarray, size: np.ndarray, early: np.ndarray) -> bytes:
-    return K.pack_columns(name, doc, (size << 1 | early).astype(np.uint32))
+def pack_lists(name: np.ndarray, doc: np.ndarray, size: np.ndarray, early: np.ndarray, times: np.ndarray) -> bytes:
+    return K.pack_columns(name, doc, (size << 1 | early).astype(np.uint32), times.astype(np.uint32))
+
+
+def summed(pairs: np.ndarray, times: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs (rows of two ids), with the sum of their times."""
+    if not len(pairs):
+        return pairs, times, need
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs, times, need = pairs[order], times[order], need[order]
+    head = np.ones(len(pairs), bool)
+    head[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    at = np.flatnonzero(head)
+    return pairs[at], np.add.reduceat(times.astype(np.int64), at), need[at]
 
 
 def propose(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -232,17 +254,18 @@ def propose(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     mixed = np.zeros(len(token) + 1, np.uint64)
     np.cumsum(K.mix(doc.astype(np.uint64) * np.uint64(2) + early), out=mixed[1:])
     name = K.mix(mixed[bounds[1:]] - mixed[bounds[:-1]])
-    _, first = np.unique(name, return_index=True)
-    chosen = np.zeros(len(name), bool)
-    chosen[first] = True
-    use = chosen[which]
+    _, first, repeated = np.unique(name, return_index=True, return_counts=True)
+    chosen = np.zeros(len(name), np.int64)
+    chosen[first] = repeated
+    use = chosen[which] > 0
     doc, size, group, early, which = doc[use], size[use], group[use], early[use], which[use]
+    times = chosen[which]
     head = np.diff(which, prepend=-1) != 0
     # groups: equal prefix and size
     new = head.copy()
     new[1:] |= (group[1:] != group[:-1]) | (size[1:] != size[:-1])
     leader = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    a, b = [doc[leader[~new]]], [doc[~new]]
+    a, b = [leader[~new]], [np.flatnonzero(~new)]
     # stars over the leaders: a centre is early in its prefix and at least 3/4 as large as its partners
     lead = np.flatnonzero(new)
     todo = lead
@@ -257,40 +280,52 @@ def propose(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         ok = (centre < len(todo)) & (np.arange(len(todo)) > centre)
         centre_at = todo[np.minimum(centre, len(todo) - 1)]
         near = ok & (size[todo] * 3 <= size[centre_at] * 4)
-        a.append(doc[centre_at[near]])
-        b.append(doc[todo[near]])
+        a.append(centre_at[near])
+        b.append(todo[near])
         todo = todo[ok & ~near]
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    out = send_pairs(pairs[:, 0], pairs[:, 1], n)
+    a, b = np.concatenate(a), np.concatenate(b)
+    differ = doc[a] != doc[b]
+    a, b = a[differ], b[differ]
+    pairs, weight, need = summed(np.stack([doc[a], doc[b]], 1), times[b], shared(np.minimum(size[a], size[b])))
+    out = send_pairs(pairs, weight, need, n)
     full = name[which]
-    out += by_bucket(bucket_of(full, n), [full, doc, size, early], LISTS, pack_lists)
+    out += by_bucket(bucket_of(full, n), [full, doc, size, early, times], LISTS, pack_lists)
     if out:
         yield rows(out)
 
 
-def send_pairs(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+def send_pairs(pairs: np.ndarray, weight: np.ndarray, need: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
     """A pair goes to the bucket of its centre, which sends its set on, and to that of its partner."""
-    return by_bucket(bucket_of(a, n), [a, b], CENTRES) + by_bucket(bucket_of(b, n), [a, b], PARTNERS)
+    own = [pairs[:, 0], pairs[:, 1], weight.astype(np.uint32), need.astype(np.uint32)]
+    return by_bucket(bucket_of(pairs[:, 0], n), own, CENTRES) + by_bucket(bucket_of(pairs[:, 1], n), own, PARTNERS)
 
 
-def send_members(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Documents of lists, to the buckets of their ids."""
-    name, doc, size = columns(gathered(batches).get(LISTS, []), np.uint64, np.int64, np.uint32)
-    doc = np.unique(doc)
-    yield rows(by_bucket(bucket_of(doc, n), [doc], LABELS))
+def proposed(found: list[tuple[int, bytes]]) -> np.ndarray:
+    """Pairs proposed for at least half of the shingles that linked documents share.
 
+    A star sees only part of what a pair shares; what this leaves out is counted in full later.
+    """
+    a, b, weight, need = columns(found, np.int64, np.int64, np.uint32, np.uint32)
+    pairs, weight, need = summed(np.stack([a, b], 1), weight, need)
+    return pairs[2 * weight >= need]
 
-def only_members(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    got = gathered(batches)
-    (doc,) = columns(got.get(LABELS, []), np.int64)
-    doc = np.unique(doc)
-    for bucket, payload in got.get(TEXTS, []):
-        ids, sizes, buf = K.unpack_columns(payload, np.int64, np.int64, np.uint8)
-        use = np.flatnonzero(np.isin(ids, doc))
+
+class Kept:
+    """Chosen texts of a bucket, sent on in few blobs."""
+
+    def __init__(self, bucket: int):
+        self.bucket, self.parts, self.size = bucket, [], 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, buf: np.ndarray, use: np.ndarray) -> None:
         if len(use):
             starts = np.cumsum(sizes) - sizes
-            yield rows([(bucket, TEXTS, K.pack_columns(ids[use], sizes[use], buf[K.spread(starts[use], sizes[use])]))])
+            self.parts.append((ids[use], sizes[use], buf[K.spread(starts[use], sizes[use])]))
+            self.size += len(self.parts[-1][2])
+
+    def flush(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if self.parts and self.size >= least:
+            yield rows([(self.bucket, TEXTS, K.pack_columns(*(np.concatenate([p[k] for p in self.parts]) for k in range(3))))])
+            self.parts, self.size = [], 0
 
 
 def sets_of(payload: bytes, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -307,21 +342,45 @@ def sets_of(payload: bytes, wanted: np.ndarray | None = None) -> Iterator[tuple[
 def send_centres(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """The set of each centre to every bucket with a partner of it, once; partners' pairs and texts stay."""
     got = gathered(batches)
-    centre, partner = columns(got.get(CENTRES, []), np.int64, np.int64)
-    to = np.unique(np.stack([centre, bucket_of(partner, n)], 1), axis=0)
-    a, b = columns(got.get(PARTNERS, []), np.int64, np.int64)
-    pairs = np.unique(np.stack([a, b], 1), axis=0)
+    pairs = proposed(got.get(CENTRES, []))
+    to = np.unique(np.stack([pairs[:, 0], bucket_of(pairs[:, 1], n)], 1), axis=0)
+    centres = np.unique(to[:, 0])
+    pairs = proposed(got.get(PARTNERS, []))
     wanted = np.unique(pairs[:, 1])
-    for bucket, payload in got.get(TEXTS, []):
-        for doc, own in sets_of(payload, np.unique(to[:, 0])):
-            blob = K.pack_columns(np.array([doc]), own)
-            x, y = np.searchsorted(to[:, 0], [doc, doc + 1])
-            yield rows([(int(k), SETS, blob) for k in to[x:y, 1]])
+    docs: list[int] = []
+    sets: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        flat = np.concatenate(sets)
+        sizes = np.array([len(x) for x in sets], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        ids = np.array(docs, np.int64)
+        x, y = np.searchsorted(to[:, 0], ids, "left"), np.searchsorted(to[:, 0], ids, "right")
+        which = np.repeat(np.arange(len(ids)), y - x)
+
+        def pack(which: np.ndarray) -> bytes:
+            return K.pack_columns(ids[which], sizes[which], flat[K.spread(starts[which], sizes[which])])
+
+        return rows(by_bucket(to[K.spread(x, y - x), 1], [which], SETS, pack))
+
+    found = got.get(TEXTS, [])
+    keep = Kept(found[0][0]) if found else None
+    for _, payload in found:
+        for doc, own in sets_of(payload, centres):
+            docs.append(doc)
+            sets.append(own)
+            size += own.nbytes
+        if size >= SEND:
+            yield flush()
+            docs, sets, size = [], [], 0
         ids, sizes, buf = K.unpack_columns(payload, np.int64, np.int64, np.uint8)
-        use = np.flatnonzero(np.isin(ids, wanted))
-        if len(use):
-            starts = np.cumsum(sizes) - sizes
-            yield rows([(bucket, TEXTS, K.pack_columns(ids[use], sizes[use], buf[K.spread(starts[use], sizes[use])]))])
+        keep.add(ids, sizes, buf, np.flatnonzero(np.isin(ids, wanted)))
+        yield from keep.flush(SEND)
+    if keep:
+        yield from keep.flush(0)
+    if docs:
+        yield flush()
     if len(pairs):
         yield rows(by_bucket(bucket_of(pairs[:, 1], n), [pairs[:, 0], pairs[:, 1]], PARTNERS))
 
@@ -332,8 +391,8 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = columns(got.get(PARTNERS, []), np.int64, np.int64)
     sets = {}
     for _, payload in got.pop(SETS, []):
-        doc, own = K.unpack_columns(payload, np.int64, np.uint64)
-        sets[int(doc[0])] = own
+        docs, sizes, flat = K.unpack_columns(payload, np.int64, np.int64, np.uint64)
+        sets |= zip(docs.tolist(), np.split(flat, np.cumsum(sizes)[:-1]))
     order = np.argsort(b, kind="stable")
     a, b = a[order], b[order]
     for _, payload in got.get(TEXTS, []):
@@ -356,60 +415,76 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def across(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """For lists over several components: every pair across them that passes the filters."""
     got = gathered(batches)
-    name, doc, size = columns(got.get(LISTS, []), np.uint64, np.int64, np.uint32)
+    name, doc, size, times = columns(got.get(LISTS, []), np.uint64, np.int64, np.uint32, np.uint32)
     node, label = columns(got.get(LABELS, []), np.int64, np.int64)
     if not len(name):
         return
+    # a list that several buckets sent is one, its times added
+    order = np.lexsort((doc, size >> 1, name))
+    name, doc, size, times = name[order], doc[order], size[order], times[order].astype(np.int64)
+    head = np.ones(len(name), bool)
+    head[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(head)
+    times = np.add.reduceat(times, at)
+    name, doc, size = name[at], doc[at], size[at]
     size, early = (size >> 1).astype(np.int64), (size & 1).astype(bool)
-    key = np.unique(np.stack([name.view(np.int64), doc, size, early], 1), axis=0)
-    name, doc, size, early = key[:, 0], key[:, 1], key[:, 2], key[:, 3].astype(bool)
-    order = np.lexsort((doc, size, name))
-    name, doc, size, early = name[order], doc[order], size[order], early[order]
     own = doc.copy()
     if len(node):
         o = np.argsort(node)
         at = np.minimum(np.searchsorted(node[o], doc), len(node) - 1)
         own = np.where(node[o][at] == doc, label[o][at], doc)
-    bounds = np.append(np.flatnonzero(np.diff(name, prepend=name[0] ^ 1)), len(name))
+    bounds = np.append(np.flatnonzero(np.diff(name, prepend=name[0] ^ np.uint64(1))), len(name))
+    low, high = np.minimum.reduceat(own, bounds[:-1]), np.maximum.reduceat(own, bounds[:-1])
     a, b, many = [], [], 0
-    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        lab = own[x:y]
-        if (lab == lab[0]).all():
-            continue
+
+    def flush() -> pa.RecordBatch:
+        x, y = np.concatenate(a), np.concatenate(b)
+        pairs, weight, need = summed(np.stack([doc[x], doc[y]], 1), times[x], shared(np.minimum(size[x], size[y])))
+        key = K.mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64)
+        return rows(by_bucket(bucket_of(key, n), [pairs[:, 0], pairs[:, 1], weight.astype(np.uint32), need.astype(np.uint32)], COUNTS))
+
+    for k in np.flatnonzero(low != high).tolist():
+        x, y = bounds[k], bounds[k + 1]
+        lab, sz, ea = own[x:y], size[x:y], early[x:y]
         names, counts = np.unique(lab, return_counts=True)
-        outside = np.flatnonzero(lab != names[counts.argmax()])
-        sz, ea, dc = size[x:y], early[x:y], doc[x:y]
-        for i in outside.tolist():
-            up = np.searchsorted(sz, sz[i] * 4 // 3, "right")
-            if ea[i]:
-                js = np.arange(i + 1, up)
-                js = js[lab[js] != lab[i]]
-                a.append(np.full(len(js), dc[i]))
-                b.append(dc[js])
-            low = np.searchsorted(sz, -(-sz[i] * 3 // 4), "left")
-            js = np.arange(low, i)
-            js = js[(lab[js] != lab[i]) & ea[js]]
-            a.append(dc[js])
-            b.append(np.full(len(js), dc[i]))
-            many += len(a[-1]) + len(js)
-            if many > 1_000_000:
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-                yield rows(send_pairs(pairs[:, 0], pairs[:, 1], n))
+        most = names[counts.argmax()]
+        for i in np.flatnonzero(lab != most).tolist():
+            # partners outside i's component; between two of them outside the largest, the later one asks
+            js = np.arange(np.searchsorted(sz, -(-sz[i] * 3 // 4), "left"), np.searchsorted(sz, sz[i] * 4 // 3, "right"))
+            js = js[(lab[js] != lab[i]) & ((js < i) | (lab[js] == most))]
+            first, second = np.minimum(js, i), np.maximum(js, i)
+            ok = ea[first]
+            a.append(x + first[ok])
+            b.append(x + second[ok])
+            many += len(a[-1])
+            if many > 500_000:
+                yield flush()
                 a, b, many = [], [], 0
-    if a:
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        if len(pairs):
-            yield rows(send_pairs(pairs[:, 0], pairs[:, 1], n))
+    if many:
+        yield flush()
+
+
+def agreed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that share as many prefix shingles as linked documents must."""
+    a, b, weight, need = columns(gathered(batches).get(COUNTS, []), np.int64, np.int64, np.uint32, np.uint32)
+    pairs, weight, need = summed(np.stack([a, b], 1), weight, need)
+    enough = weight >= need
+    if enough.any():
+        yield rows(send_pairs(pairs[enough], weight[enough], need[enough], n))
 
 
 def send_labels(lists: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """Components of list members, to the buckets of the lists: lists go to their members' buckets, members with labels back."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, to = [], []
         for bucket, payload in gathered(batches).get(LISTS, []):
-            _, doc, _ = K.unpack_columns(payload, np.uint64, np.int64, np.uint32)
-            doc = np.unique(doc)
-            yield rows(by_bucket(bucket_of(doc, n), [doc, np.full(len(doc), bucket)], LISTS))
+            doc = np.unique(K.unpack_columns(payload, np.uint64, np.int64, np.uint32, np.uint32)[1])
+            docs.append(doc)
+            to.append(np.full(len(doc), bucket, np.int64))
+        if docs:
+            asked = np.unique(np.stack([np.concatenate(docs), np.concatenate(to)], 1), axis=0)
+            yield rows(by_bucket(bucket_of(asked[:, 0], n), [asked[:, 0], asked[:, 1]], LISTS))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,19 +513,17 @@ def linked(docs: DataFrame) -> DataFrame:
     n = width(spark)
     about, counts = described(docs, n)
     names, classes = common(counts, n)
-    found = kept(spark, deal(send_postings(docs, n, names, classes), n).mapInArrow(lambda b: propose(b, n), SCHEMA), "proposed")
+    found = kept(spark, deal(send_postings(docs, n, names, classes), n).mapInArrow(bound(propose, n), SCHEMA), "proposed")
     lists, pairs = found.where(F.col("kind") == LISTS), found.where(F.col("kind") != LISTS)
-    members = lists.mapInArrow(lambda b: send_members(b, n), SCHEMA)
-    own = kept(spark, deal(members.unionByName(texts(docs, n)), n).mapInArrow(lambda b: only_members(b, n), SCHEMA), "members")
 
     def links(pairs: DataFrame) -> DataFrame:
-        sent = deal(pairs.unionByName(own), n).mapInArrow(lambda b: send_centres(b, n), SCHEMA)
-        return deal(sent, n).mapInArrow(verify, "a long, b long")
+        sent = deal(pairs.unionByName(texts(docs, n)), n).mapInArrow(bound(send_centres, n), SCHEMA)
+        return kept(spark, deal(sent, n).mapInArrow(verify, "a long, b long"), "links")
 
-    first = kept(spark, links(pairs), "links")
+    first = links(pairs)
     labels = kept(spark, components(first), "labels")
-    cross = deal(lists.unionByName(send_labels(lists, labels, n)), n).mapInArrow(lambda b: across(b, n), SCHEMA)
-    second = kept(spark, links(kept(spark, cross, "cross")), "links")
+    cross = deal(lists.unionByName(send_labels(lists, labels, n)), n).mapInArrow(bound(across, n), SCHEMA)
+    second = links(kept(spark, deal(cross, n).mapInArrow(bound(agreed, n), SCHEMA), "cross"))
     # equal sets are one document: each links to the smallest of its signature
     sets = about.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many"))
     sets = kept(spark, sets.where("many > 1").drop("many"), "sets")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from candlewick.llm import kernels as K
-from candlewick.llm.dealing import SCHEMA, TEXTS, bucket_of, by_bucket, columns, deal, gathered, rows, texts
+from candlewick.llm.dealing import SCHEMA, TEXTS, bound, bucket_of, by_bucket, columns, deal, gathered, rows, texts
 from candlewick.llm.session import read, width
 
 LENGTH = 100
@@ -385,9 +385,9 @@ def removed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document the bytes removed; with ``with_text`` also those that are left."""
     n = width(docs.sparkSession)
-    found = deal(send_anchors(docs, n), n).mapInArrow(lambda b: match_anchors(b, n), SCHEMA)
-    contexts = deal(found.unionByName(texts(docs, n)), n).mapInArrow(lambda b: fetch_contexts(b, n), SCHEMA)
-    spans = deal(contexts, n).mapInArrow(lambda b: expand(b, n), SCHEMA)
+    found = deal(send_anchors(docs, n), n).mapInArrow(bound(match_anchors, n), SCHEMA)
+    contexts = deal(found.unionByName(texts(docs, n)), n).mapInArrow(bound(fetch_contexts, n), SCHEMA)
+    spans = deal(contexts, n).mapInArrow(bound(expand, n), SCHEMA)
     return deal(spans.unionByName(texts(docs, n)), n).mapInArrow(lambda b: removed(b, with_text), RESULT + (", kept binary" if with_text else ""))
 
 
