@@ -7,9 +7,9 @@ blanks, so an occurrence is always one of whole words.
 
 Patterns of similar length share a search.  Its shift table gives, for the
 block of bytes under the end of the search window, how far the window can move
-without passing an occurrence; only where the shift is zero does the hash of
-that suffix block select the bucket of patterns whose first ``m`` bytes end
-alike, and bytes are then compared directly.  The search advances thousands of
+without passing an occurrence; only where the shift is zero do the last eight bytes
+of the window select the bucket of patterns whose first ``m`` bytes end alike, and
+bytes are then compared directly.  The search advances thousands of
 windows over a slice of the text at once, each in its own lane.
 
 Nulls and texts without words have no hits; null or wordless items no windows.
@@ -73,10 +73,11 @@ class Search:
         for at in range(far):
             codes = self._codes(heads, at + self.block)
             np.minimum.at(self.shift, codes, far - 1 - at)
-        codes = self._codes(heads, self.m)
-        order = np.argsort(codes, kind="stable")
-        self.bucket = np.searchsorted(codes[order], np.arange((1 << HASH_BITS) + 1))
-        self.order = order
+        # buckets by the last bytes of the heads, up to eight as one word
+        self.tail = min(8, self.m)
+        words = self._words(heads[:, self.m - self.tail :].T)
+        self.order = np.argsort(words, kind="stable")
+        self.buckets = words[self.order]
         self.flat = np.frombuffer(b"".join(patterns), np.uint8)
         sizes = np.array([len(p) for p in patterns], np.int64)
         self.sizes = sizes
@@ -94,37 +95,42 @@ class Search:
             code = code * np.uint32(0x01000193) ^ text[ends - self.block + k]
         return (code ^ (code >> np.uint32(15))) & np.uint32((1 << HASH_BITS) - 1)
 
-    def candidates(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window starts with shift zero, and the code of their suffix block."""
+    def _words(self, columns) -> np.ndarray:
+        out = np.uint64(0)
+        for c in columns:
+            out = out << np.uint64(8) | c.astype(np.uint64)
+        return out
+
+    def candidates(self, text: np.ndarray) -> np.ndarray:
+        """Starts of windows with shift zero."""
         n = len(text)
         if n < self.m:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64)
         at = np.arange(self.m, n + 1, LANE, dtype=np.int64)
         stop = np.minimum(at + LANE, n + 1)
-        found, codes = [], []
+        found = []
         while len(at):
             code = self._at(text, at)
             step = self.shift[code]
             hit = step == 0
             if hit.any():
                 found.append(at[hit] - self.m)
-                codes.append(code[hit])
                 step = np.where(hit, 1, step)
             at = at + step
             live = at < stop
             at, stop = at[live], stop[live]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(found), np.concatenate(codes).astype(np.int64)
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, pattern) of every occurrence."""
-        starts, codes = self.candidates(text)
-        begin = text[starts] == 32 if len(starts) else np.zeros(0, bool)
-        starts, codes = starts[begin], codes[begin]
-        many = self.bucket[codes + 1] - self.bucket[codes]
+        starts = self.candidates(text)
+        starts = starts[text[starts] == 32]
+        ends = starts + self.m
+        words = self._words(text[ends - k] for k in range(self.tail, 0, -1)) if len(starts) else np.zeros(0, np.uint64)
+        first = np.searchsorted(self.buckets, words, "left")
+        many = np.searchsorted(self.buckets, words, "right") - first
         where = np.repeat(starts, many)
-        which = self.order[K.spread(self.bucket[codes], many)]
+        which = self.order[K.spread(first, many)]
         fits = where + self.sizes[which] <= len(text)
         where, which = where[fits], which[fits]
         # direct comparison, a few bytes of all pairs at a time, pairs that differ leave at once
