@@ -16,7 +16,7 @@ Of pages with equal payloads of at least ``REVISIT_BYTES`` bytes the one with th
 page_id is a response and the others revisit it: they hold the HTTP header alone.
 
 Null html is an empty payload; a null url stands as urn:page:<id>; white space in urls is
-percent-encoded.  page_id is a key and not null.
+percent-encoded.  page_id is a key; a row without one is archived and comes back without.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 records = []
                 for i, url, payload in zip(ids, urls, payloads):
                     payload = payload or b""
-                    http = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {i}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+                    http = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if i is None else i}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                     records.append((page_url(url, i), http + payload))
                 for arc, to in zip(parse_arc(arc_archive(version, records)), refers):
                     if out is None:
@@ -256,7 +256,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                             if sha1_name(r.payload) != digest or len(r.payload) != size:
                                 raise ValueError(f"{h['WARC-Record-ID']} is damaged")
                         to = h.get("X-Refers-To-Page")
-                        found.append((int(http_field(http, b"X-Page-Id")), size, hex_digest(digest), h["WARC-Type"], int(to) if to else None, h["WARC-Record-ID"].strip("<>"), h["WARC-Target-URI"], h["WARC-Date"]))
+                        page = http_field(http, b"X-Page-Id")
+                        found.append((int(page) if page else None, size, hex_digest(digest), h["WARC-Type"], int(to) if to else None, h["WARC-Record-ID"].strip("<>"), h["WARC-Target-URI"], h["WARC-Date"]))
                         if len(found) >= 1024:
                             yield batch_of(found)
                             found = []

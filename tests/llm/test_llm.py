@@ -117,6 +117,8 @@ def test_archives_round_trip_with_revisits(spark):
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 9) if i in (1, 2) else ("response", None))
     assert got[1].url == "http://a%20b/" and got[2].url == "urn:page:2" and len({r.record_id for r in got.values()}) == 9
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    (nameless,) = warc.archived(spark.createDataFrame([(None, None, "x")], "page_id long, url string, html string")).collect()
+    assert nameless.page_id is None and nameless.payload_bytes == 1
 
 
 # --- 3
