@@ -272,6 +272,49 @@ def test_kneser_ney_probabilities_add_up():
     assert ratio == pytest.approx(np.log(p[1] / p[0]))
 
 
+def test_toxicity_scores_by_exact_counts(spark, monkeypatch):
+    """Against a model of the same rows in whole tables: no word or bigram is left to the unseen case, in any chunking."""
+    monkeypatch.setattr(toxicity, "WORDS_KEPT", 3, raising=False)
+    monkeypatch.setattr(toxicity, "BIGRAMS_KEPT", 3, raising=False)
+    monkeypatch.setattr(toxicity, "CHUNK", 400, raising=False)
+    rows = [(i, prose(80, 700 + i % 30), "s", None) for i in range(120)] + [(None, prose(40, 701), "s", None), (500, None, "s", None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    model = toxicity.fitted(docs, labels)
+    counted = model.rows.collect()
+    pairs, per_doc = [{}, {}], {}
+    for r in counted:
+        ws = re.findall(rb"[0-9a-z\x80-\xff]+", raw(r.text).lower())
+        for p in set(zip([None, *ws], ws)):
+            pairs[r.y][p] = pairs[r.y].get(p, 0) + 1
+    after = [{w: sum(x[1] == w for x in p) for w in {x[1] for x in p}} for p in pairs]
+    shared = {}
+    for _, w in set(pairs[0]) | set(pairs[1]):
+        shared[w] = shared.get(w, 0) + 1
+    sums = [{}, {}]
+    for k in (0, 1):
+        for (v, _), c in pairs[k].items():
+            a, b = sums[k].get(v, (0, 0))
+            sums[k][v] = (a + c, b + min(c, 2))
+
+    def ratio(v, w):
+        logs = []
+        for k in (0, 1):
+            s = (max(shared.get(w, 0) - 0.8, 0) + 0.8) / sum(shared.values())
+            q = (max(after[k].get(w, 0) - 3, 0) + s * sum(min(x, 3) for x in after[k].values())) / sum(after[k].values())
+            c, taken = sums[k].get(v, (0, 0))
+            logs.append(np.log((max(pairs[k].get((v, w), 0) - 2, 0) + q * taken) / c if c else q))
+        return logs[1] - logs[0]
+
+    for i, t, _, _ in rows:
+        ws = re.findall(rb"[0-9a-z\x80-\xff]+", raw(t).lower())
+        r = [ratio(*p) for p in set(zip([None, *ws], ws))]
+        per_doc[i] = np.clip(r, -8, 8).mean() if r else 0
+    got = {r.doc_id: r.evidence[0] for r in model.found.collect()}
+    assert got == pytest.approx(per_doc) and any(abs(x) > 0.1 for x in got.values())
+    assert len(toxicity.scored(docs, model).collect()) == len(rows)
+
+
 # --- 8
 
 
