@@ -315,6 +315,13 @@ def test_toxicity_scores_by_exact_counts(spark, monkeypatch):
     assert len(toxicity.scored(docs, model).collect()) == len(rows)
 
 
+def test_toxicity_counts_all_rows_but_the_sample(labelled, monkeypatch):
+    docs, labels = labelled
+    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+    training = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(600))
+    assert toxicity.fitted(docs, labels).rows.count() == training - 10
+
+
 # --- 8
 
 
