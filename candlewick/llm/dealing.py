@@ -126,3 +126,78 @@ def texts(docs: DataFrame, n: int, nulls: bool = False) -> DataFrame:
             yield rows(packer.flush())
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def row_names(column: pa.Array, s: K.TextSlice) -> tuple[np.ndarray, np.ndarray]:
+    """What orders the rows of a slice: doc_id, null ones last, and among equal ids a hash of the text."""
+    own = column.slice(s.first, s.n).cast(pa.int64())
+    absent = np.asarray(own.is_null())
+    whole = K.SpanHash(K.BYTE_WORDS[s.buf])(s.offsets[:-1], s.offsets[1:])
+    return np.asarray(own.fill_null(np.iinfo(np.int64).max)), whole >> np.uint64(1) | absent.astype(np.uint64) << np.uint64(63)
+
+
+def row_key(doc: np.ndarray, twin: np.ndarray) -> np.ndarray:
+    """One key of a row's names; only rows that repeat both id and text share it."""
+    return K.mix(doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + K.mix(twin))
+
+
+def elsewhere(same: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """Of sorted groups (``same`` as the one before) those at another place than the group's first; ``moved``: than the one before."""
+    steps = np.cumsum(same & moved)
+    heads = np.flatnonzero(~same)
+    return steps > np.repeat(steps[heads], np.diff(np.append(heads, len(same))))
+
+
+def repeated(keys: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which keys were met before, here or in ``seen``, which takes them in."""
+    out = np.zeros(len(keys), bool)
+    for i, k in enumerate(keys.tolist()):
+        out[i] = k in seen
+        seen.add(k)
+    return out
+
+
+def keyed_texts(docs: DataFrame, n: int, carried: list[str] | None = None) -> DataFrame:
+    """Rows of kind TEXTS under the row's key: key, doc_id, whether it is one, size (-1: null text), bytes, other columns."""
+    carried = carried or []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            key, doc, valid, sizes, shown, buf = (np.concatenate([h[k] for h in held]) for k in range(6))
+            rest = pa.Table.from_batches([h[6] for h in held])
+            starts = np.cumsum(sizes) - sizes
+
+            def pack(own: np.ndarray) -> bytes:
+                sink = pa.BufferOutputStream()
+                if carried:
+                    with pa.ipc.new_stream(sink, rest.schema) as out:
+                        out.write_table(rest.take(pa.array(own)).combine_chunks())
+                return K.pack_columns(key[own], doc[own], valid[own], shown[own], buf[K.spread(starts[own], sizes[own])], np.frombuffer(sink.getvalue(), np.uint8))
+
+            return rows(by_bucket(bucket_of(key, n), [np.arange(len(key))], TEXTS, pack))
+
+        for batch in batches:
+            rest = batch.select(list(range(2, batch.num_columns)))
+            for s in K.slices(batch.column(1), 8 << 20):
+                doc, twin = row_names(batch.column(0), s)
+                sizes = np.diff(s.offsets)
+                held.append((row_key(doc, twin), doc, twin >> np.uint64(63) == 0, sizes, np.where(s.valid, sizes, -1), s.buf, rest.slice(s.first, s.n)))
+                size += len(s.buf)
+                if size >= 24 << 20:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[F.col(c).alias(f"carried_{c}") for c in carried]).mapInArrow(run, SCHEMA)
+
+
+def read_texts(found: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, pa.Array, K.TextSlice, pa.Table | None]]:
+    """(keys, doc ids, texts, other columns) of each packed run of texts."""
+    for _, payload in found:
+        key, doc, valid, sizes, buf, rest = K.unpack_columns(payload, np.uint64, np.int64, bool, np.int64, np.uint8, np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
+        yield key, pa.array(doc, pa.int64(), mask=~valid), K.TextSlice(0, buf, offsets, sizes >= 0), pa.ipc.open_stream(rest.tobytes()).read_all() if len(rest) else None

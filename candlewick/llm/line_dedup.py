@@ -16,8 +16,9 @@ all but the first suffix of an interval lose those lines, and overlapping losses
 into maximal runs.  Later suffixes of an interval that meet in one task are dropped
 before the exchange, so a line in every third document sends one row per task.
 
-Null text: no lines, nothing to lose.  Empty text: one empty line.  Rows of one doc_id
-are judged under it together.
+Null text: no lines, nothing to lose.  Empty text: one empty line.  Every row is judged
+on its own: rows that repeat a doc_id come in the order of a hash of their texts, null
+ids after all others, and of rows equal in id and text any one comes first.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.llm import kernels as K
-from candlewick.llm.dealing import SCHEMA, TEXTS, bound, bucket_of, by_bucket, columns, deal, gathered, rows, texts
+from candlewick.llm.dealing import SCHEMA, TEXTS, bound, bucket_of, by_bucket, columns, deal, elsewhere, gathered, keyed_texts, read_texts, repeated, row_key, row_names, rows
 from candlewick.llm.session import read, width
 
 MIN_BYTES = 64
@@ -81,18 +83,21 @@ def suffixes(s: K.TextSlice, min_bytes: int = MIN_BYTES) -> tuple[np.ndarray, ..
     return name, check & np.uint64(0xFFFFFFFF), text[at], at - before[text[at]], size[at]
 
 
-def lost(doc: np.ndarray, line: np.ndarray, size: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
-    order = np.lexsort((line, doc))
-    return by_bucket(bucket_of(doc, n)[order], [doc[order], line[order], size[order]], LOST, lambda d, a, k: K.pack_columns(K.deltas(d), a.astype(np.uint32), k.astype(np.uint32)))
+def lost(doc: np.ndarray, twin: np.ndarray, line: np.ndarray, size: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+    key = row_key(doc, twin)
+    order = np.lexsort((line, key))
+    return by_bucket(bucket_of(key, n)[order], [key[order], line[order], size[order]], LOST, lambda d, a, k: K.pack_columns(K.deltas(d), a.astype(np.uint32), k.astype(np.uint32)))
 
 
-def later(name: np.ndarray, check: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order by (name, place), and whether each has one of its interval before it."""
-    order = np.lexsort((line, doc, check, name))
-    nm, ck = name[order], check[order]
-    after = np.zeros(len(order), bool)
-    after[1:] = (nm[1:] == nm[:-1]) & (ck[1:] == ck[:-1])
-    return order, after
+def later(name: np.ndarray, check: np.ndarray, doc: np.ndarray, twin: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix order by (name, place), whether each has another place of its interval before it, and the first of each interval."""
+    order = np.lexsort((line, twin, doc, check, name))
+    nm, ck, place = name[order], check[order], [x[order] for x in (doc, twin, line)]
+    same, moved = np.zeros((2, len(order)), bool)
+    same[1:] = (nm[1:] == nm[:-1]) & (ck[1:] == ck[:-1])
+    for x in place:
+        moved[1:] |= x[1:] != x[:-1]
+    return order, elsewhere(same, moved), ~same
 
 
 def send(docs: DataFrame, n: int, min_bytes: int) -> DataFrame:
@@ -101,17 +106,17 @@ def send(docs: DataFrame, n: int, min_bytes: int) -> DataFrame:
         many = 0
 
         def flush() -> pa.RecordBatch:
-            name, check, doc, line, size = (np.concatenate([h[k] for h in held]) for k in range(5))
-            order, after = later(name, check, doc, line)
-            gone, own = order[after], order[~after]
-            return rows(lost(doc[gone], line[gone], size[gone], n) + by_bucket(bucket_of(name[own], n), [name[own], check[own].astype(np.uint32), doc[own], line[own].astype(np.uint32), size[own].astype(np.uint32)], SUFFIXES))
+            name, check, doc, twin, line, size = (np.concatenate([h[k] for h in held]) for k in range(6))
+            order, after, first = later(name, check, doc, twin, line)
+            gone, own = order[after], order[first]
+            return rows(lost(doc[gone], twin[gone], line[gone], size[gone], n) + by_bucket(bucket_of(name[own], n), [name[own], check[own].astype(np.uint32), doc[own], twin[own], line[own].astype(np.uint32), size[own].astype(np.uint32)], SUFFIXES))
 
         for batch in batches:
-            ids = K.long_column(batch.column(0))
             for s in K.slices(batch.column(1)):
                 name, check, text, line, size = suffixes(s, min_bytes)
                 if len(name):
-                    held.append((name, check, ids[s.first + text], line, size))
+                    doc, twin = row_names(batch.column(0), s)
+                    held.append((name, check, doc[text], twin[text], line, size))
                     many += len(name)
                 if many >= FLUSH:
                     yield flush()
@@ -126,36 +131,42 @@ def intervals(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     got = gathered(batches)
     for bucket, payload in got.get(LOST, []):
         yield rows([(bucket, LOST, payload)])
-    name, check, doc, line, size = columns(got.pop(SUFFIXES, []), np.uint64, np.uint32, np.int64, np.uint32, np.uint32)
-    order, after = later(name, check, doc, line)
+    name, check, doc, twin, line, size = columns(got.pop(SUFFIXES, []), np.uint64, np.uint32, np.int64, np.uint64, np.uint32, np.uint32)
+    order, after, _ = later(name, check, doc, twin, line)
     gone = order[after]
     if len(gone):
-        yield rows(lost(doc[gone], line[gone], size[gone], n))
+        yield rows(lost(doc[gone], twin[gone], line[gone], size[gone], n))
 
 
 RESULT = "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string"
 
 
-def rebuilt(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+def rebuilt(batches: Iterator[pa.RecordBatch], min_bytes: int, columns_: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of RESULT, or with ``columns_`` the documents that are left, in those columns."""
     got = gathered(batches)
-    parts = [K.unpack_columns(p, np.int64, np.uint32, np.uint32) for _, p in got.get(LOST, [])]
-    doc = np.concatenate([np.cumsum(p[0]) for p in parts]) if parts else np.zeros(0, np.int64)
-    line = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else doc
-    size = np.concatenate([p[2] for p in parts]).astype(np.int64) if parts else doc
-    order = np.argsort(doc, kind="stable")
-    doc, line, size = doc[order], line[order], size[order]
-    for _, payload in got.get(TEXTS, []):
-        ids, sizes, buf = K.unpack_columns(payload, np.int64, np.int64, np.uint8)
-        valid = sizes >= 0
-        offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
-        s = K.TextSlice(0, buf, offsets, valid)
+    parts = [K.unpack_columns(p, np.uint64, np.uint32, np.uint32) for _, p in got.get(LOST, [])]
+    key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
+    line = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+    size = np.concatenate([p[2] for p in parts]).astype(np.int64) if parts else line
+    order = np.argsort(key, kind="stable")
+    key, line, size = key[order], line[order], size[order]
+    seen: set[int] = set()
+    for keys, ids, s, rest in read_texts(got.get(TEXTS, [])):
+        buf, offsets, valid = s.buf, s.offsets, s.valid
         starts, ends, before = lines(s)
-        a, b = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+        a, b = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
         which = K.spread(a, b - a)
         base = np.repeat(before[:-1], b - a)
         step = np.zeros(len(starts) + 1, np.int32)
         np.add.at(step, base + line[which], 1)
         np.add.at(step, base + line[which] + size[which], -1)
+        copy = repeated(keys, seen)
+        if copy.any():
+            # every run of a copy also starts in the row that it repeats
+            _, _, text, at, many = suffixes(s, min_bytes)
+            own = copy[text]
+            np.add.at(step, before[text[own]] + at[own], 1)
+            np.add.at(step, before[text[own]] + at[own] + many[own], -1)
         gone = np.cumsum(step[:-1]) > 0
         runs, _ = K.runs(gone, before)
         sums = np.concatenate([[0], np.cumsum(gone)])
@@ -168,19 +179,26 @@ def rebuilt(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
                 kept.append(raw[offsets[i] : offsets[i + 1]])
             else:
                 kept.append(b"\n".join(raw[starts[k] : ends[k]] for k in range(x, y) if not gone[k]))
-        arrays = [pa.array(ids), pa.array(np.diff(before)), pa.array(n_removed), pa.array(np.diff(K.by_text(runs, before))), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-        names = ["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256"]
-        if with_text:
-            arrays.append(pa.array([k if v else None for k, v in zip(kept, valid.tolist())], pa.binary()).cast(pa.string()))
-            names.append("kept")
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def deduplicated(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool = False) -> DataFrame:
-    """Per document the lines removed; with ``with_text`` also the text that is left (null stays null)."""
+        if columns_ is None:
+            arrays = [ids, pa.array(np.diff(before)), pa.array(n_removed), pa.array(np.diff(K.by_text(runs, before))), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256"])
+            continue
+        text = pa.array([k if v else None for k, v in zip(kept, valid.tolist())], pa.binary()).cast(pa.string())
+        new = {"text": text, "n_chars": pc.utf8_length(text).cast(pa.int64())}
+        whole = pa.table([new[c] if c in new else rest[f"carried_{c}"] for c in columns_], names=columns_)
+        yield from whole.filter(pa.array((n_removed == 0) | (n_removed < np.diff(before)))).combine_chunks().to_batches()
+
+
+def dealt(docs: DataFrame, min_bytes: int, carried: list[str] | None = None) -> DataFrame:
+    """Texts and what they lose, by row."""
     n = width(docs.sparkSession)
     found = deal(send(docs, n, min_bytes), n).mapInArrow(bound(intervals, n), SCHEMA)
-    return deal(found.unionByName(texts(docs, n, nulls=True)), n).mapInArrow(lambda b: rebuilt(b, with_text), RESULT + (", kept string" if with_text else ""))
+    return deal(found.unionByName(keyed_texts(docs, n, carried)), n)
+
+
+def deduplicated(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """Per document the lines removed."""
+    return dealt(docs, min_bytes).mapInArrow(bound(rebuilt, min_bytes), RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,9 +207,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """docs with the removed lines gone; a document that lost all its lines goes too."""
-    done = deduplicated(docs, with_text=True).where("n_removed = 0 or n_removed < n_lines").select(F.col("doc_id").alias("kept_id"), "kept")
-    rest = docs.drop("text", "n_chars")
-    return rest.join(done, rest.doc_id == done.kept_id).select(*[F.col(c) if c not in ("text", "n_chars") else {"text": F.col("kept").alias("text"), "n_chars": F.char_length("kept").cast("bigint").alias("n_chars")}[c] for c in docs.columns])
+    names = docs.columns
+    return dealt(docs, MIN_BYTES, [c for c in names if c not in ("text", "n_chars")]).mapInArrow(lambda b: rebuilt(b, MIN_BYTES, names), T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema]))
 
 
 ORACLE = r"""

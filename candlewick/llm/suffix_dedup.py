@@ -20,7 +20,9 @@ once, give those for l + 1; after 100 levels the intervals without a boundary ho
 equal strings, and all but the earliest place of an interval go.
 
 Null and empty texts, and texts under 100 bytes, lose nothing and have one result row
-each.  doc_id is unique; rows that repeat one are judged and returned under it as one.
+each.  Every row is judged on its own: rows that repeat a doc_id come in the order of a
+hash of their texts, null ids after all others, and of rows equal in id and text any one
+comes first.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from candlewick.llm import kernels as K
-from candlewick.llm.dealing import SCHEMA, TEXTS, bound, bucket_of, by_bucket, columns, deal, gathered, rows, texts
+from candlewick.llm.dealing import SCHEMA, TEXTS, bound, bucket_of, by_bucket, columns, deal, elsewhere, gathered, keyed_texts, read_texts, repeated, row_key, row_names, rows
 from candlewick.llm.session import read, width
 
 LENGTH = 100
@@ -83,28 +85,31 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     return grams[where], spans(starts, ends + length), np.searchsorted(offsets, starts, "right") - 1, starts, ends - starts + 1
 
 
-def pack_anchors(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, at: np.ndarray, many: np.ndarray) -> bytes:
+def pack_anchors(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray, many: np.ndarray) -> bytes:
     order = np.argsort(gram, kind="stable")
-    ids, inverse = np.unique(doc[order], return_inverse=True)
-    inverse = inverse.astype(np.uint32)
+    key, first, inverse = np.unique(row_key(doc, twin)[order], return_index=True, return_inverse=True)
+    by_id = np.argsort(doc[order][first], kind="stable")
+    place = np.empty(len(key), np.uint32)
+    place[by_id] = np.arange(len(key))
+    inverse, first = place[inverse], first[by_id]
     context = context[order]
-    return K.pack_columns(K.deltas(gram[order]), context.astype(np.uint32), (context >> np.uint64(32)).astype(np.uint16), K.deltas(ids), (inverse & 0xFFFF).astype(np.uint16), (inverse >> 16).astype(np.uint16), at[order].astype(np.uint32), many[order].astype(np.uint8))
+    return K.pack_columns(K.deltas(gram[order]), context.astype(np.uint32), (context >> np.uint64(32)).astype(np.uint16), K.deltas(doc[order][first]), twin[order][first], (inverse & 0xFFFF).astype(np.uint16), (inverse >> 16).astype(np.uint16), at[order].astype(np.uint32), many[order].astype(np.uint8))
 
 
 def unpack_anchors(blob: bytes) -> tuple[np.ndarray, ...]:
-    gram, low, high, ids, near, far, at, many = K.unpack_columns(blob, np.uint32, np.uint32, np.uint16, np.int64, np.uint16, np.uint16, np.uint32, np.uint8)
+    gram, low, high, ids, twin, near, far, at, many = K.unpack_columns(blob, np.uint32, np.uint32, np.uint16, np.int64, np.uint64, np.uint16, np.uint16, np.uint32, np.uint8)
     index = near.astype(np.int64) | far.astype(np.int64) << 16
-    return np.cumsum(gram, dtype=np.uint32), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), np.cumsum(ids)[index], at.astype(np.int64), many.astype(np.int64)
+    return np.cumsum(gram, dtype=np.uint32), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), np.cumsum(ids)[index], twin[index], at.astype(np.int64), many.astype(np.int64)
 
 
 def spans_by_text(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
-    """Rows of kind SPANS; overlapping spans of a document are joined first."""
+    """Rows of kind SPANS; overlapping spans of a row, which doc is the key of, are joined first."""
     if not len(doc):
         return []
     order = np.lexsort((start, doc))
     doc, start, stop = doc[order], start[order], stop[order]
     # running end inside a document, by lifting each document above the ones before
-    lift = np.cumsum(np.diff(doc, prepend=doc[0]) != 0).astype(np.int64) << 40
+    lift = np.cumsum(np.append(False, doc[1:] != doc[:-1])).astype(np.int64) << 40
     reach = np.maximum.accumulate(stop + lift)
     new = np.ones(len(doc), bool)
     new[1:] = start[1:] + lift[1:] > reach[:-1]
@@ -120,25 +125,26 @@ def send_anchors(docs: DataFrame, n: int) -> DataFrame:
         many = 0
 
         def flush() -> pa.RecordBatch:
-            gram, context, doc, at, strings = (np.concatenate([h[k] for h in held]) for k in range(5))
+            gram, context, doc, twin, at, strings = (np.concatenate([h[k] for h in held]) for k in range(6))
             context = context & np.uint64(0xFFFFFFFFFFFF)
             # equal contexts here: the first place stands for all, the others go
-            order = np.lexsort((at, doc, context))
-            c = context[order]
-            later = np.zeros(len(order), bool)
-            later[1:] = (c[1:] == c[:-1]) & (gram[order][1:] == gram[order][:-1])
-            gone, kept = order[later], order[~later]
-            out = spans_by_text(doc[gone], at[gone], at[gone] + strings[gone] - 1 + LENGTH, n)
+            order = np.lexsort((at, twin, doc, gram, context))
+            same, moved = np.zeros((2, len(order)), bool)
+            same[1:] = np.logical_and(*(x[order][1:] == x[order][:-1] for x in (context, gram)))
+            for x in (doc, twin, at):
+                moved[1:] |= x[order][1:] != x[order][:-1]
+            gone, kept = order[elsewhere(same, moved)], order[~same]
+            out = spans_by_text(row_key(doc[gone], twin[gone]), at[gone], at[gone] + strings[gone] - 1 + LENGTH, n)
             own = gram[kept]
-            out += by_bucket(bucket_of(own, n), [(own & np.uint64(0xFFFFFFFF)).astype(np.uint32), context[kept], doc[kept], at[kept], strings[kept]], ANCHORS, pack_anchors)
+            out += by_bucket(bucket_of(own, n), [(own & np.uint64(0xFFFFFFFF)).astype(np.uint32), context[kept], doc[kept], twin[kept], at[kept], strings[kept]], ANCHORS, pack_anchors)
             return rows(out)
 
         for batch in batches:
-            ids = K.long_column(batch.column(0))
             for s in K.slices(batch.column(1), 1 << 20):
                 gram, context, text, start, strings = anchors(s.buf, s.offsets)
                 if len(gram):
-                    held.append((gram, context, ids[s.first + text], start - s.offsets[text], strings))
+                    doc, twin = row_names(batch.column(0), s)
+                    held.append((gram, context, doc[text], twin[text], start - s.offsets[text], strings))
                     many += len(gram)
                 if many >= FLUSH:
                     yield flush()
@@ -160,7 +166,7 @@ def match_anchors(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
     bucket = sent[0][0]
     parts = [unpack_anchors(p) for _, p in sent]
     del sent
-    gram, context, doc, at, many = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    gram, context, doc, twin, at, many = (np.concatenate([p[k] for p in parts]) for k in range(6))
     del parts
     order = np.argsort(gram, kind="stable")
     g = gram[order]
@@ -171,36 +177,35 @@ def match_anchors(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
     order = order[multi]
     if not len(order):
         return
-    order = order[np.lexsort((at[order], doc[order], context[order], gram[order]))]
-    gram, context, doc, at, many = gram[order], context[order], doc[order], at[order], many[order]
+    order = order[np.lexsort((at[order], twin[order], doc[order], context[order], gram[order]))]
+    gram, context, doc, twin, at, many = gram[order], context[order], doc[order], twin[order], at[order], many[order]
     new_gram = np.diff(gram, prepend=gram[0] ^ np.uint32(1)) != 0
     new_context = new_gram.copy()
     new_context[1:] |= context[1:] != context[:-1]
-    out = spans_by_text(doc[~new_context], at[~new_context], at[~new_context] + many[~new_context] - 1 + LENGTH, n)
+    moved = np.zeros(len(order), bool)
+    for x in (doc, twin, at):
+        moved[1:] |= x[1:] != x[:-1]
+    gone, row = elsewhere(~new_context, moved), row_key(doc, twin)
+    out = spans_by_text(row[gone], at[gone], at[gone] + many[gone] - 1 + LENGTH, n)
     group = np.cumsum(new_gram) - 1
     mixed = np.bincount(group, new_context) > 1
     want = new_context & mixed[group]
     # the key names the anchor among all buckets
     key = gram[want].astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
-    out += by_bucket(bucket_of(doc[want], n), [key, doc[want], at[want], many[want]], WANTED)
+    out += by_bucket(bucket_of(row[want], n), [key, doc[want], twin[want], at[want], many[want]], WANTED)
     if out:
         yield rows(out)
 
 
-def read_texts(found: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids, offsets, bytes) of each packed run of texts."""
-    for _, payload in found:
-        ids, sizes, buf = K.unpack_columns(payload, np.int64, np.int64, np.uint8)
-        yield ids, np.concatenate([[0], np.cumsum(sizes)]), buf
-
-
 def fetch_contexts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     got = gathered(batches)
     for bucket, payload in got.get(SPANS, []):
         yield rows([(bucket, SPANS, payload)])
-    key, doc, at, many = columns(got.get(WANTED, []), np.uint64, np.int64, np.int64, np.int64)
-    order = np.argsort(doc, kind="stable")
-    key, doc, at, many = key[order], doc[order], at[order], many[order]
+    key, doc, twin, at, many = columns(got.get(WANTED, []), np.uint64, np.int64, np.uint64, np.int64, np.int64)
+    order = np.argsort(row_key(doc, twin), kind="stable")
+    key, doc, twin, at, many = key[order], doc[order], twin[order], at[order], many[order]
+    row = row_key(doc, twin)
+    seen: set[int] = set()
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -211,12 +216,15 @@ def fetch_contexts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Rec
         starts = np.cumsum(sizes) - sizes
 
         def pack(which: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
-            return K.pack_columns(key[which], doc[which], at[which], many[which], flat[K.spread(starts, sizes)])
+            return K.pack_columns(key[which], doc[which], twin[which], at[which], many[which], flat[K.spread(starts, sizes)])
 
         return rows(by_bucket(bucket_of(key[which], n), [which, starts, sizes], CONTEXTS, pack))
 
-    for ids, offsets, buf in read_texts(got.get(TEXTS, [])):
-        a, b = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+    for rows_, _, s, _ in read_texts(got.get(TEXTS, [])):
+        offsets, buf = s.offsets, s.buf
+        a, b = np.searchsorted(row, rows_, "left"), np.searchsorted(row, rows_, "right")
+        # of equal rows one is asked
+        b = np.where(repeated(rows_, seen), a, b)
         which = K.spread(a, b - a)
         if not len(which):
             continue
@@ -301,8 +309,8 @@ def repeats(symbols: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.n
     return order, ~bound
 
 
-def later_places(key: np.ndarray, doc: np.ndarray, at: np.ndarray, many: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the strings in these contexts that start earlier elsewhere among them."""
+def later_places(row: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray, many: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of the strings in these contexts that start earlier elsewhere among them."""
     sizes = many - 1 + LENGTH
     total = int(sizes.sum()) + len(sizes)
     symbols = np.zeros(total, np.uint16)
@@ -315,8 +323,8 @@ def later_places(key: np.ndarray, doc: np.ndarray, at: np.ndarray, many: np.ndar
     cls = np.cumsum(~equal)
     keep = valid
     cls, owner, within = cls[keep], owner[keep], within[keep]
-    d, a = doc[owner], at[owner] + within
-    again = np.lexsort((a, d, cls))
+    d, a = row[owner], at[owner] + within
+    again = np.lexsort((a, twin[owner], doc[owner], cls))
     cls, d, a = cls[again], d[again], a[again]
     later = np.zeros(len(cls), bool)
     later[1:] = cls[1:] == cls[:-1]
@@ -327,7 +335,7 @@ def expand(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
     got = gathered(batches)
     for bucket, payload in got.get(SPANS, []):
         yield rows([(bucket, SPANS, payload)])
-    key, doc, at, many, flat = columns(got.pop(CONTEXTS, []), np.uint64, np.int64, np.int64, np.int64, np.uint8)
+    key, doc, twin, at, many, flat = columns(got.pop(CONTEXTS, []), np.uint64, np.int64, np.uint64, np.int64, np.int64, np.uint8)
     if not len(key):
         return
     sizes = many - 1 + LENGTH
@@ -340,7 +348,7 @@ def expand(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
     while a < len(cuts) - 1:
         b = max(a + 1, int(np.searchsorted(bytes_[cuts], bytes_[cuts[a]] + INDEX, "right")) - 1)
         own = order[cuts[a] : cuts[b]]
-        d, s = later_places(key[own], doc[own], at[own], many[own], flat[K.spread(starts[own], sizes[own])])
+        d, s = later_places(row_key(doc[own], twin[own]), doc[own], twin[own], at[own], many[own], flat[K.spread(starts[own], sizes[own])])
         if len(d):
             yield rows(spans_by_text(d, s, s + LENGTH, n))
         a = b
@@ -351,22 +359,28 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def removed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     got = gathered(batches)
-    doc, start, size = [np.zeros(0, np.int64)] * 3
+    doc, start, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     parts = []
     for _, payload in got.get(SPANS, []):
-        d, a, k = K.unpack_columns(payload, np.int64, np.uint32, np.uint32)
-        parts.append((np.cumsum(d), a.astype(np.int64), k.astype(np.int64)))
+        d, a, k = K.unpack_columns(payload, np.uint64, np.uint32, np.uint32)
+        parts.append((np.cumsum(d, dtype=np.uint64), a.astype(np.int64), k.astype(np.int64)))
     if parts:
         doc, start, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
         order = np.argsort(doc, kind="stable")
         doc, start, size = doc[order], start[order], size[order]
-    for ids, offsets, buf in read_texts(got.get(TEXTS, [])):
-        a, b = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+    seen: set[int] = set()
+    for keys, ids, s, _ in read_texts(got.get(TEXTS, [])):
+        offsets, buf = s.offsets, s.buf
+        a, b = np.searchsorted(doc, keys, "left"), np.searchsorted(doc, keys, "right")
         which = K.spread(a, b - a)
         base = np.repeat(offsets[:-1], b - a)
         step = np.zeros(len(buf) + 1, np.int32)
         np.add.at(step, base + start[which], 1)
         np.add.at(step, base + start[which] + size[which], -1)
+        # every string of a copy also starts in the row that it repeats
+        copy = repeated(keys, seen) & (np.diff(offsets) >= LENGTH)
+        np.add.at(step, offsets[:-1][copy], 1)
+        np.add.at(step, offsets[1:][copy], -1)
         gone = np.cumsum(step[:-1]) > 0
         spans, _ = K.runs(gone, offsets)
         sums = np.concatenate([[0], np.cumsum(gone)])
@@ -374,7 +388,7 @@ def removed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
         kept = buf[~gone]
         keep_at = offsets - sums[offsets]
         names = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(keep_at[:-1].tolist(), keep_at[1:].tolist())]
-        arrays = [pa.array(ids), pa.array(np.diff(offsets)), pa.array(n_removed), pa.array(np.diff(K.by_text(spans, offsets))), pa.array(names, pa.string())]
+        arrays = [ids, pa.array(np.diff(offsets)), pa.array(n_removed), pa.array(np.diff(K.by_text(spans, offsets))), pa.array(names, pa.string())]
         labels = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if with_text:
             arrays.append(pa.array([kept[x:y].tobytes() for x, y in zip(keep_at[:-1].tolist(), keep_at[1:].tolist())], pa.binary()))
@@ -386,9 +400,9 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document the bytes removed; with ``with_text`` also those that are left."""
     n = width(docs.sparkSession)
     found = deal(send_anchors(docs, n), n).mapInArrow(bound(match_anchors, n), SCHEMA)
-    contexts = deal(found.unionByName(texts(docs, n)), n).mapInArrow(bound(fetch_contexts, n), SCHEMA)
+    contexts = deal(found.unionByName(keyed_texts(docs, n)), n).mapInArrow(bound(fetch_contexts, n), SCHEMA)
     spans = deal(contexts, n).mapInArrow(bound(expand, n), SCHEMA)
-    return deal(spans.unionByName(texts(docs, n)), n).mapInArrow(lambda b: removed(b, with_text), RESULT + (", kept binary" if with_text else ""))
+    return deal(spans.unionByName(keyed_texts(docs, n)), n).mapInArrow(lambda b: removed(b, with_text), RESULT + (", kept binary" if with_text else ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from candlewick.llm import byte_bpe, components, decontaminate, html_extract, jaccard, kernels, line_dedup, quality, session, suffix_dedup, topk, toxicity, warc
+from candlewick.llm import byte_bpe, components, dealing, decontaminate, html_extract, jaccard, kernels, line_dedup, quality, session, suffix_dedup, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, source string, lang string"
 RNG = np.random.default_rng(5)
@@ -444,6 +444,27 @@ def test_interval_expansion_finds_common_prefixes(texts, length):
         assert equal[i] == (a == b and len(a) == length and 0 not in a)
 
 
+def test_repeated_rows_lose_all_copies_but_one(spark):
+    """Rows of one id are judged one by one, null ids too; each keeps its other columns."""
+    block, other = prose(40, 31), prose(40, 32)
+    rows = [(7, block, "a", "x"), (7, block, "b", "x"), (7, "short\n" + block + "\n" + other, "c", "x"), (8, other, "d", "x"), (None, block, "e", "x"), (None, prose(40, 33), "f", None), (None, prose(40, 33), "f", None), (-1, prose(40, 34), "g", "x")]
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, suffix_hash(r[1])))
+    for got, brute in ((line_dedup.deduplicated(own), line_brute), (suffix_dedup.deduplicated(own), suffix_brute)):
+        want = brute([r[1] for r in order])
+        assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(repr((r[0], *want[i])) for i, r in enumerate(order))
+    left = line_dedup.stage(own)
+    assert left.columns == own.columns
+    texts = [r.text for r in left.collect()]
+    assert sum((t or "").count(block) for t in texts) == sum(t.count(other) for t in texts) == sum(t.count(prose(40, 33)) for t in texts) == 1
+    assert [r.source for r in left.where("doc_id is null").collect()] == ["f"]
+
+
+def suffix_hash(t):
+    s = next(kernels.slices(pa.array([t])))
+    return int(dealing.row_names(pa.array([0]), s)[1][0])
+
+
 # --- shared
 
 
