@@ -40,22 +40,33 @@ from candlewick.llm.session import read, width
 
 LENGTH = 100
 GRAM = 32
+#: Bits of a place in the key that an anchor is chosen by; longer buffers are cut into windows of that size.
+PLACE_BITS = 24
 ANCHORS, SPANS, WANTED, CONTEXTS = 1, 2, 3, 4
 #: Anchors that a task gathers before it sends them; bytes of contexts that are indexed
 #: together, and that are sent together.
 FLUSH, INDEX, SEND = 1_000_000, 2 << 20, 32 << 20
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, bits: int = PLACE_BITS) -> tuple[np.ndarray, ...]:
     """Per anchor occurrence: gram hash, context hash, text index, first string's start in the buffer, number of strings."""
     n = len(buf)
     empty = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     if n < length:
         return empty
+    if n > 1 << bits:
+        # windows that share length - 1 bytes: every string lies in one, and has the anchor that it has anywhere
+        parts = []
+        for a in range(0, n - length + 1, (1 << bits) - length + 1):
+            b = min(a + (1 << bits), n)
+            found = anchors(buf[a:b], np.clip(offsets, a, b) - a, length, gram, bits)
+            parts.append((*found[:3], found[3] + a, found[4]))
+        return tuple(np.concatenate([p[k] for p in parts]) for k in range(5))
+    place = np.uint64((1 << bits) - 1)
     spans = K.SpanHash(K.BYTE_WORDS[buf])
     sums, down = spans.sums, spans.down
     grams = K.mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
-    key = (grams & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
+    key = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
     low, size = key, 1
     span = length - gram + 1
     while size * 2 <= span:
@@ -71,7 +82,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     np.add.at(step, offsets[:-1][fit], 1)
     np.add.at(step, offsets[1:][fit] - length + 1, -1)
     ok = np.cumsum(step[: len(low)]) > 0
-    at = (low & np.uint64(0xFFFFFF)).astype(np.int64)
+    at = (low & place).astype(np.int64)
     head = ok.copy()
     head[1:] &= (at[1:] != at[:-1]) | ~ok[:-1]
     starts = np.flatnonzero(head)

@@ -465,6 +465,21 @@ def suffix_hash(t):
     return int(dealing.row_names(pa.array([0]), s)[1][0])
 
 
+def test_anchors_reach_past_the_places_of_a_key():
+    """Equal strings get equal anchors, and every string one context, on both sides of a window's border."""
+    rng = np.random.default_rng(9)
+    block = rng.integers(97, 123, 300).astype(np.uint8)
+    buf = np.concatenate([rng.integers(97, 123, 700).astype(np.uint8), block, rng.integers(97, 123, 650).astype(np.uint8), block, block[:150]])
+    offsets = np.array([0, 0, len(buf) - 150, len(buf)])
+    for bits in (9, 10, 24):
+        gram, _, text, start, many = suffix_dedup.anchors(buf, offsets, bits=bits)
+        owner = {int(s) + k: (int(g), int(x)) for g, x, s, m in zip(gram, text, start, many) for k in range(m)}
+        assert len(owner) == many.sum() and sorted(owner) == [*range(len(buf) - 249), *range(len(buf) - 150, len(buf) - 99)]
+        for k in range(201):
+            assert owner[700 + k] == owner[1650 + k] and owner[700 + k][1] == 1
+        assert all(owner[len(buf) - 150 + k] == (owner[700 + k][0], 2) for k in range(51))
+
+
 # --- shared
 
 
