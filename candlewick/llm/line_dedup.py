@@ -2,9 +2,11 @@
 
 A document is the sequence of the IDs of its lines (split at line feeds, 96-bit
 hashes).  A *run* of consecutive lines counts if its text, line feeds between lines
-included, has at least ``MIN_BYTES`` bytes.  A line goes if it lies in a run that also
-starts earlier: in a smaller doc_id, or further up in the same document.  Runs never
-cross documents and are judged on the input.
+included, has at least ``MIN_BYTES`` bytes; from each line only the shortest such run is
+compared, as in ``ORACLE``.  A line goes if it lies in one that also
+starts earlier: in a smaller doc_id, or further up in the same document.  Short lines
+that only end a longer repeated run stay.  Runs never cross documents and are judged on
+the input.
 
 Doubling: the name of 2h lines from line i is a hash of the names of the h lines from
 i and from i + h, so names of all powers of two take log2 steps, and a suffix's prefix
