@@ -480,6 +480,13 @@ def test_anchors_reach_past_the_places_of_a_key():
         assert all(owner[len(buf) - 150 + k] == (owner[700 + k][0], 2) for k in range(51))
 
 
+def test_near_duplicates_keep_rows_without_an_id(spark):
+    near = prose(200, 51)
+    rows = [(1, near, "s", None), (None, near + " more", "s", None), (None, prose(200, 52), "s", None), (None, prose(200, 52), "s", None), (None, None, "s", None), (None, None, "t", None)]
+    got = jaccard.stage(spark.createDataFrame(rows, DOCS).repartition(2))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, near), (None, prose(200, 52)), (None, None), (None, None)], key=repr)
+
+
 # --- shared
 
 
