@@ -8,13 +8,15 @@ over a chunk passes a rectifier.  The mean and the maximum of those over all chu
 combined into one probability.
 
 Training uses at most ``SAMPLE`` labelled rows that are not held out (chosen by a hash of
-their ids) and runs on the driver; the network has a fixed size.  Scoring reads every
+their ids) and runs on the driver; together they hold at most ``SAMPLE_BYTES``, and a row
+that no longer fits is passed over, not the rows after it.  The network has a fixed size.  Scoring reads every
 whole text once, without an exchange.  Null and empty texts are one empty block and have
 a score like any other.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -110,17 +112,22 @@ def scores(net: Network, s: K.TextSlice) -> np.ndarray:
 
 
 def train(rows: list[tuple[int, str, int]], seed: int = 7) -> Network:
-    """Gradient descent with momentum estimates (Adam) on the log loss; positions that win a maximum get its gradient."""
+    """Gradient descent with momentum estimates (Adam) on the log loss; positions that win a maximum get its gradient.
+
+    The rows used hold at most ``SAMPLE_BYTES`` together.
+    """
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.1, (TAPS, 256, FILTERS)).astype(np.float32), rng.normal(0, 0.1, (TAPS, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.concatenate([rng.normal(0, 0.1, 2 * FILTERS), [0.0]]))
     if not rows:
         return net
-    used, size = [], 0
-    for r in rows:
-        size += len(r[1].encode())
-        if size > SAMPLE_BYTES and used:
-            break
-        used.append(r)
+    # by hash, so that no run of ids fills the bound; a row that no longer fits is passed over
+    size, fit = 0, set()
+    for i in sorted(range(len(rows)), key=lambda i: zlib.crc32(str(rows[i][0]).encode())):
+        own = len(rows[i][1].encode())
+        if size + own <= SAMPLE_BYTES:
+            size += own
+            fit.add(i)
+    used = [r for i, r in enumerate(rows) if i in fit] or [min(rows, key=lambda r: len(r[1].encode()))]
     y = np.array([r[2] for r in used], float)
     rate = min(max(y.mean(), 0.01), 0.99)
     net.head[-1] = np.log(rate / (1 - rate))

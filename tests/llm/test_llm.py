@@ -253,6 +253,13 @@ def test_quality_without_labels(labelled):
     assert quality.scored(docs, net).count() == 602
 
 
+def test_quality_passes_over_rows_too_long(monkeypatch):
+    rows = [(i, prose(60, i) if i % 2 else " ".join(w + "%%%" for w in prose(60, i).split()), i % 2) for i in range(1, 81)]
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 80_000)
+    net, more = quality.train(rows), quality.train([(0, "x" * 100_000, 0), *rows])
+    assert sum(len(r[1].encode()) for r in rows) < 80_000 and all(np.array_equal(getattr(net, k), getattr(more, k)) for k in ("taps", "again", "bias", "head"))
+
+
 def test_toxicity_on_held_out_rows(labelled):
     docs, labels = labelled
     got = toxicity.scored(docs, toxicity.fitted(docs, labels)).collect()
