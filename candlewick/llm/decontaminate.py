@@ -29,7 +29,7 @@ from candlewick.llm import kernels as K
 from candlewick.llm.session import read
 
 WINDOW = 10
-#: Bytes of benchmark text that one pass may broadcast; a larger benchmark takes several passes.
+#: Bytes of benchmark text that the one pass may broadcast; a larger benchmark is refused, as there are no further passes.
 PASS_BYTES = 16 << 20
 BLOCK = 3
 HASH_BITS = 16
