@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm import kernels as K
@@ -74,6 +74,29 @@ def columns(found: list[tuple[int, bytes]], *kinds: type) -> list[np.ndarray]:
     return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
 
 
+#: Bits of a set of marked rows, whatever the input: with many rows more unmarked ones pass, none that is marked is lost.
+MARKS = 1 << 26
+
+
+def mark(column: str) -> Column:
+    """The place of a row among the marks."""
+    return F.pmod(F.xxhash64(column), F.lit(MARKS))
+
+
+def marks(places: DataFrame) -> np.ndarray:
+    """Bitmap of the places of doc_id, at most a million words of 64 bits, aggregated before they reach the driver."""
+    place = places.select(mark("doc_id").alias("place")) if "place" not in places.columns else places
+    found = place.groupBy(F.shiftright("place", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits")).toArrow()
+    out = np.zeros(MARKS >> 6, np.uint64)
+    out[np.asarray(found["slot"])] = np.asarray(found["bits"]).view(np.uint64)
+    return out
+
+
+def marked(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    place = place.astype(np.uint64)
+    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 TEXTS = 0
 
 
@@ -111,12 +134,18 @@ class TextPacker:
         return out
 
 
-def texts(docs: DataFrame, n: int, nulls: bool = False) -> DataFrame:
-    """Rows of kind TEXTS with every document's whole text; a null text has no bytes, and size -1 with ``nulls``."""
+def texts(docs: DataFrame, n: int, nulls: bool = False, wanted: np.ndarray | None = None) -> DataFrame:
+    """Rows of kind TEXTS with every document's whole text; a null text has no bytes, and size -1 with ``nulls``.
+
+    With ``wanted``, a bitmap by `marks`, only documents that it marks are sent.
+    """
+    shipped = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = TextPacker(n, nulls=nulls)
         for batch in batches:
+            if shipped is not None:
+                batch = batch.filter(pa.array(marked(shipped.value, np.asarray(batch.column(2)))))
             ids = K.long_column(batch.column(0))
             for s in K.slices(batch.column(1), 8 << 20):
                 packer.add(ids[s.first : s.first + s.n], s)
@@ -125,7 +154,8 @@ def texts(docs: DataFrame, n: int, nulls: bool = False) -> DataFrame:
         if packer.ids:
             yield rows(packer.flush())
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return (own if wanted is None else own.withColumn("place", mark("doc_id"))).mapInArrow(run, SCHEMA)
 
 
 def row_names(column: pa.Array, s: K.TextSlice) -> tuple[np.ndarray, np.ndarray]:

@@ -16,14 +16,20 @@ sequence; one without words (or a null text) is empty and links with nothing.
     prefix position.  Instead of all pairs a list proposes stars: each group to the
     smallest one it can link to, and each member to its group's first.
 4.  Proposals made for enough shingles are verified on the full sets, the centre's set
-    travelling once to each bucket that holds partners.
+    travelling once to each bucket that holds partners.  Only texts of proposed documents
+    move: a bitmap of fixed size, which may name some too many, tells which.
 5.  Links give components.  A list whose members now share a component needs nothing
     more; in any other, the shared prefix shingles of every pair across components are
-    counted, and pairs that reach the bound are verified, so no link between components
-    is missed, and components are joined once more.
+    counted.  Of the pairs that reach the bound each document first verifies the ``TOP``
+    that share most, components contract, pairs inside one drop out, and the rest is
+    verified, so no link between components is missed.  A verifying task joins the
+    components of its links as it goes and skips pairs inside one, so it returns fewer
+    links than the components it met, not all pairs of a group.
 
 Result: one row per doc_id with the size of its set and the smallest doc_id reachable
-by links.  Repeated rows of a doc_id, null texts, and empty tables are allowed.
+by links.  Rows that repeat a doc_id are compared row by row and share its component; the
+largest set counts as its size.  A row without a doc_id links with nothing and has no component.
+Null texts, empty tables and further columns of any name are allowed.
 """
 
 from __future__ import annotations
@@ -32,12 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm import kernels as K
 from candlewick.llm.components import components
-from candlewick.llm.dealing import SCHEMA, TEXTS, bound, bucket_of, by_bucket, columns, deal, gathered, rows, texts
+from candlewick.llm.dealing import SCHEMA, TEXTS, bound, bucket_of, by_bucket, columns, deal, gathered, mark, marked, marks, rows, texts
 from candlewick.llm.session import kept, most, read, width
 
 WORDS = 5
@@ -48,6 +55,8 @@ COMMON_LOCAL = 4
 #: Documents whose postings a task packs together.
 FLUSH = 8192
 POSTINGS, LISTS, CENTRES, PARTNERS, SETS, LABELS, COUNTS = 1, 2, 3, 4, 5, 6, 7
+#: Centres of a list by hash, besides the smallest; pairs of a document that are verified before the others.
+CENTRES_BY_HASH, TOP = 3, 4
 #: Bytes of sets that a task sends together.
 SEND = 32 << 20
 WEIGHTS = K.mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -85,11 +94,25 @@ def signature(own: np.ndarray) -> tuple[int, int]:
     return a - (1 << 63), b - (1 << 63)
 
 
+ROW_NAME = "xxhash64(doc_id, text) row"
+
+
+def row_named(docs: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """(doc_id, text) with the row's name for doc_id where the id is marked as repeated: each row stands for itself."""
+    shipped = docs.sparkSession.sparkContext.broadcast(repeated)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pc.if_else(pa.array(marked(shipped.value, np.asarray(batch.column(3)))), batch.column(2), batch.column(0))
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1)], names=["doc_id", "text"])
+
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text", ROW_NAME).withColumn("place", mark("doc_id")).mapInArrow(run, "doc_id long, text string")
+
+
 def described(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, signature), and packed local counts of common shingles, from one scan."""
-    schema = "doc_id long, n_shingles long, sig1 long, sig2 long, bucket int, payload binary"
+    """(doc_id, row name, n_shingles, signature), and packed local counts of common shingles, from one scan."""
+    schema = "doc_id long, row long, n_shingles long, sig1 long, sig2 long, bucket int, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -103,10 +126,10 @@ def described(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             own = every[heads][often]
             found = by_bucket(bucket_of(own, n), [own, many[often].astype(np.uint32)], 0)
             blank = [None] * len(found)
-            return pa.RecordBatch.from_arrays([pa.array(blank, pa.int64())] * 4 + [pa.array([f[0] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(blank, pa.int64())] * 5 + [pa.array([f[0] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], names=names)
 
         for batch in batches:
-            ids = K.long_column(batch.column(0))
+            ids = batch.column(0)
             for s in K.slices(batch.column(1)):
                 sets = shingles(s)
                 sigs = [signature(x) for x in sets]
@@ -114,14 +137,14 @@ def described(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
                     if sig not in seen:
                         seen.add(sig)
                         held.append(own)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s.first : s.first + s.n]), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in sigs], pa.int64()), pa.array([x[1] for x in sigs], pa.int64()), pa.nulls(s.n, pa.int32()), pa.nulls(s.n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([ids.slice(s.first, s.n), batch.column(2).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in sigs], pa.int64()), pa.array([x[1] for x in sigs], pa.int64()), pa.nulls(s.n, pa.int32()), pa.nulls(s.n, pa.binary())], names=names)
             if len(held) >= FLUSH:
                 yield flush()
                 held, seen = [], set()
         yield flush()
 
-    both = kept(docs.sparkSession, docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema), "described")
-    return both.where("doc_id is not null").select(*names[:4]), both.where("bucket is not null").selectExpr("bucket", "0 kind", "payload")
+    both = kept(docs.sparkSession, docs.selectExpr("cast(doc_id as bigint) doc_id", "text", ROW_NAME).mapInArrow(run, schema), "described")
+    return both.where("n_shingles is not null").select(*names[:5]), both.where("bucket is not null").selectExpr("bucket", "0 kind", "payload")
 
 
 def common(counts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,16 +241,16 @@ def pack_lists(name: np.ndarray, doc: np.ndarray, size: np.ndarray, early: np.nd
     return K.pack_columns(name, doc, (size << 1 | early).astype(np.uint32), times.astype(np.uint32))
 
 
-def summed(pairs: np.ndarray, times: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different pairs (rows of two ids), with the sum of their times."""
+def summed(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs (rows of two ids), a place of each, and the sum of its times."""
     if not len(pairs):
-        return pairs, times, need
+        return pairs, np.zeros(0, np.int64), times
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs, times, need = pairs[order], times[order], need[order]
+    moved = pairs[order]
     head = np.ones(len(pairs), bool)
-    head[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    head[1:] = (moved[1:] != moved[:-1]).any(1)
     at = np.flatnonzero(head)
-    return pairs[at], np.add.reduceat(times.astype(np.int64), at), need[at]
+    return moved[at], order[at], np.add.reduceat(times[order].astype(np.int64), at)
 
 
 def propose(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -283,31 +306,53 @@ def propose(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         a.append(centre_at[near])
         b.append(todo[near])
         todo = todo[ok & ~near]
+    # more stars around leaders chosen by hash: a document is centre of many of its lists at once
+    w = which[lead]
+    starts = np.flatnonzero(np.diff(w, prepend=-1) != 0)
+    lists = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(lead))))
+    index = np.arange(len(lead))
+    for k in range(CENTRES_BY_HASH):
+        rank = K.mix(doc[lead].astype(np.uint64) + np.uint64(k + 1 << 40)) >> np.uint64(32) << np.uint64(31) | index.astype(np.uint64)
+        centre = (np.minimum.reduceat(np.where(early[lead], rank, ~np.uint64(0)), starts) & np.uint64((1 << 31) - 1)).astype(np.int64)[lists]
+        centre = np.minimum(centre, len(lead) - 1)
+        x, y = lead[np.minimum(centre, index)], lead[np.maximum(centre, index)]
+        ok = (centre != index) & early[x] & (size[y] * 3 <= size[x] * 4) & (which[x] == which[y])
+        a.append(x[ok])
+        b.append(y[ok])
     a, b = np.concatenate(a), np.concatenate(b)
     differ = doc[a] != doc[b]
     a, b = a[differ], b[differ]
-    pairs, weight, need = summed(np.stack([doc[a], doc[b]], 1), times[b], shared(np.minimum(size[a], size[b])))
-    out = send_pairs(pairs, weight, need, n)
+    # a pair counts once for each list, however many of its stars propose it
+    _, once = np.unique(a << 32 | b, return_index=True)
+    a, b = a[once], b[once]
+    pairs, at, weight = summed(np.stack([doc[a], doc[b]], 1), times[b])
+    need = shared(np.minimum(size[a], size[b]))[at]
+    out = send_pairs(pairs, weight, need, pairs, n)
     full = name[which]
     out += by_bucket(bucket_of(full, n), [full, doc, size, early, times], LISTS, pack_lists)
     if out:
         yield rows(out)
 
 
-def send_pairs(pairs: np.ndarray, weight: np.ndarray, need: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+#: Columns of a pair: centre and partner, shingles it was proposed for and those it needs, components of both.
+PAIR = (np.int64, np.int64, np.uint32, np.uint32, np.int64, np.int64)
+
+
+def send_pairs(pairs: np.ndarray, weight: np.ndarray, need: np.ndarray, labels: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
     """A pair goes to the bucket of its centre, which sends its set on, and to that of its partner."""
-    own = [pairs[:, 0], pairs[:, 1], weight.astype(np.uint32), need.astype(np.uint32)]
+    own = [pairs[:, 0], pairs[:, 1], weight.astype(np.uint32), need.astype(np.uint32), labels[:, 0], labels[:, 1]]
     return by_bucket(bucket_of(pairs[:, 0], n), own, CENTRES) + by_bucket(bucket_of(pairs[:, 1], n), own, PARTNERS)
 
 
-def proposed(found: list[tuple[int, bytes]]) -> np.ndarray:
-    """Pairs proposed for at least half of the shingles that linked documents share.
+def proposed(found: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs proposed for at least half of the shingles that linked documents share, and their components.
 
     A star sees only part of what a pair shares; what this leaves out is counted in full later.
     """
-    a, b, weight, need = columns(found, np.int64, np.int64, np.uint32, np.uint32)
-    pairs, weight, need = summed(np.stack([a, b], 1), weight, need)
-    return pairs[2 * weight >= need]
+    a, b, weight, need, left, right = columns(found, *PAIR)
+    pairs, at, weight = summed(np.stack([a, b], 1), weight)
+    enough = 2 * weight >= need[at]
+    return pairs[enough], np.stack([left, right], 1)[at[enough]]
 
 
 class Kept:
@@ -342,10 +387,10 @@ def sets_of(payload: bytes, wanted: np.ndarray | None = None) -> Iterator[tuple[
 def send_centres(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """The set of each centre to every bucket with a partner of it, once; partners' pairs and texts stay."""
     got = gathered(batches)
-    pairs = proposed(got.get(CENTRES, []))
+    pairs, _ = proposed(got.get(CENTRES, []))
     to = np.unique(np.stack([pairs[:, 0], bucket_of(pairs[:, 1], n)], 1), axis=0)
     centres = np.unique(to[:, 0])
-    pairs = proposed(got.get(PARTNERS, []))
+    pairs, labels = proposed(got.get(PARTNERS, []))
     wanted = np.unique(pairs[:, 1])
     docs: list[int] = []
     sets: list[np.ndarray] = []
@@ -382,34 +427,59 @@ def send_centres(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
     if docs:
         yield flush()
     if len(pairs):
-        yield rows(by_bucket(bucket_of(pairs[:, 1], n), [pairs[:, 0], pairs[:, 1]], PARTNERS))
+        yield rows(by_bucket(bucket_of(pairs[:, 1], n), [pairs[:, 0], pairs[:, 1], labels[:, 0], labels[:, 1]], PARTNERS))
+
+
+class Joined:
+    """Components that a task has joined so far."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket whose full sets link, by partner."""
+    """Pairs of a bucket whose full sets link and whose components no link before them here has joined."""
     got = gathered(batches)
-    a, b = columns(got.get(PARTNERS, []), np.int64, np.int64)
+    a, b, left, right = columns(got.get(PARTNERS, []), np.int64, np.int64, np.int64, np.int64)
     sets = {}
     for _, payload in got.pop(SETS, []):
         docs, sizes, flat = K.unpack_columns(payload, np.int64, np.int64, np.uint64)
         sets |= zip(docs.tolist(), np.split(flat, np.cumsum(sizes)[:-1]))
     order = np.argsort(b, kind="stable")
-    a, b = a[order], b[order]
+    a, b, left, right = a[order], b[order], left[order], right[order]
+    joined = Joined()
     for _, payload in got.get(TEXTS, []):
-        left, right = [], []
+        found: tuple[list[int], list[int]] = ([], [])
         for doc, own in sets_of(payload):
             x, y = np.searchsorted(b, [doc, doc + 1])
-            for c in a[x:y].tolist():
+            for c, one, two in zip(a[x:y].tolist(), left[x:y].tolist(), right[x:y].tolist()):
                 other = sets.get(c)
-                if other is None or not len(own):
+                one, two = joined.top(one), joined.top(two)
+                if other is None or not len(own) or one == two:
                     continue
                 at = np.minimum(np.searchsorted(other, own), len(other) - 1)
                 common_ = int((other[at] == own).sum())
                 if 100 * common_ >= 75 * (len(own) + len(other) - common_):
-                    left.append(c)
-                    right.append(doc)
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                    joined.up[max(one, two)] = min(one, two)
+                    found[0].append(c)
+                    found[1].append(doc)
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+
+def labelled(doc: np.ndarray, node: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The component of each document, which is itself if none is given."""
+    if not len(node):
+        return doc.copy()
+    order = np.argsort(node)
+    at = np.minimum(np.searchsorted(node[order], doc), len(node) - 1)
+    return np.where(node[order][at] == doc, label[order][at], doc)
 
 
 def across(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -428,20 +498,16 @@ def across(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
     times = np.add.reduceat(times, at)
     name, doc, size = name[at], doc[at], size[at]
     size, early = (size >> 1).astype(np.int64), (size & 1).astype(bool)
-    own = doc.copy()
-    if len(node):
-        o = np.argsort(node)
-        at = np.minimum(np.searchsorted(node[o], doc), len(node) - 1)
-        own = np.where(node[o][at] == doc, label[o][at], doc)
+    own = labelled(doc, node, label)
     bounds = np.append(np.flatnonzero(np.diff(name, prepend=name[0] ^ np.uint64(1))), len(name))
     low, high = np.minimum.reduceat(own, bounds[:-1]), np.maximum.reduceat(own, bounds[:-1])
     a, b, many = [], [], 0
 
     def flush() -> pa.RecordBatch:
         x, y = np.concatenate(a), np.concatenate(b)
-        pairs, weight, need = summed(np.stack([doc[x], doc[y]], 1), times[x], shared(np.minimum(size[x], size[y])))
-        key = K.mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64)
-        return rows(by_bucket(bucket_of(key, n), [pairs[:, 0], pairs[:, 1], weight.astype(np.uint32), need.astype(np.uint32)], COUNTS))
+        pairs, at, weight = summed(np.stack([doc[x], doc[y]], 1), times[x])
+        x, y = x[at], y[at]
+        return rows(send_counts(pairs, weight, shared(np.minimum(size[x], size[y])), np.stack([own[x], own[y]], 1), n))
 
     for k in np.flatnonzero(low != high).tolist():
         x, y = bounds[k], bounds[k + 1]
@@ -464,22 +530,48 @@ def across(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         yield flush()
 
 
+def send_counts(pairs: np.ndarray, weight: np.ndarray, need: np.ndarray, labels: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+    """A pair goes to the bucket of the document that asks, the one in the component named later."""
+    asks = np.where(labels[:, 0] > labels[:, 1], pairs[:, 0], pairs[:, 1])
+    return by_bucket(bucket_of(asks, n), [pairs[:, 0], pairs[:, 1], weight.astype(np.uint32), need.astype(np.uint32), labels[:, 0], labels[:, 1]], COUNTS)
+
+
 def agreed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Pairs that share as many prefix shingles as linked documents must."""
-    a, b, weight, need = columns(gathered(batches).get(COUNTS, []), np.int64, np.int64, np.uint32, np.uint32)
-    pairs, weight, need = summed(np.stack([a, b], 1), weight, need)
-    enough = weight >= need
-    if enough.any():
-        yield rows(send_pairs(pairs[enough], weight[enough], need[enough], n))
+    """Pairs that share as many prefix shingles as linked documents must; those that share most, for verification."""
+    a, b, weight, need, left, right = columns(gathered(batches).get(COUNTS, []), *PAIR)
+    pairs, at, weight = summed(np.stack([a, b], 1), weight)
+    enough = weight >= need[at]
+    pairs, at, weight = pairs[enough], at[enough], weight[enough]
+    if not len(pairs):
+        return
+    need, labels = need[at], np.stack([left, right], 1)[at]
+    asks = np.where(labels[:, 0] > labels[:, 1], pairs[:, 0], pairs[:, 1])
+    order = np.lexsort((-weight / need, asks))
+    heads = np.flatnonzero(np.diff(asks[order], prepend=asks[order[0]] ^ 1))
+    rank = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+    best, rest = order[rank < TOP], order[rank >= TOP]
+    yield rows(send_pairs(pairs[best], weight[best], need[best], labels[best], n) + send_counts(pairs[rest], weight[rest], need[rest], labels[rest], n))
 
 
-def send_labels(lists: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """Components of list members, to the buckets of the lists: lists go to their members' buckets, members with labels back."""
+def remaining(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that are still in different components."""
+    got = gathered(batches)
+    a, b, weight, need, _, _ = columns(got.get(COUNTS, []), *PAIR)
+    node, label = columns(got.get(LABELS, []), np.int64, np.int64)
+    labels = np.stack([labelled(a, node, label), labelled(b, node, label)], 1)
+    apart = labels[:, 0] != labels[:, 1]
+    if apart.any():
+        yield rows(send_pairs(np.stack([a, b], 1)[apart], weight[apart], need[apart], labels[apart], n))
+
+
+def send_labels(found: DataFrame, labels: DataFrame, n: int, kind: int, kinds: tuple, docs_at: tuple) -> DataFrame:
+    """Components of the documents in some columns of packed rows, to the buckets of these rows: asked for by bucket, sent back."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, to = [], []
-        for bucket, payload in gathered(batches).get(LISTS, []):
-            doc = np.unique(K.unpack_columns(payload, np.uint64, np.int64, np.uint32, np.uint32)[1])
+        for bucket, payload in gathered(batches).get(kind, []):
+            own = K.unpack_columns(payload, *kinds)
+            doc = np.unique(np.concatenate([own[k] for k in docs_at]))
             docs.append(doc)
             to.append(np.full(len(doc), bucket, np.int64))
         if docs:
@@ -503,33 +595,57 @@ def send_labels(lists: DataFrame, labels: DataFrame, n: int) -> DataFrame:
             ok = node[at] == want[:, 1]
             yield rows(by_bucket(want[ok, 0], [want[ok, 1], label[at[ok]]], LABELS))
 
-    asked = lists.mapInArrow(ask, SCHEMA).unionByName(labels.mapInArrow(put, SCHEMA))
+    asked = found.mapInArrow(ask, SCHEMA).unionByName(labels.mapInArrow(put, SCHEMA))
     return deal(asked, n).mapInArrow(answer, SCHEMA)
 
 
+def pair_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of proposed pairs, once a row of pairs."""
+    for batch in batches:
+        for payload in batch.column(2).to_pylist():
+            a, b = K.unpack_columns(payload, *PAIR)[:2]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b])))], names=["doc_id"])
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     n = width(spark)
-    about, counts = described(docs, n)
+    every, counts = described(docs, n)
+    about, named = every.where("doc_id is not null"), docs.where("doc_id is not null")
+    repeated = marks(about.groupBy("doc_id").count().where("count > 1"))
+    if repeated.any():
+        named = row_named(named, repeated)
     names, classes = common(counts, n)
-    found = kept(spark, deal(send_postings(docs, n, names, classes), n).mapInArrow(bound(propose, n), SCHEMA), "proposed")
+    found = kept(spark, deal(send_postings(named, n, names, classes), n).mapInArrow(bound(propose, n), SCHEMA), "proposed")
     lists, pairs = found.where(F.col("kind") == LISTS), found.where(F.col("kind") != LISTS)
 
     def links(pairs: DataFrame) -> DataFrame:
-        sent = deal(pairs.unionByName(texts(docs, n)), n).mapInArrow(bound(send_centres, n), SCHEMA)
+        wanted = marks(pairs.where(F.col("kind") == PARTNERS).mapInArrow(pair_docs, "doc_id long"))
+        sent = deal(pairs.unionByName(texts(named, n, wanted=wanted)), n).mapInArrow(bound(send_centres, n), SCHEMA)
         return kept(spark, deal(sent, n).mapInArrow(verify, "a long, b long"), "links")
 
     first = links(pairs)
     labels = kept(spark, components(first), "labels")
-    cross = deal(lists.unionByName(send_labels(lists, labels, n)), n).mapInArrow(bound(across, n), SCHEMA)
-    second = links(kept(spark, deal(cross, n).mapInArrow(bound(agreed, n), SCHEMA), "cross"))
+    cross = deal(lists.unionByName(send_labels(lists, labels, n, LISTS, (np.uint64, np.int64, np.uint32, np.uint32), (1,))), n).mapInArrow(bound(across, n), SCHEMA)
+    cross = kept(spark, deal(cross, n).mapInArrow(bound(agreed, n), SCHEMA), "cross")
+    best, others = cross.where(F.col("kind") != COUNTS), cross.where(F.col("kind") == COUNTS)
+    forest = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    labels = kept(spark, components(forest.unionByName(links(best))), "labels")
+    rest = deal(others.unionByName(send_labels(others, labels, n, COUNTS, PAIR, (0, 1))), n).mapInArrow(bound(remaining, n), SCHEMA)
+    forest = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    forest = forest.unionByName(links(kept(spark, rest, "rest")))
+    if repeated.any():
+        owner = about.groupBy("row").agg(F.min("doc_id").alias("doc"))
+        for end in ("a", "b"):
+            forest = forest.join(owner, forest[end] == owner.row, "left").withColumn(end, F.coalesce("doc", end)).drop("row", "doc")
     # equal sets are one document: each links to the smallest of its signature
     sets = about.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many"))
     sets = kept(spark, sets.where("many > 1").drop("many"), "sets")
     copies = about.join(sets, ["sig1", "sig2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a < b")
-    final = components(first.unionByName(second).unionByName(copies)).withColumnRenamed("node", "doc_id")
-    return about.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    final = components(forest.unionByName(copies)).withColumnRenamed("node", "doc_id")
+    out = about.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
 def stage(docs: DataFrame) -> DataFrame:

@@ -375,6 +375,47 @@ def test_near_copies_all_meet(spark):
     assert jaccard.stage(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)).count() == 1
 
 
+@pytest.mark.parametrize("many", [200, 400])
+def test_near_copies_make_few_links(spark, monkeypatch, many):
+    """Copies with one to three edits each: links in proportion to the documents, whatever the group's size."""
+    base, made, keep = prose(120, 71).split(), [], jaccard.kept
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(many):
+        own = list(base)
+        for k in rng.integers(0, 120, 1 + i % 3):
+            own[k] = f"edit{i}x{k}"
+        texts.append(" ".join(own))
+
+    def counted(spark, frame, name):
+        out = keep(spark, frame, name)
+        if name == "links":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "kept", counted)
+    got = jaccard.linked(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS).repartition(4)).collect()
+    sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (t.split() for t in texts)]
+    label, todo = {}, []
+    for i in range(many):
+        if i not in label:
+            label[i], todo = i, [i]
+        while todo:
+            j = todo.pop()
+            near = [k for k in range(many) if k not in label and 100 * len(sets[j] & sets[k]) >= 75 * len(sets[j] | sets[k])]
+            label |= dict.fromkeys(near, i)
+            todo += near
+    assert {r.doc_id: r.component_id for r in got} == label and len(set(label.values())) < many
+    assert len(made) == 3 and sum(made) < 2 * many
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b = prose(60, 72), prose(60, 73)
+    rows = [(1, a, 0), (1, b, 0), (2, b, 0), (3, a + " more", 0), (-1, prose(60, 74), 0), (None, a, 0), (None, prose(60, 74), 0), (9, None, 0)]
+    got = sorted((tuple(r) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string, component_id int").repartition(3)).collect()), key=repr)
+    assert got == sorted([(1, 56, 1), (2, 56, 1), (3, 57, 1), (-1, 56, -1), (9, 0, 9), (None, 56, None), (None, 56, None)], key=repr)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
