@@ -16,7 +16,7 @@ sequence; one without words (or a null text) is empty and links with nothing.
     prefix position.  Instead of all pairs a list proposes stars: each group to the
     smallest one it can link to, and each member to its group's first.
 4.  Proposals made for enough shingles are verified on the full sets, the centre's set
-    travelling once to each bucket that holds partners.  Only texts of proposed documents
+    travelling once to each bucket that holds partners.  Only texts of such documents
     move: a bitmap of fixed size, which may name some too many, tells which.
 5.  Links give components.  A list whose members now share a component needs nothing
     more; in any other, the shared prefix shingles of every pair across components are
@@ -355,6 +355,21 @@ def proposed(found: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return pairs[enough], np.stack([left, right], 1)[at[enough]]
 
 
+#: Columns of a pair that is verified: centre and partner, components of both.
+DECIDED = (np.int64, np.int64, np.int64, np.int64)
+
+
+def decide(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of a bucket that were proposed often enough, as centres' and as partners'."""
+    got = gathered(batches)
+    out = []
+    for kind in (CENTRES, PARTNERS):
+        pairs, labels = proposed(got.get(kind, []))
+        out += by_bucket(bucket_of(pairs[:, int(kind == PARTNERS)], n), [pairs[:, 0], pairs[:, 1], labels[:, 0], labels[:, 1]], kind)
+    if out:
+        yield rows(out)
+
+
 class Kept:
     """Chosen texts of a bucket, sent on in few blobs."""
 
@@ -387,10 +402,11 @@ def sets_of(payload: bytes, wanted: np.ndarray | None = None) -> Iterator[tuple[
 def send_centres(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """The set of each centre to every bucket with a partner of it, once; partners' pairs and texts stay."""
     got = gathered(batches)
-    pairs, _ = proposed(got.get(CENTRES, []))
+    pairs = np.stack(columns(got.get(CENTRES, []), *DECIDED)[:2], 1)
     to = np.unique(np.stack([pairs[:, 0], bucket_of(pairs[:, 1], n)], 1), axis=0)
     centres = np.unique(to[:, 0])
-    pairs, labels = proposed(got.get(PARTNERS, []))
+    a, b, left, right = columns(got.get(PARTNERS, []), *DECIDED)
+    pairs, labels = np.stack([a, b], 1), np.stack([left, right], 1)
     wanted = np.unique(pairs[:, 1])
     docs: list[int] = []
     sets: list[np.ndarray] = []
@@ -446,7 +462,7 @@ class Joined:
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a bucket whose full sets link and whose components no link before them here has joined."""
     got = gathered(batches)
-    a, b, left, right = columns(got.get(PARTNERS, []), np.int64, np.int64, np.int64, np.int64)
+    a, b, left, right = columns(got.get(PARTNERS, []), *DECIDED)
     sets = {}
     for _, payload in got.pop(SETS, []):
         docs, sizes, flat = K.unpack_columns(payload, np.int64, np.int64, np.uint64)
@@ -600,10 +616,10 @@ def send_labels(found: DataFrame, labels: DataFrame, n: int, kind: int, kinds: t
 
 
 def pair_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of proposed pairs, once a row of pairs."""
+    """The documents of the pairs of a bucket."""
     for batch in batches:
         for payload in batch.column(2).to_pylist():
-            a, b = K.unpack_columns(payload, *PAIR)[:2]
+            a, b = K.unpack_columns(payload, *DECIDED)[:2]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b])))], names=["doc_id"])
 
 
@@ -621,6 +637,7 @@ def linked(docs: DataFrame) -> DataFrame:
     lists, pairs = found.where(F.col("kind") == LISTS), found.where(F.col("kind") != LISTS)
 
     def links(pairs: DataFrame) -> DataFrame:
+        pairs = kept(spark, deal(pairs, n).mapInArrow(bound(decide, n), SCHEMA), "decided")
         wanted = marks(pairs.where(F.col("kind") == PARTNERS).mapInArrow(pair_docs, "doc_id long"))
         sent = deal(pairs.unionByName(texts(named, n, wanted=wanted)), n).mapInArrow(bound(send_centres, n), SCHEMA)
         return kept(spark, deal(sent, n).mapInArrow(verify, "a long, b long"), "links")
