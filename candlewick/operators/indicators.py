@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.functions import series as S
 
@@ -31,6 +32,16 @@ def ichimoku(bars: DataFrame) -> DataFrame:
     return own.withColumn("senkou_a", (F.col("tenkan") + F.col("kijun")) / 2)
 
 
+def prior_range(bars: DataFrame, n: int) -> DataFrame:
+    """High and low of the n bars before this one."""
+    return bars.withColumns({"range_high": S.full_before(F.max, "high", n), "range_low": S.full_before(F.min, "low", n)})
+
+
+def year_range(bars: DataFrame, n: int = 252) -> DataFrame:
+    """High and low of a year of bars, the 150-bar mean, and the mean value traded of 20 bars."""
+    return bars.withColumns({"hi52": S.full(F.max, "high", n), "lo52": S.full(F.min, "low", n), "ma150": S.full(F.avg, "close", 150), "turnover20": S.full(F.avg, F.col("close") * F.col("volume"), 20)})
+
+
 def raw_fractals(bars: DataFrame) -> DataFrame:
     """Middle bars of three that beat both neighbours, known two bars later and carried on."""
     past = lambda c, k: F.lag(c, k).over(S.by_ticker())
@@ -79,28 +90,48 @@ def chaos_bands(up_raw: np.ndarray, down_raw: np.ndarray, high: np.ndarray, low:
     return out
 
 
-RECURSIVE = ["ema12", "macd_line", "macd_signal", "macd_hist", "rsi14", "atr14", "adx14", "di_plus", "di_minus", "ribbon", "fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"]
+CHAOS = ["fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"]
+RECURSIVE = ["ema12", "macd_line", "macd_signal", "macd_hist", "rsi14", "atr14", "adx14", "di_plus", "di_minus", "ribbon", *CHAOS]
+
+
+def ribbon(close: np.ndarray) -> np.ndarray:
+    """Strongest is trend and momentum, then the trend alone, then the momentum alone."""
+    line, fast, slow = S.macd(close)[0], S.ema(close, 8), S.ema(close, 21)
+    return np.where(np.isnan(slow) | np.isnan(line), np.nan, 2.0 * (fast > slow) + 1.0 * (line > 0))
+
+
+#: What is computed together: names, and their values from a ticker's columns.
+FAMILIES = [
+    (["ema12"], lambda b: [S.ema(b["close"], 12)]),
+    (["macd_line", "macd_signal", "macd_hist"], lambda b: S.macd(b["close"])),
+    (["rsi14"], lambda b: [S.rsi(b["close"])]),
+    (["atr14"], lambda b: [S.atr(b["high"], b["low"], b["close"])]),
+    (["di_plus", "di_minus", "adx14"], lambda b: S.directional(b["high"], b["low"], b["close"])),
+    (["ribbon"], lambda b: [ribbon(b["close"])]),
+    (CHAOS, lambda b: chaos_bands(b["fractal_up"], b["fractal_down"], b["high"], b["low"], b["close"]).values()),
+]
 
 
-def recursive_of(own: pd.DataFrame) -> pd.DataFrame:
-    own = own.sort_values("date")
-    h, l, c = (own[x].to_numpy(float) for x in ("high", "low", "close"))
-    line, signal, hist = S.macd(c)
-    plus, minus, adx = S.directional(h, l, c)
-    fast, slow = S.ema(c, 8), S.ema(c, 21)
-    ribbon = np.where(np.isnan(slow) | np.isnan(line), np.nan, 2.0 * (fast > slow) + 1.0 * (line > 0))
-    # strongest is both, then the trend alone, then the momentum alone
-    values = {"ema12": S.ema(c, 12), "macd_line": line, "macd_signal": signal, "macd_hist": hist, "rsi14": S.rsi(c), "atr14": S.atr(h, l, c), "adx14": adx, "di_plus": plus, "di_minus": minus, "ribbon": ribbon}
-    values |= chaos_bands(own["fractal_up"].to_numpy(float), own["fractal_down"].to_numpy(float), h, l, c)
-    return pd.DataFrame({"ticker": own["ticker"], "date": own["date"], **values})
+def recursive(bars: DataFrame, wanted: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The recursive indicators that are wanted, one ticker's history at a time (a few thousand bars); ``keep`` stays."""
+    wanted = RECURSIVE if wanted is None else wanted
+    families = [(names, f) for names, f in FAMILIES if set(names) & set(wanted)]
+    chaos = bool(set(CHAOS) & set(wanted))
+    inputs = ["high", "low", "close", *(["fractal_up", "fractal_down"] if chaos else [])]
+    own = (raw_fractals(bars) if chaos else bars).select("ticker", "date", *dict.fromkeys([*inputs, *keep]))
+    shown = own.select("ticker", "date", *keep).schema.fields
 
+    def of_ticker(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("date")
+        arrays = {c: rows[c].to_numpy().astype(float) for c in inputs}
+        out = rows.select([f.name for f in shown])
+        for names, f in families:
+            for name, values in zip(names, f(arrays)):
+                if name in wanted:
+                    out = out.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
+        return out.select([f.name for f in shown] + wanted)
 
-def recursive(bars: DataFrame) -> DataFrame:
-    """The recursive indicators, one ticker's history at a time (a few thousand bars)."""
-    own = raw_fractals(bars).select("ticker", "date", "high", "low", "close", "fractal_up", "fractal_down")
-    schema = "ticker string, date date, " + ", ".join(f"{c} double" for c in RECURSIVE)
-    out = own.groupBy("ticker").applyInPandas(recursive_of, schema)
-    return out.select("ticker", "date", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in RECURSIVE])
+    return own.groupBy("ticker").applyInArrow(of_ticker, T.StructType([*shown, *[T.StructField(c, T.DoubleType()) for c in wanted]]))
 
 
 def capitulation(bars: DataFrame) -> DataFrame:
@@ -120,6 +151,6 @@ def pivot_columns(bars: DataFrame, left: int = 4, right: int = 4) -> DataFrame:
 
 
 def indicators(bars: DataFrame) -> DataFrame:
-    """All of them: one exchange for the windows, which the grouped map reuses."""
+    """All of them: one exchange for the windows, which the grouped map reuses and passes on."""
     wide = ichimoku(donchian(bollinger(moving_averages(bars)))).withColumns({"bars_available": S.position(), "volume_ma20": S.full(F.avg, "volume", 20)})
-    return wide.join(recursive(bars), ["ticker", "date"], "left")
+    return recursive(wide, keep=tuple(c for c in wide.columns if c not in ("ticker", "date")))

@@ -7,29 +7,41 @@ import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candlewick.functions.series import by_ticker, yes
+from candlewick.functions.series import position, yes
 from candlewick.operators.costs import Costs
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Hold for ``horizon_bars``, or leave earlier at a target or a stop (percent); ``tie`` settles a bar that touches both."""
+    """Hold for ``horizon_bars``, or leave earlier at a target or a stop (percent); ``tie_break`` settles a bar that touches both."""
 
     horizon_bars: int
     target_pct: float | None = None
     stop_pct: float | None = None
-    tie: str = "unfavourable"
+    tie_break: str = "unfavourable"
+    label: str = ""
+
+    def __post_init__(self) -> None:
+        if self.horizon_bars < 1:
+            raise ValueError("a rule holds for one bar at least")
+        if any(x is not None and x <= 0 for x in (self.target_pct, self.stop_pct)):
+            raise ValueError("targets and stops are positive distances from the fill, or None")
+        if self.tie_break not in ("unfavourable", "favourable"):
+            raise ValueError(f"no such tie break: {self.tie_break}")
 
     @property
     def version(self) -> str:
-        """A name that changes with any field."""
-        digest = hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:8]
-        if self.target_pct is None and self.stop_pct is None:
-            return f"hold-h{self.horizon_bars}-{digest}"
-        return f"t{self.target_pct}-s{self.stop_pct}-h{self.horizon_bars}-{self.tie[:5]}-{digest}"
+        """A name that changes with any field but the label, which only replaces its readable part."""
+        fields = asdict(self)
+        readable = fields.pop("label")
+        if not readable and self.target_pct is self.stop_pct is None:
+            readable = f"hold-h{self.horizon_bars}"
+        elif not readable:
+            legs = [f"{k}{'x' if x is None else x}" for k, x in (("t", self.target_pct), ("s", self.stop_pct), ("h", self.horizon_bars))]
+            readable = "-".join([*legs, self.tie_break[:5]])
+        return f"{readable}-{hashlib.sha256(json.dumps(fields, sort_keys=True).encode()).hexdigest()[:8]}"
 
 
 HOLD_20 = Rule(20)
@@ -48,20 +60,28 @@ def eligible(signals: DataFrame, min_depth: int = 3, require_gate: bool = True,
     return signals.where(keep)
 
 
-def labelled(bars: DataFrame, entries: DataFrame, rules: list[Rule], costs: Costs | None = None, cutoff: str | None = None) -> DataFrame:
-    """A row for each entry (ticker, date) and rule.  The bars after an entry are gathered once, for the longest horizon."""
+def labelled(bars: DataFrame, entries: DataFrame, rules: list[Rule], costs: Costs | None = None, cutoff: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each entry (ticker, date) and rule.
+
+    Bars are numbered, and an entry meets the bars of the longest horizon by number, so only
+    they move.  Entries may bring their number as bars_available; columns of theirs to
+    ``carry`` come out with the labels.
+    """
     if cutoff:
         bars = bars.where(F.col("date") <= F.lit(cutoff).cast("date"))
     longest = max(r.horizon_bars for r in rules)
-    ahead = F.collect_list(F.struct("date", "open", "high", "low", "close")).over(by_ticker().rowsBetween(1, longest))
-    wanted = entries.select("ticker", "date").distinct().withColumn("_entry", F.lit(True))
-    # the window runs over all bars; only entries keep their array
-    own = bars.select("ticker", "date", "open", "high", "low", "close").join(wanted, ["ticker", "date"], "left").withColumn("ahead", ahead).where("_entry")
-    own = own.where("size(ahead) > 0 and ahead[0].open > 0")
+    numbered = bars.select("ticker", "date", "open", "high", "low", "close", position().alias("k"))
+    if "bars_available" in entries.columns:
+        wanted = entries.select("ticker", "date", F.col("bars_available").alias("k"), *carry).dropDuplicates(["ticker", "date"])
+    else:
+        wanted = numbered.select("ticker", "date", "k").join(entries.select("ticker", "date", *carry).dropDuplicates(["ticker", "date"]), ["ticker", "date"])
+    steps = wanted.select("ticker", F.col("date").alias("_entry"), F.explode(F.sequence(F.col("k") + 1, F.col("k") + longest)).alias("k"), *carry)
+    met = steps.join(numbered, ["ticker", "k"]).groupBy("ticker", F.col("_entry").alias("date"), *carry)
+    own = met.agg(F.sort_array(F.collect_list(F.struct("k", "date", "open", "high", "low", "close"))).alias("ahead")).where("ahead[0].open > 0")
     fill = F.col("ahead")[0]["open"]
     paid = costs.buy_price(fill) if costs else fill
     own = own.withColumns({"fill_price": paid, "fill_date": F.col("ahead")[0]["date"]})
-    spec = F.array(*[F.struct(F.lit(r.version).alias("version"), F.lit(r.horizon_bars).alias("h"), F.lit(r.target_pct).cast("double").alias("target"), F.lit(r.stop_pct).cast("double").alias("stop"), F.lit(r.tie).alias("tie")) for r in rules])
+    spec = F.array(*[F.struct(F.lit(r.version).alias("version"), F.lit(r.horizon_bars).alias("h"), F.lit(r.target_pct).cast("double").alias("target"), F.lit(r.stop_pct).cast("double").alias("stop"), F.lit(r.tie_break).alias("tie")) for r in rules])
     own = own.withColumn("rule", F.explode(spec)).withColumn("win", F.slice("ahead", 1, F.col("rule.h")))
     up = F.expr("fill_price * (1 + rule.target / 100)")
     down = F.expr("fill_price * (1 - rule.stop / 100)")
@@ -91,4 +111,5 @@ def labelled(bars: DataFrame, entries: DataFrame, rules: list[Rule], costs: Cost
         F.when(done, (F.col("exit_price") / F.col("fill_price") - 1) * 100).alias("gross_return_pct"),
         F.expr("least(0D, (array_min(transform(seen, b -> b.low)) / fill_price - 1) * 100)").alias("mae"),
         F.expr("greatest(0D, (array_max(transform(seen, b -> b.high)) / fill_price - 1) * 100)").alias("mfe"),
+        *carry,
     )

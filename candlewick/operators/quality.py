@@ -19,8 +19,8 @@ def stale_runs(bars: DataFrame) -> DataFrame:
     return runs.withColumn("stale_run_length", within.cast("int")).drop("_new", "_run")
 
 
-def flagged(bars: DataFrame) -> DataFrame:
-    """ticker, date, six flags, their measures and is_clean."""
+def flagged(bars: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """ticker, date, six flags, their measures and is_clean; columns of the bars to ``keep`` stay."""
     step = F.expr("try_divide(close, _before) - 1") * 100
     own = stale_runs(bars.withColumns({"_before": lag("close"), "gap_days": F.datediff("date", lag("date")), "bars_available": position()}))
     own = own.withColumn("jump_pct", step)
@@ -33,7 +33,7 @@ def flagged(bars: DataFrame) -> DataFrame:
         "impossible_bar": yes(F.col("high") < F.col("low")) | yes(F.col("high") < F.col("open")) | yes(F.col("high") < F.col("close")) | yes(F.col("low") > F.col("open")) | yes(F.col("low") > F.col("close")),
     }
     bad = F.col("stale_price") | F.col("zero_volume") | F.col("suspicious_jump") | F.col("gap") | F.col("impossible_bar")
-    return own.withColumns(flags).withColumn("is_clean", ~bad).select("ticker", "date", *flags, "stale_run_length", "jump_pct", "gap_days", "bars_available", "is_clean")
+    return own.withColumns(flags).withColumn("is_clean", ~bad).select("ticker", "date", *flags, "stale_run_length", "jump_pct", "gap_days", "bars_available", "is_clean", *keep)
 
 
 def summary(quality: DataFrame) -> DataFrame:

@@ -37,10 +37,10 @@ def days_since_cross() -> Column:
 def signals(bars: DataFrame) -> DataFrame:
     from candlewick.sources.bars import with_actions
 
-    full = with_actions(bars)
-    quality = flagged(full).select("ticker", "date", "stale_price", (F.col("suspicious_jump") | F.col("impossible_bar")).alias("_bad"))
-    own = moving_averages(full.select("ticker", "date", "close")).withColumn("bars_available", S.position())
-    own = own.join(recursive(full).select("ticker", "date", "rsi14"), ["ticker", "date"], "left").join(quality, ["ticker", "date"], "left")
+    # averages, flags, the recursion and what follows share the partitioning by ticker: one exchange
+    averages = ("ma5", "ma20", "ma50", "ma100", "ma200")
+    own = flagged(moving_averages(with_actions(bars)), ("high", "low", "close", *averages)).withColumn("_bad", F.col("suspicious_jump") | F.col("impossible_bar"))
+    own = recursive(own, ["rsi14"], ("close", *averages, "bars_available", "stale_price", "_bad"))
     deep = F.col("_depth")
     capped = F.when((deep == 5) & (F.col("bars_available") >= NEEDS[5]), 5).when((deep >= 4) & (F.col("bars_available") >= NEEDS[4]), 4).when((deep >= 3) & (F.col("bars_available") >= NEEDS[3]), 3).otherwise(0)
     own = own.withColumns({"_depth": depth_of_averages(), "days_since_ma5_cross": days_since_cross(), "_since": S.since(S.yes(F.col("_bad")))}).withColumn("alignment_depth", capped)

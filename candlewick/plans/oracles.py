@@ -139,18 +139,109 @@ BRACKET = """walk as (
     case when x.out then case when f.low <= w.entry * (1 - 10.0 / 100) then 'CL Stop 10%' else 'TP Target 7%' end end, w.entry, w.en
   from walk w join feat f on f.ticker = w.ticker and f.n = w.n + 1, lateral (select w.hold and (f.low <= w.entry * (1 - 10.0 / 100) or f.high >= w.entry * (1 + 7.0 / 100)) as out) x)"""
 
-CHANDELIER = """fx as (select feat.*, a atr from feat left join rma on rma.ticker = feat.ticker and rma.n = feat.n),
+ATRS = "fx as (select feat.*, a atr from feat left join rma on rma.ticker = feat.ticker and rma.n = feat.n)"
+#: What every walk starts with and how it meets a ticker's bars one by one.
+STATE = "false pb, false ps, false hold, cast(null as double) entry, cast(null as bigint) en, cast(null as double) peak, cast(null as double) stop, cast(null as double) px, cast(null as varchar) code, cast(null as double) sold_entry, cast(null as bigint) sold_en"
+
+
+def chandelier(reach: int, first: str) -> str:
+    """A stop on closes, ``reach`` ATRs below the highest high since the signal."""
+    return f"""{ATRS},
 walk as (
-  select distinct ticker, 0::bigint n, false pb, false ps, false hold, cast(null as double) entry, cast(null as bigint) en, cast(null as double) peak, cast(null as double) stop, cast(null as double) px, cast(null as varchar) code, cast(null as double) sold_entry, cast(null as bigint) sold_en from fx
+  select distinct ticker, 0::bigint n, {STATE} from fx
   union all
   select f.ticker, f.n, not x.h and f.signal, x.h and f.close < x.s, x.h, case when w.pb then f.open else w.entry end, case when w.pb then f.n else w.en end,
-    case when x.h then x.p when f.signal then f.high end, case when x.h then x.s when f.signal then f.close - 3 * f.atr end,
+    case when x.h then x.p when f.signal then f.high end, case when x.h then x.s when f.signal then {first} end,
     case when w.ps then f.open end, case when w.ps then case when f.open > w.entry then 'TP Trailing stop' else 'CL Trailing stop' end end, w.entry, w.en
   from walk w join fx f on f.ticker = w.ticker and f.n = w.n + 1,
-    lateral (select (w.hold and not w.ps) or w.pb h, greatest(w.peak, f.high) p, greatest(w.stop, greatest(w.peak, f.high) - 3 * f.atr) s) x)"""
+    lateral (select (w.hold and not w.ps) or w.pb h, greatest(w.peak, f.high) p, greatest(w.stop, greatest(w.peak, f.high) - {reach} * f.atr) s) x)"""
+
+
+CHANDELIER = chandelier(3, "f.close - 3 * f.atr")
+WIDE = chandelier(4, "greatest(f.close - 4 * f.atr, f.bottom)")
+
+#: F: a limit and a trailing stop, both resting from the bar after the fill.
+EARLY = f"""{ATRS},
+walk as (
+  select distinct ticker, 0::bigint n, {STATE} from fx
+  union all
+  select f.ticker, f.n, not x.h and f.signal, false, x.h, case when w.pb then f.open else w.entry end, case when w.pb then f.n else w.en end,
+    case when x.h then x.p end, case when x.h then greatest(case when not w.pb then w.stop end, x.p - 3 * f.atr) end,
+    case when x.hit then x.price end, case when x.hit then case when not x.stopped then 'TP Target 10%' when x.price > w.entry then 'TP Trailing stop' else 'CL Stop loss' end end, w.entry, w.en
+  from walk w join fx f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select w.hold and coalesce(f.low <= w.stop, false) stopped, w.hold and (coalesce(f.low <= w.stop, false) or f.high >= w.entry * (1 + 10.0 / 100)) hit,
+      case when f.low <= w.stop then least(f.open, w.stop) else greatest(f.open, w.entry * (1 + 10.0 / 100)) end price,
+      w.pb or (w.hold and not (coalesce(f.low <= w.stop, false) or f.high >= w.entry * (1 + 10.0 / 100))) h, greatest(case when not w.pb then w.peak end, f.high) p) x)"""
 
-TRADES = """select w.ticker, e.date entry_date, sold_entry entry_price, x.date exit_date, round(px, 6) exit_price, code exit_code, w.n - sold_en bars_held, true resolved
-from walk w join n e on e.ticker = w.ticker and e.n = sold_en join n x on x.ticker = w.ticker and x.n = w.n where code is not null
-union all
-select w.ticker, e.date, entry, x.date, x.close, 'OPEN', w.n - en, false
-from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) w join n e on e.ticker = w.ticker and e.n = en join n x on x.ticker = w.ticker and x.n = w.n where hold"""
+#: I: a stop under the base that trails once ahead, a target, and a time stop; resting orders from the bar after the fill.
+PATIENT = f"""walk as (
+  select distinct ticker, 0::bigint n, {STATE}, false trails, cast(null as bigint) signal_at from feat
+  union all
+  select f.ticker, f.n, not x.h and f.signal, x.h and not x.t and f.n - w.signal_at >= 10, x.h, case when w.pb then f.open else w.entry end, case when w.pb then f.n else w.en end,
+    case when x.h then x.p when f.signal then f.close end, case when x.h then case when x.t then greatest(w.stop, x.p * (1 - 3.0 / 100)) else w.stop end when f.signal then greatest(f.bottom, f.close * (1 - 5.5 / 100)) end,
+    case when w.ps then f.open when x.hit then x.price end,
+    case when w.ps then case when f.open > w.entry then 'TP Time stop' else 'CL Time stop' end
+         when x.hit then concat(case when x.price > w.entry then 'TP ' else 'CL ' end, case when not x.stopped then 'Target 20%' when w.trails then 'Trailing stop' else 'Stop loss' end) end,
+    w.entry, w.en, x.h and x.t, case when x.h then w.signal_at when f.signal then f.n end
+  from walk w join feat f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select *, w.pb or (w.hold and not w.ps and not hit) h, (w.trails and not w.pb) or p >= e * (1 + 5.0 / 100) t from (
+      select w.hold and not w.ps and f.low <= w.stop stopped, w.hold and not w.ps and (f.low <= w.stop or f.high >= w.entry * (1 + 20.0 / 100)) hit,
+        case when f.low <= w.stop then least(f.open, w.stop) else greatest(f.open, w.entry * (1 + 20.0 / 100)) end price, greatest(w.peak, f.high) p, case when w.pb then f.open else w.entry end e)) x)"""
+
+#: J: a capped first stop, a break-even lock, failed-breakout and time exits, all decided at closes.
+GUARDED = f"""{ATRS},
+walk as (
+  select distinct ticker, 0::bigint n, {STATE}, cast(null as double) base_top, cast(null as varchar) why from fx
+  union all
+  select f.ticker, f.n, not x.h and f.signal, x.h and y.reason is not null, x.h, case when x.h then x.e end, case when x.h then x.since end,
+    case when x.h then x.p end, case when x.h then y.s when f.signal then greatest(f.close - 4 * f.atr, f.bottom, f.close * 0.93) end,
+    case when w.ps then f.open end, case when w.ps then concat(case when f.open > w.entry then 'TP ' else 'CL ' end, w.why) end, w.entry, w.en,
+    case when x.h then w.base_top when f.signal then f.top end, case when x.h then y.reason end
+  from walk w join fx f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select w.pb or (w.hold and not w.ps) h, greatest(case when not w.pb then w.peak end, f.high) p, case when w.pb then f.open else w.entry end e, case when w.pb then f.n else w.en end since) x,
+    lateral (select s, case when f.close < s then 'Stop Hit' when f.n - x.since <= 10 and f.close < w.base_top * (1 - 2.0 / 100) then 'Failed Breakout' when f.n - x.since >= 15 and x.p < x.e * (1 + 5.0 / 100) then 'Time Stop' end reason
+      from (select greatest(w.stop, x.p - 4 * f.atr, case when x.p >= x.e * (1 + 8.0 / 100) then x.e * (1 + 1.0 / 100) end) s)) y)"""
+
+TRADES_TABLE = """tr as (
+  select w.ticker, e.date entry_date, sold_entry entry_price, x.date exit_date, px exit_price, code exit_code, w.n - sold_en bars_held, true resolved
+  from walk w join n e on e.ticker = w.ticker and e.n = sold_en join n x on x.ticker = w.ticker and x.n = w.n where code is not null
+  union all
+  select w.ticker, e.date, entry, x.date, x.close, 'OPEN', w.n - en, false
+  from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) w join n e on e.ticker = w.ticker and e.n = en join n x on x.ticker = w.ticker and x.n = w.n where hold)"""
+TRADES = "select ticker, entry_date, entry_price, exit_date, round(exit_price, 6) exit_price, exit_code, bars_held, resolved from tr"
+LIQUIDITY = "liq as (select ticker, avg(close * volume) turnover, avg(volume) / 100 avg_lots from (select *, row_number() over (partition by ticker order by date desc) k from bars) where k <= 60 group by ticker)"
+
+
+def log(code: str) -> str:
+    """The trade log of a walk whose buys have one code."""
+    return f"""{TRADES_TABLE}, {LIQUIDITY},
+ends as (select ticker, max(date) last_date, arg_max(close, date) last_close from bars group by ticker),
+prior as (select ticker, date entry_date, lag(date) over w signal_date, lag(close) over w signal_price from bars window w as (partition by ticker order by date)),
+tops as (
+  select t.ticker, t.entry_date, b.date, greatest(b.high, b.close) top, max(greatest(b.high, b.close)) over (partition by t.ticker, t.entry_date) hi_price
+  from tr t join bars b on b.ticker = t.ticker and b.date > t.entry_date and b.date <= t.exit_date),
+peaks as (select ticker, entry_date, any_value(hi_price) hi_price, min(date) filter (top = hi_price) hi_date from tops group by all),
+armed as (select ticker from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) where pb and not hold),
+log as (
+  select ticker, case when not resolved then 'OPEN' when exit_code like 'CL%' then 'EXIT' else 'CLOSED' end status, signal_date, signal_price, entry_date buy_date, 'B' pb, entry_price buy_price, last_close,
+    case when not resolved then (exit_price / entry_price - 1) * 100 end fl_pct, hi_price, hi_date, (hi_price / entry_price - 1) * 100 max_fl_pct,
+    case when resolved then exit_date end exit_date, case when resolved then exit_price end exit_price, case when resolved then (exit_price / entry_price - 1) * 100 end pl_pct,
+    '{code}' entry_code, case when resolved then exit_code end exit_code, turnover, avg_lots, bars_held
+  from tr join prior using (ticker, entry_date) join ends using (ticker) join liq using (ticker) left join peaks using (ticker, entry_date)
+  union all by name
+  select ticker, 'WATCHLIST' status, last_date signal_date, last_close signal_price, last_date + case isodow(last_date) when 5 then 3 when 6 then 2 else 1 end buy_date, 'P' pb, last_close, turnover, avg_lots
+  from armed join ends using (ticker) join liq using (ticker))"""
+
+
+_SHOWN = ("buy_price", "fl_pct", "hi_price", "max_fl_pct", "exit_price", "pl_pct", "avg_lots")
+LOG_ROWS = "ticker, status, signal_date, signal_price, buy_date, pb, last_close, hi_date, exit_date, entry_code, exit_code, round(turnover, 2) turnover, cast(bars_held as bigint) bars_held, " + ", ".join(f"round({c}, 6) {c}" for c in _SHOWN)
+LOG_SUMMARY = (
+    "select count(*) trades, count(*) filter (status = 'CLOSED') take_profits, count(*) filter (status = 'EXIT') cut_losses, round(avg((pl_pct > 0)::int) * 100, 6) win_pct, round(avg(pl_pct), 6) mean_pl, round(median(pl_pct), 6) median_pl, "
+    "round(avg(((1 + pl_pct / 100) * (1 - 0.0025) / (1 + 0.0015) - 1) * 100), 6) mean_net, round(avg(pl_pct) filter (status = 'CLOSED'), 6) mean_tp, round(avg(pl_pct) filter (status = 'EXIT'), 6) mean_cl from log where pl_pct is not null"
+)
+#: Bars, features and walk of the strategies that SQL can follow, and the code of their buys.
+_D = (DUCK_BARS, N, DMI, emas(50), base_signal(25, 15.0, 25, 25, 1.3, None, "close >= e50 * 0.95"), CHANDELIER)
+_E = (DUCK_BARS, N, DMI, emas(200), base_signal(20, 12.0, 20, 50, 1.5, 0.7, "close > e200"))
+_F = (DUCK_BARS, N, DMI, emas(100), base_signal(20, 15.0, 10, 50, 1.5, 0.6, "close > e100"), EARLY)
+_I = (DUCK_BARS, N, emas(50, 150, 200), base_signal(40, 12.0, 20, 50, 2.0, 0.7, "close > e50 and e50 > e150 and e150 > e200"))
+WALKS = {"D": (_D, "BUY Breakout"), "E": ((*_E, WIDE), "BUY Breakout"), "F": (_F, "BUY Early Entry"), "I": ((*_I, PATIENT), "BUY Sniper"), "J": ((*_E, GUARDED), "BUY Breakout"), "K": ((*_I, BRACKET), "BUY Sniper")}

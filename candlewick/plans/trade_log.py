@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candlewick.functions.series import by_ticker
-from candlewick.plans.strategies import STRATEGIES, Strategy, category, run
+from candlewick.plans.strategies import STRATEGIES, TURNOVER_BARS, Strategy, category, run_log
 
-TURNOVER_BARS = 60
 COLUMNS = "ticker status signal_date signal_price buy_date pb buy_price last_close fl_pct hi_price hi_date max_fl_pct exit_date exit_price pl_pct entry_code exit_code turnover avg_lots bars_held".split()
 BUY_FEE, SELL_FEE = 0.0015, 0.0025
 
@@ -21,60 +19,35 @@ def liquidity(bars: DataFrame, last: int = TURNOVER_BARS) -> DataFrame:
     return own.groupBy("ticker").agg(F.avg(F.col("close") * F.col("volume")).alias("turnover"), (F.avg("volume") / 100).alias("avg_lots"))
 
 
-def at_next_open(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Entries and exits decided at a close move to the next open; what has no next bar waits."""
-    w = by_ticker()
-    own = bars.select("ticker", "date", F.row_number().over(w).alias("k"), F.lead("date").over(w).alias("next_date"), F.lead("open").over(w).alias("next_open"))
-    last = bars.groupBy("ticker").agg(F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_price"), F.count(F.lit(1)).alias("last_k"))
-    a, b = own.alias("a"), own.alias("b")
-    moved = trades.alias("t").join(a, (F.col("a.ticker") == F.col("t.ticker")) & (F.col("a.date") == F.col("t.entry_date"))).join(b, (F.col("b.ticker") == F.col("t.ticker")) & (F.col("b.date") == F.col("t.exit_date"))).join(last.alias("l"), F.col("l.ticker") == F.col("t.ticker"))
-    done = F.col("t.resolved") & F.col("b.next_date").isNotNull()
-    price = F.when(done, F.col("b.next_open")).otherwise(F.col("l.last_price"))
-    return moved.select(
-        "t.ticker", F.col("a.next_date").alias("entry_date"), F.col("a.next_open").alias("entry_price"), "t.entry_code", F.when(done, F.col("b.next_date")).otherwise(F.col("l.last_date")).alias("exit_date"), price.alias("exit_price"), F.when(done, F.col("t.exit_code")).otherwise("OPEN").alias("exit_code"),
-        (F.when(done, F.col("b.k") + 1).otherwise(F.col("l.last_k")) - F.col("a.k") - 1).cast("int").alias("bars_held"), ((price / F.col("a.next_open") - 1) * 100).alias("gross_return_pct"), done.alias("resolved"),
-    )
-
-
-def build(bars: DataFrame, strategy: Strategy) -> DataFrame:
-    """A row for each trade, and one for each ticker that is flat with a setup armed."""
-    found = run(bars, strategy)
-    trades, states = found.where("entry_date is not null").drop("armed", "last_code"), found.where("entry_date is null").select("ticker", "armed")
-    pending = None
-    if strategy.at_next_open:
-        trades = at_next_open(trades, bars)
-        pending = trades.where("entry_date is null").select("ticker").distinct().withColumn("pending", F.lit(True))
-        trades = trades.where("entry_date is not null")
-    before = bars.select(F.col("ticker"), F.col("date").alias("entry_date"), F.lag("date").over(by_ticker()).alias("signal_date"), F.lag("close").over(by_ticker()).alias("signal_price"))
-    peaks = bars.select(F.col("ticker").alias("_t"), "date", F.greatest("high", "close").alias("top"))
-    seen = trades.join(peaks, (F.col("ticker") == F.col("_t")) & (F.col("date") > F.col("entry_date")) & (F.col("date") <= F.col("exit_date")), "left")
-    keys = ["ticker", "entry_date", "entry_code", "entry_price", "exit_date", "exit_code", "exit_price", "bars_held", "gross_return_pct", "resolved"]
-    high = seen.groupBy(*keys).agg(F.max("top").alias("hi_price"), F.min_by("date", F.struct(-F.col("top"), "date")).alias("hi_date"))
-    last = bars.groupBy("ticker").agg(F.max_by("close", "date").alias("last_close"), F.max("date").alias("last_date"))
-    base = last.join(liquidity(bars), "ticker")
-    rows = high.join(before, ["ticker", "entry_date"]).join(base, "ticker")
-    closed = F.when(category(F.col("exit_code"), strategy.key) == "CUT LOSS", "EXIT").otherwise("CLOSED")
-    done = F.col("resolved")
-    traded = rows.select(
-        "ticker", F.when(done, closed).otherwise("OPEN").alias("status"), "signal_date", "signal_price", F.col("entry_date").alias("buy_date"), F.lit("B").alias("pb"), F.col("entry_price").alias("buy_price"), "last_close", F.when(~done, F.col("gross_return_pct")).alias("fl_pct"), "hi_price", "hi_date", ((F.col("hi_price") / F.col("entry_price") - 1) * 100).alias("max_fl_pct"),
-        F.when(done, F.col("exit_date")).alias("exit_date"), F.when(done, F.col("exit_price")).alias("exit_price"), F.when(done, F.col("gross_return_pct")).alias("pl_pct"), "entry_code", F.when(done, F.col("exit_code")).alias("exit_code"), "turnover", "avg_lots", "bars_held",
-    )
-    holding = trades.where("not resolved").select("ticker").distinct()
-    flat = states.join(holding, "ticker", "left_anti")
-    if pending is not None:
-        flat = flat.join(pending, "ticker", "left").withColumn("pending", F.coalesce("pending", F.lit(False)))
-        planned = F.col("pending")
-    else:
-        flat, planned = flat.withColumn("pending", F.lit(False)), F.lit(True)
-    # the next weekday
+def build(bars: DataFrame, *strategies: Strategy) -> DataFrame:
+    """A row for each trade, and one for each ticker that is flat with a setup armed: a projection of one map."""
+    found = run_log(bars, list(strategies)).where("entry_date is not null or armed or pending")
+    trade, done = F.col("entry_date").isNotNull(), F.coalesce("resolved", F.lit(False))
+    closed = F.when(category(F.col("exit_code"), F.col("strategy")) == "CUT LOSS", "EXIT").otherwise("CLOSED")
+    # a plan of a strategy filled at the next open has its signal only once a buy was decided
+    planned = ~trade & (F.col("pending") | ~F.col("strategy").isin([s.key for s in strategies if s.at_next_open]))
     tomorrow = F.date_add("last_date", F.when(F.weekday("last_date") == 4, 3).when(F.weekday("last_date") == 5, 2).otherwise(1))
-    waiting = flat.where("armed or pending").join(base, "ticker").select("ticker", F.lit("WATCHLIST").alias("status"), F.when(planned, F.col("last_date")).alias("signal_date"), F.when(planned, F.col("last_close")).alias("signal_price"), F.when(planned, tomorrow).alias("buy_date"), F.lit("P").alias("pb"), "last_close", "turnover", "avg_lots")
-    return traded.unionByName(waiting, allowMissingColumns=True).select(*COLUMNS)
+    shown = {
+        "status": F.when(~trade, "WATCHLIST").when(done, closed).otherwise("OPEN"),
+        "signal_date": F.when(trade, F.col("signal_date")).when(planned, F.col("last_date")),
+        "signal_price": F.when(trade, F.col("signal_price")).when(planned, F.col("last_close")),
+        "buy_date": F.when(trade, F.col("entry_date")).when(planned, tomorrow),
+        "pb": F.when(trade, "B").otherwise("P"),
+        "buy_price": F.col("entry_price"),
+        "fl_pct": F.when(trade & ~done, F.col("gross_return_pct")),
+        "max_fl_pct": (F.col("hi_price") / F.col("entry_price") - 1) * 100,
+        "exit_date": F.when(done, F.col("exit_date")),
+        "exit_price": F.when(done, F.col("exit_price")),
+        "pl_pct": F.when(done, F.col("gross_return_pct")),
+        "exit_code": F.when(done, F.col("exit_code")),
+    }
+    return found.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in COLUMNS + (["strategy"] if len(strategies) > 1 else [])])
 
 
 def numbered(log: DataFrame) -> DataFrame:
     """Adds the order inside a ticker: trades by entry, what waits last."""
-    w = W.partitionBy("ticker").orderBy(F.when(F.col("status") == "WATCHLIST", 1).otherwise(0), "buy_date", F.coalesce("exit_date", F.lit("9999-12-31").cast("date")), "entry_code")
+    keys = [c for c in ("strategy", "ticker") if c in log.columns]
+    w = W.partitionBy(*keys).orderBy(F.when(F.col("status") == "WATCHLIST", 1).otherwise(0), "buy_date", F.coalesce("exit_date", F.lit("9999-12-31").cast("date")), "entry_code")
     return log.withColumn("seq", F.row_number().over(w))
 
 
@@ -84,12 +57,8 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def published(bars: DataFrame, keys: str = "ABCDEFGHIJK") -> DataFrame:
-    """The logs of all strategies in one table."""
-    out = None
-    for key in keys:
-        own = numbered(build(bars, STRATEGIES[key])).withColumn("strategy", F.lit(key))
-        out = own if out is None else out.unionByName(own)
-    return out
+    """The logs of all strategies in one table, from one map over the bars."""
+    return numbered(build(bars, *[STRATEGIES[key] for key in keys]))
 
 
 def net_pct(gross):

@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: The folds of the walk-forward queries; training is anchored.
 FOLDS = walkforward.folds(date(1992, 1, 1), date(1998, 12, 31), test_months=12, min_train_months=24)
-FOLD_VALUES = "folds(fold, train_start, test_start, test_end) as (values " + ", ".join(f"({f.number}, date '{f.train_start}', date '{f.test_start}', date '{f.test_end}')" for f in FOLDS) + ")"
+FOLD_VALUES = "folds(fold, train_start, test_start, test_end) as (values " + ", ".join(f"({k}, date '1992-01-01', date '{y}-01-01', date '{z}')" for k, y, z in ((1, 1994, "1995-01-01"), (2, 1995, "1996-01-01"), (3, 1996, "1997-01-01"), (4, 1997, "1998-01-01"), (5, 1998, "1998-12-31"))) + ")"
 TODAY = "1998-12-10"
 
 
@@ -56,9 +56,7 @@ query("sma_stack", O.sql(f"select ticker, date, {r('ma5', 'ma20', 'ma50', 'ma100
 
 BB = f"bb as (select *, {O.full('avg', 'close', 20)} bb_mid, {O.full('stddev_pop', 'close', 20)} sd from n)"
 query("bollinger", O.sql("select ticker, date, round(bb_mid, 6) bb_mid, round(bb_mid + 2 * sd, 6) bb_upper, round(bb_mid - 2 * sd, 6) bb_lower from bb", O.DUCK_BARS, O.N, BB))(lambda s, d: rounded(indicators.bollinger(B.bars(s, d)), "ticker", "date", "bb_mid", "bb_upper", "bb_lower"))
-query("capitulation", O.sql("select ticker, date, cast(case when bb_mid is not null then (round(close, 6) < round(bb_mid - 2 * sd, 6))::int end as bigint) capitulation from bb", O.DUCK_BARS, O.N, BB))(
-    lambda s, d: rounded(indicators.bollinger(B.bars(s, d)).withColumn("capitulation", F.when(F.col("bb_lower").isNotNull(), (F.col("close") < F.round("bb_lower", 6)).cast("int"))), "ticker", "date", "capitulation")
-)
+query("capitulation", O.sql("select ticker, date, cast(case when bb_mid is not null then (close < bb_mid - 2 * sd)::int end as bigint) capitulation from bb", O.DUCK_BARS, O.N, BB))(lambda s, d: rounded(indicators.capitulation(B.bars(s, d)), "ticker", "date", "capitulation"))
 query("donchian", O.sql(f"select ticker, date, {O.full('max', 'high', 20)} donchian_upper, {O.full('min', 'low', 20)} donchian_lower from n", O.DUCK_BARS, O.N))(lambda s, d: rounded(indicators.donchian(B.bars(s, d)), "ticker", "date", "donchian_upper", "donchian_lower"))
 ICHI = "ichi as (select ticker, date, " + ", ".join(f"({O.full('max', 'high', n)} + {O.full('min', 'low', n)}) / 2 {x}" for n, x in ((9, "tenkan"), (26, "kijun"), (52, "senkou_b"))) + " from n)"
 query("ichimoku", O.sql("select ticker, date, tenkan, kijun, senkou_b, (tenkan + kijun) / 2 senkou_a from ichi", O.DUCK_BARS, O.N, ICHI))(lambda s, d: rounded(indicators.ichimoku(B.bars(s, d)), "ticker", "date", "tenkan", "kijun", "senkou_b", "senkou_a"))
@@ -69,21 +67,21 @@ PIVOTS = """piv as (select ticker, date, lag(high, 4) over w mh, lag(low, 4) ove
   from n window w as (partition by ticker order by date))"""
 query("pivots", O.sql("select ticker, date, case when mh > oh and mh > nh then mh end pivot_high, case when ml < ol and ml < nl then ml end pivot_low from piv", O.DUCK_BARS, O.N, PIVOTS))(lambda s, d: rounded(indicators.pivot_columns(B.bars(s, d)), "ticker", "date", "pivot_high", "pivot_low"))
 query("prior_range", O.sql("select ticker, date, case when n > 25 then max(high) over (partition by ticker order by date rows between 25 preceding and 1 preceding) end range_high, case when n > 25 then min(low) over (partition by ticker order by date rows between 25 preceding and 1 preceding) end range_low from n", O.DUCK_BARS, O.N))(
-    lambda s, d: rounded(B.bars(s, d).withColumns({"range_high": S.full_before(F.max, "high", 25), "range_low": S.full_before(F.min, "low", 25)}), "ticker", "date", "range_high", "range_low")
+    lambda s, d: rounded(indicators.prior_range(B.bars(s, d), 25), "ticker", "date", "range_high", "range_low")
 )
 query("year_range", O.sql(f"select ticker, date, {O.full('max', 'high', 252)} hi52, {O.full('min', 'low', 252)} lo52, round({O.full('avg', 'close', 150)}, 6) ma150, round({O.full('avg', '(close * volume)', 20)}, 2) turnover20 from n", O.DUCK_BARS, O.N))(
-    lambda s, d: B.bars(s, d).withColumns({"hi52": S.full(F.max, "high", 252), "lo52": S.full(F.min, "low", 252), "ma150": F.round(S.full(F.avg, "close", 150), 6), "turnover20": F.round(S.full(F.avg, F.col("close") * F.col("volume"), 20), 2)}).select("ticker", "date", "hi52", "lo52", "ma150", "turnover20")
+    lambda s, d: indicators.year_range(B.bars(s, d)).select("ticker", "date", "hi52", "lo52", F.round("ma150", 6).alias("ma150"), F.round("turnover20", 2).alias("turnover20"))
 )
 
-query("ema12", O.sql("select ticker, date, case when n >= 12 then round(e12, 6) end ema12 from e", O.DUCK_BARS, O.N, O.EMAS))(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "ema12"))
-query("macd", O.sql("select ticker, date, case when n >= 26 then round(e12 - e26, 6) end macd_line, case when n >= 34 then round(sig, 6) end macd_signal, case when n >= 34 then round(e12 - e26 - sig, 6) end macd_hist from e", O.DUCK_BARS, O.N, O.EMAS))(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "macd_line", "macd_signal", "macd_hist"))
-query("ribbon", O.sql("select ticker, date, case when n >= 26 then cast(2 * (e8 > e21)::int + (e12 > e26)::int as double) end ribbon from e", O.DUCK_BARS, O.N, O.EMAS))(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "ribbon"))
-query("rsi14", O.sql("select n.ticker, n.date, round(rsi14, 6) rsi14 from n left join rsi on rsi.ticker = n.ticker and rsi.n = n.n", O.DUCK_BARS, O.N, O.RSI))(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "rsi14"))
-query("atr14", O.sql("select m.ticker, m.date, round(a, 6) atr14 from moves m left join rma on rma.ticker = m.ticker and rma.n = m.n", O.DUCK_BARS, O.N, O.DMI))(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "atr14"))
+query("ema12", O.sql("select ticker, date, case when n >= 12 then round(e12, 6) end ema12 from e", O.DUCK_BARS, O.N, O.EMAS))(lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["ema12"]), "ticker", "date", "ema12"))
+query("macd", O.sql("select ticker, date, case when n >= 26 then round(e12 - e26, 6) end macd_line, case when n >= 34 then round(sig, 6) end macd_signal, case when n >= 34 then round(e12 - e26 - sig, 6) end macd_hist from e", O.DUCK_BARS, O.N, O.EMAS))(lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["macd_line", "macd_signal", "macd_hist"]), "ticker", "date", "macd_line", "macd_signal", "macd_hist"))
+query("ribbon", O.sql("select ticker, date, case when n >= 26 then cast(2 * (e8 > e21)::int + (e12 > e26)::int as double) end ribbon from e", O.DUCK_BARS, O.N, O.EMAS))(lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["ribbon"]), "ticker", "date", "ribbon"))
+query("rsi14", O.sql("select n.ticker, n.date, round(rsi14, 6) rsi14 from n left join rsi on rsi.ticker = n.ticker and rsi.n = n.n", O.DUCK_BARS, O.N, O.RSI))(lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["rsi14"]), "ticker", "date", "rsi14"))
+query("atr14", O.sql("select m.ticker, m.date, round(a, 6) atr14 from moves m left join rma on rma.ticker = m.ticker and rma.n = m.n", O.DUCK_BARS, O.N, O.DMI))(lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["atr14"]), "ticker", "date", "atr14"))
 query("adx14", O.sql("select m.ticker, m.date, round(dip, 6) di_plus, round(dim, 6) di_minus, round(y, 6) adx14 from moves m join dx on dx.ticker = m.ticker and dx.n = m.n left join adx on adx.ticker = m.ticker and adx.n = m.n", O.DUCK_BARS, O.N, O.DMI))(
-    lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "di_plus", "di_minus", "adx14")
+    lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["di_plus", "di_minus", "adx14"]), "ticker", "date", "di_plus", "di_minus", "adx14")
 )
-query("chaos_bands")(lambda s, d: rounded(indicators.recursive(B.bars(s, d)), "ticker", "date", "fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"))
+query("chaos_bands")(lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"]), "ticker", "date", "fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"))
 query("indicators")(lambda s, d: rounded(indicators.indicators(B.bars(s, d))))
 
 Q_COLUMNS = "ticker, date, insufficient_history, stale_price, zero_volume, suspicious_jump, gap, impossible_bar, cast(stale_run_length as bigint) stale_run_length, round(jump_pct, 6) jump_pct, cast(gap_days as bigint) gap_days, cast(bars_available as bigint) bars_available, is_clean"
@@ -119,7 +117,7 @@ query(
         *O.ALL,
         O.DUCK_TICKERS,
     ),
-)(lambda s, d: rounded(signals.screened(signals.latest(dirty_signals(s, d)).join(F.broadcast(B.tickers(s, d)), "ticker", "left")), "ticker", "date", "alignment_depth", "tier", "sector"))
+)(lambda s, d: rounded(signals.screened(signals.latest(dirty_signals(s, d)).join(B.tickers(s, d), "ticker", "left")), "ticker", "date", "alignment_depth", "tier", "sector"))
 
 query("liquidity", O.sql("select ticker, round(avg(close * volume), 2) turnover, round(avg(volume) / 100, 6) avg_lots from (select *, row_number() over (partition by ticker order by date desc) k from bars) where k <= 60 group by ticker", O.DUCK_BARS))(lambda s, d: trade_log.liquidity(B.bars(s, d)).select("ticker", F.round("turnover", 2).alias("turnover"), F.round("avg_lots", 6).alias("avg_lots")))
 query("universe_counts", O.sql("select count(*) filter (is_active) active, count(*) filter (not is_active) inactive from tickers", O.DUCK_TICKERS))(lambda s, d: B.tickers(s, d).agg(F.count_if("is_active").alias("active"), F.count_if(~F.col("is_active")).alias("inactive")))
@@ -148,13 +146,13 @@ query("asof_gate", O.sql("select b.ticker, b.date, coalesce(g.k >= 200 and g.f >
 def trades(s: SparkSession, d: str, *rules: labels.Rule, costs=None) -> tuple[DataFrame, DataFrame]:
     bars = B.dirty_bars(s, d)
     own = signals.signals(bars)
-    return labels.labelled(bars, labels.eligible(own), list(rules), costs), own
+    return labels.labelled(bars, labels.eligible(own), list(rules), costs, carry=("tier",)), own
 
 
 L_COLUMNS = ["ticker", "entry_date", "rule_version", "fill_date", "fill_price", "exit_date", "exit_price", "outcome", "bars_held", "gross_return_pct", "mae", "mfe"]
 L_SELECT = "ticker, entry_date, rule_version, fill_date, round(fill_price, 6) fill_price, exit_date, round(exit_price, 6) exit_price, outcome, cast(bars_held as bigint) bars_held, round(gross_return_pct, 6) gross_return_pct, round(mae, 6) mae, round(mfe, 6) mfe"
-HOLD = (*O.ALL, O.ELIGIBLE, O.labels(20, None, None, labels.HOLD_20.version))
-TARGET = (*O.ALL, O.ELIGIBLE, O.labels(20, 8.0, 4.0, labels.TARGET_8_4.version))
+HOLD = (*O.ALL, O.ELIGIBLE, O.labels(20, None, None, "hold-h20-f081a07b"))
+TARGET = (*O.ALL, O.ELIGIBLE, O.labels(20, 8.0, 4.0, "t8.0-s4.0-h20-unfav-b8562694"))
 query("labels_hold20", O.sql(f"select {L_SELECT} from trade_labels", *HOLD))(lambda s, d: rounded(trades(s, d, labels.HOLD_20)[0], *L_COLUMNS))
 query("labels_t8_s4", O.sql(f"select {L_SELECT} from trade_labels", *TARGET))(lambda s, d: rounded(trades(s, d, labels.TARGET_8_4)[0], *L_COLUMNS))
 query("labels_many_rules")(lambda s, d: rounded(trades(s, d, labels.HOLD_20, labels.TARGET_8_4, labels.Rule(10), labels.Rule(20, 12.0, 6.0, "favourable"), costs=EXAMPLE)[0], *labels.COLUMNS))
@@ -163,7 +161,7 @@ JOINED = "j as (select l.*, s.tier, gross_return_pct r from trade_labels l join
 
 
 def tiered(s: SparkSession, d: str, rule: labels.Rule = labels.TARGET_8_4) -> DataFrame:
-    return calibration.tiered(*trades(s, d, rule))
+    return trades(s, d, rule)[0]
 
 
 query(
@@ -212,7 +210,11 @@ CANDIDATES = "sets(candidate, tier) as (values " + ", ".join(f"('{k}', '{t}')" f
 TRAIN = "train as (select fold, candidate, count(*) n, avg(r) / avg(greatest(bars_held, 1)) rpb from jc join folds on entry_date >= train_start and entry_date < test_start and exit_date < test_start group by all), pick as (select fold, candidate, n, rpb from train where n >= 30 qualify row_number() over (partition by fold order by rpb desc, candidate) = 1)"
 query("walkforward_choice", O.sql("select cast(fold as bigint) fold, candidate, n, round(rpb, 6) return_per_bar from pick", *HOLD, JOINED, FOLD_VALUES, CANDIDATES, TRAIN))(lambda s, d: rounded(walk_choices(s, d)[0], "fold", "candidate", "n", "return_per_bar"))
 query("walkforward_test", O.sql("select cast(fold as bigint) fold, candidate, count(*) n, round(avg(r), 6) mean_return from jc join folds using () on entry_date between test_start and test_end join pick using (fold, candidate) group by all".replace(" using () on", " on"), *HOLD, JOINED, FOLD_VALUES, CANDIDATES, TRAIN))(lambda s, d: rounded(walk_choices(s, d)[1], "fold", "candidate", "n", "mean_return"))
-query("walkforward_rollup")(lambda s, d: rounded(walkforward.rolled_up(walk_choices(s, d)[1])))
+TESTED = "tested as (select fold, candidate, count(*) n, avg(r) mean_return from jc join folds on entry_date between test_start and test_end join pick using (fold, candidate) group by all), switched as (select *, (lag(candidate) over (order by fold) <> candidate)::int switch from tested)"
+query(
+    "walkforward_rollup",
+    O.sql("select count(*) folds, round(sum(mean_return * n) / sum(n), 6) pooled, round(avg(mean_return), 6) averaged, round(stddev_samp(mean_return) / sqrt(count(*)), 6) std_error, cast(coalesce(sum(switch), 0) as bigint) switches, count(distinct candidate) distinct_picks from switched", *HOLD, JOINED, FOLD_VALUES, CANDIDATES, TRAIN, TESTED),
+)(lambda s, d: rounded(walkforward.rolled_up(walk_choices(s, d)[1])))
 
 
 def half_updated(s: SparkSession, d: str) -> DataFrame:
@@ -237,8 +239,8 @@ query(
 )(synced)
 query(
     "refetch_diff",
-    O.sql("select ticker, date, close stored_close, close * (1 + (row_number() over (partition by ticker order by date) % 7 = 0)::int * 0.02) fetched_close, round(2.0, 6) diff_pct from bars qualify row_number() over (partition by ticker order by date) % 7 = 0", O.DUCK_BARS),
-)(lambda s, d: (lambda b: rounded(store.refetch_differences(b, b.withColumn("close", F.col("close") * F.when(S.position() % 7 == 0, 1.02).otherwise(1.0)))).withColumn("fetched_close", F.col("stored_close") * 1.02))(B.bars(s, d)))
+    O.sql("select ticker, date, close stored_close, round(close * 1.02, 6) fetched_close, 2.0::double diff_pct from bars qualify row_number() over (partition by ticker order by date) % 7 = 0", O.DUCK_BARS),
+)(lambda s, d: (lambda b: rounded(store.refetch_differences(b, b.withColumn("close", F.col("close") * F.when(S.position() % 7 == 0, 1.02).otherwise(1.0)))))(B.bars(s, d)))
 query("fetch_failures", "select count(*) n, count(*) filter (event_type = 'error' or event_type = 'click') failed from events")(lambda s, d: store.failure_rate(B.table(s, d, "events").select(F.when(F.col("event_type").isin("error", "click"), "error").otherwise("ok").alias("status"))).select("n", "failed"))
 
 
@@ -246,12 +248,22 @@ def strategy_bars(s: SparkSession, d: str, key: str) -> DataFrame:
     return gated(s, d) if key == "H" else B.bars(s, d)
 
 
+def logged(log: DataFrame) -> DataFrame:
+    return rounded(log.withColumn("turnover", F.round("turnover", 2).cast("decimal(38,2)"))).withColumn("turnover", F.round("turnover", 2))
+
+
+def log_sql(key: str, body: str) -> str | None:
+    parts, code = O.WALKS.get(key, ((), ""))
+    return O.sql(body, *parts, O.log(code)) if parts else None
+
+
 for _key in STRATEGIES:
-    query(f"trade_log_{_key}")(lambda s, d, key=_key: rounded(trade_log.build(strategy_bars(s, d, key), STRATEGIES[key])))
-    query(f"trade_summary_{_key}")(lambda s, d, key=_key: rounded(trade_log.summary(trade_log.build(strategy_bars(s, d, key), STRATEGIES[key]))))
-query("latest_trades")(lambda s, d: rounded(trade_log.latest(trade_log.build(B.bars(s, d), STRATEGIES["D"]))))
-query("trade_log_published")(lambda s, d: rounded(trade_log.published(gated(s, d))))
-query("trade_log_last_year")(lambda s, d: rounded(trade_log.last_months(trade_log.build(B.bars(s, d), STRATEGIES["D"]), 12)))
+    query(f"trade_log_{_key}", log_sql(_key, f"select {O.LOG_ROWS} from log"))(lambda s, d, key=_key: logged(trade_log.build(strategy_bars(s, d, key), STRATEGIES[key])))
+    query(f"trade_summary_{_key}", log_sql(_key, O.LOG_SUMMARY))(lambda s, d, key=_key: rounded(trade_log.summary(trade_log.build(strategy_bars(s, d, key), STRATEGIES[key]))))
+LAST_ROW = "qualify row_number() over (partition by ticker order by (status = 'WATCHLIST')::int desc, buy_date desc, coalesce(exit_date, date '9999-12-31') desc, entry_code desc) = 1"
+query("latest_trades", log_sql("D", f"select {O.LOG_ROWS} from log {LAST_ROW}"))(lambda s, d: logged(trade_log.latest(trade_log.build(B.bars(s, d), STRATEGIES["D"]))))
+query("trade_log_published")(lambda s, d: logged(trade_log.published(gated(s, d))))
+query("trade_log_last_year", log_sql("D", f"select {O.LOG_ROWS} from log where signal_date is null or signal_date between (select max(signal_date) from log) - interval 12 month and (select max(signal_date) from log)"))(lambda s, d: logged(trade_log.last_months(trade_log.build(B.bars(s, d), STRATEGIES["D"]), 12)))
 
 
 RAW_TRADES = ["ticker", "entry_date", "entry_price", "exit_date", "exit_price", "exit_code", "bars_held", "resolved"]
@@ -261,8 +273,8 @@ def raw_trades(s: SparkSession, d: str, key: str) -> DataFrame:
     return rounded(run(B.bars(s, d), STRATEGIES[key]).where("entry_date is not null"), *RAW_TRADES)
 
 
-query("trades_D", O.sql(O.TRADES, O.DUCK_BARS, O.N, O.DMI, O.emas(50), O.base_signal(25, 15.0, 25, 25, 1.3, None, "close >= e50 * 0.95"), O.CHANDELIER))(lambda s, d: raw_trades(s, d, "D"))
-query("trades_K", O.sql(O.TRADES, O.DUCK_BARS, O.N, O.emas(50, 150, 200), O.base_signal(40, 12.0, 20, 50, 2.0, 0.7, "close > e50 and e50 > e150 and e150 > e200"), O.BRACKET))(lambda s, d: raw_trades(s, d, "K"))
+for _key, (_parts, _) in O.WALKS.items():
+    query(f"trades_{_key}", O.sql(O.TRADES, *_parts, O.TRADES_TABLE))(lambda s, d, key=_key: raw_trades(s, d, key))
 query(
     "event_bars",
     """select event_type ticker, date_trunc('day', ts) as "start", arg_min(value, ts) as open, max(value) as high, min(value) as low, arg_max(value, ts) as close, count(*) volume from events group by 1, 2""",
@@ -273,11 +285,11 @@ query("ticker_history", O.sql("select ticker, date, close, round(ma5, 6) ma5, ro
 query(
     "measured_outcomes",
     O.sql("select tier, count(*) n, round(avg((r > 0)::int) * 100, 6) win_pct, round(avg(r), 6) mean_return, round(median(r), 6) median_return, min(entry_date) first_entry, max(entry_date) last_entry, any_value(rule_version) rule_version from j where r is not null and tier is not null group by tier", *HOLD, JOINED),
-)(lambda s, d: rounded(readers.measured_outcomes(tiered(s, d, labels.HOLD_20), labels.HOLD_20.version)))
+)(lambda s, d: (lambda found: rounded(readers.measured_outcomes(calibration.tiered(found[0].drop("tier"), found[1]), labels.HOLD_20.version)))(trades(s, d, labels.HOLD_20)))
 query("radar_D")(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["D"]))
 query("radar_A")(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["A"]))
 query("recent_entries_G")(lambda s, d: readers.recent_entries(B.bars(s, d), STRATEGIES["G"], 20))
-query("trade_span_D")(lambda s, d: rounded(readers.span_guard(run(B.bars(s, d), STRATEGIES["D"]).where("entry_date is not null"))))
+query("trade_span_D", O.sql("select min(entry_date) as \"first\", max(exit_date) as \"last\", count(*) n, round(date_diff('day', min(entry_date), max(exit_date)) / 365.25, 6) as \"years\", coalesce(date_diff('day', min(entry_date), max(exit_date)) / 365.25 >= 2, false) enough from tr", *O.WALKS["D"][0], O.TRADES_TABLE))(lambda s, d: rounded(readers.span_guard(run(B.bars(s, d), STRATEGIES["D"]).where("entry_date is not null"))))
 query(
     "stock_list",
     "select concat('C', cast(c_custkey as varchar), '.JK') ticker, c_name as name from customer where c_custkey < 100000",
