@@ -2,21 +2,23 @@
 
 A document is the sequence of the IDs of its lines (split at line feeds, 96-bit
 hashes).  A *run* of consecutive lines counts if its text, line feeds between lines
-included, has at least ``MIN_BYTES`` bytes; from each line only the shortest such run is
-compared, as in ``ORACLE``.  A line goes if it lies in one that also
-starts earlier: in a smaller doc_id, or further up in the same document.  Short lines
-that only end a longer repeated run stay.  Runs never cross documents and are judged on
-the input.
+included, has at least ``MIN_BYTES`` bytes.  A line goes if it lies in a run that counts
+and also starts earlier: in a smaller doc_id, or further up in the same document.  Runs
+never cross documents and are judged on the input; of a longer repeated run every line
+goes, short ones at its end too.
 
 Doubling: the name of 2h lines from line i is a hash of the names of the h lines from
-i and from i + h, so names of all powers of two take log2 steps, and a suffix's prefix
-of any length is named by the two powers that cover it.  Since a run stays inside one
-document the steps need no exchange; the exchange is the sort.  Each suffix goes, under
-the name of its shortest prefix that counts, to a bucket that sorts its share of the
-suffix array: equal names are the intervals whose common prefix reaches the threshold,
-all but the first suffix of an interval lose those lines, and overlapping losses join
-into maximal runs.  Later suffixes of an interval that meet in one task are dropped
-before the exchange, so a line in every third document sends one row per task.
+i and from i + h, so names of all powers of two take log2 steps, and a run of any length
+is named by the two powers that cover it.  Since a run stays inside one document the
+steps need no exchange; the exchange is the sort.  Two suffix arrays are built, of the
+sequences and of their reverse: of each suffix its shortest prefix that counts is sorted,
+under its name, and equal names are the intervals whose longest common prefix reaches
+the threshold.  All but the first place of an interval go, and what goes joins into the
+maximal repeated runs: a line x of a repeated run [p, q] lies in the shortest run from p
+that counts or, past its end, in the shortest one that ends at x, and both lie in [p, q]
+and repeat with it.  So no longer prefix need be compared, and the order inside an
+interval is that of places.  Later places that meet in one task are dropped before the
+exchange, so a line in every third document sends one row per task.
 
 Null text: no lines, nothing to lose.  Empty text: one empty line.  Every row is judged
 on its own: rows that repeat a doc_id come in the order of a hash of their texts, null
@@ -58,31 +60,33 @@ def lines(s: K.TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def suffixes(s: K.TextSlice, min_bytes: int = MIN_BYTES) -> tuple[np.ndarray, ...]:
-    """Per suffix with a run that counts: name, second name, text index, line index, lines in the run."""
+    """Per shortest run that counts, from its first line or to its last one: name, second name, text index, line index, lines in the run."""
     starts, ends, before = lines(s)
     n = len(starts)
     if not n:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     text = np.repeat(np.arange(s.n), np.diff(before))
-    # shortest run of at least min_bytes: the first line that ends far enough, in the same text
+    at = np.arange(n)
+    # the first line that ends far enough from each line's start, the last one that starts far enough from each line's end
     reach = np.searchsorted(ends, starts + min_bytes, "left")
-    ok = reach < before[text + 1]
-    size = np.where(ok, reach - np.arange(n) + 1, 0)
+    back = np.searchsorted(starts, ends - min_bytes, "right") - 1
+    onward, backward = reach < before[text + 1], back >= before[text]
+    run = np.unique(np.concatenate([at[onward] * (n + 1) + (reach - at + 1)[onward], back[backward] * (n + 1) + (at - back + 1)[backward]]))
+    at, size = run // (n + 1), run % (n + 1)
     names = K.SpanHash(K.BYTE_WORDS[s.buf])(starts, ends)
     level, h = [names], 1
-    while h * 2 <= size.max():
+    while h * 2 <= size.max(initial=0):
         last = level[-1]
         nxt = last.copy()
         nxt[: n - h] = K.mix(last[: n - h] * np.uint64(0x9FB21C651E98DF25) + last[h:])
         level.append(nxt)
         h *= 2
-    at = np.flatnonzero(ok)
-    power = np.log2(size[at]).astype(np.int64)
+    power = np.log2(size).astype(np.int64)
     table = np.stack(level)
-    a, b = table[power, at], table[power, at + size[at] - (1 << power)]
-    name = K.mix(a * np.uint64(0xD1342543DE82EF95) + b + size[at].astype(np.uint64))
-    check = K.mix(b * SECOND + (a ^ size[at].astype(np.uint64)))
-    return name, check & np.uint64(0xFFFFFFFF), text[at], at - before[text[at]], size[at]
+    a, b = table[power, at], table[power, at + size - (1 << power)]
+    name = K.mix(a * np.uint64(0xD1342543DE82EF95) + b + size.astype(np.uint64))
+    check = K.mix(b * SECOND + (a ^ size.astype(np.uint64)))
+    return name, check & np.uint64(0xFFFFFFFF), text[at], at - before[text[at]], size
 
 
 def lost(doc: np.ndarray, twin: np.ndarray, line: np.ndarray, size: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
@@ -213,19 +217,19 @@ def stage(docs: DataFrame) -> DataFrame:
     return dealt(docs, MIN_BYTES, [c for c in names if c not in ("text", "n_chars")]).mapInArrow(lambda b: rebuilt(b, MIN_BYTES, names), T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema]))
 
 
+#: Equal lines on one diagonal of two documents, one after another, are a common run.
 ORACLE = r"""
 with l as (
   select doc_id, string_split(text, chr(10)) ls from documents where text is not null),
 p as (
-  select doc_id, ls, unnest(range(1, len(ls) + 1)) i, unnest([strlen(x) for x in ls]) b from l),
-c as (
-  select doc_id, ls, i, b, sum(b + 1) over (partition by doc_id order by i) - 1 e from p),
-k as (
-  select s.doc_id, s.i, any_value(s.ls) ls, min(t.i) j from c s join c t on s.doc_id = t.doc_id and t.i >= s.i and t.e - (s.e - s.b) >= 64 group by all),
-w as (select doc_id, i, j, row_number() over (partition by array_to_string(ls[i : j], chr(10)) order by doc_id, i) r from k),
-g as (select distinct doc_id, unnest(range(i, j + 1)) x from w where r > 1),
+  select doc_id, unnest(ls) x, unnest(range(1, len(ls) + 1)) i from l),
+m as (
+  select a.doc_id, a.i, b.doc_id other, a.i - b.i diagonal, strlen(a.x) b from p a join p b on a.x = b.x and (b.doc_id < a.doc_id or b.doc_id = a.doc_id and b.i < a.i)),
+r as (select *, i - row_number() over (partition by doc_id, other, diagonal order by i) island from m),
+c as (select *, sum(b + 1) over (partition by doc_id, other, diagonal, island) - 1 bytes from r),
+g as (select distinct doc_id, i x from c where bytes >= 64),
 n as (select doc_id, count(*) n_removed, count(*) filter (coalesce(prev, -9) <> x - 1) n_runs from (select doc_id, x, lag(x) over (partition by doc_id order by x) prev from g) group by doc_id),
-kept as (select p.doc_id, string_agg(ls[i], chr(10) order by i) t from p left join g on g.doc_id = p.doc_id and g.x = p.i where g.x is null group by p.doc_id)
+kept as (select p.doc_id, string_agg(p.x, chr(10) order by i) t from p left join g on g.doc_id = p.doc_id and g.x = p.i where g.x is null group by p.doc_id)
 select d.doc_id, coalesce(len(ls), 0) n_lines, coalesce(n_removed, 0) n_removed, coalesce(n_runs, 0) n_runs, sha256(coalesce(kept.t, '')) kept_sha256
 from documents d left join l using (doc_id) left join n using (doc_id) left join kept using (doc_id)
 """

@@ -165,7 +165,6 @@ def line_brute(texts, least=64):
                     if run in seen:
                         gone.update(range(a, b + 1))
                     seen.add(run)
-                    break
         kept = "\n".join(x for k, x in enumerate(ls) if k not in gone)
         out[i] = (len(ls), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
@@ -181,6 +180,16 @@ def test_line_dedup_equals_brute_force(spark, docs, empty):
     assert line_dedup.deduplicated(empty).count() == 0
 
 
+def test_short_lines_that_end_a_repeated_run_go_too(spark):
+    run = prose(20, 61) + "\nshort end"
+    rows = [(0, run, 0), (1, "head\n" + run + "\ntail", 0), (2, "short end\nelse", 0), (3, "begin\n" + run, 0), (4, "", 0)]
+    got = {r.doc_id: (r.n_removed, r.n_runs) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, kept_id int")).collect()}
+    assert got == {0: (0, 0), 1: (2, 1), 2: (0, 0), 3: (2, 1), 4: (0, 0)}
+    own = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, kept int, kept_id string, key string")
+    left = {r.doc_id: r.text for r in line_dedup.stage(own).collect()}
+    assert left == {0: run, 1: "head\ntail", 2: "short end\nelse", 3: "begin", 4: ""} and line_dedup.stage(own).columns == own.columns
+
+
 def test_line_stage_keeps_columns_and_drops_emptied(spark):
     rows = [(1, prose(30, 1), "a", "x", 0), (2, prose(30, 1), "b", "x", 0), (3, None, "c", "x", 0), (4, "short\n" + prose(30, 1), "d", None, 0)]
     got = {r.doc_id: r for r in line_dedup.stage(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
@@ -208,6 +217,37 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.where("vec_id = 20")).count() == 0
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    x = {20: [1e30, 1.0], 1: [1.0, 1.0], 2: [-3e25, 0.0], 40: [2e9, 1.0], 3: [2.5e9, -1.0], -1: [0.5, 0.5], -20: [1e300, -1e300]}
+    rows = [*x.items(), (1, x[1]), (40, x[40]), (None, [9.0, 9.0])]
+    got = {(r.query_id, r.vec_id): (r["rank"], r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    whole = {i: [int(np.floor(64 * c)) for c in v] for i, v in x.items()}
+    cut = lambda v: min(max(v, -(1 << 63)), (1 << 63) - 1)
+    for q in (20, 40, -20):
+        best = sorted((-cut(sum(a * b for a, b in zip(whole[q], whole[c]))), c) for c in x if c != q)
+        assert [got[q, c] for _, c in best] == [(k + 1, -s) for k, (s, _) in enumerate(best)]
+    assert len(got) == 3 * 6
+
+
+def test_pivots_eliminate_candidates():
+    """Vectors in clusters: most candidates are left out, and blocks in any cut give the same lists."""
+    rng = np.random.default_rng(12)
+    x = np.floor(64 * (rng.normal(0, 2, (20, 1, 8)) + rng.normal(0, 0.05, (20, 200, 8)))).reshape(-1, 8)
+    ids = np.arange(len(x))
+    table = topk.distances(x, topk.chosen_pivots(x[::7]))
+    block = topk.Block(ids[::20], x[::20], table[::20], 20)
+    for a in range(0, len(x), 700):
+        block.meet(ids[a : a + 700], x[a : a + 700], table[a : a + 700])
+    want = x[::20] @ x.T
+    want[np.arange(200), ids[::20]] = -1e18
+    assert (block.score == np.sort(want, 1)[:, ::-1][:, :20]).all() and block.evaluated < block.met / 2
+
+
+def test_grid_moves_vectors_to_few_blocks():
+    assert topk.grid(2564, 24, 20) == (1, 24) and topk.grid(0, 24, 20) == (1, 24)
+    assert topk.grid(10**6, 3000, 20) == (123, 25)
+
+
 # --- 6 and 7
 
 
@@ -442,6 +482,29 @@ def test_extraction_of_odd_pages(page, want):
     assert html_extract.extract(page) == want
 
 
+def test_only_the_best_article_frees_its_parents():
+    main = f"<main><article><p>{PROSE}</p><p>{PROSE} Again.</p>"
+    end = "</article></main>"
+    teaser = f'<aside class=sidebar><article class=teaser><p>{PROSE} Teaser.</p></article><article><p>Short, see more, of it, here, now and then.</p></article></aside>'
+    assert html_extract.extract(main + end + teaser) == html_extract.extract(teaser + main + end) == f"{PROSE} {PROSE} Again."
+    comments = f'<article class="comment"><p>{PROSE} I, a reader, think so, too.</p></article>'
+    assert html_extract.extract(main + comments + end) == f"{PROSE} {PROSE} Again."
+    assert html_extract.extract(f'<div class="overlay"><article><p>{PROSE}</p></article></div><p>Short one.</p>') == PROSE
+
+
+@pytest.mark.parametrize("tag", ['<p title=5">', "<p title=it's>", '<p title="a>b">', "<p a=b/>", '<p "odd" = x>', "<p class=>", "<p\nid='x'class=y>"])
+def test_attributes_are_no_text(tag):
+    assert html_extract.extract(f"<div>{tag}{PROSE}</p></div>") == PROSE
+
+
+def test_extraction_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "u", PAGE, "x", 1)] * 2 + [(None, None, "<p>" + PROSE, "y", 2)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html_extract.extracted(frame).collect()
+    assert len(got) == 3 and [r.text for r in got if r.page_id is None] == [PROSE]
+    assert html_extract.extracted(frame.limit(0)).count() == 0
+
+
 def test_extraction_rows(spark):
     got = html_extract.extracted(spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 3)], "page_id long, url string, html string, text int")).collect()
     assert [(r.page_id, r.n_chars == len(r.text)) for r in sorted(got)] == [(1, True), (2, True)]

@@ -53,7 +53,6 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
                     if run in seen:
                         gone.update(range(a, b + 1))
                     seen.add(run)
-                    break
         if not gone or len(gone) < len(lines):
             texts[i] = None if rows[i] is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
     order = sorted(texts)
