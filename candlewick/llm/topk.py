@@ -8,11 +8,17 @@ each pivot p; the largest of these gives an upper bound of the inner product,
 the rest is left out once it falls below the k-th best score.  The bounds only decide
 what is evaluated, so results are exact whatever the pivots are.
 
-Blocks of queries meet groups of vectors, both of bounded size, each pair in one task that
-streams the group past the block; best lists of the groups are merged per query.
+Blocks of queries meet groups of vectors, each pair in one task that streams the group
+past the block; best lists of the groups are merged per query.  The grid of blocks and
+groups follows the tasks that the cluster runs at once, and a block holds at most
+``QUERIES`` queries, so what is exchanged grows with the vectors: twenty times fewer
+queries go to many groups, and vectors to few blocks.
 
 Vectors that are null or hold nulls or non-finite values take no part.  Shorter vectors
-are filled with zeros.  vec_id is a key: repeated rows of an id are one candidate.
+are filled with zeros.  vec_id is a key: repeated rows of an id are one candidate, rows
+without an id take no part.  Components of any finite size count exactly, and a score
+beyond 64 bits is the nearest integer of 64 bits.  Empty tables give an empty result;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +36,15 @@ from candlewick.llm.session import read
 
 K_BEST, EVERY, SCALE = 20, 20, 64
 PIVOTS, SAMPLE = 16, 1024
-QUERIES, VECTORS, CHUNK = 512, 8192, 4096
+#: Queries of a block, at most; cells of the table of bounds that a task holds at once.
+QUERIES, CELLS = 8192, 1 << 23
 QUERY, DATA = 0, 1
+#: No vector; stands in best lists that are not full.
+NONE = np.iinfo(np.int64).min
 
 
 def integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that take part, and their integers."""
+    """Rows that take part, and their integers, which doubles hold exactly: of a double, 64 times and the floor are exact."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = np.asarray(column.values.cast(pa.float64()).fill_null(np.nan))
@@ -47,13 +56,21 @@ def integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     use = np.flatnonzero(ok)
     sizes = offsets[use + 1] - offsets[use]
     wide = int(sizes.max()) if len(use) else 0
-    out = np.zeros((len(use), wide), np.int64)
+    out = np.zeros((len(use), wide))
     rows = np.repeat(np.arange(len(use)), sizes)
     cols = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[rows, cols] = np.floor(SCALE * flat[K.spread(offsets[use], sizes)]).astype(np.int64)
+    with np.errstate(over="ignore"):
+        out[rows, cols] = np.nan_to_num(np.floor(SCALE * flat[K.spread(offsets[use], sizes)]))
     return use, out
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers of any size, cut to 64 bits at the end."""
+    own = [int(v) for v in q]
+    sums = (sum(int(a) * b for a, b in zip(row, own)) for row in x)
+    return np.array([min(max(v, -(1 << 63)), (1 << 63) - 1) for v in sums], np.int64)
+
+
 def widened(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] >= width else np.concatenate([x, np.zeros((len(x), width - x.shape[1]), x.dtype)], 1)
 
@@ -63,17 +80,20 @@ def chosen_pivots(sample: np.ndarray, many: int = PIVOTS) -> np.ndarray:
     if not len(sample):
         return sample
     picked = [0]
-    far = ((sample - sample[0]) ** 2).sum(1).astype(float)
+    with np.errstate(over="ignore"):
+        far = ((sample - sample[0]) ** 2).sum(1)
     while len(picked) < min(many, len(sample)) and far.max() > 0:
         picked.append(int(far.argmax()))
-        far = np.minimum(far, ((sample - sample[picked[-1]]) ** 2).sum(1))
+        with np.errstate(over="ignore"):
+            far = np.minimum(far, ((sample - sample[picked[-1]]) ** 2).sum(1))
     return sample[picked]
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     width = max(x.shape[1], pivots.shape[1])
-    a, b = widened(x, width).astype(float), widened(pivots, width).astype(float)
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+    a, b = widened(x, width), widened(pivots, width)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
 
 
 class Block:
@@ -81,29 +101,39 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray, k: int):
         self.ids, self.x, self.table, self.k = ids, x, table, k
-        self.norm = (x.astype(float) ** 2).sum(1)
+        with np.errstate(over="ignore"):
+            self.norm = (x**2).sum(1)
         self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
-        self.best = np.full((len(ids), k), -1, np.int64)
+        self.best = np.full((len(ids), k), NONE, np.int64)
+        self.met = self.evaluated = 0
 
     def meet(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray) -> None:
+        step = max(1, CELLS // max(1, len(self.ids)))
+        for a in range(0, len(ids), step):
+            self._meet(ids[a : a + step], x[a : a + step], table[a : a + step])
+
+    def _meet(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray) -> None:
         width = max(self.x.shape[1], x.shape[1])
         q, x = widened(self.x, width), widened(x, width)
-        exact = np.abs(x).max(initial=0) < 1 << 20 and np.abs(q).max(initial=0) < 1 << 20 and width <= 1 << 12
-        qf, xf = (q.astype(float), x.astype(float)) if exact else (q, x)
-        norm = (x.astype(float) ** 2).sum(1)
-        low = np.zeros((len(q), len(x)))
-        for p in range(table.shape[1]):
-            np.maximum(low, np.abs(self.table[:, p, None] - table[None, :, p]), out=low)
-        # a little room, as distances are rounded
-        low = np.maximum(low - 1e-6 * (1 + low), 0)
-        bound = (self.norm[:, None] + norm[None, :] - low * low) / 2 + 1e-3
+        most = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * width
+        self.exact = most < 1 << 53
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = (x**2).sum(1)
+            low = np.zeros((len(q), len(x)))
+            for p in range(table.shape[1]):
+                np.maximum(low, np.abs(self.table[:, p, None] - table[None, :, p]), out=low)
+            # a little room, as distances are rounded
+            low = np.maximum(low - 1e-6 * (1 + low), 0)
+            bound = (self.norm[:, None] + norm[None, :] - low * low) / 2 + 1e-3 + 1e-9 * (self.norm[:, None] + norm[None, :])
+        bound[np.isnan(bound)] = np.inf
         step = max(256, self.k)
+        self.met += len(q) * len(x)
         for i in range(len(q)):
             own = bound[i]
             at = np.flatnonzero((own >= self.score[i, -1]) & (ids != self.ids[i]))
             if len(at) > step:
                 head = np.argpartition(-own[at], step)[:step]
-                self._take(i, at[head], ids, qf, xf)
+                self._take(i, at[head], ids, q, x)
                 rest = np.ones(len(at), bool)
                 rest[head] = False
                 at = at[rest]
@@ -112,25 +142,26 @@ class Block:
             for a in range(0, len(at), 8 * step):
                 if own[at[a]] < self.score[i, -1]:
                     break
-                self._take(i, at[a : a + 8 * step], ids, qf, xf)
+                self._take(i, at[a : a + 8 * step], ids, q, x)
 
     def _take(self, i: int, at: np.ndarray, ids: np.ndarray, q: np.ndarray, x: np.ndarray) -> None:
         if not len(at):
             return
-        found = (x[at] @ q[i]).astype(np.int64)
-        kth = self.score[i, -1]
-        near = found >= kth
+        self.evaluated += len(at)
+        found = (x[at] @ q[i]).astype(np.int64) if self.exact else products(x[at], q[i])
+        near = found >= self.score[i, -1]
         score, best = np.concatenate([self.score[i], found[near]]), np.concatenate([self.best[i], ids[at[near]]])
-        order = np.lexsort((best, -score))
+        taken = np.concatenate([self.best[i] != NONE, np.ones(near.sum(), bool)])
+        # those taken first, by score (as its complement, which can't overflow) and id; the first row of an id counts
+        order = np.lexsort((best, ~score, ~taken))
         _, first = np.unique(best[order], return_index=True)
-        missing = best[order] < 0
         keep = np.zeros(len(order), bool)
         keep[first] = True
-        order = np.concatenate([order[keep & ~missing], order[missing]])[: self.k]
+        order = np.concatenate([order[keep & taken[order]], order[~taken[order]]])[: self.k]
         self.score[i], self.best[i] = score[order], best[order]
 
     def result(self) -> pa.RecordBatch:
-        row, col = np.nonzero(self.best >= 0)
+        row, col = np.nonzero(self.best != NONE)
         return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.best[row, col]), pa.array(self.score[row, col])], names=["query_id", "vec_id", "score"])
 
 
@@ -140,18 +171,23 @@ def pack(ids: np.ndarray, x: np.ndarray, table: np.ndarray) -> bytes:
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shape, ids, raw, table = K.unpack_columns(blob, np.int64, np.int64, np.uint8, np.float64)
-    kind = np.int32 if raw.size == 4 * shape.prod() else np.int64
-    return ids, raw.view(kind).reshape(shape).astype(np.int64), table.reshape(len(ids), -1)
+    kind = np.int32 if raw.size == 4 * shape.prod() else np.float64
+    return ids, raw.view(kind).reshape(shape).astype(float), table.reshape(len(ids), -1)
+
+
+def grid(queries: int, tasks: int, every: int) -> tuple[int, int]:
+    """Blocks of queries and groups of vectors: few blocks, as each takes all vectors, and about ``tasks`` pairs."""
+    blocks = max(1, -(-queries // QUERIES), round((tasks / every) ** 0.5))
+    return blocks, max(1, -(-tasks // blocks))
 
 
 def top_k(vectors: DataFrame, k: int = K_BEST, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
     own = vectors.selectExpr("cast(vec_id as bigint) vec_id", "embedding").where("vec_id is not null")
-    size = own.count()
-    n_blocks, n_groups = max(1, -(-size // every // QUERIES)), max(1, -(-size // VECTORS))
+    n_blocks, n_groups = grid(own.where(F.col("vec_id") % every == 0).count(), 3 * spark.sparkContext.defaultParallelism, every)
     sample = own.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
-    pivots = chosen_pivots(integers(sample.column(0))[1]) if sample.num_rows else np.zeros((0, 0), np.int64)
+    pivots = chosen_pivots(integers(sample.column(0))[1]) if sample.num_rows else np.zeros((0, 0))
     shipped = spark.sparkContext.broadcast(pivots)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +208,7 @@ def top_k(vectors: DataFrame, k: int = K_BEST, every: int = EVERY) -> DataFrame:
     # a group meets every block of queries, and a block every group
     other = F.when(F.col("kind") == DATA, F.sequence(F.lit(0), F.lit(n_blocks - 1))).otherwise(F.sequence(F.lit(0), F.lit(n_groups - 1)))
     met = packed.withColumn("other", F.explode(other)).select(F.when(F.col("kind") == DATA, F.col("other") * n_groups + F.col("part")).otherwise(F.col("part") * n_groups + F.col("other")).cast("int").alias("bucket"), "kind", "payload")
-    parts = min(n_blocks * n_groups, 100_000)
+    parts = n_blocks * n_groups
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, block, queries, held, many = None, None, [], [], 0
@@ -182,8 +218,7 @@ def top_k(vectors: DataFrame, k: int = K_BEST, every: int = EVERY) -> DataFrame:
             if block is None and queries:
                 block = joined(queries, k)
             if block is not None and held:
-                ids, x, table = merge(held)
-                block.meet(ids, x, table)
+                block.meet(*merge(held))
             held, many = [], 0
 
         for batch in batches:
@@ -199,7 +234,7 @@ def top_k(vectors: DataFrame, k: int = K_BEST, every: int = EVERY) -> DataFrame:
                 else:
                     held.append(got)
                     many += len(got[0])
-                    if many >= CHUNK:
+                    if many >= 4096:
                         meet()
         meet()
         if block is not None:
