@@ -10,11 +10,15 @@ trimmed, blocks joined by one space, character references decoded.
 
 Boilerplate is what its element says (nav, header, footer, aside, form, script, style, and
 the like; the title heading of an article is not) or what its class, id or role names
-(menus, sidebars, notices, adverts, sharing, comments), unless it holds the article itself.
+(menus, sidebars, notices, adverts, sharing, comments).  An article is boilerplate only if
+it names comments, adverts or teasers.  Of the articles inside boilerplate the one that
+scores best, if it scores better than all that is outside, frees the elements around it.
 
-Pages are scored one by one in the task that reads them; there is no exchange.  Null or
-empty html and pages without prose outside boilerplate give an empty text.  If no
-paragraph earns points, the body's text outside boilerplate is taken.
+Pages are scored one by one in the task that reads them; there is no exchange, and every
+row has one result row, repeated rows too.  Null or empty html and pages without prose
+outside boilerplate give an empty text.  If no paragraph earns points, the body's text
+outside boilerplate is taken.  A null page_id or url stays null, further columns of any
+name are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from candlewick.llm.session import read
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Attributes as the tokenizer of HTML reads them: a quote inside a name or an unquoted value is part of it.
+ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{ATTRIBUTE})*+)(?:>|\Z)""", re.S)
+PARTS = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
+NAMES = frozenset("class id role hidden style aria-hidden".split())
 SPACES = re.compile(r"\s+")
 
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -49,6 +56,9 @@ WORDS = (
     "sponsor sponsored sponsors subscribe subscription taboola tags toolbar toc tooltip widget"
 ).split()
 NAMED = re.compile(r"(?:^|[\s_-])(?:" + "|".join(map(re.escape, WORDS)) + r")(?:$|[\s_\d-])", re.I)
+#: What an article may name and be boilerplate.
+ARTICLE_WORDS = "ad ads advert adverts advertisement comment comments commentlist promo promoted promotion reader-comments recommended related replies reply sponsored teaser teasers".split()
+ARTICLE_NAMED = re.compile(r"(?:^|[\s_-])(?:" + "|".join(map(re.escape, ARTICLE_WORDS)) + r")(?:$|[\s_\d-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Points: of a paragraph, for each comma, for each hundred characters up to a limit; characters that make one.
 BASE, COMMA, PER, MOST, LEAST = 1.0, 1.0, 100, 3.0, 25
@@ -66,11 +76,14 @@ class Node:
 
 
 def boilerplate(tag: str, attributes: str) -> bool:
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NAMED.search(value):
+    named = ARTICLE_NAMED if tag == "article" else NAMED
+    for name, *values in PARTS.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name not in NAMES:
+            continue
+        if name in ("class", "id") and named.search(value):
             return True
         if name == "role" and value.lower() in ROLES:
             return True
@@ -125,17 +138,12 @@ def tree(page: str) -> Node:
                 node = last.parent
         own = Node(tag, node, tag in DROPPED, boilerplate(tag, m.group(3)))
         node.parts.append(own)
-        if tag in ("article", "main"):
-            up = node
-            while up is not None and not up.holds:
-                up.holds = True
-                up = up.parent
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             if tag == "title":
                 own.parts.append(page[at : close.start() if close else end])
             at = close.end() if close else end
-        elif tag not in VOID and not m.group(3).rstrip().endswith("/"):
+        elif tag not in VOID and not re.search(r"""(?:^|[\s"'])/$""", m.group(3)):
             node = own
     return root
 
@@ -185,6 +193,8 @@ def measured(root: Node) -> list[Node]:
                 links += x.links
                 own_commas += commas[id(x)]
         node.size, node.links, commas[id(node)] = size, size if node.tag == "a" else links, own_commas
+    for node in order:
+        node.score = 0.0
     for node in order:
         loose = node.tag in ("div", "section", "article", "main", "body") and not any(isinstance(x, Node) and x.tag in BLOCKS and x.tag != "br" for x in node.parts)
         if not (node.tag in PARAGRAPHS or loose) or node.size < LEAST or node.parent is None:
@@ -197,25 +207,44 @@ def measured(root: Node) -> list[Node]:
             up.score += points * share
             scored[id(up)] = up
             up, share = up.parent, share / 2
+    for node in scored.values():
+        node.score *= 1 - node.links / max(node.size, 1)
     return list(scored.values())
 
 
+def top(found: list[Node]) -> float:
+    return max((x.score for x in found), default=0.0)
+
+
+def freed(root: Node, found: list[Node]) -> list[Node]:
+    """The scores once the best article inside boilerplate, if it beats all outside, has freed what is around it."""
+    best, least = None, top(found)
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside = inside or gone(node)
+        for x in node.parts:
+            if isinstance(x, Node):
+                stack.append((x, inside))
+                if inside and x.tag in ("article", "main") and not gone(x) and (score := top(measured(x))) > least:
+                    best, least = x, score
+    if best is None:
+        return measured(root) if found else found
+    up = best.parent
+    while up is not None:
+        up.holds = True
+        up = up.parent
+    return measured(root)
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
     root = tree(page)
-    found = measured(root)
-    for node in found:
-        node.score *= 1 - node.links / max(node.size, 1)
+    found = freed(root, measured(root))
     best = max(found, key=lambda x: x.score, default=None)
     if best is None or best.score <= 0:
         return text_of([root])
-    # the article around a container that holds part of it
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    if up is not None and up.size and up.links / up.size < 0.5:
-        best = up
     if best.parent is None or best.parent.tag == "#root" or best.tag in ("body", "html"):
         return text_of([best])
     kept = []
