@@ -307,66 +307,54 @@ def test_toxicity_on_held_out_rows(labelled):
     assert toxicity.scored(docs, toxicity.fitted(docs, labels.limit(0))).count() == 602
 
 
-def test_kneser_ney_probabilities_add_up():
-    h = np.arange(1, 5, dtype=np.uint64)
-    n = np.array([[5, 4, 7], [9, 1, 9], [2, 0, 2], [0, 6, 6]])
-    totals = np.array([n[:, 0].sum(), n[:, 1].sum(), np.minimum(n[:, 0], 3).sum(), np.minimum(n[:, 1], 3).sum(), n[:, 2].sum()])
-    model = toxicity.Model(h, n, np.zeros(0, np.uint64), np.zeros((0, 4)), np.zeros(0, np.uint64), np.zeros((0, 2)), totals)
-    ratio = model.ratios(h, np.full(4, 77, np.uint64))
-    shared = n[:, 2] / n[:, 2].sum()
-    p = [(np.maximum(n[:, k] - 3, 0) + totals[2 + k] * shared) / totals[k] for k in (0, 1)]
-    assert sum(p[0]) == pytest.approx(1) and sum(p[1]) == pytest.approx(1)
-    assert ratio == pytest.approx(np.log(p[1] / p[0]))
+def kneser_ney_brute(counted, texts):
+    """Evidence of texts by plain counts of the pairs of (text, toxic) rows."""
+    word_pairs = lambda t: set(zip([None, *(ws := re.findall(rb"[0-9a-z\x80-\xff]+", raw(t).lower()))], ws))
+    pairs = [set().union(*(word_pairs(t) for t, y in counted if y == k)) for k in (0, 1)]
+    after = lambda found: {w: sum(x[1] == w for x in found) for w in {x[1] for x in found}}
+    n, m = [after(p) for p in pairs], after(pairs[0] | pairs[1])
+    discount = [2 * len(p) / min(map(len, pairs)) for p in pairs]
+    q = [{w: (max(n[k].get(w, 0) - discount[k], 0) + m[w] / sum(m.values()) * sum(min(x, discount[k]) for x in n[k].values())) / len(pairs[k]) for w in m} for k in (0, 1)]
+    assert [sum(x.values()) for x in q] == pytest.approx([1, 1])
+    clear = {w: np.log(q[1][w] / q[0][w]) for w in m if abs(np.log(q[1][w] / q[0][w])) > 1.5}
+    return [sum(clear.get(w, 0) for _, w in word_pairs(t)) / max(len(word_pairs(t)), 1) for t in texts], clear
 
 
 def test_toxicity_scores_by_exact_counts(spark, monkeypatch):
-    """Against a model of the same rows in whole tables: no word or bigram is left to the unseen case, in any chunking."""
-    monkeypatch.setattr(toxicity, "WORDS_KEPT", 3, raising=False)
-    monkeypatch.setattr(toxicity, "BIGRAMS_KEPT", 3, raising=False)
-    monkeypatch.setattr(toxicity, "CHUNK", 400, raising=False)
-    rows = [(i, prose(80, 700 + i % 30), "s", None) for i in range(120)] + [(None, prose(40, 701), "s", None), (500, None, "s", None)]
+    """Against plain counts: no word is left out, in any chunking, with a bitmap that marks too many, for repeated and null ids."""
+    monkeypatch.setattr(toxicity, "FLUSH", 400)
+    monkeypatch.setattr(toxicity, "MARKS", 64)
+    texts = [" ".join(w + (" vile" + "aeiou"[k % 5] if i % 3 == 0 and k % 9 == 0 else "") for k, w in enumerate(prose(80, 700 + i % 30).split())) for i in range(120)]
+    rows = [(i, t, "s", None) for i, t in enumerate(texts)] + [(None, texts[3], "s", None), (500, None, "s", None), (3, texts[0] + " vilea", "s", None), (501, "", "s", None), (None, texts[3], "s", None)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
-    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)] + [(3, 1, 0), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 7)
     model = toxicity.fitted(docs, labels)
-    counted = model.rows.collect()
-    pairs, per_doc = [{}, {}], {}
-    for r in counted:
-        ws = re.findall(rb"[0-9a-z\x80-\xff]+", raw(r.text).lower())
-        for p in set(zip([None, *ws], ws)):
-            pairs[r.y][p] = pairs[r.y].get(p, 0) + 1
-    after = [{w: sum(x[1] == w for x in p) for w in {x[1] for x in p}} for p in pairs]
-    shared = {}
-    for _, w in set(pairs[0]) | set(pairs[1]):
-        shared[w] = shared.get(w, 0) + 1
-    sums = [{}, {}]
-    for k in (0, 1):
-        for (v, _), c in pairs[k].items():
-            a, b = sums[k].get(v, (0, 0))
-            sums[k][v] = (a + c, b + min(c, 2))
-
-    def ratio(v, w):
-        logs = []
-        for k in (0, 1):
-            s = (max(shared.get(w, 0) - 0.8, 0) + 0.8) / sum(shared.values())
-            q = (max(after[k].get(w, 0) - 3, 0) + s * sum(min(x, 3) for x in after[k].values())) / sum(after[k].values())
-            c, taken = sums[k].get(v, (0, 0))
-            logs.append(np.log((max(pairs[k].get((v, w), 0) - 2, 0) + q * taken) / c if c else q))
-        return logs[1] - logs[0]
-
-    for i, t, _, _ in rows:
-        ws = re.findall(rb"[0-9a-z\x80-\xff]+", raw(t).lower())
-        r = [ratio(*p) for p in set(zip([None, *ws], ws))]
-        per_doc[i] = np.clip(r, -8, 8).mean() if r else 0
-    got = {r.doc_id: r.evidence[0] for r in model.found.collect()}
-    assert got == pytest.approx(per_doc) and any(abs(x) > 0.1 for x in got.values())
+    train = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    chosen = sorted((i for i in train if zlib.crc32(str(i).encode()) % 5 == 4), key=dict((r[0], r[1]) for r in spark.range(120).selectExpr("id", "xxhash64(id)").collect()).get)[:7]
+    counted = [(t, int(i % 3 == 0)) for i, t, _, _ in rows if i in train and i not in chosen]
+    want, clear = kneser_ney_brute(counted, [r[1] for r in rows])
+    assert len({b"vile" + bytes([c]) for c in b"aeiou"} & set(clear)) >= 2
+    got = sorted(((r.doc_id, r.evidence) for r in model.found.collect()), key=repr)
+    for a, b in zip(got, sorted(((r[0], x) for r, x in zip(rows, want)), key=repr), strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1])
     assert len(toxicity.scored(docs, model).collect()) == len(rows)
 
 
+def test_pairs_survive_packing():
+    rng = np.random.default_rng(3)
+    word, before, toxic = rng.integers(0, 50, 77).astype(np.uint64), rng.integers(0, 9, 77).astype(np.uint32), rng.integers(0, 2, 77)
+    got = toxicity.unpack_pairs([(0, toxicity.pack_pairs(word, before, toxic)), (0, toxicity.pack_pairs(word[:1], before[:1], toxic[:1]))])
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted([*zip(word.tolist(), before.tolist(), toxic.tolist()), (word[0], before[0], toxic[0])])
+
+
 def test_toxicity_counts_all_rows_but_the_sample(labelled, monkeypatch):
     docs, labels = labelled
     monkeypatch.setattr(toxicity, "SAMPLE", 10)
-    training = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(600))
-    assert toxicity.fitted(docs, labels).rows.count() == training - 10
+    training, seen, count = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(600)), [], toxicity.counted
+    monkeypatch.setattr(toxicity, "counted", lambda d, own: seen.append(own.where("doc_id < 600").count()) or count(d, own))
+    toxicity.fitted(docs, labels)
+    assert seen == [training - 10]
 
 
 # --- 8
