@@ -4,8 +4,8 @@ Vectors become integers, floor(64 x), and are compared by inner product.  A tabl
 every vector's distances to the pivots, which are chosen on a bounded sample to lie far
 apart.  For a query q and a vector x, |d(q,p) - d(x,p)| is a lower bound of d(q,x) for
 each pivot p; the largest of these gives an upper bound of the inner product,
-(|q|^2 + |x|^2 - bound^2) / 2.  Candidates are evaluated in the order of that bound and
-the rest is left out once it falls below the k-th best score.  The bounds only decide
+(|q|^2 + |x|^2 - bound^2) / 2.  Candidates are evaluated in the order of that bound, for a few
+queries at once, and the rest is left out once it falls below their k-th best scores.  The bounds only decide
 what is evaluated, so results are exact whatever the pivots are.
 
 Blocks of queries meet groups of vectors, each pair in one task that streams the group
@@ -38,6 +38,8 @@ K_BEST, EVERY, SCALE = 20, 20, 64
 PIVOTS, SAMPLE = 16, 1024
 #: Queries of a block, at most; cells of the table of bounds that a task holds at once.
 QUERIES, CELLS = 8192, 1 << 23
+#: Queries that are evaluated together, and candidates of the first and of each later step.
+ROWS, FIRST, NEXT = 32, 256, 1024
 QUERY, DATA = 0, 1
 #: No vector; stands in best lists that are not full.
 NONE = np.iinfo(np.int64).min
@@ -119,46 +121,52 @@ class Block:
         self.exact = most < 1 << 53
         with np.errstate(over="ignore", invalid="ignore"):
             norm = (x**2).sum(1)
-            low = np.zeros((len(q), len(x)))
+            left, right = self.table.astype(np.float32), table.astype(np.float32)
+            low, gap = np.zeros((len(q), len(x)), np.float32), np.empty((len(q), len(x)), np.float32)
             for p in range(table.shape[1]):
-                np.maximum(low, np.abs(self.table[:, p, None] - table[None, :, p]), out=low)
-            # a little room, as distances are rounded
-            low = np.maximum(low - 1e-6 * (1 + low), 0)
-            bound = (self.norm[:, None] + norm[None, :] - low * low) / 2 + 1e-3 + 1e-9 * (self.norm[:, None] + norm[None, :])
+                np.subtract(left[:, p, None], right[None, :, p], out=gap)
+                np.maximum(low, np.abs(gap, out=gap), out=low)
+            # a little room, as distances and norms are rounded
+            low -= np.float32(1e-3 + 1e-6 * max(left.max(initial=0), right.max(initial=0)))
+            np.multiply(np.maximum(low, 0, out=low), low, out=low)
+            both = np.add(self.norm[:, None], norm[None, :], dtype=np.float32, casting="same_kind", out=gap)
+            bound = np.multiply(np.subtract(np.multiply(both, np.float32(1 + 1e-6), out=both), low, out=low), np.float32(0.5), out=low)
+            bound += np.float32(1e-2)
         bound[np.isnan(bound)] = np.inf
-        step = max(256, self.k)
         self.met += len(q) * len(x)
-        for i in range(len(q)):
-            own = bound[i]
-            at = np.flatnonzero((own >= self.score[i, -1]) & (ids != self.ids[i]))
-            if len(at) > step:
-                head = np.argpartition(-own[at], step)[:step]
-                self._take(i, at[head], ids, q, x)
-                rest = np.ones(len(at), bool)
-                rest[head] = False
-                at = at[rest]
-                at = at[own[at] >= self.score[i, -1]]
-                at = at[np.argsort(-own[at], kind="stable")]
-            for a in range(0, len(at), 8 * step):
-                if own[at[a]] < self.score[i, -1]:
+        for a in range(0, len(q), ROWS):
+            sub = slice(a, a + ROWS)
+            own, kth = bound[sub], self.score[sub, -1:]
+            reach = own.max(0)
+            todo = np.flatnonzero((own >= kth).any(0))
+            if len(todo) > FIRST:
+                # the highest bounds first: they raise what the others must reach
+                head = np.argpartition(-reach[todo], FIRST)
+                self._take(sub, todo[head[:FIRST]], ids, q, x)
+                todo = todo[head[FIRST:]]
+                todo = todo[(own[:, todo] >= self.score[sub, -1:]).any(0)]
+            todo = todo[np.argsort(-reach[todo])]
+            for b in range(0, len(todo), NEXT):
+                if reach[todo[b]] < self.score[sub, -1].min():
                     break
-                self._take(i, at[a : a + 8 * step], ids, q, x)
-
-    def _take(self, i: int, at: np.ndarray, ids: np.ndarray, q: np.ndarray, x: np.ndarray) -> None:
-        if not len(at):
-            return
-        self.evaluated += len(at)
-        found = (x[at] @ q[i]).astype(np.int64) if self.exact else products(x[at], q[i])
-        near = found >= self.score[i, -1]
-        score, best = np.concatenate([self.score[i], found[near]]), np.concatenate([self.best[i], ids[at[near]]])
-        taken = np.concatenate([self.best[i] != NONE, np.ones(near.sum(), bool)])
-        # those taken first, by score (as its complement, which can't overflow) and id; the first row of an id counts
-        order = np.lexsort((best, ~score, ~taken))
-        _, first = np.unique(best[order], return_index=True)
-        keep = np.zeros(len(order), bool)
-        keep[first] = True
-        order = np.concatenate([order[keep & taken[order]], order[~taken[order]]])[: self.k]
-        self.score[i], self.best[i] = score[order], best[order]
+                self._take(sub, todo[b : b + NEXT], ids, q, x)
+
+    def _take(self, sub: slice, at: np.ndarray, ids: np.ndarray, q: np.ndarray, x: np.ndarray) -> None:
+        """Evaluates some candidates for a few queries and merges those that reach their best lists."""
+        self.evaluated += len(self.ids[sub]) * len(at)
+        found = (q[sub] @ x[at].T).astype(np.int64) if self.exact else np.stack([products(x[at], v) for v in q[sub]])
+        near = (found >= self.score[sub, -1:]) & (ids[at] != self.ids[sub][:, None])
+        for r in np.flatnonzero(near.any(1)).tolist():
+            i, own = sub.start + r, near[r]
+            score, best = np.concatenate([self.score[i], found[r, own]]), np.concatenate([self.best[i], ids[at[own]]])
+            taken = np.concatenate([self.best[i] != NONE, np.ones(own.sum(), bool)])
+            # those taken first, by score (as its complement, which can't overflow) and id; the first row of an id counts
+            order = np.lexsort((best, ~score, ~taken))
+            _, first = np.unique(best[order], return_index=True)
+            keep = np.zeros(len(order), bool)
+            keep[first] = True
+            order = np.concatenate([order[keep & taken[order]], order[~taken[order]]])[: self.k]
+            self.score[i], self.best[i] = score[order], best[order]
 
     def result(self) -> pa.RecordBatch:
         row, col = np.nonzero(self.best != NONE)
