@@ -2,21 +2,21 @@
 
 A text is cut into blocks of 128 bytes; a chunk is two neighbouring blocks, so chunks
 overlap by half and cover the whole document, of whatever length.  Filters with learned
-weights for each byte at each of eight offsets, and for whether the bytes there repeat
-what stood a little before, slide over the text in steps of four; each filter's maximum
-over a chunk passes a rectifier.  The mean and the maximum of those over all chunks are
-combined into one probability.
-
-Training uses at most ``SAMPLE`` labelled rows that are not held out (chosen by a hash of
-their ids) and runs on the driver; together they hold at most ``SAMPLE_BYTES``, and a row
-that no longer fits is passed over, not the rows after it.  The network has a fixed size.  Scoring reads every
+weights for each byte at each of eight offsets slide over the text in steps of four; each
+filter's maximum over a chunk passes a rectifier, and a learned head turns the maxima of
+a chunk into a probability.  Those of all chunks are combined into one, their mean.
+
+Training uses at most ``SAMPLE`` labelled rows that are not held out, chosen by a hash of
+their ids, of ``SAMPLE_BYTES`` together; both bounds hold before texts leave the
+executors.  It runs on the driver; the network has a fixed size.  Scoring reads every
 whole text once, without an exchange.  Null and empty texts are one empty block and have
-a score like any other.
+a score like any other.  Every row has one result row, repeated and null ids too; an
+empty table gives an empty result, and further columns of any name are ignored, in
+`stage` kept.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,17 +32,14 @@ from candlewick.llm.session import read
 SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
 BLOCK, STEP, TAPS, FILTERS = 128, 4, 8, 12
 EPOCHS, BATCH, RATE, DECAY = 14, 64, 0.02, 1e-4
-#: Distances at which four bytes are looked for again; a repeat tap looks every fourth byte.
-REPEATS = range(2, 25)
 THRESHOLD = 0.3
 
 
 @dataclass
 class Network:
     taps: np.ndarray  # (TAPS, 256, FILTERS): weight of each byte at each offset
-    again: np.ndarray  # (TAPS, FILTERS): weight of a repeat, at offsets 0, 4, ..., 28
     bias: np.ndarray  # (FILTERS,)
-    head: np.ndarray  # (2 * FILTERS + 1,): weights of mean and maximum, and the intercept
+    head: np.ndarray  # (FILTERS + 1,): weights of a chunk's maxima, and the intercept
 
 
 def padded(s: K.TextSlice) -> tuple[np.ndarray, np.ndarray]:
@@ -56,40 +53,31 @@ def padded(s: K.TextSlice) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def repeats(text: np.ndarray) -> np.ndarray:
-    """Whether the four bytes at every fourth position stood 2 to 24 bytes before."""
-    wide = np.concatenate([np.zeros(32, np.uint8), text, np.zeros(8, np.uint8)])
-    four = wide[:-3].astype(np.uint32)
-    for k in range(1, 4):
-        four |= wide[k : len(wide) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
-    n = len(text) // STEP
-    own = four[32 : 32 + n * STEP : STEP]
-    out = np.zeros(n, bool)
-    for d in REPEATS:
-        out |= own == four[32 - d : 32 - d + n * STEP : STEP]
-    return out & (text[::STEP] != 0)
-
-
-def responses(net: Network, text: np.ndarray, again: np.ndarray) -> np.ndarray:
+def responses(net: Network, text: np.ndarray) -> np.ndarray:
     """(positions, FILTERS) before the rectifier."""
     n = len(text) // STEP
     wide = np.concatenate([text, np.zeros(TAPS, np.uint8)])
     out = np.tile(net.bias, (n, 1))
     for j in range(TAPS):
         out += net.taps[j].take(wide[j : j + n * STEP : STEP], axis=0)
-    more = np.concatenate([again, np.zeros(TAPS, bool)])
-    # at most 2**TAPS patterns of repeats: one table look-up for all of them
-    code = np.zeros(n, np.int64)
-    for j in range(TAPS):
-        code |= more[j : j + n].astype(np.int64) << j
-    bits = (np.arange(1 << TAPS)[:, None] >> np.arange(TAPS)) & 1
-    out += (bits @ net.again).astype(np.float32).take(code, axis=0)
     return out
 
 
-def chunk_maxima(net: Network, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rectified maxima of each chunk, chunks before each text, responses by block."""
-    blocks = responses(net, text, repeats(text)).reshape(-1, BLOCK // STEP, FILTERS)
+@dataclass
+class Pass:
+    """A forward pass over padded texts."""
+
+    blocks: np.ndarray  # responses by block
+    at: np.ndarray  # first and second block of each chunk
+    pair: np.ndarray
+    before: np.ndarray  # chunks before each text
+    maxima: np.ndarray  # rectified, of each chunk
+    chunk: np.ndarray  # probability of each chunk
+    text: np.ndarray  # probability of each text
+
+
+def forward(net: Network, text: np.ndarray, first: np.ndarray) -> Pass:
+    blocks = responses(net, text).reshape(-1, BLOCK // STEP, FILTERS)
     top = blocks.max(1)
     own = np.diff(first) - 1
     chunks = np.maximum(1, own - 1)
@@ -97,82 +85,57 @@ def chunk_maxima(net: Network, text: np.ndarray, first: np.ndarray) -> tuple[np.
     np.cumsum(chunks, out=before[1:])
     at = K.spread(first[:-1], chunks)
     pair = np.where(np.repeat(own, chunks) > 1, at + 1, at)
-    return np.maximum(np.maximum(top[at], top[pair]), 0), before, blocks
-
-
-def pooled(maxima: np.ndarray, before: np.ndarray) -> np.ndarray:
-    sums = np.add.reduceat(maxima.astype(np.float64), before[:-1], axis=0) / np.diff(before)[:, None]
-    return np.concatenate([sums, np.maximum.reduceat(maxima, before[:-1], axis=0), np.ones((len(sums), 1))], 1)
+    maxima = np.maximum(np.maximum(top[at], top[pair]), 0)
+    chunk = 1 / (1 + np.exp(-np.clip(maxima @ net.head[:-1] + net.head[-1], -30, 30)))
+    return Pass(blocks, at, pair, before, maxima, chunk, np.add.reduceat(chunk, before[:-1]) / chunks)
 
 
 def scores(net: Network, s: K.TextSlice) -> np.ndarray:
-    text, first = padded(s)
-    maxima, before, _ = chunk_maxima(net, text, first)
-    return 1 / (1 + np.exp(-np.clip(pooled(maxima, before) @ net.head, -30, 30)))
+    return forward(net, *padded(s)).text
+
+
+def gradients(net: Network, text: np.ndarray, first: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss, for taps, bias and head; positions that win a chunk's maximum get its gradient."""
+    run = forward(net, text, first)
+    p = np.clip(run.text, 1e-4, 1 - 1e-4)
+    chunks = np.diff(run.before)
+    outer = (p - y) / (p * (1 - p)) / len(y) / chunks
+    step = np.repeat(outer, chunks) * run.chunk * (1 - run.chunk)
+    head = np.append(run.maxima.T @ step, step.sum())
+    back = step[:, None] * net.head[:-1] * (run.maxima > 0)
+    # the winning position of each chunk and filter
+    arg, top = run.blocks.argmax(1), run.blocks.max(1)
+    f = np.broadcast_to(np.arange(FILTERS), back.shape)
+    second = top[run.pair] > top[run.at]
+    place = np.where(second, run.pair[:, None] * (BLOCK // STEP) + arg[run.pair], run.at[:, None] * (BLOCK // STEP) + arg[run.at])
+    live = back != 0
+    place, f, back = place[live], f[live], back[live]
+    wide = np.concatenate([text, np.zeros(TAPS, np.uint8)])
+    taps = [np.bincount(wide[place * STEP + j].astype(np.int64) * FILTERS + f, back, 256 * FILTERS).reshape(256, FILTERS) for j in range(TAPS)]
+    return [np.stack(taps), np.bincount(f, back, FILTERS), head]
 
 
 def train(rows: list[tuple[int, str, int]], seed: int = 7) -> Network:
-    """Gradient descent with momentum estimates (Adam) on the log loss; positions that win a maximum get its gradient.
-
-    The rows used hold at most ``SAMPLE_BYTES`` together.
-    """
+    """Gradient descent with momentum estimates (Adam) on the log loss and a small penalty of the weights."""
     rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.1, (TAPS, 256, FILTERS)).astype(np.float32), rng.normal(0, 0.1, (TAPS, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.concatenate([rng.normal(0, 0.1, 2 * FILTERS), [0.0]]))
+    net = Network(rng.normal(0, 0.1, (TAPS, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.append(rng.normal(0, 0.3, FILTERS), 0.0))
     if not rows:
         return net
-    # by hash, so that no run of ids fills the bound; a row that no longer fits is passed over
-    size, fit = 0, set()
-    for i in sorted(range(len(rows)), key=lambda i: zlib.crc32(str(rows[i][0]).encode())):
-        own = len(rows[i][1].encode())
-        if size + own <= SAMPLE_BYTES:
-            size += own
-            fit.add(i)
-    used = [r for i, r in enumerate(rows) if i in fit] or [min(rows, key=lambda r: len(r[1].encode()))]
-    y = np.array([r[2] for r in used], float)
+    y = np.array([r[2] for r in rows], float)
     rate = min(max(y.mean(), 0.01), 0.99)
     net.head[-1] = np.log(rate / (1 - rate))
-    texts = [r[1].encode() for r in used]
-    weights = [net.taps, net.again, net.bias, net.head]
+    texts = [r[1].encode() for r in rows]
+    weights = [net.taps, net.bias, net.head]
     m, v = [np.zeros(w.shape) for w in weights], [np.zeros(w.shape) for w in weights]
     step = 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(used))
+        order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             pick = order[k : k + BATCH]
-            column = pa.array([texts[i] for i in pick], pa.binary())
-            buf, offsets, valid = K.text_column(column)
-            text, first = padded(K.TextSlice(0, buf, offsets, valid))
-            again = repeats(text)
-            maxima, before, blocks = chunk_maxima(net, text, first)
-            x = pooled(maxima, before)
-            p = 1 / (1 + np.exp(-np.clip(x @ net.head, -30, 30)))
-            g = (p - y[pick]) / len(pick)
-            grads = [np.zeros(w.shape) for w in weights]
-            grads[3] = x.T @ g + DECAY * net.head
-            chunks = np.diff(before)
-            doc = np.repeat(np.arange(len(pick)), chunks)
-            back = g[doc, None] * net.head[None, :FILTERS] / chunks[doc, None]
-            best = np.maximum.reduceat(maxima, before[:-1], axis=0)
-            winner = maxima == best[doc]
-            back += winner * (g[doc, None] * net.head[None, FILTERS:-1])
-            back *= maxima > 0
-            # the winning position of each chunk and filter
-            own = np.diff(first) - 1
-            at = K.spread(first[:-1], chunks)
-            pair = np.where(np.repeat(own, chunks) > 1, at + 1, at)
-            arg, top = blocks.argmax(1), blocks.max(1)
-            f = np.broadcast_to(np.arange(FILTERS), maxima.shape)
-            second = top[pair] > top[at]
-            place = np.where(second, pair[:, None] * (BLOCK // STEP) + arg[pair], at[:, None] * (BLOCK // STEP) + arg[at])
-            live = back != 0
-            place, f, back = place[live], f[live], back[live]
-            wide = np.concatenate([text, np.zeros(TAPS, np.uint8)])
-            more = np.concatenate([again, np.zeros(TAPS, bool)])
-            for j in range(TAPS):
-                grads[0][j] = np.bincount(wide[place * STEP + j].astype(np.int64) * FILTERS + f, back, 256 * FILTERS).reshape(256, FILTERS)
-                grads[1][j] = np.bincount(f, back * more[place + j], FILTERS)
+            buf, offsets, valid = K.text_column(pa.array([texts[i] for i in pick], pa.binary()))
+            grads = gradients(net, *padded(K.TextSlice(0, buf, offsets, valid)), y[pick])
             grads[0] += DECAY * net.taps
-            grads[2] = np.bincount(f, back, FILTERS)
+            grads[2] += DECAY * net.head
             step += 1
             pace = RATE * min(1.0, 2 * (1 - epoch / EPOCHS))
             for i, w in enumerate(weights):
@@ -197,7 +160,7 @@ def scored(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataF
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> Network:
-    return train(sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "quality", SAMPLE))
+    return train(sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "quality", SAMPLE, SAMPLE_BYTES))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from candlewick.llm import byte_bpe, components, dealing, decontaminate, html_extract, jaccard, kernels, line_dedup, quality, session, suffix_dedup, topk, toxicity, warc
+from candlewick.llm.folds import sample
 
 DOCS = "doc_id long, text string, source string, lang string"
 RNG = np.random.default_rng(5)
@@ -280,7 +281,7 @@ def check(rows, truth, cut):
 
 def test_quality_on_held_out_rows(labelled):
     docs, labels = labelled
-    net = quality.train(quality.sample(docs, labels, "quality", quality.SAMPLE))
+    net = quality.train(sample(docs, labels, "quality", quality.SAMPLE, quality.SAMPLE_BYTES))
     got = quality.scored(docs, net).collect()
     assert len(got) == 602 and check(got, lambda i: int(i % 6 != 0), 0.3) > 0.97
     kept = quality.stage(docs, net)
@@ -289,15 +290,62 @@ def test_quality_on_held_out_rows(labelled):
 
 def test_quality_without_labels(labelled):
     docs, labels = labelled
-    net = quality.train(quality.sample(docs, labels.limit(0), "quality", 10))
+    net = quality.train(sample(docs, labels.limit(0), "quality", 10, 1 << 20))
     assert quality.scored(docs, net).count() == 602
 
 
-def test_quality_passes_over_rows_too_long(monkeypatch):
-    rows = [(i, prose(60, i) if i % 2 else " ".join(w + "%%%" for w in prose(60, i).split()), i % 2) for i in range(1, 81)]
-    monkeypatch.setattr(quality, "SAMPLE_BYTES", 80_000)
-    net, more = quality.train(rows), quality.train([(0, "x" * 100_000, 0), *rows])
-    assert sum(len(r[1].encode()) for r in rows) < 80_000 and all(np.array_equal(getattr(net, k), getattr(more, k)) for k in ("taps", "again", "bias", "head"))
+def test_samples_pass_over_rows_too_long(spark):
+    """The byte bound holds before texts are collected; of repeated ids one counts."""
+    rows = [(i, prose(60, i), "s", None) for i in range(40)] + [(i, prose(9, i), "s", None) for i in range(40)] + [(i, "x" * 90_000, "s", None) for i in (40, 41, 42)] + [(43, None, "s", None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(44)] + [(7, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    train = [i for i in range(44) if zlib.crc32(str(i).encode()) % 5]
+    got = sample(docs, labels, "quality", 100, 80_000)
+    assert [r[0] for r in got] == [i for i in train if i not in (40, 41, 42)] and sum(len(r[1].encode()) for r in got) <= 80_000
+    assert len(sample(docs, labels, "quality", 100, 2_000)) < len(got) and len(sample(docs, labels, "quality", 5, 80_000)) <= 5
+    assert len(sample(docs.where("doc_id > 39 and doc_id < 43"), labels, "quality", 100, 10)) == 1
+    assert sample(docs.limit(0), labels, "quality", 100, 10) == []
+
+
+def slice_of(texts):
+    return next(kernels.slices(pa.array(texts, pa.string())))
+
+
+def test_network_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(2)
+    net = quality.Network(rng.normal(0, 1, (8, 256, 12)).astype(np.float32), rng.normal(0, 1, 12).astype(np.float32), rng.normal(0, 1, 13))
+    texts = ["", "short", "a" * 128, prose(80, 3), prose(300, 4)]
+    for got, t in zip(quality.scores(net, slice_of(texts)), texts):
+        b = t.encode()
+        blocks = max(1, -(-len(b) // 128))
+        b += bytes(blocks * 128 - len(b) + 128)
+        chunks = []
+        for c in range(max(1, blocks - 1)):
+            spots = range(c * 128, min(c + 2, blocks) * 128, 4)
+            top = np.max([net.bias + sum(net.taps[j, b[k + j] if k + j < len(b) else 0] for j in range(8)) for k in spots], 0)
+            chunks.append(1 / (1 + np.exp(-(np.maximum(top, 0) @ net.head[:-1] + net.head[-1]))))
+        assert got == pytest.approx(np.mean(chunks), rel=1e-4)
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(3)
+    net = quality.Network(rng.normal(0, 0.3, (8, 256, 12)), rng.normal(0, 0.3, 12), rng.normal(0, 0.3, 13))
+    text, first = quality.padded(slice_of([prose(60, 5), prose(90, 6), ""]))
+    y = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = quality.forward(net, text, first).text
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for w, g in zip((net.taps, net.bias, net.head), quality.gradients(net, text, first, y)):
+        for k in np.unique(np.concatenate([np.argsort(np.abs(g).ravel())[-6:], [0]])):
+            old, h = w.flat[k], 1e-5
+            w.flat[k] = old + h
+            up = loss()
+            w.flat[k] = old - h
+            down = loss()
+            w.flat[k] = old
+            assert g.flat[k] == pytest.approx((up - down) / (2 * h), rel=1e-3, abs=1e-7)
 
 
 def test_toxicity_on_held_out_rows(labelled):

@@ -37,7 +37,7 @@ def sf_dir(spark, tmp_path_factory):
 def test_pipeline_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
-    net = quality.train(sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", quality.SAMPLE))
+    net = quality.train(sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", quality.SAMPLE, quality.SAMPLE_BYTES))
     ids = sorted(rows)
     score = np.concatenate([quality.scores(net, s) for s in kernels.slices(pa.array([rows[i] for i in ids], pa.string()))])
     kept = [i for i, p in zip(ids, score) if p >= quality.THRESHOLD]
