@@ -23,10 +23,12 @@ def width(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset and all runs on this machine (tests)."""
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if at is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="candlewick-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(at)
