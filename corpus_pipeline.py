@@ -17,7 +17,7 @@ from candlewick.llm.session import kept, read
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level network, trained on the labels, does not reject."""
     labels = read(spark, sf_dir, "labels")
-    return quality.stage(docs, quality.train(sample(docs, labels, "quality", quality.SAMPLE)))
+    return quality.stage(docs, quality.train(sample(docs, labels, "quality", quality.SAMPLE, quality.SAMPLE_BYTES)))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
