@@ -16,7 +16,9 @@ Of pages with equal payloads of at least ``REVISIT_BYTES`` bytes the one with th
 page_id is a response and the others revisit it: they hold the HTTP header alone.
 
 Null html is an empty payload; a null url stands as urn:page:<id>; white space in urls is
-percent-encoded.  page_id is a key; a row without one is archived and comes back without.
+percent-encoded.  A row without a page_id is archived and comes back without; rows that repeat
+one are archived each, and judged by their own payloads.  An empty table gives no archive and an
+empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -110,8 +112,8 @@ def hex_digest(name: str) -> str:
     return base64.b32decode(name.removeprefix("sha1:")).hex()
 
 
-def to_warc(arc: ArcRecord, refers_to: int | None = None) -> WarcRecord:
-    """The WARC record of an ARC record: a response, or a revisit of the page ``refers_to``."""
+def to_warc(arc: ArcRecord, refers_to: tuple[int, str | None] | None = None) -> WarcRecord:
+    """The WARC record of an ARC record: a response, or a revisit of the page (id, url) that it refers to."""
     http, mark, payload = arc.content.partition(b"\r\n\r\n")
     http += mark
     day = arc.header["Archive-date"].ljust(14, "0")
@@ -123,7 +125,8 @@ def to_warc(arc: ArcRecord, refers_to: int | None = None) -> WarcRecord:
     block = arc.content
     if refers_to is not None:
         block = http
-        header |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To-Date": date, "X-Refers-To-Page": str(refers_to)}
+        other = page_url(refers_to[1], refers_to[0]).decode()
+        header |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(str(refers_to[0]), other, date), "WARC-Refers-To-Target-URI": other, "WARC-Refers-To-Date": date, "X-Refers-To-Page": str(refers_to[0])}
     header |= {"WARC-Block-Digest": sha1_name(block), "Content-Length": str(len(block))}
     return WarcRecord(header, block, payload)
 
@@ -178,19 +181,19 @@ def page_url(url: str | None, page: int) -> bytes:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(revisit_id, refers_to) of pages whose payload a page of a larger id also has."""
+    """(revisit_id, digest, refers_to, refers_url) of pages whose payload a page of a larger id also has."""
     spark = pages.sparkSession
-    own = pages.selectExpr("cast(page_id as bigint) revisit_id", "sha1(cast(html as binary)) digest", "octet_length(html) size").where(f"size >= {REVISIT_BYTES}")
-    groups = own.groupBy("digest").agg(F.max("revisit_id").alias("refers_to"), F.count(F.lit(1)).alias("many"))
-    groups = kept(spark, groups.where("many > 1").select("digest", "refers_to"), "payloads")
-    return own.join(groups, "digest").where("revisit_id <> refers_to").select("revisit_id", "refers_to")
+    own = pages.selectExpr("cast(page_id as bigint) revisit_id", "sha1(cast(html as binary)) digest", "octet_length(html) size", "cast(url as string) url").where(f"size >= {REVISIT_BYTES}")
+    groups = own.groupBy("digest").agg(F.max(F.struct("revisit_id", "url")).alias("top"), F.count(F.lit(1)).alias("many"))
+    groups = kept(spark, groups.where("many > 1").selectExpr("digest", "top.revisit_id refers_to", "top.url refers_url"), "payloads")
+    return own.join(groups, "digest").where("revisit_id <> refers_to").select("revisit_id", "digest", "refers_to", "refers_url").dropDuplicates(["revisit_id", "digest"])
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record for every page below ``folder``, a URI that all executors reach; returns the manifest (path, records, bytes)."""
     seen = kept(pages.sparkSession, revisits(pages), "revisits")
     own = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as binary) html")
-    own = own.join(seen, own.page_id == seen.revisit_id, "left").select("page_id", "url", "html", "refers_to")
+    own = own.join(seen, (own.page_id == seen.revisit_id) & (F.sha1(own.html) == seen.digest), "left").select("page_id", "url", "html", "refers_to", "refers_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -203,7 +206,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ids, urls, payloads, refers = (part.column(k).to_pylist() for k in range(4))
+                ids, urls, payloads, refers, others = (part.column(k).to_pylist() for k in range(5))
                 # both versions occur; the converter has to tell them apart
                 version = b"1" if ids[0] is not None and ids[0] % 2 else b"2"
                 records = []
@@ -211,13 +214,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     payload = payload or b""
                     http = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if i is None else i}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                     records.append((page_url(url, i), http + payload))
-                for arc, to in zip(parse_arc(arc_archive(version, records)), refers):
+                for arc, to, other in zip(parse_arc(arc_archive(version, records)), refers, others):
                     if out is None:
                         fs.create_dir(base, recursive=True)
                         name = f"part-{uuid.uuid4().hex}.warc.gz"
                         path, many, size = f"{folder.rstrip('/')}/{name}", 0, 0
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    raw = member(serialised(to_warc(arc, to)))
+                    raw = member(serialised(to_warc(arc, None if to is None else (to, other))))
                     out.write(raw)
                     many, size = many + 1, size + len(raw)
                     if size >= FILE_BYTES:

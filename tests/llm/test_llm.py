@@ -109,6 +109,23 @@ def test_arc_versions_become_equal_warc():
         list(warc.parse_arc(warc.arc_archive(b"1", [(b"http://x/", content)])[:-4]))
 
 
+@pytest.mark.parametrize("date,want", [("19970814123456", "1997-08-14T12:34:56Z"), ("20041231", "2004-12-31T00:00:00Z"), ("199912312359", "1999-12-31T23:59:00Z")])
+def test_dates_and_references_are_converted(date, want):
+    content = b"HTTP/1.0 200 OK\r\nX-Page-Id: 4\r\n\r\nbody"
+    arc = warc.ArcRecord({"URL": "http://x/", "Archive-date": date, "IP-address": "1.2.3.4"}, content)
+    first = warc.to_warc(arc).header
+    again = warc.to_warc(warc.ArcRecord(arc.header | {"URL": "http://y/"}, content.replace(b"4", b"3")), (4, "http://x/")).header
+    assert first["WARC-Date"] == again["WARC-Refers-To-Date"] == want and first["WARC-IP-Address"] == "1.2.3.4"
+    assert again["WARC-Refers-To"] == first["WARC-Record-ID"] != again["WARC-Record-ID"] and again["WARC-Refers-To-Target-URI"] == "http://x/"
+
+
+def test_archives_of_repeated_ids(spark):
+    big, other = "é" * 600, "y" * 1200
+    pages = [(1, "u", big), (1, "u", other), (2, "v", big), (2, "v", big), (None, "w", big), (3, None, other)]
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()), key=repr)
+    assert got == sorted([(1, 1200, "revisit", 2), (1, 1200, "revisit", 3), (2, 1200, "response", None), (2, 1200, "response", None), (None, 1200, "response", None), (3, 1200, "response", None)], key=repr)
+
+
 def test_archives_round_trip_with_revisits(spark):
     big, small = "é" * 600, "tiny"
     pages = [(1, "http://a b/", big), (2, None, big), (3, "u", small), (4, "u", small), (5, "", None), (6, "u", ""), (9, "u", big), (7, "u", "y" * 1000), (8, "u", "y" * 999)]
