@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 
 from candlewick.functions import series as S
+from candlewick.operators import indicators
 from candlewick.plans import strategies as P
+from candlewick.plans import trade_log
+from candlewick.sources import bars as B
 
 
 def bars(n, o=100.0, c=100.0, h=101.0, l=99.0, v=1000.0):
@@ -119,3 +122,110 @@ def test_seeded_average_equals_its_recursion():
 def test_pivots_are_unique_extremes():
     x = np.array([1, 2, 3, 2, 1, 3, 3, 1, 0.0])
     assert np.nan_to_num(S.pivots(x, 1, 1, True)).tolist() == [0, 0, 0, 3, 0, 0, 0, 0, 0]
+
+
+# The published bars of each check.
+
+
+def test_bottom_fishing_buys_the_reclaim_and_cuts_the_crash():
+    b = bars(29, h=100.5, l=99.5)
+    for i, (h, l, o, c) in enumerate(((95, 88, 95, 90), (102, 99, 96, 101), (92, 80, 90, 82), (86, 78, 85, 79)), 25):
+        b["high"][i], b["low"][i], b["open"][i], b["close"][i] = h, l, o, c
+    desk = P.walk_bottoms(b, P.bottom_features(b))
+    assert desk.codes[26].startswith("BUY (") and desk.trades[0]["entry_at"] == 26
+    assert desk.trades[0]["gross_return_pct"] == pytest.approx((82 / 101 - 1) * 100) and desk.trades[0]["exit_code"].startswith("SELL CL")
+
+
+def test_market_structure_buys_a_higher_low_on_volume():
+    c = np.array([*range(100, 131), 126, 124, 122, 124, 126, 128, 126, 124, 126, 128, 130, 133], float)
+    v = np.full(len(c), 2000.0)
+    v[31:41], v[-2:] = 200, 8000
+    b = {"open": np.append(c[:1], c[:-1]), "high": c + 0.5, "low": c - 0.8, "close": c, "volume": v, "ma200": np.full(len(c), np.nan)}
+    desk = P.walk_structure(b, P.structure_features(b))
+    assert any(x.startswith("BUY LOW (EMA20)") for x in desk.codes) and len(desk.lots) <= 1
+
+
+def test_reversal_breaks_out_takes_profit_and_enters_again():
+    c = np.array([*np.linspace(200, 100, 60), 104, 108, 112, 116, 120, 117, 114, 111, 108, 110, 113, 115, 116, 118, 122, 126, 140, 150, 160, 150, 138, 128, 118, 112, 108, 106, 115, 124, 130], float)
+    b = {"open": c, "high": c + 0.5, "low": c - 0.5, "close": c, "volume": np.ones(len(c))}
+    desk = P.walk_reversals(b, P.reversal_features(b))
+    fired = [x for x in desk.codes if x]
+    assert fired.index("BUY HH-HL") < fired.index("TP Smart MA5") < fired.index("BUY Re-Entry")
+    assert all(t["gross_return_pct"] > 0 for t in desk.trades if t["exit_code"] == "TP Smart MA5")
+
+
+def test_accumulation_breakout_follows_the_run():
+    c = np.array([100.0 + i % 2 for i in range(30)] + [110, 115, 120, 126, 132, 138, 140, 139, 130, 118, 110])
+    v = np.full(len(c), 1000.0)
+    v[30] = 5000
+    b = {"open": c - 0.5, "high": c + 1, "low": c - 1, "close": c, "volume": v}
+    desk = P.Chandelier(b, P.base_features(b, P.BASE_D) | {"signal": flags(len(c), 30)}).run()
+    (trade,) = desk.trades
+    assert desk.codes[31] == "BUY Breakout" and trade["entry_price"] == 114.5 and not desk.armed
+    assert trade["exit_code"] == "TP Trailing stop" and trade["exit_price"] > 114.5
+
+
+def test_accumulation_signal_needs_base_and_volume():
+    c = np.array([100.0 + i % 2 for i in range(79)] + [106.0])
+    b = {"open": c - 0.5, "high": c + 1, "low": c - 1, "close": c, "volume": np.array([1000.0] * 79 + [5000.0])}
+    assert P.base_features(b, P.BASE_D)["signal"].tolist() == [False] * 79 + [True]
+
+
+def test_the_directional_gate_opens_on_a_climb_only():
+    for c, want in ((np.linspace(100, 200, 80), True), (np.full(80, 100.0), False)):
+        f = P.filtered_dip_features({"open": c, "high": c + 1, "low": c - 1, "close": c})
+        assert bool(f["entry_ok"][-1]) is want
+
+
+def test_fills_move_to_the_next_open():
+    b = {"open": np.arange(10.0, 16), "high": np.arange(11.0, 17), "low": np.arange(9.0, 15), "close": np.arange(10.5, 16)}
+    desk = P.Desk(b)
+    closed = {"entry_at": 0, "entry_price": 10.5, "entry_code": "BUY", "exit_at": 2, "exit_price": 12.5, "exit_code": "TP", "bars_held": 2, "gross_return_pct": 0.0, "resolved": True}
+    desk.trades = [closed, closed | {"entry_at": 3, "exit_at": 5}, closed | {"entry_at": 5, "exit_at": 5, "resolved": False, "exit_code": "OPEN"}]
+    (a, c), waits = P.filled_at_next_open(desk)
+    assert waits and (a["entry_price"], a["exit_price"], a["entry_at"], a["bars_held"]) == (11, 13, 1, 2)
+    assert (c["entry_price"], c["exit_price"], c["resolved"], c["exit_code"]) == (14, 15.5, False, "OPEN")
+
+
+def test_chaos_bands_follow_fractals_and_drag_against_the_trend():
+    nan = np.nan
+    high = np.array([10, 11, 15, 12, 11, 10, 9, 8, 7, 6, 5, 5.0])
+    low = high - 2
+    up, down = np.full(12, nan), np.full(12, nan)
+    up[4:], down[2:] = 15.0, 8.0
+    got = indicators.chaos_bands(up, down, high, low, np.append(np.full(6, 9.0), np.full(6, 4.0)))
+    assert np.isnan(got["fcb_upper"][:4]).all() and got["fcb_upper"][4] == 15
+    # the close under the lower band turns the trend: the upper band falls to the highest of the five bars before
+    assert got["fcb_upper"][5:].tolist() == [15, 15, 15, 12, 11, 10, 9]
+    assert got["fcb_lower"][2:].tolist() == [8.0] * 10
+    # a level that held for five bars leaves a dot, one that moves on at once leaves none
+    assert np.isnan(got["fcb_dot_upper"]).all()
+    assert np.isnan(got["fcb_dot_lower"]).all()
+
+
+INVARIANT_KEYS = [k for k in P.STRATEGIES if k != "H"]
+
+
+def test_invariants_of_every_log(spark):
+    """What holds for any bars: one latest row a ticker, one kind of return, peaks inside the trade."""
+    frame = B.bars(spark, "/root/testdata/sf0.001").cache()
+    own = trade_log.build(frame, *[P.STRATEGIES[k] for k in INVARIANT_KEYS]).toPandas()
+    assert len(own) > 50
+    for key, log in own.groupby("strategy"):
+        trades, watch = log[log.status != "WATCHLIST"], log[log.status == "WATCHLIST"]
+        assert (trades.pb == "B").all() and (watch.pb == "P").all() and watch.buy_price.isna().all()
+        assert trades[trades.status == "OPEN"].pl_pct.isna().all() and trades[trades.status != "OPEN"].fl_pct.isna().all()
+        assert trades.hi_date.isna().equals(trades.max_fl_pct.isna())
+        peaked = trades[trades.hi_date.notna()]
+        assert (peaked.hi_date > peaked.buy_date).all() and (peaked[peaked.exit_date.notna()].hi_date <= peaked[peaked.exit_date.notna()].exit_date).all()
+        flat = trades[trades.hi_date.isna()]
+        assert ((flat.status == "OPEN") | (flat.exit_date == flat.buy_date)).all()
+        signalled = trades[trades.signal_date.notna()]
+        assert (signalled.signal_date < signalled.buy_date).all() and signalled.signal_price.notna().all()
+        if key != "C":
+            assert (trades.max_fl_pct.isna() | (trades.max_fl_pct >= trades.pl_pct.fillna(-1e9) - 1e-9)).all()
+        if key not in ("bottom_fishing", "A", "B", "C"):
+            assert (trades[trades.status == "CLOSED"].pl_pct > 0).all()
+        assert trades[trades.status == "EXIT"].exit_code.str[:2].isin(["CL", "SL", "SE"]).all()
+    counts = trade_log.latest(trade_log.build(frame, P.STRATEGIES["G"])).groupBy("ticker").count()
+    assert counts.where("count > 1").isEmpty()
