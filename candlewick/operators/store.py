@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.sources.bars import latest_by
+from candlewick.sources.fetch import MARKERS, OTHERWISE
 
-STATUSES = ("ok", "empty", "not_found", "rate_limited", "network", "error", "circuit_open", "skipped")
+#: What a row of the ingest log may say; those of a run as a whole carry no ticker.
+STATUSES = ("ok", "rate_limited", "network_error", "empty_response", "parse_error", "circuit_open", "run_started", "run_finished", "run_aborted")
 MAX_MISSING = 0.10
+#: Fixed value: share of tickers without data that a run may have.
+MAX_FAILURE_RATE = 0.05
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -66,24 +70,33 @@ def refetch_differences(stored: DataFrame, fetched: DataFrame, tolerance_pct: fl
 
 
 def error_status(message) -> object:
-    """Status of an error text; the first match decides."""
-    m = F.lower(message)
-    rules = [("rate_limited", ["too many requests", "rate limit", "429"]), ("not_found", ["no data found", "delisted", "404", "not found"]), ("network", ["timed out", "timeout", "connection", "resolve", "ssl"])]
-    out = None
-    for status, parts in rules:
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | m.contains(p)
+    """Status of a column of error texts; the first match decides."""
+    text, out = F.lower(message), None
+    for status, parts in MARKERS.items():
+        hit = F.greatest(*[text.contains(p) for p in parts])
         out = F.when(hit, status) if out is None else out.when(hit, status)
-    return out.otherwise("error")
+    return out.otherwise(OTHERWISE)
 
 
-def failure_rate(log: DataFrame) -> DataFrame:
-    """Share of failed fetches and the exit code it gives: 0 none, 1 some, 2 most."""
-    failed = F.count_if(~F.col("status").isin("ok", "empty", "skipped"))
-    own = log.agg(F.count(F.lit(1)).alias("n"), failed.alias("failed"))
+def failure_rate(log: DataFrame, limit: float = MAX_FAILURE_RATE) -> DataFrame:
+    """Share of tickers that returned no data, and the exit code it gives: 1 beyond the limit."""
+    own = log.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col("status") == "ok", F.lit(False))).alias("failed"))
     rate = F.coalesce(F.expr("try_divide(failed, n)"), F.lit(0.0))
-    return own.withColumn("rate", rate).withColumn("exit_code", F.when(F.col("rate") == 0, 0).when(F.col("rate") < 0.5, 1).otherwise(2))
+    return own.withColumn("rate", rate).withColumn("exit_code", F.when(F.col("rate") > limit, 1).otherwise(0))
+
+
+def status_counts(log: DataFrame, run_id: str) -> DataFrame:
+    return log.where(F.col("run_id") == run_id).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def latest_run(log: DataFrame, source: str | None = None) -> DataFrame:
+    """The run that started last, of one source or of all; no row if there is none."""
+    own = log if source is None else log.where(F.col("source") == source)
+    return own.agg(F.max_by("run_id", "started_at").alias("run_id"), F.max("started_at").alias("started_at")).where("run_id is not null")
+
+
+def last_dates(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("ticker").agg(F.max("date").alias("last_date"))
 
 
 def freshness(bars: DataFrame, today) -> DataFrame:

@@ -78,6 +78,22 @@ def rolled_up(fold_results: DataFrame) -> DataFrame:
     return own.agg(F.count(F.lit(1)).alias("folds"), F.try_divide(F.sum(F.col("mean_return") * F.col("n")), F.sum("n")).alias("pooled"), F.avg("mean_return").alias("averaged"), (F.stddev_samp("mean_return") / F.sqrt(F.count(F.lit(1)))).alias("std_error"), F.coalesce(F.sum("_switch"), F.lit(0)).alias("switches"), F.countDistinct("candidate").alias("distinct_picks"))
 
 
+def contest(train_scores: DataFrame, test_scores: DataFrame, fixed: str, least: int = 30) -> DataFrame:
+    """One row: how much of the chosen candidates' past was hindsight, and their gap to a fixed one, fold by fold.
+
+    Folds count that have a choice with ``least`` trades in the test window.
+    """
+    picked = chosen(train_scores).select("fold", "candidate", F.col("mean_return").alias("inside"))
+    out = test_scores.select("fold", "candidate", F.col("mean_return").alias("outside"), F.col("return_per_bar").alias("per_bar"), "n")
+    bench = test_scores.where(F.col("candidate") == fixed).select("fold", F.col("return_per_bar").alias("fixed_per_bar"))
+    own = picked.join(out, ["fold", "candidate"]).where(F.col("n") >= least).join(bench, "fold", "left").withColumn("gap", F.col("per_bar") - F.col("fixed_per_bar"))
+    many = F.count("gap")
+    return own.agg(
+        F.avg(F.col("inside") - F.col("outside")).alias("premium"), F.when(many >= 2, F.avg("gap")).alias("gap"), F.when(many >= 2, F.stddev_samp("gap") / F.sqrt(many)).alias("gap_error"), many.alias("gap_folds"),
+        F.try_divide(F.sum(F.col("outside") * F.col("n")), F.sum("n")).alias("pooled"), F.avg("outside").alias("averaged"),
+    )
+
+
 def universe_by_fold(bars: DataFrame, fold_rows: DataFrame, horizon: int, buy_fee: float = 0.0, sell_fee: float = 0.0) -> DataFrame:
     """The market's mean over each test window; give clean bars only."""
     w = W.partitionBy("ticker").orderBy("date")

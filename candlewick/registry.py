@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from candlewick.plans import oracles as O
 from candlewick.plans import trade_log
 from candlewick.plans.strategies import STRATEGIES, run
 from candlewick.sources import bars as B
+from candlewick.sources import fetch
 from candlewick.streaming.bars import bars_of_ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,12 +199,16 @@ query("universe_by_fold", O.sql("select fold, count(*) n, round(avg(r), 6) mean_
 TIER_SETS = {"1:A": ["A"], "2:AB": ["A", "B"], "3:ABC": ["A", "B", "C"]}
 
 
-def walk_choices(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def walk_scores(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = tiered(s, d, labels.HOLD_20)
     sets = s.createDataFrame([(k, t) for k, ts in TIER_SETS.items() for t in ts], "candidate string, tier string")
     rows, folds = rows.join(F.broadcast(sets), "tier"), walkforward.fold_table(s, FOLDS)
-    picked = walkforward.chosen(walkforward.scores(walkforward.training(rows, folds), "fold", "candidate"))
-    tested = walkforward.scores(walkforward.testing(rows, folds), "fold", "candidate")
+    return walkforward.scores(walkforward.training(rows, folds), "fold", "candidate"), walkforward.scores(walkforward.testing(rows, folds), "fold", "candidate")
+
+
+def walk_choices(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    trained, tested = walk_scores(s, d)
+    picked = walkforward.chosen(trained)
     return picked, tested.join(picked.select("fold", "candidate"), ["fold", "candidate"])
 
 
@@ -217,6 +223,24 @@ query(
 )(lambda s, d: rounded(walkforward.rolled_up(walk_choices(s, d)[1])))
 
 
+CONTEST = """trained as (select fold, candidate, count(*) n, avg(r) inside, avg(r) / avg(greatest(bars_held, 1)) rpb from jc join folds on entry_date >= train_start and entry_date < test_start and exit_date < test_start group by all),
+best as (select * from trained where n >= 30 qualify row_number() over (partition by fold order by rpb desc, candidate) = 1),
+outs as (select fold, candidate, count(*) n, avg(r) outside, avg(r) / avg(greatest(bars_held, 1)) rpb from jc join folds on entry_date between test_start and test_end group by all),
+duel as (select b.fold, inside, o.outside, o.n, o.rpb - f.rpb gap from best b join outs o using (fold, candidate) left join outs f on f.fold = b.fold and f.candidate = '3:ABC' where o.n >= 30)"""
+query(
+    "walkforward_contest",
+    O.sql("select round(avg(inside - outside), 6) premium, round(case when count(gap) >= 2 then avg(gap) end, 6) gap, round(case when count(gap) >= 2 then stddev_samp(gap) / sqrt(count(gap)) end, 6) gap_error, count(gap) gap_folds, round(sum(outside * n) / sum(n), 6) pooled, round(avg(outside), 6) averaged from duel", *HOLD, JOINED, FOLD_VALUES, CANDIDATES, CONTEST),
+)(lambda s, d: rounded(walkforward.contest(*walk_scores(s, d), "3:ABC")))
+query(
+    "walkforward_scores",
+    O.sql(
+        "select cast(fold as bigint) fold, candidate, count(*) n, round(avg(r), 6) mean_return, round(median(r), 6) median_return, round(avg(r) / avg(greatest(bars_held, 1)), 6) return_per_bar, round(avg(r) / stddev_samp(r), 6) return_per_risk "
+        "from jc join folds on entry_date between test_start and test_end group by all having stddev_samp(r) > 0",
+        *HOLD, JOINED, FOLD_VALUES, CANDIDATES,
+    ),
+)(lambda s, d: rounded(walk_scores(s, d)[1].where("return_per_risk is not null and abs(return_per_risk) < double('infinity')"), "fold", "candidate", "n", "mean_return", "median_return", "return_per_bar", "return_per_risk"))
+
+
 def half_updated(s: SparkSession, d: str) -> DataFrame:
     bars = B.bars(s, d)
     late = bars.where(F.col("date") >= "1998-01-01").withColumns({"close": F.col("close") + 1, "stamp": F.lit(2)})
@@ -241,7 +265,37 @@ query(
     "refetch_diff",
     O.sql("select ticker, date, close stored_close, round(close * 1.02, 6) fetched_close, 2.0::double diff_pct from bars qualify row_number() over (partition by ticker order by date) % 7 = 0", O.DUCK_BARS),
 )(lambda s, d: (lambda b: rounded(store.refetch_differences(b, b.withColumn("close", F.col("close") * F.when(S.position() % 7 == 0, 1.02).otherwise(1.0)))))(B.bars(s, d)))
-query("fetch_failures", "select count(*) n, count(*) filter (event_type = 'error' or event_type = 'click') failed from events")(lambda s, d: store.failure_rate(B.table(s, d, "events").select(F.when(F.col("event_type").isin("error", "click"), "error").otherwise("ok").alias("status"))).select("n", "failed"))
+query(
+    "fetch_failures",
+    "select count(*) n, count(*) filter (event_type = 'click') failed, round(count(*) filter (event_type = 'click') / count(*), 6) rate, case when count(*) filter (event_type = 'click') / count(*) > 0.05 then 1::bigint else 0 end exit_code from events",
+)(lambda s, d: rounded(store.failure_rate(B.table(s, d, "events").select(F.when(F.col("event_type") == "click", "network_error").otherwise("ok").alias("status")))))
+
+
+def landing(tickers: list[str]) -> pd.DataFrame:
+    """A source that misbehaves in known ways, by the number of the batch of ten: two bars for each name, none for every tenth."""
+    batch = int(tickers[0][1:]) // 10
+    if batch == 3:
+        raise TimeoutError("read timed out")
+    if batch in (5, 6, 7):
+        raise RuntimeError("HTTP 429")
+    days = [date(2024, 1, 2), date(2024, 1, 3)]
+    rows = [{"ticker": t, "date": day, "open": 1.0, "high": 2.0, "low": 1.0, "close": float(int(t[1:])), "volume": 10} for t in tickers if int(t[1:]) % 10 for day in days]
+    return pd.DataFrame(rows, columns=["ticker", "date", "open", "high", "low", "close", "volume"])
+
+
+def outcomes(s: SparkSession, d: str) -> DataFrame:
+    return fetch.fetched(B.tickers(s, d), landing, fetch.Pace(batch=10, workers=1, pause=0), lambda _: None)
+
+
+FETCHED = "f as (select concat('S', lpad(cast(s_suppkey as varchar), 5, '0')) ticker, s_suppkey k, s_suppkey // 10 b from supplier), fetched as (select *, case when b >= 8 then 'circuit_open' when b between 5 and 7 then 'rate_limited' when b = 3 then 'network_error' when k % 10 = 0 then 'empty_response' else 'ok' end status from f)"
+query("fetch_outcomes", O.sql("select ticker, b batch, status, case status when 'ok' then 2::bigint else 0 end rows_written, case status when 'rate_limited' then 5::bigint else 1 end attempt from fetched", FETCHED))(lambda s, d: rounded(outcomes(s, d), "ticker", "batch", "status", "rows_written", "attempt"))
+query("fetched_bars", O.sql("select ticker, unnest([date '2024-01-02', date '2024-01-03']) date, cast(k as double) as close from fetched where status = 'ok'", FETCHED))(lambda s, d: fetch.landed(outcomes(s, d)).select("ticker", "date", "close"))
+query("run_status_counts", O.sql("select status, count(*) n from fetched group by status", FETCHED))(lambda s, d: store.status_counts(outcomes(s, d).withColumn("run_id", F.lit("run")), "run"))
+query("latest_run", "select arg_max(event_id, ts) run_id, max(ts) started_at from events where event_type = 'view'")(lambda s, d: store.latest_run(B.table(s, d, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("source"), F.col("ts").alias("started_at")), "view"))
+query("last_price_dates", O.sql("select ticker, max(date) last_date from bars group by ticker", O.DUCK_BARS))(lambda s, d: store.last_dates(B.bars(s, d)))
+query("error_statuses", "select event_id, case event_id % 4 when 0 then 'rate_limited' when 1 then 'network_error' when 2 then 'empty_response' else 'parse_error' end status from events")(
+    lambda s, d: B.table(s, d, "events").select("event_id", store.error_status(F.element_at(F.array(*map(F.lit, ("HTTP 429 Too Many Requests", "ReadTimeout: read timed out", "possibly delisted; no price data found", "ValueError: bad JSON"))), (F.col("event_id") % 4 + 1).cast("int"))).alias("status"))
+)
 
 
 def strategy_bars(s: SparkSession, d: str, key: str) -> DataFrame:
