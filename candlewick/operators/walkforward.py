@@ -78,19 +78,37 @@ def rolled_up(fold_results: DataFrame) -> DataFrame:
     return own.agg(F.count(F.lit(1)).alias("folds"), F.try_divide(F.sum(F.col("mean_return") * F.col("n")), F.sum("n")).alias("pooled"), F.avg("mean_return").alias("averaged"), (F.stddev_samp("mean_return") / F.sqrt(F.count(F.lit(1)))).alias("std_error"), F.coalesce(F.sum("_switch"), F.lit(0)).alias("switches"), F.countDistinct("candidate").alias("distinct_picks"))
 
 
-def contest(train_scores: DataFrame, test_scores: DataFrame, fixed: str, least: int = 30) -> DataFrame:
-    """One row: how much of the chosen candidates' past was hindsight, and their gap to a fixed one, fold by fold.
+def judged(trades: DataFrame, fold_rows: DataFrame, by: str = "return_per_bar", least: int = 30) -> DataFrame:
+    """A row for each fold and candidate, its measures in training (train_*) and testing (test_*), and whether it was picked.
 
-    Folds count that have a choice with ``least`` trades in the test window.
+    One pass over the trades: a trade is in a fold's training or testing part, never in both.
     """
-    picked = chosen(train_scores).select("fold", "candidate", F.col("mean_return").alias("inside"))
-    out = test_scores.select("fold", "candidate", F.col("mean_return").alias("outside"), F.col("return_per_bar").alias("per_bar"), "n")
-    bench = test_scores.where(F.col("candidate") == fixed).select("fold", F.col("return_per_bar").alias("fixed_per_bar"))
-    own = picked.join(out, ["fold", "candidate"]).where(F.col("n") >= least).join(bench, "fold", "left").withColumn("gap", F.col("per_bar") - F.col("fixed_per_bar"))
-    many = F.count("gap")
+    inside = (F.col("entry_date") >= F.col("train_start")) & (F.col("entry_date") < F.col("test_start")) & (F.col("exit_date") < F.col("test_start"))
+    outside = F.col("entry_date").between(F.col("test_start"), F.col("test_end"))
+    r = F.coalesce("return_pct", "gross_return_pct")
+    own = trades.where(r.isNotNull()).join(F.broadcast(fold_rows), inside | outside).withColumns({"_in": inside, "_r": r})
+    measures = []
+    for part, here in (("train", F.col("_in")), ("test", ~F.col("_in"))):
+        x = F.when(here, F.col("_r"))
+        held = F.avg(F.when(here, F.greatest("bars_held", F.lit(1))))
+        measures += [F.count(x).alias(f"{part}_n"), F.avg(x).alias(f"{part}_mean_return"), F.median(x).alias(f"{part}_median_return"), (F.avg(x) / held).alias(f"{part}_return_per_bar"), F.try_divide(F.avg(x), F.stddev_samp(x)).alias(f"{part}_return_per_risk")]
+    wide = own.groupBy("fold", "candidate").agg(*measures)
+    enough = F.col("train_n") >= least
+    w = W.partitionBy("fold").orderBy(F.desc(enough), F.desc(f"train_{by}"), "candidate")
+    return wide.withColumn("picked", (F.row_number().over(w) == 1) & enough)
+
+
+def contest(found: DataFrame, fixed: str, least: int = 30) -> DataFrame:
+    """One row: how much of the picked candidates' past was hindsight, and their gap to a fixed one, fold by fold.
+
+    Folds count that have a pick with ``least`` trades in the test window.
+    """
+    bench = F.max(F.when((F.col("candidate") == fixed) & (F.col("test_n") > 0), F.col("test_return_per_bar"))).over(W.partitionBy("fold"))
+    own = found.withColumn("_gap", F.col("test_return_per_bar") - bench).where(F.col("picked") & (F.col("test_n") >= least))
+    many = F.count("_gap")
     return own.agg(
-        F.avg(F.col("inside") - F.col("outside")).alias("premium"), F.when(many >= 2, F.avg("gap")).alias("gap"), F.when(many >= 2, F.stddev_samp("gap") / F.sqrt(many)).alias("gap_error"), many.alias("gap_folds"),
-        F.try_divide(F.sum(F.col("outside") * F.col("n")), F.sum("n")).alias("pooled"), F.avg("outside").alias("averaged"),
+        F.avg(F.col("train_mean_return") - F.col("test_mean_return")).alias("premium"), F.when(many >= 2, F.avg("_gap")).alias("gap"), F.when(many >= 2, F.stddev_samp("_gap") / F.sqrt(many)).alias("gap_error"), many.alias("gap_folds"),
+        F.try_divide(F.sum(F.col("test_mean_return") * F.col("test_n")), F.sum("test_n")).alias("pooled"), F.avg("test_mean_return").alias("averaged"),
     )
 
 

@@ -199,28 +199,28 @@ query("universe_by_fold", O.sql("select fold, count(*) n, round(avg(r), 6) mean_
 TIER_SETS = {"1:A": ["A"], "2:AB": ["A", "B"], "3:ABC": ["A", "B", "C"]}
 
 
-def walk_scores(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = tiered(s, d, labels.HOLD_20)
+def walk_scores(s: SparkSession, d: str) -> DataFrame:
     sets = s.createDataFrame([(k, t) for k, ts in TIER_SETS.items() for t in ts], "candidate string, tier string")
-    rows, folds = rows.join(F.broadcast(sets), "tier"), walkforward.fold_table(s, FOLDS)
-    return walkforward.scores(walkforward.training(rows, folds), "fold", "candidate"), walkforward.scores(walkforward.testing(rows, folds), "fold", "candidate")
+    return walkforward.judged(tiered(s, d, labels.HOLD_20).join(F.broadcast(sets), "tier"), walkforward.fold_table(s, FOLDS))
 
 
-def walk_choices(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    trained, tested = walk_scores(s, d)
-    picked = walkforward.chosen(trained)
-    return picked, tested.join(picked.select("fold", "candidate"), ["fold", "candidate"])
+def part_of(scores: DataFrame, part: str) -> DataFrame:
+    return scores.where(f"{part}_n > 0").select("fold", "candidate", *[F.col(f"{part}_{c}").alias(c) for c in ("n", "mean_return", "median_return", "return_per_bar", "return_per_risk")])
+
+
+def picked(s: SparkSession, d: str, part: str) -> DataFrame:
+    return part_of(walk_scores(s, d).where("picked"), part)
 
 
 CANDIDATES = "sets(candidate, tier) as (values " + ", ".join(f"('{k}', '{t}')" for k, ts in TIER_SETS.items() for t in ts) + "), jc as (select j.*, candidate from j join sets using (tier) where r is not null)"
 TRAIN = "train as (select fold, candidate, count(*) n, avg(r) / avg(greatest(bars_held, 1)) rpb from jc join folds on entry_date >= train_start and entry_date < test_start and exit_date < test_start group by all), pick as (select fold, candidate, n, rpb from train where n >= 30 qualify row_number() over (partition by fold order by rpb desc, candidate) = 1)"
-query("walkforward_choice", O.sql("select cast(fold as bigint) fold, candidate, n, round(rpb, 6) return_per_bar from pick", *HOLD, JOINED, FOLD_VALUES, CANDIDATES, TRAIN))(lambda s, d: rounded(walk_choices(s, d)[0], "fold", "candidate", "n", "return_per_bar"))
-query("walkforward_test", O.sql("select cast(fold as bigint) fold, candidate, count(*) n, round(avg(r), 6) mean_return from jc join folds using () on entry_date between test_start and test_end join pick using (fold, candidate) group by all".replace(" using () on", " on"), *HOLD, JOINED, FOLD_VALUES, CANDIDATES, TRAIN))(lambda s, d: rounded(walk_choices(s, d)[1], "fold", "candidate", "n", "mean_return"))
+query("walkforward_choice", O.sql("select cast(fold as bigint) fold, candidate, n, round(rpb, 6) return_per_bar from pick", *HOLD, JOINED, FOLD_VALUES, CANDIDATES, TRAIN))(lambda s, d: rounded(picked(s, d, "train"), "fold", "candidate", "n", "return_per_bar"))
+query("walkforward_test", O.sql("select cast(fold as bigint) fold, candidate, count(*) n, round(avg(r), 6) mean_return from jc join folds using () on entry_date between test_start and test_end join pick using (fold, candidate) group by all".replace(" using () on", " on"), *HOLD, JOINED, FOLD_VALUES, CANDIDATES, TRAIN))(lambda s, d: rounded(picked(s, d, "test"), "fold", "candidate", "n", "mean_return"))
 TESTED = "tested as (select fold, candidate, count(*) n, avg(r) mean_return from jc join folds on entry_date between test_start and test_end join pick using (fold, candidate) group by all), switched as (select *, (lag(candidate) over (order by fold) <> candidate)::int switch from tested)"
 query(
     "walkforward_rollup",
     O.sql("select count(*) folds, round(sum(mean_return * n) / sum(n), 6) pooled, round(avg(mean_return), 6) averaged, round(stddev_samp(mean_return) / sqrt(count(*)), 6) std_error, cast(coalesce(sum(switch), 0) as bigint) switches, count(distinct candidate) distinct_picks from switched", *HOLD, JOINED, FOLD_VALUES, CANDIDATES, TRAIN, TESTED),
-)(lambda s, d: rounded(walkforward.rolled_up(walk_choices(s, d)[1])))
+)(lambda s, d: rounded(walkforward.rolled_up(picked(s, d, "test"))))
 
 
 CONTEST = """trained as (select fold, candidate, count(*) n, avg(r) inside, avg(r) / avg(greatest(bars_held, 1)) rpb from jc join folds on entry_date >= train_start and entry_date < test_start and exit_date < test_start group by all),
@@ -230,7 +230,7 @@ duel as (select b.fold, inside, o.outside, o.n, o.rpb - f.rpb gap from best b jo
 query(
     "walkforward_contest",
     O.sql("select round(avg(inside - outside), 6) premium, round(case when count(gap) >= 2 then avg(gap) end, 6) gap, round(case when count(gap) >= 2 then stddev_samp(gap) / sqrt(count(gap)) end, 6) gap_error, count(gap) gap_folds, round(sum(outside * n) / sum(n), 6) pooled, round(avg(outside), 6) averaged from duel", *HOLD, JOINED, FOLD_VALUES, CANDIDATES, CONTEST),
-)(lambda s, d: rounded(walkforward.contest(*walk_scores(s, d), "3:ABC")))
+)(lambda s, d: rounded(walkforward.contest(walk_scores(s, d), "3:ABC")))
 query(
     "walkforward_scores",
     O.sql(
@@ -238,7 +238,7 @@ query(
         "from jc join folds on entry_date between test_start and test_end group by all having stddev_samp(r) > 0",
         *HOLD, JOINED, FOLD_VALUES, CANDIDATES,
     ),
-)(lambda s, d: rounded(walk_scores(s, d)[1].where("return_per_risk is not null and abs(return_per_risk) < double('infinity')"), "fold", "candidate", "n", "mean_return", "median_return", "return_per_bar", "return_per_risk"))
+)(lambda s, d: rounded(part_of(walk_scores(s, d), "test").where("return_per_risk is not null"), "fold", "candidate", "n", "mean_return", "median_return", "return_per_bar", "return_per_risk"))
 
 
 def half_updated(s: SparkSession, d: str) -> DataFrame:

@@ -104,9 +104,22 @@ def test_range_filters_keep_unknown_values(spark):
 
 
 def test_contest_needs_two_paired_folds(spark):
-    kinds = "fold int, candidate string, n long, mean_return double, return_per_bar double"
-    train = spark.createDataFrame([(1, "a", 50, 3.0, 0.3), (1, "b", 50, 1.0, 0.1), (2, "b", 40, 2.0, 0.2), (3, "a", 60, 4.0, 0.4)], kinds)
-    test = spark.createDataFrame([(1, "a", 30, 1.0, 0.1), (1, "b", 30, 2.0, 0.2), (2, "b", 90, 1.0, 0.5), (3, "a", 10, 9.0, 0.9)], kinds)
-    r = walkforward.contest(train, test, "b").first()
+    kinds = "fold int, candidate string, train_n long, train_mean_return double, test_n long, test_mean_return double, test_return_per_bar double, picked boolean"
+    rows = [(1, "a", 50, 3.0, 30, 1.0, 0.1, True), (1, "b", 50, 1.0, 30, 2.0, 0.2, False), (2, "b", 40, 2.0, 90, 1.0, 0.5, True), (3, "a", 60, 4.0, 10, 9.0, 0.9, True)]
+    found = spark.createDataFrame(rows, kinds)
+    r = walkforward.contest(found, "b").first()
     assert r.premium == pytest.approx(1.5) and r.gap == pytest.approx(-0.05) and r.gap_error == pytest.approx(0.05) and r.gap_folds == 2 and r.pooled == pytest.approx(1.0)
-    assert walkforward.contest(train.where("fold = 1"), test, "b").first().gap is None
+    assert walkforward.contest(found.where("fold = 1"), "b").first().gap is None
+
+
+def test_judged_equals_training_and_testing_apart(spark):
+    rows = [(f"T{k % 7}", date(2020 + k % 4, 1 + k % 12, 1 + k % 28), date(2020 + (k + k % 3 == 0) + k % 4, 1 + (k + 1) % 12, 1 + k % 28), "ab"[k % 2], float((k * 37) % 19 - 9), k % 9) for k in range(400)]
+    trades = spark.createDataFrame(rows, "ticker string, entry_date date, exit_date date, candidate string, gross_return_pct double, bars_held int").selectExpr("*", "cast(null as double) return_pct")
+    folds = walkforward.fold_table(spark, walkforward.folds(date(2020, 1, 1), date(2023, 12, 31), 12, 24))
+    found = {(r.fold, r.candidate): r for r in walkforward.judged(trades, folds, least=5).collect()}
+    for part, rows_of in (("train", walkforward.training), ("test", walkforward.testing)):
+        for r in walkforward.scores(rows_of(trades, folds), "fold", "candidate").collect():
+            own = found[r.fold, r.candidate]
+            assert own[f"{part}_n"] == r.n and own[f"{part}_mean_return"] == pytest.approx(r.mean_return) and own[f"{part}_median_return"] == pytest.approx(r.median_return) and own[f"{part}_return_per_bar"] == pytest.approx(r.return_per_bar)
+    best = {(r.fold, r.candidate) for r in walkforward.chosen(walkforward.scores(walkforward.training(trades, folds), "fold", "candidate"), least=5).collect()}
+    assert best == {k for k, r in found.items() if r.picked}
