@@ -11,6 +11,8 @@ the first to the last of them.  Only anchors are exchanged, as hashes; those tha
 occur once can hold no repeat and stop there.  Equal contexts are one text with
 several places: all but the first place go.  Within the sending task that is decided
 before the exchange, so a passage in a third of all documents sends one row per task.
+Whole contexts are told apart by hashes, 48 bits beside the 64 of their anchor; they never
+enter the transform, which is for strings that different contexts share.
 
 Expansion.  Anchors with several different contexts have those contexts fetched from
 the texts and indexed: `repeats` sorts their suffixes up to the threshold, forms the
@@ -22,7 +24,8 @@ equal strings, and all but the earliest place of an interval go.
 Null and empty texts, and texts under 100 bytes, lose nothing and have one result row
 each.  Every row is judged on its own: rows that repeat a doc_id come in the order of a
 hash of their texts, null ids after all others, and of rows equal in id and text any one
-comes first.
+comes first.  A text of any length is read whole.  An empty table gives an empty result;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

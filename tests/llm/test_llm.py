@@ -624,6 +624,44 @@ def test_repeated_rows_lose_all_copies_but_one(spark):
     assert [r.source for r in left.where("doc_id is null").collect()] == ["f"]
 
 
+def test_repeats_at_the_end_of_a_very_long_text(spark, tmp_path):
+    """A passage behind 17 MiB of other bytes, longer than an anchor's places and any slice."""
+    rng = np.random.default_rng(21)
+    noise = rng.integers(97, 123, 17 << 20).astype(np.uint8)
+    noise[::90] = 10
+    passage = prose(40, 81)
+    long = noise.tobytes().decode() + "\n" + passage
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": [1, 2, 3], "text": pa.array([passage, long, "x"]), "kept": ["a", "b", "c"]}), f"{tmp_path}/d.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/d.parquet")
+    size = len(passage.encode())
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.deduplicated(docs).collect()} == {1: 0, 2: size, 3: 0}
+    assert {r.doc_id: r.n_removed for r in line_dedup.deduplicated(docs).collect()} == {1: 0, 2: 1, 3: 0}
+    item = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontaminate.contamination(docs, item).collect()} == {1: True, 2: True, 3: False}
+    assert {r.doc_id: r.component_id for r in jaccard.linked(docs).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_scanning_operators_take_repeated_null_and_clashing_rows(spark):
+    rows = [(1, prose(20, 1), "a", 1.0), (1, prose(20, 1), "b", 2.0), (1, prose(9, 2), "c", 3.0), (None, prose(20, 1), "d", 4.0), (None, None, "e", 5.0), (2, "", "f", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, score double").repartition(3)
+    path = public_tokenizers.path(byte_bpe.RANK_FILE)
+    want = sorted((repr((i, len(ENCODING.encode_ordinary(t or "")))) for i, t, _, _ in rows))
+    assert sorted(repr((r.doc_id, r.n_tokens)) for r in byte_bpe.tokenised(docs, path).collect()) == want
+    bench = spark.createDataFrame([(1, prose(20, 1), 0), (1, prose(20, 1), 0), (None, "x", 0)], "item_id long, text string, doc_id int")
+    assert sorted(repr((r.doc_id, r.n_hit)) for r in decontaminate.contamination(docs, bench).collect()) == sorted(repr((i, 20 if t == prose(20, 1) else 0)) for i, t, _, _ in rows)
+    assert decontaminate.stage(docs, bench).columns == docs.columns and decontaminate.stage(docs, bench).count() == 3
+    net = quality.train([])
+    assert quality.scored(docs, net).count() == 6 and quality.stage(docs, net).columns == docs.columns
+    assert quality.scored(docs.limit(0), net).count() == 0
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.fitted(docs, labels)
+    assert toxicity.scored(docs, model).count() == 6 and toxicity.scored(docs.limit(0), model).count() == 0
+    for stage in (line_dedup.stage, jaccard.stage):
+        assert stage(docs).columns == docs.columns
+
+
 def suffix_hash(t):
     s = next(kernels.slices(pa.array([t])))
     return int(dealing.row_names(pa.array([0]), s)[1][0])
