@@ -15,7 +15,7 @@ sequence; one without words (or a null text) is empty and links with nothing.
     prefixes and size collapse into one group.  Group pairs are filtered by size and
     prefix position.  Instead of all pairs a list proposes stars: each group to the
     smallest one it can link to, and each member to its group's first.
-4.  Proposals made for enough shingles are verified on the full sets, the centre's set
+4.  Proposals made for enough shingles are verified on the full sets, the centre's text
     travelling once to each bucket that holds partners.  Only texts of such documents
     move: a bitmap of fixed size, which may name some too many, tells which.
 5.  Links give components.  A list whose members now share a component needs nothing
@@ -57,8 +57,8 @@ FLUSH = 8192
 POSTINGS, LISTS, CENTRES, PARTNERS, SETS, LABELS, COUNTS = 1, 2, 3, 4, 5, 6, 7
 #: Centres of a list by hash, besides the smallest; pairs of a document that are verified before the others.
 CENTRES_BY_HASH, TOP = 3, 4
-#: Bytes of sets that a task sends together.
-SEND = 32 << 20
+#: Bytes of texts that a task sends together.
+SEND = 16 << 20
 WEIGHTS = K.mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -388,19 +388,18 @@ class Kept:
             self.parts, self.size = [], 0
 
 
-def sets_of(payload: bytes, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def sets_of(payload: bytes) -> Iterator[tuple[int, np.ndarray]]:
     ids, sizes, buf = K.unpack_columns(payload, np.int64, np.int64, np.uint8)
-    if wanted is not None:
-        use = np.flatnonzero(np.isin(ids, wanted))
-        starts = np.cumsum(sizes) - sizes
-        ids, buf, sizes = ids[use], buf[K.spread(starts[use], sizes[use])], sizes[use]
     ends = np.cumsum(sizes)
     s = K.TextSlice(0, buf, np.concatenate([[0], ends]), np.ones(len(ids), bool))
     yield from zip(ids.tolist(), shingles(s))
 
 
 def send_centres(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The set of each centre to every bucket with a partner of it, once; partners' pairs and texts stay."""
+    """The text of each centre to every bucket with a partner of it, once; partners' pairs and texts stay.
+
+    A packed text is a third of its set of hashes, so the bucket makes the set again.
+    """
     got = gathered(batches)
     pairs = np.stack(columns(got.get(CENTRES, []), *DECIDED)[:2], 1)
     to = np.unique(np.stack([pairs[:, 0], bucket_of(pairs[:, 1], n)], 1), axis=0)
@@ -408,15 +407,12 @@ def send_centres(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
     a, b, left, right = columns(got.get(PARTNERS, []), *DECIDED)
     pairs, labels = np.stack([a, b], 1), np.stack([left, right], 1)
     wanted = np.unique(pairs[:, 1])
-    docs: list[int] = []
-    sets: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        flat = np.concatenate(sets)
-        sizes = np.array([len(x) for x in sets], np.int64)
+        ids, sizes, flat = (np.concatenate([h[k] for h in held]) for k in range(3))
         starts = np.cumsum(sizes) - sizes
-        ids = np.array(docs, np.int64)
         x, y = np.searchsorted(to[:, 0], ids, "left"), np.searchsorted(to[:, 0], ids, "right")
         which = np.repeat(np.arange(len(ids)), y - x)
 
@@ -428,19 +424,19 @@ def send_centres(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
     found = got.get(TEXTS, [])
     keep = Kept(found[0][0]) if found else None
     for _, payload in found:
-        for doc, own in sets_of(payload, centres):
-            docs.append(doc)
-            sets.append(own)
-            size += own.nbytes
+        ids, sizes, buf = K.unpack_columns(payload, np.int64, np.int64, np.uint8)
+        use = np.flatnonzero(np.isin(ids, centres))
+        if len(use):
+            held.append((ids[use], sizes[use], buf[K.spread((np.cumsum(sizes) - sizes)[use], sizes[use])]))
+            size += len(held[-1][2])
         if size >= SEND:
             yield flush()
-            docs, sets, size = [], [], 0
-        ids, sizes, buf = K.unpack_columns(payload, np.int64, np.int64, np.uint8)
+            held, size = [], 0
         keep.add(ids, sizes, buf, np.flatnonzero(np.isin(ids, wanted)))
         yield from keep.flush(SEND)
     if keep:
         yield from keep.flush(0)
-    if docs:
+    if held:
         yield flush()
     if len(pairs):
         yield rows(by_bucket(bucket_of(pairs[:, 1], n), [pairs[:, 0], pairs[:, 1], labels[:, 0], labels[:, 1]], PARTNERS))
@@ -463,10 +459,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a bucket whose full sets link and whose components no link before them here has joined."""
     got = gathered(batches)
     a, b, left, right = columns(got.get(PARTNERS, []), *DECIDED)
-    sets = {}
-    for _, payload in got.pop(SETS, []):
-        docs, sizes, flat = K.unpack_columns(payload, np.int64, np.int64, np.uint64)
-        sets |= zip(docs.tolist(), np.split(flat, np.cumsum(sizes)[:-1]))
+    sets = {doc: own for _, payload in got.pop(SETS, []) for doc, own in sets_of(payload)}
     order = np.argsort(b, kind="stable")
     a, b, left, right = a[order], b[order], left[order], right[order]
     joined = Joined()
