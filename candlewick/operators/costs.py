@@ -60,8 +60,8 @@ class Costs:
         out = None
         for b in self.bands:
             if b.upper is not None:
-                out = F.when(price < b.upper, b.tick) if out is None else out.when(price < b.upper, b.tick)
-        return F.lit(self.bands[-1].tick) if out is None else out.otherwise(self.bands[-1].tick)
+                out = F.when(price < b.upper, float(b.tick)) if out is None else out.when(price < b.upper, float(b.tick))
+        return F.lit(float(self.bands[-1].tick)) if out is None else out.otherwise(float(self.bands[-1].tick))
 
     def on_grid(self, price: Column, way: str = "nearest") -> Column:
         ratio, tick = price / self.tick(price), self.tick(price)

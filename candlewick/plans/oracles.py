@@ -81,27 +81,39 @@ ALL = (DUCK_DIRTY, ND, SMA, RSI, QUALITY, SIGNALS)
 ELIGIBLE = "eligible as (select s.ticker, s.date, s.tier, n.n k from signals s join n on n.ticker = s.ticker and n.date = s.date where alignment_depth >= 3 and rsi_gate and above_ma5 and data_quality not in ('stale', 'suspect'))"
 
 
-def labels(h: int, target: float | None, stop: float | None, version: str, tie: str = "unfavourable") -> str:
-    """Labels of eligible signals; the bars of a trade are n from k + 1 to k + h."""
-    up = f"f.open * (1 + {target} / 100)" if target is not None else "cast(null as double)"
-    down = f"f.open * (1 - {stop} / 100)" if stop is not None else "cast(null as double)"
+def tick(price: str) -> str:
+    """The ticks of the example costs."""
+    return f"(case when {price} < 200 then 1 when {price} < 500 then 2 when {price} < 2000 then 5 when {price} < 5000 then 10 else 25 end)"
+
+
+def labels(h: int, target: float | None, stop: float | None, version: str, tie: str = "unfavourable", name: str = "trade_labels", costs: bool = False) -> str:
+    """Labels of eligible signals; the bars of a trade are n from k + 1 to k + h.  With costs, fills are on the tick grid and returns are net too."""
+    paid = f"round(ceil(f.open / {tick('f.open')} - 1e-9) * {tick('f.open')}, 6)" if costs else "f.open"
+    net = "null::double"
+    if costs:
+        net = f"round(floor(x / {tick('x')} + 1e-9) * {tick('x')}, 6) * (1 - 0.0025) / (round(ceil(fill_price / {tick('fill_price')} - 1e-9) * {tick('fill_price')}, 6) * (1 + 0.0015))"
+        net = f"({net} - 1) * 100"
+    up = f"{paid} * (1 + {target} / 100)" if target is not None else "cast(null as double)"
+    down = f"{paid} * (1 - {stop} / 100)" if stop is not None else "cast(null as double)"
     order = "case when coalesce(high >= up, false) and (tie_good or not coalesce(low <= down, false)) then 'target' else 'stop' end"
-    return f"""l0 as (
-  select e.ticker, e.date entry_date, e.k, f.date fill_date, f.open fill_price, {up} up, {down} down, {'true' if tie == 'favourable' else 'false'} tie_good
+    l0, l1, l2, l3 = (f"{name}_{k}" for k in range(4))
+    return f"""{l0} as (
+  select e.ticker, e.date entry_date, e.k, f.date fill_date, {paid} fill_price, {up} up, {down} down, {'true' if tie == 'favourable' else 'false'} tie_good
   from eligible e join n f on f.ticker = e.ticker and f.n = e.k + 1 where f.open > 0),
-l1 as (
-  select l0.*, b.n - l0.k pos, b.date, b.high, b.low, b.close, coalesce(b.high >= up, false) or coalesce(b.low <= down, false) hit, {order} what,
-    min(case when coalesce(b.high >= up, false) or coalesce(b.low <= down, false) then b.n - l0.k end) over (partition by l0.ticker, l0.entry_date) hit_at, max(b.n - l0.k) over (partition by l0.ticker, l0.entry_date) last_at
-  from l0 join n b on b.ticker = l0.ticker and b.n between l0.k + 1 and l0.k + {h}),
-l2 as (
+{l1} as (
+  select l.*, b.n - l.k pos, b.date, b.high, b.low, b.close, coalesce(b.high >= up, false) or coalesce(b.low <= down, false) hit, {order} what,
+    min(case when coalesce(b.high >= up, false) or coalesce(b.low <= down, false) then b.n - l.k end) over (partition by l.ticker, l.entry_date) hit_at, max(b.n - l.k) over (partition by l.ticker, l.entry_date) last_at
+  from {l0} l join n b on b.ticker = l.ticker and b.n between l.k + 1 and l.k + {h}),
+{l2} as (
   select ticker, entry_date, fill_date, fill_price, max(date) exit_date, arg_max(close, pos) last_close, arg_max(what, pos) what, any_value(hit_at) hit_at, any_value(last_at) last_at, any_value(up) up, any_value(down) down, max(pos) - 1 bars_held,
     least(0, (min(low) / fill_price - 1) * 100) mae, greatest(0, (max(high) / fill_price - 1) * 100) mfe
-  from l1 where pos <= coalesce(hit_at, pos) group by ticker, entry_date, fill_date, fill_price),
-l3 as (
-  select *, case when hit_at is not null then what when last_at < {h} then 'open' else 'timeout' end outcome from l2),
-trade_labels as (
-  select ticker, entry_date, '{version}' rule_version, fill_date, fill_price, exit_date, case outcome when 'target' then up when 'stop' then down else last_close end exit_price, outcome, bars_held,
-    case when outcome <> 'open' then (case outcome when 'target' then up when 'stop' then down else last_close end / fill_price - 1) * 100 end gross_return_pct, mae, mfe from l3)"""
+  from {l1} where pos <= coalesce(hit_at, pos) group by ticker, entry_date, fill_date, fill_price),
+{l3} as (
+  select *, case outcome when 'target' then up when 'stop' then down else last_close end x from (
+    select *, case when hit_at is not null then what when last_at < {h} then 'open' else 'timeout' end outcome from {l2})),
+{name} as (
+  select ticker, entry_date, '{version}' rule_version, fill_date, fill_price, exit_date, x exit_price, outcome, bars_held,
+    case when outcome <> 'open' then (x / fill_price - 1) * 100 end gross_return_pct, mae, mfe, case when outcome <> 'open' then {net} end return_pct from {l3})"""
 
 
 INDEX_GATE = f"""{DUCK_INDEX},

@@ -157,7 +157,10 @@ HOLD = (*O.ALL, O.ELIGIBLE, O.labels(20, None, None, "hold-h20-f081a07b"))
 TARGET = (*O.ALL, O.ELIGIBLE, O.labels(20, 8.0, 4.0, "t8.0-s4.0-h20-unfav-b8562694"))
 query("labels_hold20", O.sql(f"select {L_SELECT} from trade_labels", *HOLD))(lambda s, d: rounded(trades(s, d, labels.HOLD_20)[0], *L_COLUMNS))
 query("labels_t8_s4", O.sql(f"select {L_SELECT} from trade_labels", *TARGET))(lambda s, d: rounded(trades(s, d, labels.TARGET_8_4)[0], *L_COLUMNS))
-query("labels_many_rules")(lambda s, d: rounded(trades(s, d, labels.HOLD_20, labels.TARGET_8_4, labels.Rule(10), labels.Rule(20, 12.0, 6.0, "favourable"), costs=EXAMPLE)[0], *labels.COLUMNS))
+#: The rules' published names.
+MANY = {"hold20": (20, None, None, "hold-h20-f081a07b", "unfavourable"), "t8": (20, 8.0, 4.0, "t8.0-s4.0-h20-unfav-b8562694", "unfavourable"), "hold10": (10, None, None, "hold-h10-01f0b5e7", "unfavourable"), "t12": (20, 12.0, 6.0, "t12.0-s6.0-h20-favou-151215bd", "favourable")}
+query("labels_many_rules", O.sql(" union all ".join(f"select {L_SELECT}, round(return_pct, 6) return_pct from {name}" for name in MANY), *O.ALL, O.ELIGIBLE, *[O.labels(*rule, name=name, costs=True) for name, rule in MANY.items()]))(
+lambda s, d: rounded(trades(s, d, labels.HOLD_20, labels.TARGET_8_4, labels.Rule(10), labels.Rule(20, 12.0, 6.0, "favourable"), costs=EXAMPLE)[0], *labels.COLUMNS))
 
 JOINED = "j as (select l.*, s.tier, gross_return_pct r from trade_labels l join signals s on s.ticker = l.ticker and s.date = l.entry_date)"
 
