@@ -661,13 +661,14 @@ def linked(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each component: the smallest doc_id; rows without an id stand after all others, by a hash of their text."""
     own = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
-    first = linked(docs.select(own.alias("doc_id"), "text")).where("component_id = doc_id").select(F.col("doc_id").alias("kept_id"))
-    first = kept(docs.sparkSession, first, "firsts")
+    # those that go are far fewer than those that stay: the smaller side of the join
+    gone = linked(docs.select(own.alias("doc_id"), "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
+    gone = kept(docs.sparkSession, gone, "gone")
     named = docs.where("doc_id is not null")
-    named = named.join(first, named.doc_id.cast("bigint") == first.kept_id, "left_semi")
+    named = named.join(gone, named.doc_id.cast("bigint") == gone.gone_id, "left_anti")
     # equal texts without an id share a name: one stays, of those without words all
     rest = docs.where("doc_id is null").withColumn("own_name", own)
-    rest = rest.join(first, rest.own_name == first.kept_id, "left_semi")
+    rest = rest.join(gone, rest.own_name == gone.gone_id, "left_anti")
     wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     rest = rest.withColumn("own_copy", F.when(wordless, F.monotonically_increasing_id()).otherwise(F.lit(-1))).dropDuplicates(["own_name", "own_copy"])
     return named.unionByName(rest.drop("own_name", "own_copy"))
