@@ -16,6 +16,9 @@ MODULES = {
     "op8_ngram_jaccard": "jaccard",
     "op9_html_extraction": "html_extract",
     "op10_suffix_dedup": "suffix_dedup",
+    "op11_resampling": "resampling",
+    "op12_periodic_runs": "periodic",
+    "op13_packing": "packing",
 }
 
 
