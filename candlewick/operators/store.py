@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candlewick.sources.bars import latest_by
@@ -18,11 +19,21 @@ MAX_FAILURE_RATE = 0.05
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Target with incoming rows in place of those of equal keys; new columns are added, none is dropped."""
-    new = latest_by(incoming, keys, order) if order else incoming.dropDuplicates(keys)
+    """Target with incoming rows in place of those of equal keys; new columns are added, none is dropped.
+
+    Of incoming rows of equal keys the one with the greatest ``order`` counts; without an order they fail the job.
+    """
+    new = latest_by(incoming, keys, order) if order else unique(incoming, keys)
     return target.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def unique(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """The frame; a key that occurs twice fails the job, as nothing says which of its rows counts."""
+    said = F.concat(F.lit("rows of one key and no order: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    own = frame.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    return own.where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(said).cast("boolean"))).drop("_n")
+
+
 def upsert_tickers(known: DataFrame, incoming: DataFrame, seen_on) -> DataFrame:
     """Listed names come (back) to life and keep what incoming leaves open; first_seen stays."""
     a, b = known.alias("a"), incoming.dropDuplicates(["ticker"]).alias("b")
@@ -53,9 +64,11 @@ class Sync:
 
 def sync_universe(known: DataFrame, incoming: DataFrame, seen_on, allow_large_drop: bool = False) -> Sync:
     """Refuses an empty source; leaves names active if too many of them would go at once."""
-    if incoming.isEmpty():
+    here = incoming.select("ticker").distinct().withColumn("_here", F.lit(True))
+    found = known.select("ticker", "is_active").join(here, "ticker", "full").agg(F.count_if("_here").alias("here"), F.count_if("is_active").alias("active"), F.count_if(F.col("is_active") & F.col("_here").isNull()).alias("missing")).first()
+    if not found["here"]:
         raise ValueError("the source lists no names")
-    active, missing = known.where("is_active").count(), known.where("is_active").join(incoming.select("ticker"), "ticker", "left_anti").count()
+    active, missing = found["active"], found["missing"]
     merged = upsert_tickers(known, incoming, seen_on)
     if active and missing / active > MAX_MISSING and not allow_large_drop:
         return Sync(merged, missing, False)

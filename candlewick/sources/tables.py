@@ -1,18 +1,23 @@
-"""A store: one folder of Parquet tables that are created, upserted, logged to and published.
+"""A store: one folder of Parquet tables that are created, upserted, logged to and published, in versions.
 
 Fact tables are partitioned by year, so an upsert reads and replaces the years that come in
-and no others.  Old files lack columns that were declared later; they read as null, so adding
-a column needs no rewrite, and none is ever dropped or retyped.
+and no others.  Each call that writes commits one version (`snapshots`): readers that have opened
+one keep it, and a publication shows all of its tables or none.  Old files lack columns that were
+declared later; they read as null, so adding a column needs no rewrite, and none is ever dropped
+or retyped.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candlewick.operators.store import STATUSES, upsert
+from candlewick.sources.snapshots import Change, Snapshot, Versions
 
 
 @dataclass(frozen=True)
@@ -30,74 +35,103 @@ TABLES = {
     "price_quality": Table("ticker string, date date, insufficient_history boolean, stale_price boolean, zero_volume boolean, suspicious_jump boolean, gap boolean, impossible_bar boolean, stale_run_length int, jump_pct double, gap_days int, bars_available int, is_clean boolean", ("ticker", "date"), "date"),
     "signals": Table("ticker string, date date, alignment_depth int, rsi_gate boolean, above_ma5 boolean, days_since_ma5_cross int, tier string, data_quality string, bars_available int", ("ticker", "date"), "date"),
     "trade_labels": Table("ticker string, entry_date date, rule_version string, fill_date date, fill_price double, exit_date date, exit_price double, outcome string, bars_held int, return_pct double, gross_return_pct double, mae double, mfe double", ("ticker", "entry_date", "rule_version"), "entry_date"),
+    # what a night needs of a ticker's past (operators/nightly.py)
+    "signal_state": Table("ticker string, bars bigint, last_date date, closes array<double>, rsi_up double, rsi_down double, stale_run bigint, cross_at bigint, bad_at bigint, was_above boolean", ("ticker",)),
     "ingest_log": Table("run_id string, ticker string, source string, status string, rows_written bigint, error_message string, attempt int, started_at timestamp, finished_at timestamp", ()),
 }
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None):
+        """The latest version at each call, or a given one for good."""
         self.spark, self.root = spark, root.rstrip("/")
+        self.versions = Versions(spark, self.root)
+        self.pinned = None if version is None else self.versions.at(version)
 
-    def _at(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def snapshot(self) -> Snapshot:
+        return self.pinned or self.versions.latest()
+
+    def pin(self) -> Store:
+        """A reader of the latest version, whatever is written later."""
+        return Store(self.spark, self.root, self.versions.latest().version)
 
     def exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._at(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return name in self.snapshot().tables
 
     def init(self) -> dict[str, int]:
         """Creates what is missing; rows of every table."""
-        for name, table in TABLES.items():
-            if not self.exists(name):
-                self.write(name, self.spark.createDataFrame([], table.schema))
+        missing = [name for name in TABLES if not self.exists(name)]
+        if missing:
+            change = self.versions.change()
+            change.whole.update(missing)
+            change.commit()
         return {name: self.read(name).count() for name in TABLES}
 
-    def read(self, name: str) -> DataFrame:
-        """A table in its declared columns; fails at once if the store lacks it."""
-        if not self.exists(name):
-            raise FileNotFoundError(f"no table {name} below {self.root}")
-        table = TABLES[name]
-        if table.day is None:
-            return self.spark.read.schema(f"{table.schema}, part int").parquet(self._at(name)).drop("part")
-        return self.spark.read.schema(f"{table.schema}, year int").parquet(self._at(name)).drop("year")
-
-    def _parted(self, name: str, frame: DataFrame) -> tuple[DataFrame, str]:
-        table = TABLES[name]
-        own = frame.select(*[F.col(c).cast(kind).alias(c) if c in frame.columns else F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in table.schema.split(", "))])
-        return (own.withColumn("part", F.lit(0)), "part") if table.day is None else (own.withColumn("year", F.year(table.day)), "year")
-
-    def write(self, name: str, frame: DataFrame, mode: str = "overwrite") -> None:
-        """Replaces the partitions that the frame touches (or appends to them), clustered by key."""
-        own, part = self._parted(name, frame)
-        first = [k for k in TABLES[name].keys[:1]]
-        own = own.repartition(part, *first).sortWithinPartitions(*first, *[c for c in [TABLES[name].day] if c]) if first else own
-        own.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(self._at(name))
+    def read(self, name: str, years: list[int] | None = None) -> DataFrame:
+        """A table in its declared columns, or some of its years; fails at once if the store lacks it."""
+        return read_from(self.snapshot(), name, years)
+
+    def write(self, name: str, frame: DataFrame, mode: str = "parts") -> None:
+        """Replaces the years that the frame touches (a table without years as a whole), or appends to it."""
+        change = self.versions.change()
+        put(change, name, frame, mode)
+        change.commit()
 
     def upsert(self, name: str, incoming: DataFrame, order: str | None = None) -> None:
-        """Incoming rows in place of those of equal keys; only the years that come in are read and replaced."""
-        table, target = TABLES[name], self.read(name)
-        if table.day is not None:
-            years = [r[0] for r in incoming.select(F.year(table.day)).distinct().collect()]  # a few dozen at most
-            target = target.where(F.year(table.day).isin(years))
-        self.write(name, upsert(target, incoming, list(table.keys), order))
+        """Incoming rows in place of those of equal keys; only the years that come in are read and replaced.
+
+        Of incoming rows of equal keys the one with the greatest ``order`` counts; without an order they are refused.
+        """
+        change = self.versions.change()
+        upsert_in(change, name, incoming, order)
+        change.commit()
 
     def log(self, entries: DataFrame) -> None:
-        """Appends to the log; a status that is not known fails before anything is written."""
+        """Appends to the log; a status that is not known fails the write, and no version is made."""
         known = F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
-        if not entries.where(~known).isEmpty():
-            raise ValueError(f"unknown ingest status; expected one of {sorted(STATUSES)}")
-        self.write("ingest_log", entries, "append")
-
-    def publish(self, target: Store, bars: int = 180) -> None:
-        """The dimension, the signals and the last bars of every ticker, for readers."""
-        w = F.row_number().over(self._newest())
-        target.write("prices", self.read("prices").withColumn("_n", w).where(F.col("_n") <= bars))
-        target.write("signals", self.read("signals").withColumn("_n", w).where(F.col("_n") <= bars))
-        target.write("tickers", self.read("tickers"))
-
-    @staticmethod
-    def _newest():
-        from pyspark.sql import Window
-
-        return Window.partitionBy("ticker").orderBy(F.desc("date"))
+        said = F.concat(F.lit("unknown ingest status "), F.coalesce(F.col("status"), F.lit("null")))
+        try:
+            self.write("ingest_log", entries.withColumn("status", F.when(known, F.col("status")).otherwise(F.raise_error(said))), "append")
+        except PySparkException as error:
+            if "unknown ingest status" in str(error):
+                raise ValueError(f"unknown ingest status; expected one of {sorted(STATUSES)}") from error
+            raise
+
+    def publish(self, target: Store, bars: int = 180) -> Snapshot:
+        """The dimension, the signals and the last bars of every ticker, for readers: one version, of these rows only."""
+        own = self.pin()
+        newest = F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("date")))
+        change = target.versions.change()
+        for name in ("prices", "signals"):
+            put(change, name, own.read(name).withColumn("_n", newest).where(F.col("_n") <= bars), "whole")
+        put(change, "tickers", own.read("tickers"), "whole")
+        return change.commit()
+
+
+def read_from(snapshot: Snapshot, name: str, years: list[int] | None = None) -> DataFrame:
+    if name not in snapshot.tables:
+        raise FileNotFoundError(f"no table {name} below {snapshot.root}")
+    return snapshot.read(name, TABLES[name].schema, None if years is None else [str(y) for y in years])
+
+
+def declared(schema: str) -> list[tuple[str, str]]:
+    return [tuple(x.split(" ", 1)) for x in schema.split(", ")]
+
+
+def put(change: Change, name: str, frame: DataFrame, mode: str = "parts") -> None:
+    """The frame in its declared columns, clustered by key, as part of a change."""
+    table = TABLES[name]
+    own = frame.select(*[F.col(c).cast(kind).alias(c) if c in frame.columns else F.lit(None).cast(kind).alias(c) for c, kind in declared(table.schema)])
+    if table.day is not None:
+        first = table.keys[0]
+        own = own.withColumn("year", F.year(table.day)).repartition("year", first).sortWithinPartitions("year", first, table.day)
+        change.write(name, own, "year", mode)
+    else:
+        change.write(name, own, None, mode)
+
+
+def upsert_in(change: Change, name: str, incoming: DataFrame, order: str | None = None) -> None:
+    table, years = TABLES[name], None
+    if table.day is not None:
+        years = [r[0] for r in incoming.select(F.year(table.day)).distinct().collect()]  # a few dozen at most
+    put(change, name, upsert(read_from(change.staged(), name, years), incoming, list(table.keys), order))

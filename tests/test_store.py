@@ -4,11 +4,12 @@ from datetime import date, datetime
 
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 
 from candlewick.operators import labels, store, walkforward
 from candlewick.plans import trade_log
-from candlewick.sources import fetch
-from candlewick.sources.tables import TABLES, Store
+from candlewick.sources import fetch, snapshots
+from candlewick.sources.tables import TABLES, Store, put
 
 BARS = "ticker string, date date, open double, high double, low double, close double, volume bigint"
 
@@ -123,3 +124,74 @@ def test_judged_equals_training_and_testing_apart(spark):
             assert own[f"{part}_n"] == r.n and own[f"{part}_mean_return"] == pytest.approx(r.mean_return) and own[f"{part}_median_return"] == pytest.approx(r.median_return) and own[f"{part}_return_per_bar"] == pytest.approx(r.return_per_bar)
     best = {(r.fold, r.candidate) for r in walkforward.chosen(walkforward.scores(walkforward.training(trades, folds), "fold", "candidate"), least=5).collect()}
     assert best == {k for k, r in found.items() if r.picked}
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    own = Store(spark, f"file://{tmp_path}/full")
+    own.init()
+    own.upsert("prices", spark.createDataFrame([bar("A", date(2023, 5, 1), 1.0), bar("A", date(2024, 5, 1), 2.0)], BARS))
+    reader = own.pin()
+    frame = reader.read("prices")
+    own.upsert("prices", spark.createDataFrame([bar("A", date(2024, 5, 1), 9.0), bar("B", date(2025, 5, 1), 3.0)], BARS))
+    rows = lambda f: sorted((r.ticker, r.date.year, r.close) for r in f.collect())
+    assert rows(frame) == rows(reader.read("prices")) == [("A", 2023, 1.0), ("A", 2024, 2.0)]
+    assert rows(own.read("prices")) == [("A", 2023, 1.0), ("A", 2024, 9.0), ("B", 2025, 3.0)]
+    assert own.read("prices", [2025]).count() == 1
+    before, now = reader.snapshot().tables["prices"], own.snapshot().tables["prices"]
+    assert before["2023"] == now["2023"] and before["2024"] != now["2024"]  # a year that stays is not copied
+    own.versions.clear(keep=1)
+    assert rows(own.read("prices"))[0] == ("A", 2023, 1.0) and own.versions.numbers() == [own.snapshot().version]
+    with pytest.raises(FileNotFoundError):
+        own.versions.at(reader.snapshot().version)
+
+
+def test_writers_of_one_part_conflict_and_others_do_not(spark, tmp_path):
+    own = Store(spark, f"file://{tmp_path}/full")
+    own.init()
+    a, b, c = (own.versions.change() for _ in range(3))
+    put(a, "prices", spark.createDataFrame([bar("A", date(2024, 5, 1), 1.0)], BARS))
+    put(b, "prices", spark.createDataFrame([bar("B", date(2023, 5, 1), 2.0)], BARS))
+    put(c, "prices", spark.createDataFrame([bar("C", date(2024, 5, 1), 3.0)], BARS))
+    first, second = a.commit(), b.commit()
+    assert second.version == first.version + 1
+    with pytest.raises(snapshots.Conflict):
+        c.commit()
+    assert sorted(r.ticker for r in own.read("prices").collect()) == ["A", "B"]
+    assert own.versions._put(second.version, {}) is False  # a number that is taken stays as it is
+    assert own.snapshot().version == second.version
+
+
+def test_publication_drops_years_that_fall_out_and_comes_at_once(spark, tmp_path):
+    own, slim = Store(spark, f"file://{tmp_path}/full"), Store(spark, f"file://{tmp_path}/slim")
+    own.init()
+    own.upsert("prices", spark.createDataFrame([bar("A", date(2020, 5, 1), 1.0), bar("A", date(2020, 5, 4), 2.0)], BARS))
+    own.publish(slim, bars=2)
+    old = slim.pin()
+    own.upsert("prices", spark.createDataFrame([bar("A", date(2022, 5, 1), 3.0), bar("A", date(2022, 5, 2), 4.0)], BARS))
+    version = own.publish(slim, bars=2).version
+    assert [r.close for r in slim.read("prices").orderBy("date").collect()] == [3.0, 4.0]
+    assert [r.close for r in old.read("prices").orderBy("date").collect()] == [1.0, 2.0]
+    assert version == old.snapshot().version + 1 and set(slim.snapshot().tables) == {"prices", "signals", "tickers"}
+
+
+def test_equal_keys_need_an_order(spark, tmp_path):
+    own = Store(spark, f"file://{tmp_path}/full")
+    own.init()
+    version = own.snapshot().version
+    with pytest.raises(PySparkException, match="no order"):
+        own.upsert("prices", spark.createDataFrame([bar("A", date(2024, 5, 1), 1.0), bar("A", date(2024, 5, 1), 2.0)], BARS))
+    assert own.snapshot().version == version and own.read("prices").isEmpty()
+
+
+def test_log_asks_its_source_once(spark, tmp_path):
+    own = Store(spark, f"file://{tmp_path}/full")
+    own.init()
+    asked = spark.sparkContext.accumulator(0)
+
+    def source(rows):
+        for frame in rows:
+            asked.add(len(frame))
+            yield frame.assign(status="ok")
+
+    own.log(spark.range(3).repartition(1).mapInPandas(source, "id long, status string"))
+    assert asked.value == 3 and own.read("ingest_log").count() == 3
