@@ -71,6 +71,11 @@ def seeded(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def carried(last: float, x: np.ndarray, n: int) -> np.ndarray:
+    """What `seeded` goes on with behind a bar whose average is ``last``."""
+    return pd.Series(np.concatenate([[last], x])).ewm(alpha=1 / n, adjust=False).mean().to_numpy()[1:]
+
+
 def macd(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line = ema(close, fast) - ema(close, slow)
     sig = ema(line, signal)
@@ -79,7 +84,11 @@ def macd(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) ->
 
 def rsi(close: np.ndarray, n: int = 14) -> np.ndarray:
     step = np.diff(close, prepend=np.nan)
-    up, down = seeded(np.maximum(step, 0), n), seeded(np.maximum(-step, 0), n)
+    return rsi_of(seeded(np.maximum(step, 0), n), seeded(np.maximum(-step, 0), n))
+
+
+def rsi_of(up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """RSI of average gains and losses."""
     with np.errstate(divide="ignore", invalid="ignore"):
         out = 100 - 100 / (1 + up / down)
     out = np.where((up == 0) & (down == 0), 50.0, np.where(down == 0, 100.0, out))

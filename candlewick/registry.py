@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -9,14 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewick.functions import chunks
 from candlewick.functions import series as S
-from candlewick.operators import calibration, indicators, labels, quality, readers, signals, store, walkforward
+from candlewick.operators import calibration, indicators, labels, nightly, quality, readers, signals, store, walkforward
 from candlewick.operators.costs import EXAMPLE
 from candlewick.plans import oracles as O
 from candlewick.plans import trade_log
 from candlewick.plans.strategies import STRATEGIES, run
 from candlewick.sources import bars as B
-from candlewick.sources import fetch
+from candlewick.sources import buckets, fetch
+from candlewick.sources.snapshots import shared_root
+from candlewick.sources.tables import Store
 from candlewick.streaming.bars import bars_of_ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +87,8 @@ query("atr14", O.sql("select m.ticker, m.date, round(a, 6) atr14 from moves m le
 query("adx14", O.sql("select m.ticker, m.date, round(dip, 6) di_plus, round(dim, 6) di_minus, round(y, 6) adx14 from moves m join dx on dx.ticker = m.ticker and dx.n = m.n left join adx on adx.ticker = m.ticker and adx.n = m.n", O.DUCK_BARS, O.N, O.DMI))(
     lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["di_plus", "di_minus", "adx14"]), "ticker", "date", "di_plus", "di_minus", "adx14")
 )
+#: A year to a chunk, so that each history is cut several times.
+query("chunked_averages", O.sql("select n.ticker, n.date, case when n.n >= 12 then round(e12, 6) end ema12, round(rsi14, 6) rsi14, round(a, 6) atr14 from n join e on e.ticker = n.ticker and e.n = n.n left join rsi on rsi.ticker = n.ticker and rsi.n = n.n left join rma on rma.ticker = n.ticker and rma.n = n.n", O.DUCK_BARS, O.N, O.EMAS, O.RSI, O.DMI))(lambda s, d: rounded(chunks.averages(B.bars(s, d), 365)))
 query("chaos_bands")(lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"]), "ticker", "date", "fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"))
 query("indicators")(lambda s, d: rounded(indicators.indicators(B.bars(s, d))))
 
@@ -353,6 +359,73 @@ query(
 )(lambda s, d: readers.stock_list(B.table(s, d, "customer").select(F.concat(F.lit(" c"), F.col("c_custkey").cast("string"), F.lit(".jk")).alias("Kode Saham"), F.col("c_name").alias("Nama Perusahaan"))))
 
 
+def new_store(s: SparkSession) -> Store:
+    own = Store(s, f"{shared_root(s)}/store-{uuid.uuid4().hex}")
+    own.init()
+    return own
+
+
+def two_versions(s: SparkSession, d: str) -> DataFrame:
+    """What a reader of a version sees once the next one is there, beside what that one holds, by year."""
+    bars, own = B.bars(s, d), new_store(s)
+    own.upsert("prices", bars.where("date < '1997-01-01'"))
+    reader = own.pin()
+    early = reader.read("prices")
+    own.upsert("prices", bars.where("date >= '1996-07-01'").withColumn("close", F.col("close") + 1))
+    by_year = lambda frame, name: frame.groupBy(F.year("date").alias("yr")).agg(F.count(F.lit(1)).alias("bars"), F.sum("close").alias("closes")).withColumn("reader", F.lit(name))
+    return rounded(by_year(early, "pinned").unionByName(by_year(own.read("prices"), "latest")))
+
+
+query(
+    "store_versions",
+    O.sql("select 'pinned' reader, cast(year(date) as bigint) yr, count(*) bars, sum(close) closes from bars where date < '1997-01-01' group by all union all select 'latest', cast(year(date) as bigint), count(*), sum(case when date >= '1996-07-01' then close + 1 else close end) from bars group by all", O.DUCK_BARS),
+)(two_versions)
+
+
+def republished(s: SparkSession, d: str) -> DataFrame:
+    """A publication of the last 60 bars after one of an older state, whose years have fallen out."""
+    bars, own, slim = B.bars(s, d), new_store(s), new_store(s)
+    own.upsert("prices", bars.where("date < '1994-01-01'"))
+    own.publish(slim, 60)
+    own.upsert("prices", bars.where("date >= '1994-01-01'"))
+    own.publish(slim, 60)
+    return slim.read("prices").select("ticker", "date", "close")
+
+
+query("store_published", O.sql("select ticker, date, close from bars qualify row_number() over (partition by ticker order by date desc) <= 60", O.DUCK_BARS))(republished)
+
+#: The first load of the nightly queries reaches to the first day; a night ends before each further one.
+NIGHTS = ["1998-06-01", "1998-08-01", "1998-08-03", "9999-01-01"]
+
+
+def after_nights(s: SparkSession, d: str) -> Store:
+    """A store after a first load and three nights; the first night corrects the closes of one old day, too."""
+    bars, own = B.dirty_bars(s, d), new_store(s)
+    mended = F.col("date") == "1997-03-03"
+    nightly.night(own, bars.where(F.col("date") < NIGHTS[0]).withColumn("close", F.when(mended, F.col("close") + 7).otherwise(F.col("close"))))
+    for k, (start, end) in enumerate(zip(NIGHTS, NIGHTS[1:])):
+        tonight = (F.col("date") >= start) & (F.col("date") < end)
+        nightly.night(own, bars.where(tonight | mended if k == 0 else tonight))
+    return own
+
+
+query("nightly_signals", O.sql(f"select {SIGNAL} from signals", *O.ALL))(lambda s, d: rounded(after_nights(s, d).read("signals")))
+
+
+def stored(s: SparkSession, d: str) -> buckets.Bucketed:
+    bars = B.dirty_bars(s, d)
+    return buckets.bucketed(s, prices=bars.select("ticker", "date", "close", "volume"), indicators=indicators.recursive(indicators.moving_averages(bars), ["rsi14", "atr14"], ("ma20", "ma50")), signals=signals.signals(bars), quality=quality.flagged(bars).select("ticker", "date", "is_clean", "stale_run_length"))
+
+
+CHAIN = "chain as (select n.ticker, n.date, n.close, s.ma20, s.ma50, r.rsi14, a.a atr14, g.alignment_depth, g.tier, q.is_clean from n left join sma s using (ticker, date) left join rsi r on r.ticker = n.ticker and r.n = n.n left join rma a on a.ticker = n.ticker and a.n = n.n left join signals g on g.ticker = n.ticker and g.date = n.date left join quality q on q.ticker = n.ticker and q.date = n.date)"
+CHAINED = ["ticker", "date", "close", "ma20", "ma50", "rsi14", "atr14", "alignment_depth", "tier", "is_clean"]
+CHAIN_ROWS = "ticker, date, close, round(ma20, 6) ma20, round(ma50, 6) ma50, round(rsi14, 6) rsi14, round(atr14, 6) atr14, cast(alignment_depth as bigint) alignment_depth, tier, is_clean"
+query("stored_chain", O.sql(f"select {CHAIN_ROWS} from chain", *O.ALL, O.DMI, CHAIN))(lambda s, d: rounded(buckets.chained(stored(s, d), "prices", "indicators", "signals", "quality"), *CHAINED))
+query("stored_latest", O.sql(f"select {CHAIN_ROWS}, sector from chain left join tickers using (ticker) where coalesce(is_active, true) qualify row_number() over (partition by ticker order by date desc) = 1", *O.ALL, O.DMI, CHAIN, O.DUCK_TICKERS))(
+    lambda s, d: rounded(buckets.newest(buckets.chained(stored(s, d), "prices", "indicators", "signals", "quality")).join(B.tickers(s, d), "ticker", "left").where(F.coalesce("is_active", F.lit(True))), *CHAINED, "sector")
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
