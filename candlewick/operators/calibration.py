@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from candlewick.operators.quantiles import quantiles, spilled
+
 
 def tiered(labels: DataFrame, signals: DataFrame) -> DataFrame:
     return labels.join(signals.select("ticker", F.col("date").alias("entry_date"), "tier"), ["ticker", "entry_date"])
@@ -37,16 +39,21 @@ def tier_pivot(rows: DataFrame) -> DataFrame:
 
 def mae_quantiles(rows: DataFrame) -> DataFrame:
     """Adverse excursions by tier, named by the share of trades that stay inside: p75 is the lower quartile."""
-    q = lambda x: F.percentile("mae", F.lit(x))
-    return rows.where(F.col("tier").isNotNull() & (F.col("outcome") != "open")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), q(0.5).alias("p50"), q(0.25).alias("p75"), q(0.1).alias("p90"), q(0.01).alias("p99"))
+    own = spilled(rows.where(F.col("tier").isNotNull() & (F.col("outcome") != "open")).select("tier", "mae"), "excursions")
+    counts = own.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(quantiles(own, ["tier"], {"p50": ("mae", 0.5), "p75": ("mae", 0.25), "p90": ("mae", 0.1), "p99": ("mae", 0.01)}), "tier", "left")
 
 
 def baseline(bars: DataFrame, horizon: int, keys: list[str], buy_fee: float = 0.0, sell_fee: float = 0.0) -> DataFrame:
-    """Buying at the next bar's open and selling at the close ``horizon`` bars on, from every bar; give clean bars only."""
+    """Buying at the next bar's open and selling at the close ``horizon`` bars on, from every bar; give clean bars only.
+
+    The returns of all bars are one group; its median comes from histograms, not from a task that holds them.
+    """
     w = W.partitionBy(*keys).orderBy("date")
     own = bars.withColumns({"_buy": F.lead("open", 1).over(w), "_sell": F.lead("close", horizon).over(w)}).where("_buy > 0 and _sell is not null")
-    r = (F.col("_sell") * (1 - sell_fee) / (F.col("_buy") * (1 + buy_fee)) - 1) * 100
-    return own.agg(F.count(F.lit(1)).alias("n"), (F.avg((r > 0).cast("double")) * 100).alias("win_pct"), F.avg(r).alias("mean_return"), F.median(r).alias("median_return"))
+    r = spilled(own.select(((F.col("_sell") * (1 - sell_fee) / (F.col("_buy") * (1 + buy_fee)) - 1) * 100).alias("r")), "returns")
+    means = r.agg(F.count(F.lit(1)).alias("n"), (F.avg((F.col("r") > 0).cast("double")) * 100).alias("win_pct"), F.avg("r").alias("mean_return"))
+    return means.join(quantiles(r, [], {"median_return": ("r", 0.5)}), how="left")
 
 
 def index_baseline(index: DataFrame, horizon: int) -> DataFrame:

@@ -67,6 +67,7 @@ class NextOpen:
         self.desk = Desk(bars)
         self.f = features
         self.entry, self.entry_at, self.live = np.nan, -1, False
+        self.buying, self.selling = False, ""
 
     def arm(self, i: int) -> None: ...
 
@@ -76,26 +77,30 @@ class NextOpen:
 
     def manage(self, i: int) -> str: ...
 
-    def run(self) -> Desk:
+    def walk(self) -> Desk:
+        """Over all bars, from the orders that are queued; what is held at the end stays held."""
         d, signal = self.desk, self.f["signal"]
-        buying, selling = False, ""
         for i in range(d.n):
-            if selling:
-                d.sell(i, d.o[i], selling)
-                selling = ""
-            if buying:
-                buying, self.live = False, False
+            if self.selling:
+                d.sell(i, d.o[i], self.selling)
+                self.selling = ""
+            if self.buying:
+                self.buying, self.live = False, False
                 self.entry, self.entry_at = d.o[i], i
                 d.buy(i, d.o[i], self.code)
                 self.filled(i)
             if d.lots and self.live and (hit := self.resting(i)):
                 d.sell(i, *hit)
             if d.lots:
-                selling = self.manage(i) or ""
+                self.selling = self.manage(i) or ""
                 self.live = True
             elif signal[i]:
-                buying = True
+                self.buying = True
                 self.arm(i)
+        return d
+
+    def run(self) -> Desk:
+        d = self.walk()
         d.finish()
-        d.armed = buying
+        d.armed = self.buying
         return d
