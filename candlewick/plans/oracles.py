@@ -52,6 +52,22 @@ frac as (
     last_value(case when n > 3 and h1 < h2 and h3 < h2 then h2 end ignore nulls) over (partition by ticker order by date rows between unbounded preceding and current row) fractal_up,
     last_value(case when n > 3 and l1 > l2 and l3 > l2 then l2 end ignore nulls) over (partition by ticker order by date rows between unbounded preceding and current row) fractal_down
   from f0)"""
+#: Fractal bands bar by bar: the level before the bar decides the trend; a level that held five bars leaves a dot.
+CHAOS = """fh as (
+  select f.ticker, f.date, f.n, f.close, fractal_up u, fractal_down d, lag(fractal_up) over w pu, lag(fractal_down) over w pd,
+    case when f.n > 5 then max(f.high) over (partition by f.ticker order by f.n rows between 5 preceding and 1 preceding) end top, case when f.n > 5 then min(f.low) over (partition by f.ticker order by f.n rows between 5 preceding and 1 preceding) end bot
+  from (select frac.*, n.high, n.low, n.close from frac join n using (ticker, n)) f window w as (partition by f.ticker order by f.n)),
+fcb as (
+  select distinct ticker, 0::bigint n, null::double l0, null::double l1, null::double d0, null::double d1, 0::bigint b0, 0::bigint b1, 0 trend from fh
+  union all
+  select f.ticker, f.n, v.l0, v.l1,
+    case when v.l0 is distinct from w.l0 and f.n - 1 - w.b0 >= 5 and w.l0 is not null then w.l0 else w.d0 end, case when v.l1 is distinct from w.l1 and f.n - 1 - w.b1 >= 5 and w.l1 is not null then w.l1 else w.d1 end,
+    case when v.l0 is distinct from w.l0 then f.n - 1 else w.b0 end, case when v.l1 is distinct from w.l1 then f.n - 1 else w.b1 end, y.trend
+  from fcb w join fh f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select coalesce(w.l0, f.u) s0, coalesce(w.l1, f.d) s1) x,
+    lateral (select case when f.close < x.s1 then -1 when f.close > x.s0 then 1 else w.trend end trend) y,
+    lateral (select case when f.n > 1 and f.u is distinct from f.pu then f.u else x.s0 end m0, case when f.n > 1 and f.d is distinct from f.pd then f.d else x.s1 end m1) z,
+    lateral (select case when y.trend < 0 and f.top is not null and not coalesce(f.top >= z.m0, false) then f.top else z.m0 end l0, case when y.trend > 0 and f.bot is not null and not coalesce(f.bot <= z.m1, false) then f.bot else z.m1 end l1) v)"""
 QUALITY = """q0 as (
   select *, lag(close) over w prev, lag(date) over w prev_date, case when close = lag(close) over w then 0 else 1 end fresh from n window w as (partition by ticker order by date)),
 q1 as (select *, sum(fresh) over (partition by ticker order by date rows between unbounded preceding and current row) run from q0),

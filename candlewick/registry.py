@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import chunks
 from candlewick.functions import series as S
-from candlewick.operators import calibration, indicators, labels, nightly, quality, readers, signals, store, walkforward
+from candlewick.operators import calibration, history, indicators, labels, nightly, quality, readers, signals, store, verification, walkforward
 from candlewick.operators.costs import EXAMPLE
 from candlewick.plans import oracles as O
 from candlewick.plans import trade_log
 from candlewick.plans.strategies import STRATEGIES, run
 from candlewick.sources import bars as B
-from candlewick.sources import buckets, fetch
+from candlewick.sources import buckets, fetch, landed
 from candlewick.sources.snapshots import shared_root
 from candlewick.sources.tables import Store
 from candlewick.streaming.bars import bars_of_ticks
@@ -89,8 +89,18 @@ query("adx14", O.sql("select m.ticker, m.date, round(dip, 6) di_plus, round(dim,
 )
 #: A year to a chunk, so that each history is cut several times.
 query("chunked_averages", O.sql("select n.ticker, n.date, case when n.n >= 12 then round(e12, 6) end ema12, round(rsi14, 6) rsi14, round(a, 6) atr14 from n join e on e.ticker = n.ticker and e.n = n.n left join rsi on rsi.ticker = n.ticker and rsi.n = n.n left join rma on rma.ticker = n.ticker and rma.n = n.n", O.DUCK_BARS, O.N, O.EMAS, O.RSI, O.DMI))(lambda s, d: rounded(chunks.averages(B.bars(s, d), 365)))
-query("chaos_bands")(lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"]), "ticker", "date", "fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"))
-query("indicators")(lambda s, d: rounded(indicators.indicators(B.bars(s, d))))
+FCB = "fcb.l0 fcb_upper, fcb.l1 fcb_lower, fcb.d0 fcb_dot_upper, fcb.d1 fcb_dot_lower"
+query("chaos_bands", O.sql(f"select n.ticker, n.date, {FCB} from n join fcb on fcb.ticker = n.ticker and fcb.n = n.n", O.DUCK_BARS, O.N, O.FRACTALS, O.CHAOS))(lambda s, d: rounded(indicators.recursive(B.bars(s, d), ["fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"]), "ticker", "date", "fcb_upper", "fcb_lower", "fcb_dot_upper", "fcb_dot_lower"))
+MA = [f"ma{k}" for k in (5, 20, 50, 100, 200)]
+WIDE = (
+    f"select n.ticker, n.date, n.open, n.high, n.low, n.close, cast(n.volume as bigint) volume, {', '.join(f'round(s.{m}, 6) {m}' for m in MA)}, round(bb_mid, 6) bb_mid, round(bb_mid + 2 * sd, 6) bb_upper, round(bb_mid - 2 * sd, 6) bb_lower, du donchian_upper, dl donchian_lower, "
+    "tenkan, kijun, senkou_b, (tenkan + kijun) / 2 senkou_a, n.n bars_available, round(v20, 6) volume_ma20, case when n.n >= 12 then round(e12, 6) end ema12, case when n.n >= 26 then round(e12 - e26, 6) end macd_line, case when n.n >= 34 then round(sig, 6) end macd_signal, case when n.n >= 34 then round(e12 - e26 - sig, 6) end macd_hist, "
+    f"round(rsi14, 6) rsi14, round(rma.a, 6) atr14, round(y, 6) adx14, round(dip, 6) di_plus, round(dim, 6) di_minus, case when n.n >= 26 then cast(2 * (e8 > e21)::int + (e12 > e26)::int as double) end ribbon, {FCB} "
+    "from n join sma s on s.ticker = n.ticker and s.n = n.n join bb on bb.ticker = n.ticker and bb.n = n.n join dv on dv.ticker = n.ticker and dv.n = n.n join ichi on ichi.ticker = n.ticker and ichi.date = n.date join e on e.ticker = n.ticker and e.n = n.n "
+    "left join rsi on rsi.ticker = n.ticker and rsi.n = n.n left join rma on rma.ticker = n.ticker and rma.n = n.n left join dx on dx.ticker = n.ticker and dx.n = n.n left join adx on adx.ticker = n.ticker and adx.n = n.n join fcb on fcb.ticker = n.ticker and fcb.n = n.n"
+)
+DV = f"dv as (select ticker, n, {O.full('max', 'high', 20)} du, {O.full('min', 'low', 20)} dl, {O.full('avg', 'volume', 20)} v20 from n)"
+query("indicators", O.sql(WIDE, O.DUCK_BARS, O.N, O.SMA, BB, DV, ICHI, O.EMAS, O.RSI, O.DMI, O.FRACTALS, O.CHAOS))(lambda s, d: rounded(indicators.indicators(B.bars(s, d))))
 
 Q_COLUMNS = "ticker, date, insufficient_history, stale_price, zero_volume, suspicious_jump, gap, impossible_bar, cast(stale_run_length as bigint) stale_run_length, round(jump_pct, 6) jump_pct, cast(gap_days as bigint) gap_days, cast(bars_available as bigint) bars_available, is_clean"
 query("quality_flags", O.sql(f"select {Q_COLUMNS} from quality", O.DUCK_DIRTY, O.ND, O.QUALITY))(lambda s, d: rounded(quality.flagged(B.dirty_bars(s, d))))
@@ -315,9 +325,9 @@ def logged(log: DataFrame) -> DataFrame:
     return rounded(log.withColumn("turnover", F.round("turnover", 2).cast("decimal(38,2)"))).withColumn("turnover", F.round("turnover", 2))
 
 
-def log_sql(key: str, body: str) -> str | None:
+def log_sql(key: str, body: str, *more: str) -> str | None:
     parts, code = O.WALKS.get(key, ((), ""))
-    return O.sql(body, *parts, O.log(code)) if parts else None
+    return O.sql(body, *parts, O.log(code), *more) if parts else None
 
 
 for _key in STRATEGIES:
@@ -349,7 +359,13 @@ query(
     "measured_outcomes",
     O.sql("select tier, count(*) n, round(avg((r > 0)::int) * 100, 6) win_pct, round(avg(r), 6) mean_return, round(median(r), 6) median_return, min(entry_date) first_entry, max(entry_date) last_entry, any_value(rule_version) rule_version from j where r is not null and tier is not null group by tier", *HOLD, JOINED),
 )(lambda s, d: (lambda found: rounded(readers.measured_outcomes(calibration.tiered(found[0].drop("tier"), found[1]), labels.HOLD_20.version)))(trades(s, d, labels.HOLD_20)))
-query("radar_D")(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["D"]))
+RADAR = """last_walk as (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1),
+said as (select ticker, n, 'BUY Breakout' code from walk where hold and en = n union all select ticker, n, code from walk where code is not null),
+last_said as (select ticker, arg_max(code, n) last_code from said group by ticker)"""
+query(
+    "radar_D",
+    O.sql("select w.ticker, case when hold then 'holding' when pb then 'armed' else 'waiting' end state, last_code, case when last_code is null then 'OTHER' when last_code like 'BUY %' then 'BUY' when last_code like 'TP %' then 'TAKE PROFIT' else 'CUT LOSS' end category from last_walk w left join last_said using (ticker) where w.n >= 51", *O.WALKS["D"][0], RADAR),
+)(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["D"]))
 query("radar_A")(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["A"]))
 query("recent_entries_G")(lambda s, d: readers.recent_entries(B.bars(s, d), STRATEGIES["G"], 20))
 query("trade_span_D", O.sql("select min(entry_date) as \"first\", max(exit_date) as \"last\", count(*) n, round(date_diff('day', min(entry_date), max(exit_date)) / 365.25, 6) as \"years\", coalesce(date_diff('day', min(entry_date), max(exit_date)) / 365.25 >= 2, false) enough from tr", *O.WALKS["D"][0], O.TRADES_TABLE))(lambda s, d: rounded(readers.span_guard(run(B.bars(s, d), STRATEGIES["D"]).where("entry_date is not null"))))
@@ -426,6 +442,67 @@ query("stored_latest", O.sql(f"select {CHAIN_ROWS}, sector from chain left join
 )
 
 
+def wide_batch(s: SparkSession, d: str) -> DataFrame:
+    """A landed download of the nations' mean bars: a row a day, a column for each nation and field."""
+    nations = B.bars(s, d).join(B.tickers(s, d).select("ticker", "sector"), "ticker").groupBy("sector", "date").agg(F.min("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("close").alias("close"), F.sum("volume").alias("volume"))
+    names = [r[0] for r in B.table(s, d, "nation").select("n_name").distinct().orderBy("n_name").collect()]  # 25 by nature
+    cells = [F.max(F.when(F.col("sector") == n, F.col(f))).alias(f"{n}|{f.capitalize()}") for n in names for f in landed.FIELDS]
+    return nations.groupBy("date").agg(*cells)
+
+
+query("landed_depivot", O.sql("select sector ticker, date, min(open) as open, max(high) high, min(low) low, max(close) as close, cast(sum(volume) as double) volume from bars join tickers using (ticker) group by all", O.DUCK_BARS, O.DUCK_TICKERS))(lambda s, d: rounded(landed.depivoted(wide_batch(s, d))))
+
+#: Lines that land: the events' properties, damaged for some ids.
+DAMAGED = "case when event_id % 29 = 0 then null when event_id % 23 = 0 then '<html><title>Attention required</title></html>' when event_id % 19 = 0 then substr(props, 1, 5) when event_id % 17 = 0 then '[1, 2]' when event_id % 13 = 0 then '{\"k\": \"many\"}' when event_id % 11 = 0 then '{\"j\": 1}' else props end"
+
+
+def landed_lines(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return landed.json_lines(B.table(s, d, "events").selectExpr("event_id", f"{DAMAGED} as line"), "k bigint", ["k"])
+
+
+query("landed_json", "select event_id, cast(json_extract(props, '$.k') as bigint) k from events where event_id % 29 <> 0 and event_id % 23 <> 0 and event_id % 19 <> 0 and event_id % 17 <> 0 and event_id % 13 <> 0 and event_id % 11 <> 0")(lambda s, d: landed_lines(s, d)[0])
+query(
+    "landed_quarantine",
+    f"select event_id, line, case when line is null then 'empty' when event_id % 23 = 0 then 'page' when event_id % 19 = 0 then 'not_json' when event_id % 17 = 0 then 'not_an_object' when event_id % 13 = 0 then 'wrong_type' else 'missing' end reason from (select event_id, {DAMAGED} line from events) where event_id % 29 = 0 or event_id % 23 = 0 or event_id % 19 = 0 or event_id % 17 = 0 or event_id % 13 = 0 or event_id % 11 = 0",
+)(lambda s, d: landed_lines(s, d)[1])
+
+#: Listed shares: what a supplier has shipped by the end of each year, in thousands, known from the second of January on.
+SHARES = "select concat('S', lpad(cast(l_suppkey as {text}), 5, '0')) ticker, make_date(cast(year(l_shipdate) + 1 as int), 1, 2) as_of, cast(sum(sum(cast(l_quantity as bigint))) over (partition by l_suppkey order by year(l_shipdate)) * 1000 as bigint) shares from {lineitem} group by l_suppkey, year(l_shipdate)"
+DUCK_SHARES = f"shares as ({SHARES.format(text='varchar', lineitem='lineitem')})"
+
+
+def shares(s: SparkSession, d: str) -> DataFrame:
+    return s.sql(SHARES.format(text="string", lineitem="{lines}"), lines=B.table(s, d, "lineitem"))
+
+
+query("listed_shares", O.sql("select ticker, arg_max(shares, as_of) shares from shares group by ticker", DUCK_SHARES))(lambda s, d: history.newest(shares(s, d), ["ticker"], "shares"))
+query("shares_as_of_bar", O.sql("select b.ticker, b.date, h.shares from bars b asof left join shares h on h.ticker = b.ticker and h.as_of <= b.date", O.DUCK_BARS, DUCK_SHARES))(lambda s, d: history.as_of(B.bars(s, d).select("ticker", "date"), shares(s, d), ["ticker"], "shares", "date"))
+query("share_intervals", O.sql("select ticker, shares, as_of valid_from, lead(as_of) over (partition by ticker order by as_of) - 1 valid_to from shares", DUCK_SHARES))(lambda s, d: history.intervals(shares(s, d), ["ticker"]).select("ticker", "shares", "valid_from", "valid_to"))
+
+
+def log_with_value(s: SparkSession, d: str, key: str) -> DataFrame:
+    bars = strategy_bars(s, d, key)
+    ends = bars.groupBy("ticker").agg(F.max("date").alias("last_date"))
+    return history.with_market_value(trade_log.build(bars, STRATEGIES[key]), shares(s, d), ends).select("ticker", "status", "signal_date", "buy_date", "exit_date", "last_close", F.col("mcap").cast("double").alias("mcap"))
+
+
+query("trade_log_D_mcap", log_sql("D", "select log.ticker, status, signal_date, buy_date, exit_date, log.last_close, cast(h.shares * log.last_close as double) mcap from log join ends using (ticker) left join (select e.ticker, arg_max(shares, as_of) shares from ends e join shares on shares.ticker = e.ticker and as_of <= last_date group by e.ticker) h on h.ticker = log.ticker", DUCK_SHARES))(lambda s, d: log_with_value(s, d, "D"))
+
+
+def checked_sample(s: SparkSession, d: str, k: int = 12, seed: int = 7) -> DataFrame:
+    """A drawn sample of active names held against a second source that lacks every third name and differs on every seventh bar."""
+    bars = B.bars(s, d)
+    second = bars.withColumn("close", F.col("close") * F.when(S.position() % 7 == 0, 1.02).otherwise(1.0)).where("cast(substr(ticker, 2) as int) % 3 <> 0")
+    return verification.verified(bars, second, verification.sampled(B.tickers(s, d).where("is_active"), "ticker", k, seed))
+
+
+query(
+    "verification_sample",
+    O.sql("select ticker, any_value(cast(substr(ticker, 2) as int) % 3 <> 0) known, count(b.date) filter (cast(substr(ticker, 2) as int) % 3 <> 0) bars, count(b.date) filter (cast(substr(ticker, 2) as int) % 3 <> 0 and k % 7 = 0) differing from (select ticker from tickers where is_active order by sha256('7:' || ticker), ticker limit 12) left join (select *, row_number() over (partition by ticker order by date) k from bars) b using (ticker) group by ticker", O.DUCK_BARS, O.DUCK_TICKERS),
+)(lambda s, d: rounded(checked_sample(s, d)))
+query("verification_by_sector", O.sql("select ticker, sector from tickers qualify row_number() over (partition by sector order by sha256('3:' || ticker), ticker) <= 2", O.DUCK_TICKERS))(lambda s, d: verification.sampled(B.tickers(s, d), "ticker", 2, 3, "sector").select("ticker", "sector"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
