@@ -12,8 +12,14 @@ of the window select the bucket of patterns whose first ``m`` bytes end alike, a
 bytes are then compared directly.  The search advances thousands of
 windows over a slice of the text at once, each in its own lane.
 
-Nulls and texts without words have no hits; null or wordless items no windows.
-Items that repeat a window all count it.
+A benchmark of more than ``PASS_BYTES`` is searched in passes: items are dealt by hash into parts of
+about half of that, each part is searched for in all documents, and the hits of the parts are
+merged by document.  Results are the same however many passes there are.
+
+Nulls and texts without words have no hits; null or wordless items no windows.  Items that repeat a
+window all count it, and rows that repeat an item_id are one item.  Rows without an item_id are no
+items.  Every row of the documents has one result row, of repeated and null ids too.  Empty tables
+give no rows, or rows without hits; further columns of any name are ignored, and `stage` keeps them.
 """
 
 from __future__ import annotations
@@ -23,13 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candlewick.llm import kernels as K
 from candlewick.llm.session import read
 
 WINDOW = 10
-#: Bytes of benchmark text that the one pass may broadcast; a larger benchmark is refused, as there are no further passes.
+#: Bytes of benchmark text that a pass may broadcast.
 PASS_BYTES = 16 << 20
 BLOCK = 3
 HASH_BITS = 16
@@ -175,9 +183,9 @@ class Benchmark:
         raw = np.frombuffer(text, np.uint8)
         return np.where(K.ALNUM[raw], K.LOWER[raw], 32).astype(np.uint8).tobytes().split()
 
-    def scan(self, s: K.TextSlice) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
-        """Words, hit words and items found, text by text."""
-        text, place, first, counts = normalised(s)
+    def hits(self, s: K.TextSlice) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
+        """Which words are hit, words before each text, items found in each text."""
+        text, place, first, _ = normalised(s)
         marks = np.zeros(len(place) + 1, np.int32)
         found: list[set[int]] = [set() for _ in range(s.n)]
         for search, ids in self.searches:
@@ -191,53 +199,143 @@ class Benchmark:
             doc = np.searchsorted(first, word, "right") - 1
             for d, p in np.unique(np.stack([doc, pattern], 1), axis=0).tolist():
                 found[d].update(self.items[p])
-        hit = np.cumsum(marks[:-1]) > 0
+        return np.cumsum(marks[:-1]) > 0, first, found
+
+    def scan(self, s: K.TextSlice) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
+        """Words, hit words and items found, text by text."""
+        hit, first, found = self.hits(s)
         sums = np.zeros(len(hit) + 1, np.int64)
         np.cumsum(hit, out=sums[1:])
-        return counts, sums[first[1:]] - sums[first[:-1]], found
+        return np.diff(first), sums[first[1:]] - sums[first[:-1]], found
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<long>"
 
 
-def shipped_items(benchmark: DataFrame) -> list[tuple[int, str | None]]:
-    """The benchmark's rows, once its size is known to fit ``PASS_BYTES``, as they are broadcast."""
-    size = benchmark.selectExpr("coalesce(sum(octet_length(text)), 0) n").first()[0]
-    if size > PASS_BYTES:
-        raise ValueError(f"the benchmark holds {size} bytes; split it into passes of at most {PASS_BYTES}")
-    return [(r[0], r[1]) for r in benchmark.select("item_id", "text").collect() if r[0] is not None]
+def parts_of(benchmark: DataFrame) -> list[Broadcast]:
+    """The benchmark's items in broadcasts of about half of ``PASS_BYTES`` each, or one if they fit."""
+    own = benchmark.where("item_id is not null").select("item_id", "text")
+    size = own.selectExpr("coalesce(sum(octet_length(text)), 0) n").first()[0]
+    many = 1 if size <= PASS_BYTES else -(-2 * size // PASS_BYTES)
+    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(many))
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast([(r[0], r[1]) for r in own.where(place == k).collect()]) for k in range(many)]
+
+
+_BENCHMARKS: dict[tuple[str, int], Benchmark] = {}
+
+
+def worker_benchmark(items: list[tuple[int, str | None]], window: int) -> Benchmark:
+    """The searches of a part, built once in a worker; the last part is kept."""
+    key = hashlib.sha256(repr(items).encode()).hexdigest(), window
+    if key not in _BENCHMARKS:
+        _BENCHMARKS.clear()
+        _BENCHMARKS[key] = Benchmark(items, window)
+    return _BENCHMARKS[key]
+
+
+KINDS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64()))])
+
+
+def result(ids: pa.Array, counts: np.ndarray, hits: np.ndarray, found: list[set[int]]) -> pa.RecordBatch:
+    names = [hashlib.sha256(",".join(sorted(map(str, f))).encode()).hexdigest() for f in found]
+    return pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(hits), pa.array([len(f) for f in found], pa.int64()), pa.array(names, pa.string()), pa.array(hits > 0), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))], schema=KINDS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, words inside any occurrence of a benchmark window, and the items found."""
-    shipped = docs.sparkSession.sparkContext.broadcast(shipped_items(benchmark))
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64()))])
+    parts = parts_of(benchmark)
+    if len(parts) > 1:
+        return merged(docs, parts, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(shipped.value, window)
-        empty = hashlib.sha256(b"").hexdigest()
+        bench = worker_benchmark(parts[0].value, window)
         for batch in batches:
-            ids = batch.column(0)
             for s in K.slices(batch.column(1)):
                 counts, hits, found = bench.scan(s)
-                names = [hashlib.sha256(",".join(sorted(map(str, f))).encode()).hexdigest() if f else empty for f in found]
-                yield pa.RecordBatch.from_arrays([ids.slice(s.first, s.n), pa.array(counts), pa.array(hits), pa.array([len(f) for f in found], pa.int64()), pa.array(names, pa.string()), pa.array(hits > 0), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))], schema=kinds)
+                yield result(batch.column(0).slice(s.first, s.n), counts, hits, found)
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def stage(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without those that hold an occurrence of any window, in one pass over them."""
-    shipped = docs.sparkSession.sparkContext.broadcast(shipped_items(benchmark))
-    at = docs.columns.index("text")
+#: A row's name: rows that share it are equal in all that counts here.
+ROW = ["doc_id", "twin"]
+PLACES = "doc_id long, twin long, starts array<long>, ends array<long>, item_ids array<long>"
+
+
+def places(docs: DataFrame, part: Broadcast, window: int) -> DataFrame:
+    """Of each document with hits of a part: the stretches of words that are hit, and the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(shipped.value, window)
+        bench = worker_benchmark(part.value, window)
+        for batch in batches:
+            for s in K.slices(batch.column(1)):
+                hit, first, found = bench.hits(s)
+                own = [i for i, f in enumerate(found) if f]
+                if not own:
+                    continue
+                starts, ends = K.runs(hit, first)
+                lists = ([], [])
+                for i in own:
+                    x, y = np.searchsorted(starts, [first[i], first[i + 1]])
+                    for out, values in zip(lists, (starts, ends)):
+                        out.append((values[x:y] - first[i]).tolist())
+                at = pa.array([s.first + i for i in own])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *[pa.array(x, pa.list_(pa.int64())) for x in lists], pa.array([sorted(found[i]) for i in own], pa.list_(pa.int64()))], names=["doc_id", "twin", "starts", "ends", "item_ids"])
+
+    return docs.mapInArrow(run, PLACES)
+
+
+def merged(docs: DataFrame, parts: list[Broadcast], window: int) -> DataFrame:
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("twin"))
+    found = [places(own, part, window) for part in parts]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    hits = every.groupBy(*ROW).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")], F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in K.slices(batch.column(1)):
+                starts, _ = K.runs(K.ALNUM[s.buf], s.offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), batch.column(2).slice(s.first, s.n), pa.array(np.diff(K.by_text(starts, s.offsets)))], names=["doc_id", "twin", "n_words"])
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in K.slices(batch.column(at)):
-                yield batch.slice(s.first, s.n).filter(pa.array(bench.scan(s)[1] == 0))
+            many, found = [], []
+            for starts, ends, items in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                end = total = 0
+                for a, b in sorted(zip(starts or [], ends or [])):
+                    total += max(0, b - max(a, end))
+                    end = max(end, b)
+                many.append(total)
+                found.append(set(items or []))
+            yield result(batch.column(0), np.asarray(batch.column(1)), np.array(many, np.int64), found)
+
+    words = own.mapInArrow(count, "doc_id long, twin long, n_words long").alias("w")
+    met = words.join(hits.alias("h"), F.col("w.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("w.twin") == F.col("h.twin")), "left")
+    return met.select("w.doc_id", "n_words", "starts", "ends", "item_ids").mapInArrow(union, SCHEMA)
+
+
+def stage(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without those that hold an occurrence of any window, with all their columns; one pass for each part of the benchmark.
+
+    Rows that repeat an id are judged one by one; null texts and ids stay.
+    """
+    at = docs.columns.index("text")
+
+    def without(part: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bench = worker_benchmark(part.value, window)
+            for batch in batches:
+                for s in K.slices(batch.column(at)):
+                    yield batch.slice(s.first, s.n).filter(pa.array(bench.scan(s)[1] == 0))
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    for part in parts_of(benchmark):
+        docs = docs.mapInArrow(without(part), docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

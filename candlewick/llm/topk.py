@@ -15,8 +15,9 @@ groups follows the tasks that the cluster runs at once, and a block holds at mos
 queries go to many groups, and vectors to few blocks.
 
 Vectors that are null or hold nulls or non-finite values take no part.  Shorter vectors
-are filled with zeros.  vec_id is a key: repeated rows of an id are one candidate, rows
-without an id take no part.  Components of any finite size count exactly, and a score
+are filled with zeros.  vec_id is a key: repeated rows of an id are one candidate, by the row that
+scores best, and one query, by the row whose integers are least (compared from the first component on).
+Rows without an id take no part.  Components of any finite size count exactly, and a score
 beyond 64 bits is the nearest integer of 64 bits.  Empty tables give an empty result;
 further columns, whatever their names, are ignored.
 """
@@ -261,8 +262,10 @@ def merge(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nda
 
 def joined(queries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> Block:
     ids, x, table = merge(queries)
-    _, first = np.unique(ids, return_index=True)
-    return Block(ids[first], x[first], table[first], k)
+    order = np.lexsort((*x.T[::-1], ids))  # of the rows of an id the least vector, component by component
+    _, first = np.unique(ids[order], return_index=True)
+    at = order[first]
+    return Block(ids[at], x[at], table[at], k)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
