@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candlewick.operators.quantiles import quantiles, spilled
+from candlewick.operators.quantiles import quantiles
+from candlewick.sources.snapshots import spilled
 
 
 def tiered(labels: DataFrame, signals: DataFrame) -> DataFrame:

@@ -9,23 +9,15 @@ written once, as each pass reads them again.  For many small groups `F.percentil
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.sources.snapshots import shared_root
+from candlewick.sources.snapshots import spilled
 
 BINS = 4096
 
 
-def spilled(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written once and read again."""
-    at = f"{shared_root(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(at)
-    return frame.sparkSession.read.schema(frame.schema).parquet(at)
-
-
 def quantiles(values: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], bins: int = BINS) -> DataFrame:
     """One row a group: for each name in ``wanted`` the quantile of (column, share) of its values that are not null.
 

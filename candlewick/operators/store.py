@@ -35,12 +35,17 @@ def unique(frame: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert_tickers(known: DataFrame, incoming: DataFrame, seen_on) -> DataFrame:
-    """Listed names come (back) to life and keep what incoming leaves open; first_seen stays."""
-    a, b = known.alias("a"), incoming.dropDuplicates(["ticker"]).alias("b")
+    """Listed names come (back) to life and keep what incoming leaves open; first_seen stays.
+
+    A name that incoming lists twice fails the job.  Board and listing date are merged where both sides have them.
+    """
+    a, b = known.alias("a"), unique(incoming, ["ticker"]).alias("b")
+    described = ["name", "sector", *[c for c in ("board", "listing_date") if c in known.columns]]
+    merged = lambda c: F.coalesce(f"b.{c}", f"a.{c}") if c in incoming.columns else F.col(f"a.{c}")
     seen = F.lit(seen_on).cast("date")
     return a.join(b, F.col("a.ticker") == F.col("b.ticker"), "full").select(
         F.coalesce("b.ticker", "a.ticker").alias("ticker"),
-        *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in ("name", "sector")],
+        *[merged(c).alias(c) for c in described],
         F.when(F.col("b.ticker").isNotNull(), True).otherwise(F.col("a.is_active")).alias("is_active"),
         F.coalesce("a.first_seen", seen).alias("first_seen"),
         F.when(F.col("b.ticker").isNotNull(), seen).otherwise(F.col("a.last_seen")).alias("last_seen"),

@@ -43,6 +43,12 @@ def fold_table(spark: SparkSession, found: list[Fold]) -> DataFrame:
     return spark.createDataFrame([(f.number, f.train_start, f.test_start, f.test_end) for f in found], "fold int, train_start date, test_start date, test_end date")
 
 
+def candidates(trades: DataFrame, tier_sets: dict[str, list[str]]) -> DataFrame:
+    """Trades of several rules, each under every candidate it belongs to: a rule with one of the sets of tiers."""
+    sets = trades.sparkSession.createDataFrame([(name, tier) for name, tiers in tier_sets.items() for tier in tiers], "tiers string, tier string")
+    return trades.join(F.broadcast(sets), "tier").withColumn("candidate", F.concat_ws("|", "rule_version", "tiers"))
+
+
 def training(labels: DataFrame, fold_rows: DataFrame, purge: bool = True) -> DataFrame:
     """Trades entered before a test window, and over before it: one that reaches into it would leak."""
     inside = (F.col("entry_date") >= F.col("train_start")) & (F.col("entry_date") < F.col("test_start"))

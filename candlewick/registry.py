@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import chunks
 from candlewick.functions import series as S
-from candlewick.operators import calibration, history, indicators, labels, nightly, quality, readers, signals, store, verification, walkforward
+from candlewick.operators import calibration, charts, history, indicators, labels, nightly, quality, readers, signals, store, verification, walkforward
 from candlewick.operators.costs import EXAMPLE
 from candlewick.plans import oracles as O
-from candlewick.plans import trade_log
+from candlewick.plans import publication, trade_log
 from candlewick.plans.strategies import STRATEGIES, run
 from candlewick.sources import bars as B
 from candlewick.sources import buckets, fetch, landed
@@ -503,6 +503,48 @@ query(
 query("verification_by_sector", O.sql("select ticker, sector from tickers qualify row_number() over (partition by sector order by sha256('3:' || ticker), ticker) <= 2", O.DUCK_TICKERS))(lambda s, d: verification.sampled(B.tickers(s, d), "ticker", 2, 3, "sector").select("ticker", "sector"))
 
 
+#: Publications of this session, by the folder of their source: readers open what is there.
+PUBLISHED: dict[tuple[str, str], Store] = {}
+
+
+def opened(s: SparkSession, d: str) -> Store:
+    """The publication over a folder's bars, which the first reader of a session makes."""
+    key = s.sparkContext.applicationId, d
+    if key not in PUBLISHED:
+        own, target = new_store(s), new_store(s)
+        nightly.night(own, B.with_actions(B.bars(s, d)))
+        own.write("tickers", B.tickers(s, d))
+        publication.published(own, target, gated(s, d).select("date", "index_ok").distinct())
+        PUBLISHED[key] = target
+    return PUBLISHED[key].pin()
+
+
+CLEAN_SIGNALS = (O.DUCK_BARS, "dirty as (select *, 1.0 split_factor from bars)", O.ND, O.SMA, O.RSI, O.QUALITY, O.SIGNALS)
+query("reader_latest_signals", O.sql(f"select {SIGNAL} from signals qualify row_number() over (partition by ticker order by date desc) = 1", *CLEAN_SIGNALS))(lambda s, d: rounded(opened(s, d).read("latest_signals")))
+query("reader_quality", O.sql(" union all ".join(f"select '{f}' flag, count(*) filter ({f}) bars from quality" for f in FLAGS), O.DUCK_BARS, "dirty as (select *, 1.0 split_factor from bars)", O.ND, O.QUALITY))(lambda s, d: opened(s, d).read("quality_summary"))
+query(
+    "reader_outcomes",
+    O.sql("select tier, count(*) n, round(avg((r > 0)::int) * 100, 6) win_pct, round(avg(r), 6) mean_return, round(median(r), 6) median_return, min(entry_date) first_entry, max(entry_date) last_entry, any_value(rule_version) rule_version from j where r is not null and tier is not null group by tier", *CLEAN_SIGNALS, O.ELIGIBLE, O.labels(20, None, None, "hold-h20-f081a07b"), JOINED),
+)(lambda s, d: rounded(opened(s, d).read("measured_outcomes")))
+for _key in O.WALKS:
+    query(f"reader_log_{_key}", log_sql(_key, f"select {O.LOG_ROWS} from log"))(lambda s, d, key=_key: logged(publication.strategy_log(opened(s, d), key)).drop("seq"))
+query("reader_ticker_log", log_sql("D", f"select {O.LOG_ROWS} from log where ticker = 'S00003'"))(lambda s, d: logged(publication.ticker_log(publication.strategy_log(opened(s, d), "D"), "S00003")).drop("seq"))
+query("reader_window", O.sql("select ticker, date, close from bars qualify row_number() over (partition by ticker order by date desc) <= 180", O.DUCK_BARS))(lambda s, d: opened(s, d).read("prices").select("ticker", "date", "close"))
+query("reactivated_names", O.sql("select count(*) reactivated from tickers where not is_active and not suffix(ticker, '7')", O.DUCK_TICKERS))(lambda s, d: publication.reactivated(B.tickers(s, d), B.tickers(s, d).where(~F.col("ticker").endswith("7"))))
+
+
+GRID = (*O.ALL, O.ELIGIBLE, O.labels(20, None, None, "hold-h20-f081a07b", name="hold20"), O.labels(10, None, None, "hold-h10-01f0b5e7", name="hold10"), "trade_labels as (select * from hold20 union all select * from hold10)", JOINED)
+GRID_SETS = "sets(tiers, tier) as (values " + ", ".join(f"('{k}', '{t}')" for k, ts in TIER_SETS.items() for t in ts) + "), jg as (select j.*, rule_version || '|' || tiers candidate from j join sets using (tier) where r is not null)"
+query(
+    "walkforward_grid",
+    O.sql("select cast(fold as bigint) fold, candidate, count(*) n, round(avg(r), 6) mean_return, round(avg(r) / avg(greatest(bars_held, 1)), 6) return_per_bar from jg join folds on entry_date >= train_start and entry_date < test_start and exit_date < test_start group by all", *GRID, FOLD_VALUES, GRID_SETS),
+)(lambda s, d: rounded(part_of(walkforward.judged(walkforward.candidates(trades(s, d, labels.HOLD_20, labels.Rule(10))[0], TIER_SETS), walkforward.fold_table(s, FOLDS)), "train"), "fold", "candidate", "n", "mean_return", "return_per_bar"))
+query("days_without_trade", O.sql("select ticker, cast(unnest(generate_series(date + 1, nxt - 1, interval 1 day)) as date) date from (select ticker, date, lead(date) over (partition by ticker order by date) nxt from bars) where nxt - date > 1", O.DUCK_BARS))(lambda s, d: charts.days_without_trade(B.bars(s, d)))
+query("chart_series", O.sql("select ticker, date, lead(fractal_up, 2) over w fractal_up, close >= lag(close) over w rises from (select f.*, n.close from frac f join n using (ticker, n)) window w as (partition by ticker order by date)", O.DUCK_BARS, O.N, O.FRACTALS))(
+    lambda s, d: charts.volume_rises(charts.drawn_earlier(indicators.raw_fractals(B.bars(s, d)), ["fractal_up"])).select("ticker", "date", "fractal_up", "rises")
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -25,6 +25,7 @@ class Table:
     schema: str
     keys: tuple[str, ...]
     day: str | None = None  # the column whose year partitions the table
+    by: str | None = None  # the column whose values do
 
 
 #: The declared tables, their columns and keys.
@@ -37,6 +38,11 @@ TABLES = {
     "trade_labels": Table("ticker string, entry_date date, rule_version string, fill_date date, fill_price double, exit_date date, exit_price double, outcome string, bars_held int, return_pct double, gross_return_pct double, mae double, mfe double", ("ticker", "entry_date", "rule_version"), "entry_date"),
     # what a night needs of a ticker's past (operators/nightly.py)
     "signal_state": Table("ticker string, bars bigint, last_date date, closes array<double>, rsi_up double, rsi_down double, stale_run bigint, cross_at bigint, bad_at bigint, was_above boolean", ("ticker",)),
+    # what is published for readers (plans/publication.py)
+    "latest_signals": Table("ticker string, date date, alignment_depth int, rsi_gate boolean, above_ma5 boolean, days_since_ma5_cross int, tier string, data_quality string, bars_available int", ("ticker",)),
+    "trade_log": Table("strategy string, ticker string, seq int, status string, signal_date date, signal_price double, buy_date date, pb string, buy_price double, last_close double, fl_pct double, hi_price double, hi_date date, max_fl_pct double, exit_date date, exit_price double, pl_pct double, entry_code string, exit_code string, turnover double, avg_lots double, bars_held int", ("strategy", "ticker", "seq"), None, "strategy"),
+    "quality_summary": Table("flag string, bars bigint", ("flag",)),
+    "measured_outcomes": Table("tier string, n bigint, win_pct double, mean_return double, median_return double, first_entry date, last_entry date, rule_version string", ("tier",)),
     "ingest_log": Table("run_id string, ticker string, source string, status string, rows_written bigint, error_message string, attempt int, started_at timestamp, finished_at timestamp", ()),
 }
 
@@ -67,9 +73,9 @@ class Store:
             change.commit()
         return {name: self.read(name).count() for name in TABLES}
 
-    def read(self, name: str, years: list[int] | None = None) -> DataFrame:
-        """A table in its declared columns, or some of its years; fails at once if the store lacks it."""
-        return read_from(self.snapshot(), name, years)
+    def read(self, name: str, parts: list | None = None) -> DataFrame:
+        """A table in its declared columns, or some of its parts (years); fails at once if the store lacks it."""
+        return read_from(self.snapshot(), name, parts)
 
     def write(self, name: str, frame: DataFrame, mode: str = "parts") -> None:
         """Replaces the years that the frame touches (a table without years as a whole), or appends to it."""
@@ -108,10 +114,10 @@ class Store:
         return change.commit()
 
 
-def read_from(snapshot: Snapshot, name: str, years: list[int] | None = None) -> DataFrame:
+def read_from(snapshot: Snapshot, name: str, parts: list | None = None) -> DataFrame:
     if name not in snapshot.tables:
         raise FileNotFoundError(f"no table {name} below {snapshot.root}")
-    return snapshot.read(name, TABLES[name].schema, None if years is None else [str(y) for y in years])
+    return snapshot.read(name, TABLES[name].schema, None if parts is None else [str(p) for p in parts])
 
 
 def declared(schema: str) -> list[tuple[str, str]]:
@@ -126,6 +132,9 @@ def put(change: Change, name: str, frame: DataFrame, mode: str = "parts") -> Non
         first = table.keys[0]
         own = own.withColumn("year", F.year(table.day)).repartition("year", first).sortWithinPartitions("year", first, table.day)
         change.write(name, own, "year", mode)
+    elif table.by is not None:
+        own = own.withColumn(f"by_{table.by}", F.col(table.by)).repartition(f"by_{table.by}", *table.keys[1:2]).sortWithinPartitions(f"by_{table.by}", *table.keys[1:])
+        change.write(name, own, f"by_{table.by}", mode)
     else:
         change.write(name, own, None, mode)
 
