@@ -39,8 +39,10 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 CAPACITY, END = 1024, 0
 #: Distinct pieces that a worker keeps between slices, at most; beyond that the rarer half is forgotten.
 KNOWN = 1_000_000
+#: Pieces that the library is asked for together: what it returns takes far more room than the ids.
+AT_ONCE = 10_000
 #: Bytes of text cut and encoded together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class Encoder:
@@ -79,11 +81,15 @@ class Encoder:
 
     def _learn(self, names: np.ndarray, met: np.ndarray, starts: np.ndarray, ends: np.ndarray, buf: np.ndarray) -> None:
         raw = buf.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        many = np.fromiter(map(len, found), np.int64, len(found))
+        sizes, flat = [], [self.flat]
+        for at in range(0, len(names), AT_ONCE):
+            texts = [raw[a:b].decode() for a, b in zip(starts[at : at + AT_ONCE].tolist(), ends[at : at + AT_ONCE].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        many = np.concatenate(sizes)
         begin = len(self.flat) + np.cumsum(many) - many
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(many.sum()))])
+        self.flat = np.concatenate(flat)
         order = np.argsort(all_names := np.concatenate([self.names, names]), kind="stable")
         self.names = all_names[order]
         self.met, self.begin, self.many = (np.concatenate(x)[order] for x in ((self.met, met), (self.begin, begin), (self.many, many)))
