@@ -240,21 +240,22 @@ TRADES = "select ticker, entry_date, entry_price, exit_date, round(exit_price, 6
 LIQUIDITY = "liq as (select ticker, avg(close * volume) turnover, avg(volume) / 100 avg_lots from (select *, row_number() over (partition by ticker order by date desc) k from bars) where k <= 60 group by ticker)"
 
 
-def log(code: str) -> str:
-    """The trade log of a walk whose buys have one code."""
-    return f"""{TRADES_TABLE}, {LIQUIDITY},
+def log(code: str, trades: str = TRADES_TABLE, entry_code: str | None = None, armed: str = "pb and not hold") -> str:
+    """The trade log of a walk whose buys have one code, or the code in a column of its trades."""
+    entry_code = entry_code or f"'{code}'"
+    return f"""{trades}, {LIQUIDITY},
 ends as (select ticker, max(date) last_date, arg_max(close, date) last_close from bars group by ticker),
 prior as (select ticker, date entry_date, lag(date) over w signal_date, lag(close) over w signal_price from bars window w as (partition by ticker order by date)),
 tops as (
   select t.ticker, t.entry_date, b.date, greatest(b.high, b.close) top, max(greatest(b.high, b.close)) over (partition by t.ticker, t.entry_date) hi_price
   from tr t join bars b on b.ticker = t.ticker and b.date > t.entry_date and b.date <= t.exit_date),
 peaks as (select ticker, entry_date, any_value(hi_price) hi_price, min(date) filter (top = hi_price) hi_date from tops group by all),
-armed as (select ticker from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) where pb and not hold),
+armed as (select ticker from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) where {armed}),
 log as (
   select ticker, case when not resolved then 'OPEN' when exit_code like 'CL%' then 'EXIT' else 'CLOSED' end status, signal_date, signal_price, entry_date buy_date, 'B' pb, entry_price buy_price, last_close,
     case when not resolved then (exit_price / entry_price - 1) * 100 end fl_pct, hi_price, hi_date, (hi_price / entry_price - 1) * 100 max_fl_pct,
     case when resolved then exit_date end exit_date, case when resolved then exit_price end exit_price, case when resolved then (exit_price / entry_price - 1) * 100 end pl_pct,
-    '{code}' entry_code, case when resolved then exit_code end exit_code, turnover, avg_lots, bars_held
+    {entry_code} entry_code, case when resolved then exit_code end exit_code, turnover, avg_lots, bars_held
   from tr join prior using (ticker, entry_date) join ends using (ticker) join liq using (ticker) left join peaks using (ticker, entry_date)
   union all by name
   select ticker, 'WATCHLIST' status, last_date signal_date, last_close signal_price, last_date + case isodow(last_date) when 5 then 3 when 6 then 2 else 1 end buy_date, 'P' pb, last_close, turnover, avg_lots
@@ -273,3 +274,37 @@ _E = (DUCK_BARS, N, DMI, emas(200), base_signal(20, 12.0, 20, 50, 1.5, 0.7, "clo
 _F = (DUCK_BARS, N, DMI, emas(100), base_signal(20, 15.0, 10, 50, 1.5, 0.6, "close > e100"), EARLY)
 _I = (DUCK_BARS, N, emas(50, 150, 200), base_signal(40, 12.0, 20, 50, 2.0, 0.7, "close > e50 and e50 > e150 and e150 > e200"))
 WALKS = {"D": (_D, "BUY Breakout"), "E": ((*_E, WIDE), "BUY Breakout"), "F": (_F, "BUY Early Entry"), "I": ((*_I, PATIENT), "BUY Sniper"), "J": ((*_E, GUARDED), "BUY Breakout"), "K": ((*_I, BRACKET), "BUY Sniper")}
+
+
+_LOTS = "cast([] as struct(en bigint, px double, code varchar)[])"
+
+
+def dips(ok: str, *joined: str) -> str:
+    """G and H: a list of lots, bought at dips and golden crosses, sold together on a trailing stop or the cross down."""
+    return f"""fd as (select n.*, {full("avg", "close", 20)} fast, {full("avg", "close", 50)} slow from n),
+fe as (
+  select fd.*, rma.a atr, coalesce(fast > slow, false) up, coalesce(fast > slow and lag(fast) over w <= lag(slow) over w, false) golden, coalesce(fast < slow and lag(fast) over w >= lag(slow) over w, false) death,
+    coalesce(low <= fast and close > slow and close > open, false) touched, coalesce({ok}, false) ok
+  from fd left join rma on rma.ticker = fd.ticker and rma.n = fd.n {" ".join(joined)} window w as (partition by fd.ticker order by fd.date)),
+walk as (
+  select distinct ticker, 0::bigint n, {_LOTS} lots, cast(null as varchar) sell, cast(null as varchar) buy, cast(null as double) trail, -1000000000::bigint signal_at, {_LOTS} sold, cast(null as double) sold_px, cast(null as varchar) sold_code from fe
+  union all
+  select f.ticker, f.n, y.lots, z.sell, b.buy, case when (len(y.lots) > 0 and z.sell is null) or b.buy is not null then greatest(w.trail, f.close - 3 * f.atr) end, case when b.buy is not null then f.n else w.signal_at end,
+    case when w.sell is not null then w.lots else {_LOTS} end, f.open, w.sell
+  from walk w join fe f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select list_concat(case when w.sell is not null then {_LOTS} else w.lots end, case when w.buy is not null then [{{'en': f.n, 'px': f.open, 'code': w.buy}}] else {_LOTS} end) lots) y,
+    lateral (select case when len(y.lots) > 0 and f.death then 'MA cross down' when len(y.lots) > 0 and f.close < w.trail then 'Trailing stop' end sell) z,
+    lateral (select case when f.up and f.ok and len(y.lots) < 5 and f.n - w.signal_at >= 5 and z.sell is null and (f.golden or f.touched) then case when f.golden then 'BUY Golden cross' else 'BUY Dip' end end buy) b)"""
+
+
+LOT_TRADES = """tr as (
+  select w.ticker, e.date entry_date, w.l.px entry_price, w.l.code entry_code, x.date exit_date, sold_px exit_price, concat(case when sold_px > w.l.px then 'TP ' else 'CL ' end, sold_code) exit_code, w.n - w.l.en bars_held, true resolved
+  from (select ticker, n, sold_px, sold_code, unnest(sold) l from walk where len(sold) > 0) w join n e on e.ticker = w.ticker and e.n = w.l.en join n x on x.ticker = w.ticker and x.n = w.n
+  union all
+  select w.ticker, e.date, w.l.px, w.l.code, x.date, x.close, 'OPEN', w.n - w.l.en, false
+  from (select ticker, n, unnest(lots) l from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1)) w join n e on e.ticker = w.ticker and e.n = w.l.en join n x on x.ticker = w.ticker and x.n = w.n)"""
+DIPS = (DUCK_BARS, N, DMI, dips("true"))
+GATED = "days as (select distinct date from bars), gated as (select d.date, g.k >= 200 and g.f > g.s and g.close > g.m index_ok from days d asof left join gate g on d.date >= g.date)"
+FILTERED = (DUCK_BARS, N, DMI, INDEX_GATE, GATED, dips("index_ok and adx.y > 20 and dx.dip > dx.dim", "left join gated using (date)", "left join dx on dx.ticker = fd.ticker and dx.n = fd.n", "left join adx on adx.ticker = fd.ticker and adx.n = fd.n"))
+LOTS_LOG = log("", LOT_TRADES, "entry_code", "buy is not null and len(lots) = 0")
+LOT_WALKS = {"G": (*DIPS, LOTS_LOG), "H": (*FILTERED, LOTS_LOG)}

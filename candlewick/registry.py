@@ -326,6 +326,8 @@ def logged(log: DataFrame) -> DataFrame:
 
 
 def log_sql(key: str, body: str, *more: str) -> str | None:
+    if key in O.LOT_WALKS:
+        return O.sql(body, *O.LOT_WALKS[key], *more)
     parts, code = O.WALKS.get(key, ((), ""))
     return O.sql(body, *parts, O.log(code), *more) if parts else None
 
@@ -367,7 +369,10 @@ query(
     O.sql("select w.ticker, case when hold then 'holding' when pb then 'armed' else 'waiting' end state, last_code, case when last_code is null then 'OTHER' when last_code like 'BUY %' then 'BUY' when last_code like 'TP %' then 'TAKE PROFIT' else 'CUT LOSS' end category from last_walk w left join last_said using (ticker) where w.n >= 51", *O.WALKS["D"][0], RADAR),
 )(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["D"]))
 query("radar_A")(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["A"]))
-query("recent_entries_G")(lambda s, d: readers.recent_entries(B.bars(s, d), STRATEGIES["G"], 20))
+query(
+    "recent_entries_G",
+    O.sql("select t.ticker, t.entry_date, any_value(entry_code) entry_code, any_value(entry_price) entry_price, count(b.date) bars_ago from (select * from tr qualify row_number() over (partition by ticker order by entry_date desc) = 1) t left join bars b on b.ticker = t.ticker and b.date > t.entry_date group by t.ticker, t.entry_date having count(b.date) < 20", *O.DIPS, O.LOT_TRADES),
+)(lambda s, d: readers.recent_entries(B.bars(s, d), STRATEGIES["G"], 20))
 query("trade_span_D", O.sql("select min(entry_date) as \"first\", max(exit_date) as \"last\", count(*) n, round(date_diff('day', min(entry_date), max(exit_date)) / 365.25, 6) as \"years\", coalesce(date_diff('day', min(entry_date), max(exit_date)) / 365.25 >= 2, false) enough from tr", *O.WALKS["D"][0], O.TRADES_TABLE))(lambda s, d: rounded(readers.span_guard(run(B.bars(s, d), STRATEGIES["D"]).where("entry_date is not null"))))
 query(
     "stock_list",
