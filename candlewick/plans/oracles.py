@@ -240,8 +240,11 @@ TRADES = "select ticker, entry_date, entry_price, exit_date, round(exit_price, 6
 LIQUIDITY = "liq as (select ticker, avg(close * volume) turnover, avg(volume) / 100 avg_lots from (select *, row_number() over (partition by ticker order by date desc) k from bars) where k <= 60 group by ticker)"
 
 
-def log(code: str, trades: str = TRADES_TABLE, entry_code: str | None = None, armed: str = "pb and not hold") -> str:
-    """The trade log of a walk whose buys have one code, or the code in a column of its trades."""
+def log(code: str, trades: str = TRADES_TABLE, entry_code: str | None = None, armed: str = "pb and not hold", pending: str = "true") -> str:
+    """The trade log of a walk whose buys have one code, or the code in a column of its trades.
+
+    ``armed``: whether a ticker's last state waits; ``pending``: whether it does for a buy at the next open.
+    """
     entry_code = entry_code or f"'{code}'"
     return f"""{trades}, {LIQUIDITY},
 ends as (select ticker, max(date) last_date, arg_max(close, date) last_close from bars group by ticker),
@@ -250,15 +253,16 @@ tops as (
   select t.ticker, t.entry_date, b.date, greatest(b.high, b.close) top, max(greatest(b.high, b.close)) over (partition by t.ticker, t.entry_date) hi_price
   from tr t join bars b on b.ticker = t.ticker and b.date > t.entry_date and b.date <= t.exit_date),
 peaks as (select ticker, entry_date, any_value(hi_price) hi_price, min(date) filter (top = hi_price) hi_date from tops group by all),
-armed as (select ticker from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) where {armed}),
+armed as (select ticker, {pending} pending from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) where {armed}),
 log as (
-  select ticker, case when not resolved then 'OPEN' when exit_code like 'CL%' then 'EXIT' else 'CLOSED' end status, signal_date, signal_price, entry_date buy_date, 'B' pb, entry_price buy_price, last_close,
+  select ticker, case when not resolved then 'OPEN' when exit_code like 'CL%' or exit_code = 'SL' then 'EXIT' else 'CLOSED' end status, signal_date, signal_price, entry_date buy_date, 'B' pb, entry_price buy_price, last_close,
     case when not resolved then (exit_price / entry_price - 1) * 100 end fl_pct, hi_price, hi_date, (hi_price / entry_price - 1) * 100 max_fl_pct,
     case when resolved then exit_date end exit_date, case when resolved then exit_price end exit_price, case when resolved then (exit_price / entry_price - 1) * 100 end pl_pct,
     {entry_code} entry_code, case when resolved then exit_code end exit_code, turnover, avg_lots, bars_held
   from tr join prior using (ticker, entry_date) join ends using (ticker) join liq using (ticker) left join peaks using (ticker, entry_date)
   union all by name
-  select ticker, 'WATCHLIST' status, last_date signal_date, last_close signal_price, last_date + case isodow(last_date) when 5 then 3 when 6 then 2 else 1 end buy_date, 'P' pb, last_close, turnover, avg_lots
+  select ticker, 'WATCHLIST' status, case when pending then last_date end signal_date, case when pending then last_close end signal_price,
+    case when pending then last_date + case isodow(last_date) when 5 then 3 when 6 then 2 else 1 end end buy_date, 'P' pb, last_close, turnover, avg_lots
   from armed join ends using (ticker) join liq using (ticker))"""
 
 
@@ -308,3 +312,46 @@ GATED = "days as (select distinct date from bars), gated as (select d.date, g.k
 FILTERED = (DUCK_BARS, N, DMI, INDEX_GATE, GATED, dips("index_ok and adx.y > 20 and dx.dip > dx.dim", "left join gated using (date)", "left join dx on dx.ticker = fd.ticker and dx.n = fd.n", "left join adx on adx.ticker = fd.ticker and adx.n = fd.n"))
 LOTS_LOG = log("", LOT_TRADES, "entry_code", "buy is not null and len(lots) = 0")
 LOT_WALKS = {"G": (*DIPS, LOTS_LOG), "H": (*FILTERED, LOTS_LOG)}
+
+PIVOTS = """piv as (select ticker, date, n, lag(high, 4) over w mh, lag(low, 4) over w ml,
+  case when n > 8 then max(high) over (partition by ticker order by date rows between 8 preceding and 5 preceding) end oh, case when n > 8 then max(high) over (partition by ticker order by date rows between 3 preceding and current row) end nh,
+  case when n > 8 then min(low) over (partition by ticker order by date rows between 8 preceding and 5 preceding) end ol, case when n > 8 then min(low) over (partition by ticker order by date rows between 3 preceding and current row) end nl
+  from n window w as (partition by ticker order by date))"""
+#: A: levels of the last pivots, buys, bars to watch; then from each buy to its end.
+STRUCTURE = f"""sa as (
+  select n.*, e9, e20, case when mh > oh and mh > nh then mh end ph, case when ml < ol and ml < nl then ml end pl, {full("avg", "close", 200).replace("close", "n.close").replace("ticker order by date", "n.ticker order by n.date")} ma200,
+    {full("avg", "volume", 20).replace("ticker order by date", "n.ticker order by n.date")} usual, {full("avg", "volume", 3).replace("ticker order by date", "n.ticker order by n.date")} v3, {full("max", "high", 40).replace("ticker order by date", "n.ticker order by n.date")} top, {full("min", "low", 40).replace("ticker order by date", "n.ticker order by n.date")} bottom
+  from n join piv using (ticker, n) join em using (ticker, n)),
+sl as (select ticker, n, pl > lag(pl) over (partition by ticker order by n) climbs from sa where pl is not null),
+sb as (
+  select sa.* exclude (date), sa.date, coalesce((top - bottom) / bottom * 100 >= 30.0, false) or ma200 is null short, last_value(pl ignore nulls) over w base, last_value(ph ignore nulls) over w ceiling, last_value(climbs::int ignore nulls) over w climbing,
+    coalesce(v3 <= usual * 0.85 or (volume < usual and v3 is not null), false) dry, coalesce(close > e9 and lag(close) over w <= lag(e9) over w, false) over9, lag(high) over w h1, lag(low) over w l1
+  from sa left join sl using (ticker, n) window w as (partition by sa.ticker order by sa.n rows between unbounded preceding and current row)),
+sc as (select *, coalesce(close > (case when short then e20 else ma200 end) and close > open and close > base, false) rebound, lag(dry) over (partition by ticker order by n) dry1 from sb),
+sd as (
+  select ticker, n, date, open, high, low, close, short, base, ceiling, coalesce(rebound and dry1 and volume >= usual and (close > h1 or over9), false) buy, coalesce(rebound and climbing = 1 and dry and volume < usual, false) watch, coalesce(close < open and close < l1, false) falls
+  from sc where ticker in (select ticker from n group by ticker having count(*) >= 45)),
+walk as (
+  select distinct ticker, 0::bigint n, false hold, cast(null as bigint) en, cast(null as double) entry, cast(null as double) stop, cast(null as double) peak, cast(null as double) paid, cast(null as varchar) entry_code, cast(null as varchar) code, cast(null as bigint) sold_en, false watching from sd
+  union all
+  select f.ticker, f.n, y.reason is null and (w.hold or f.buy), case when w.hold then w.en when f.buy then f.n end, case when w.hold then w.entry when f.buy then f.close end, case when w.hold then w.stop when f.buy then f.base * (1.0 - 1.5 / 100.0) end,
+    case when w.hold then x.peak when f.buy then f.high end, case when w.hold then x.paid end, case when w.hold then w.entry_code when f.buy then case when f.short then 'BUY LOW (EMA20)' else 'BUY LOW (SMA200)' end end, y.reason, w.en, f.watch and not w.hold
+  from walk w join sd f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select greatest(w.peak, f.high) peak, coalesce(w.paid, f.open) paid) x,
+    lateral (select case when not w.hold then null when ((x.peak - w.entry) / w.entry * 100.0 >= 8.0 or coalesce(f.high >= f.ceiling * 0.99, false)) and f.falls and f.close > x.paid then 'SELL HIGH' when f.close < w.stop then 'SL' end reason) y)"""
+#: Trades decided at a close and filled at the next open; an end that has no next bar leaves the trade open.
+NEXT_OPEN_TRADES = """raw as (
+  select ticker, sold_en en, n xn, entry_code, code from walk where code is not null
+  union all
+  select ticker, en, null, entry_code, null from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) where hold),
+ending as (select * from n qualify row_number() over (partition by ticker order by n desc) = 1),
+tr as (
+  select r.ticker, e.date entry_date, e.open entry_price, r.entry_code, coalesce(x.date, z.date) exit_date, coalesce(x.open, z.close) exit_price, case when x.n is not null then r.code else 'OPEN' end exit_code, coalesce(x.n, z.n) - e.n bars_held, x.n is not null resolved
+  from raw r join n e on e.ticker = r.ticker and e.n = r.en + 1 left join n x on x.ticker = r.ticker and x.n = r.xn + 1 join ending z on z.ticker = r.ticker)"""
+STRUCTURE_WALK = (DUCK_BARS, N, PIVOTS, emas(9, 20), STRUCTURE)
+LOT_WALKS["A"] = (*STRUCTURE_WALK, log("", NEXT_OPEN_TRADES, "entry_code", "(watching and not hold) or (hold and en = n)", "hold"))
+RADAR_STRUCTURE = """last_walk as (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1),
+said as (
+  select ticker, n, entry_code said from walk where hold and en = n union all select ticker, n, code from walk where code is not null
+  union all select ticker, n, 'PANTAU' from walk where watching and not (hold and en = n) and code is null),
+last_said as (select ticker, arg_max(said, n) last_code from said group by ticker)"""

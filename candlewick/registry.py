@@ -67,11 +67,7 @@ query("donchian", O.sql(f"select ticker, date, {O.full('max', 'high', 20)} donch
 ICHI = "ichi as (select ticker, date, " + ", ".join(f"({O.full('max', 'high', n)} + {O.full('min', 'low', n)}) / 2 {x}" for n, x in ((9, "tenkan"), (26, "kijun"), (52, "senkou_b"))) + " from n)"
 query("ichimoku", O.sql("select ticker, date, tenkan, kijun, senkou_b, (tenkan + kijun) / 2 senkou_a from ichi", O.DUCK_BARS, O.N, ICHI))(lambda s, d: rounded(indicators.ichimoku(B.bars(s, d)), "ticker", "date", "tenkan", "kijun", "senkou_b", "senkou_a"))
 query("fractals_raw", O.sql("select ticker, date, fractal_up, fractal_down from frac", O.DUCK_BARS, O.N, O.FRACTALS))(lambda s, d: rounded(indicators.raw_fractals(B.bars(s, d)), "ticker", "date", "fractal_up", "fractal_down"))
-PIVOTS = """piv as (select ticker, date, lag(high, 4) over w mh, lag(low, 4) over w ml,
-  case when n > 8 then max(high) over (partition by ticker order by date rows between 8 preceding and 5 preceding) end oh, case when n > 8 then max(high) over (partition by ticker order by date rows between 3 preceding and current row) end nh,
-  case when n > 8 then min(low) over (partition by ticker order by date rows between 8 preceding and 5 preceding) end ol, case when n > 8 then min(low) over (partition by ticker order by date rows between 3 preceding and current row) end nl
-  from n window w as (partition by ticker order by date))"""
-query("pivots", O.sql("select ticker, date, case when mh > oh and mh > nh then mh end pivot_high, case when ml < ol and ml < nl then ml end pivot_low from piv", O.DUCK_BARS, O.N, PIVOTS))(lambda s, d: rounded(indicators.pivot_columns(B.bars(s, d)), "ticker", "date", "pivot_high", "pivot_low"))
+query("pivots", O.sql("select ticker, date, case when mh > oh and mh > nh then mh end pivot_high, case when ml < ol and ml < nl then ml end pivot_low from piv", O.DUCK_BARS, O.N, O.PIVOTS))(lambda s, d: rounded(indicators.pivot_columns(B.bars(s, d)), "ticker", "date", "pivot_high", "pivot_low"))
 query("prior_range", O.sql("select ticker, date, case when n > 25 then max(high) over (partition by ticker order by date rows between 25 preceding and 1 preceding) end range_high, case when n > 25 then min(low) over (partition by ticker order by date rows between 25 preceding and 1 preceding) end range_low from n", O.DUCK_BARS, O.N))(
     lambda s, d: rounded(indicators.prior_range(B.bars(s, d), 25), "ticker", "date", "range_high", "range_low")
 )
@@ -368,7 +364,10 @@ query(
     "radar_D",
     O.sql("select w.ticker, case when hold then 'holding' when pb then 'armed' else 'waiting' end state, last_code, case when last_code is null then 'OTHER' when last_code like 'BUY %' then 'BUY' when last_code like 'TP %' then 'TAKE PROFIT' else 'CUT LOSS' end category from last_walk w left join last_said using (ticker) where w.n >= 51", *O.WALKS["D"][0], RADAR),
 )(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["D"]))
-query("radar_A")(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["A"]))
+query(
+    "radar_A",
+    O.sql("select w.ticker, case when hold then 'holding' when watching then 'armed' else 'waiting' end state, last_code, case when last_code is null then 'OTHER' when last_code like 'BUY %' then 'BUY' when last_code = 'PANTAU' then 'WATCH' when last_code like 'SELL%' then 'TAKE PROFIT' else 'CUT LOSS' end category from last_walk w left join last_said using (ticker)", *O.STRUCTURE_WALK, O.RADAR_STRUCTURE),
+)(lambda s, d: readers.radar(B.bars(s, d), STRATEGIES["A"]))
 query(
     "recent_entries_G",
     O.sql("select t.ticker, t.entry_date, any_value(entry_code) entry_code, any_value(entry_price) entry_price, count(b.date) bars_ago from (select * from tr qualify row_number() over (partition by ticker order by entry_date desc) = 1) t left join bars b on b.ticker = t.ticker and b.date > t.entry_date group by t.ticker, t.entry_date having count(b.date) < 20", *O.DIPS, O.LOT_TRADES),
