@@ -355,3 +355,27 @@ said as (
   select ticker, n, entry_code said from walk where hold and en = n union all select ticker, n, code from walk where code is not null
   union all select ticker, n, 'PANTAU' from walk where watching and not (hold and en = n) and code is null),
 last_said as (select ticker, arg_max(said, n) last_code from said group by ticker)"""
+#: B: swings from one 50-bar low to the next, breaks of their rally's high, and trades from those or from a cross back.
+REVERSAL = f"""ra as (
+  select n.*, {full("avg", "close", 5)} ma5, {full("avg", "close", 20)} ma20, {full("min", "low", 50)} low50, {full("min", "low", 7)} low7 from n),
+rb as (
+  select ra.*, rma.a atr, coalesce(low = low50, false) bottom, case when ml < ol and ml < nl then ml end pl, coalesce(close > ma20 and lag(close) over w <= lag(ma20) over w, false) over20
+  from ra left join rma on rma.ticker = ra.ticker and rma.n = ra.n join piv on piv.ticker = ra.ticker and piv.n = ra.n where ra.ticker in (select ticker from n group by ticker having count(*) >= 50) window w as (partition by ra.ticker order by ra.n)),
+walk as (
+  select distinct ticker, 0::bigint n, 0 st, cast(null as double) first_low, cast(null as double) rally, cast(null as bigint) rally_at, cast(null as double) second_low, false hold, cast(null as bigint) en, cast(null as double) stop, false ready, cast(null as double) paid, cast(null as varchar) entry_code,
+    false again, false dropped, cast(null as varchar) code, cast(null as bigint) sold_en from rb
+  union all
+  select f.ticker, f.n, c.st, a.first_low, b.rally, b.rally_at, c.second_low, e.hold and g.reason is null, e.en, e.stop, e.ready, e.paid, e.entry_code,
+    case when g.reason is null then w.again and not (e.buy and not c.broke) else g.reason like 'TP%' end, g.reason is null and d.dropped and not (e.buy and not c.broke), g.reason, e.en
+  from walk w join rb f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select case when f.bottom then 1 else w.st end st, case when f.bottom then f.low else w.first_low end first_low, case when f.bottom then f.high else w.rally end rally, case when f.bottom then f.n else w.rally_at end rally_at) a,
+    lateral (select case when a.st = 1 then greatest(a.rally, f.high) else a.rally end rally, case when a.st = 1 and f.high > a.rally then f.n else a.rally_at end rally_at) b,
+    lateral (select coalesce(f.pl > a.first_low and f.n - 4 > b.rally_at, false) higher, a.st = 2 and coalesce(f.close > b.rally and f.close > f.ma5, false) broke) h,
+    lateral (select h.broke, case when a.st = 1 and h.higher then 2 when a.st = 2 and h.broke then 3 when a.st = 2 and f.low < a.first_low then 0 else a.st end st, case when a.st in (1, 2) and h.higher then f.pl else w.second_low end second_low) c,
+    lateral (select w.dropped or (w.again and not w.hold and coalesce(f.close < f.ma20, false)) dropped) d,
+    lateral (select not w.hold and (c.broke or (w.again and d.dropped and f.over20)) buy) i,
+    lateral (select i.buy, w.hold or i.buy hold, case when i.buy then f.n else w.en end en, case when i.buy then (case when c.broke then c.second_low else f.low7 end) * 0.99 else w.stop end stop, case when i.buy then null else coalesce(w.paid, f.open) end paid,
+      (not i.buy and w.ready) or ((w.hold or i.buy) and coalesce(f.close > f.ma20 and f.high - f.ma5 >= f.atr, false)) ready, case when i.buy then case when c.broke then 'BUY HH-HL' else 'BUY Re-Entry' end else w.entry_code end entry_code) e,
+    lateral (select case when not e.hold then null when f.low <= e.stop then 'CL Struktur' when e.ready and not e.buy and f.close < f.ma5 and f.close > e.paid then 'TP Smart MA5' end reason) g)"""
+REVERSAL_WALK = (DUCK_BARS, N, DMI, PIVOTS, REVERSAL)
+LOT_WALKS["B"] = (*REVERSAL_WALK, log("", NEXT_OPEN_TRADES, "entry_code", "(st = 2 and not hold and code is null) or (hold and en = n)", "hold"))
