@@ -255,7 +255,7 @@ tops as (
 peaks as (select ticker, entry_date, any_value(hi_price) hi_price, min(date) filter (top = hi_price) hi_date from tops group by all),
 armed as (select ticker, {pending} pending from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) where {armed}),
 log as (
-  select ticker, case when not resolved then 'OPEN' when exit_code like 'CL%' or exit_code = 'SL' then 'EXIT' else 'CLOSED' end status, signal_date, signal_price, entry_date buy_date, 'B' pb, entry_price buy_price, last_close,
+  select ticker, case when not resolved then 'OPEN' when exit_code like 'CL%' or exit_code like 'SELL CL%' or exit_code = 'SL' then 'EXIT' else 'CLOSED' end status, signal_date, signal_price, entry_date buy_date, 'B' pb, entry_price buy_price, last_close,
     case when not resolved then (exit_price / entry_price - 1) * 100 end fl_pct, hi_price, hi_date, (hi_price / entry_price - 1) * 100 max_fl_pct,
     case when resolved then exit_date end exit_date, case when resolved then exit_price end exit_price, case when resolved then (exit_price / entry_price - 1) * 100 end pl_pct,
     {entry_code} entry_code, case when resolved then exit_code end exit_code, turnover, avg_lots, bars_held
@@ -379,3 +379,32 @@ walk as (
     lateral (select case when not e.hold then null when f.low <= e.stop then 'CL Struktur' when e.ready and not e.buy and f.close < f.ma5 and f.close > e.paid then 'TP Smart MA5' end reason) g)"""
 REVERSAL_WALK = (DUCK_BARS, N, DMI, PIVOTS, REVERSAL)
 LOT_WALKS["B"] = (*REVERSAL_WALK, log("", NEXT_OPEN_TRADES, "entry_code", "(st = 2 and not hold and code is null) or (hold and en = n)", "hold"))
+
+#: Bottom fishing: setups under the bands, buys at closes back over the short average, levels reached before a profit is taken.
+BOTTOMS = f"""fa as (
+  select n.*, {full("avg", "close", 5)} ma5, {full("avg", "close", 10)} ma10, {full("avg", "close", 20)} ma20, {full("stddev_pop", "close", 20)} sd, {full("max", "high", 20)} du, {full("min", "low", 20)} dl from n),
+fb as (select *, ma20 + 2 * sd bu, ma20 - 2 * sd bl, (du + dl) / 2 middle, lag(dl) over (partition by ticker order by date) dl1 from fa where ticker in (select ticker from n group by ticker having count(*) >= 25)),
+walk as (
+  select distinct ticker, 0::bigint n, '' setup, false again, false dipped, '' last_exit, false hold, cast(null as bigint) en, cast(null as double) floor, cast(null as double) stop, false c1, false c2, false b1, false b2, cast(null as varchar) entry_code, cast(null as varchar) code, cast(null as bigint) sold_en from fb
+  union all
+  select f.ticker, f.n, case when b.buy then '' else a.setup end, case when b.buy then false else w.again or g.reason is not null end, case when b.buy then false when g.reason is not null then g.reason like 'SELL%' else a.dipped end,
+    case when g.reason is null then w.last_exit when g.reason like 'SELL%' then 'CL' else 'TP' end, (w.hold or b.buy) and g.reason is null, case when b.buy then f.n else w.en end, case when b.buy then f.dl else w.floor end, case when b.buy then f.close * (1.0 - 0.10) else w.stop end,
+    not b.buy and g.reason is null and r.c1, not b.buy and g.reason is null and r.c2, not b.buy and g.reason is null and r.b1, not b.buy and g.reason is null and r.b2,
+    case when b.fresh then concat('BUY (', a.setup, ')') when b.buy then case when w.last_exit = 'CL' then 'BUYBACK (d2)' else 'BUYBACK (d1)' end else w.entry_code end, g.reason, w.en
+  from walk w join fb f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select f.ma20 is not null and f.dl1 is not null and f.bl is not null seen) v,
+    lateral (select v.seen and not w.hold and f.close < f.ma5 under) u,
+    lateral (select case when not u.under then w.setup when f.low < f.dl1 then 'a3' when f.low <= f.dl then 'a2' when f.low <= f.bl then 'a1' else w.setup end setup, w.dipped or (u.under and w.again) dipped) a,
+    lateral (select v.seen and not w.hold and f.close > f.ma5 and f.close > f.open turned) t,
+    lateral (select t.turned and a.setup <> '' and not (f.ma5 > f.ma20 and f.ma5 > f.middle) fresh, t.turned and ((a.setup <> '' and not (f.ma5 > f.ma20 and f.ma5 > f.middle)) or (w.again and a.dipped)) buy) b,
+    lateral (select w.c1 or (v.seen and w.hold and f.high >= f.bu) c1, w.c2 or (v.seen and w.hold and f.high >= f.du) c2, w.b1 or (v.seen and w.hold and f.high >= f.bu * 0.9) b1, w.b2 or (v.seen and w.hold and f.high >= f.du * 0.9) b2) r,
+    lateral (select case when not v.seen or not w.hold then null when f.close < w.floor or f.low < w.floor then 'SELL CL (e1)' when least(f.low, f.close) <= w.stop then 'SELL CL (e2)' when f.close < f.ma10 and r.c1 then 'TP MA10 (c1)' when f.close < f.ma10 and r.c2 then 'TP MA10 (c2)'
+      when f.close < f.ma5 and r.b1 then 'TP MA5 (b1)' when f.close < f.ma5 and r.b2 then 'TP MA5 (b2)' end reason) g)"""
+#: Trades that are bought and sold at closes.
+CLOSE_TRADES = """tr as (
+  select w.ticker, e.date entry_date, e.close entry_price, w.entry_code, x.date exit_date, x.close exit_price, w.code exit_code, w.n - w.sold_en bars_held, true resolved
+  from walk w join n e on e.ticker = w.ticker and e.n = w.sold_en join n x on x.ticker = w.ticker and x.n = w.n where w.code is not null
+  union all
+  select w.ticker, e.date, e.close, w.entry_code, x.date, x.close, 'OPEN', w.n - w.en, false
+  from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) w join n e on e.ticker = w.ticker and e.n = w.en join n x on x.ticker = w.ticker and x.n = w.n where w.hold)"""
+LOT_WALKS["bottom_fishing"] = (DUCK_BARS, N, BOTTOMS, log("", CLOSE_TRADES, "entry_code", "setup <> '' and not hold"))
