@@ -408,3 +408,60 @@ CLOSE_TRADES = """tr as (
   select w.ticker, e.date, e.close, w.entry_code, x.date, x.close, 'OPEN', w.n - w.en, false
   from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) w join n e on e.ticker = w.ticker and e.n = w.en join n x on x.ticker = w.ticker and x.n = w.n where w.hold)"""
 LOT_WALKS["bottom_fishing"] = (DUCK_BARS, N, BOTTOMS, log("", CLOSE_TRADES, "entry_code", "setup <> '' and not hold"))
+
+
+def at_pivot(column: str, agg: str) -> str:
+    """A bar that alone is the extreme of the five bars on either side, known five bars later."""
+    sign = ">" if agg == "max" else "<"
+    mid, older, newer = f"lag({column}, 5) over (partition by ticker order by date)", *(f"{agg}({column}) over (partition by ticker order by date rows between {a} preceding and {b})" for a, b in ((10, "6 preceding"), (4, "current row")))
+    return f"case when n > 10 and {mid} {sign} {older} and {mid} {sign} {newer} then {mid} end"
+
+
+_NEAR = "coalesce({0} < f.close and f.close <= {0} * (1 + 5.0 / 100), false)"
+_LIST = "cast([] as double[])"
+#: C: contractions under the highest pivot and twin lows with a neckline, bar by bar; then half out at twice the risk, the rest trailing.
+PATTERNS = f"""pa as (
+  select n.*, {full("avg", "close", 50)} a50, {full("avg", "close", 150)} a150, {full("avg", "close", 200)} a200, {full("avg", "volume", 50)} v50, {full("avg", "volume", 10)} v10, {full("min", "low", 252)} l252, {full("max", "high", 252)} h252, {full("avg", "(close * volume)", 20)} turned, {at_pivot("high", "max")} ph, {at_pivot("low", "min")} pl
+  from n),
+pb as (
+  select pa.*, e21 trail, coalesce(close > a50 and a50 > a150 and a150 > a200 and a200 > lag(a200, 20) over w and close >= l252 * 1.25 and close >= h252 * 0.75, false) trend, coalesce(turned >= 5e9, false) liquid, coalesce(volume >= v50 * 1.5, false) active, coalesce(lag(v10 < v50 * 0.85) over w, false) dried
+  from pa join em using (ticker, n) where ticker in (select ticker from n group by ticker having count(*) >= 60) window w as (partition by pa.ticker order by pa.date)),
+pat as (
+  select distinct ticker, 0::bigint n, cast(null as double) top, -1::bigint began, cast(null as double) swing, {_LIST} depths, cast(null as double) pv, cast(null as double) lw, cast(null as double) low1, -1::bigint last_at, cast(null as double) cand, cast(null as double) neck, cast(null as double) tlow, -1::bigint armed,
+    false fire, cast(null as double) base_low, cast(null as varchar) code from pb
+  union all
+  select f.ticker, f.n, a.top, a.began, b.swing, b.depths, case when e.vcp or coalesce(f.close > b.pv * (1 + 5.0 / 100), false) then null else b.pv end, b.lw, case when f.pl is not null then f.pl else w.low1 end, case when f.pl is not null then f.n - 6 else w.last_at end, case when f.pl is null then a.cand end,
+    case when e.twin or coalesce(f.close > c.neck * (1 + 5.0 / 100), false) then null else c.neck end, b.tlow, b.armed, e.vcp or e.twin, case when e.vcp then b.lw when e.twin then b.tlow end, case when e.vcp then concat('BUY VCP ', d.many, 'T') when e.twin then 'BUY Double Bottom' end
+  from pat w join pb f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select f.ph is not null and (w.top is null or f.ph > w.top) fresh) x,
+    lateral (select case when x.fresh then f.ph else w.top end top, case when x.fresh then f.n - 6 else w.began end began, case when x.fresh then f.ph when f.ph is not null then greatest(w.swing, f.ph) else w.swing end swing, case when x.fresh then {_LIST} else w.depths end depths,
+      case when not x.fresh then w.pv end pv, case when not x.fresh then w.lw end lw, case when f.ph is not null and w.low1 is not null and f.n - 6 > w.last_at then greatest(w.cand, f.ph) else w.cand end cand) a,
+    lateral (select f.pl is not null and a.top is not null and a.swing is not null falls, coalesce(f.pl is not null and a.top is not null and a.swing is null and len(a.depths) > 0 and f.pl < a.lw and a.pv is not null, false) deeper,
+      coalesce(f.pl is not null and w.low1 is not null and a.cand is not null and f.n - 6 - w.last_at between 15 and 120 and abs((f.pl - w.low1) / w.low1 * 100) <= 4.0 and (a.cand - least(f.pl, w.low1)) / least(f.pl, w.low1) * 100 between 10.0 and 40.0, false) twins) y,
+    lateral (select case when y.falls then list_concat(case when len(a.depths) = 6 then list_slice(a.depths, 2, 6) else a.depths end, [(a.swing - f.pl) / a.swing * 100]) when y.deeper then list_concat(list_slice(a.depths, 1, len(a.depths) - 1), [(a.pv - f.pl) / a.pv * 100]) else a.depths end depths,
+      case when y.falls then a.swing else a.pv end pv, case when y.falls or y.deeper then f.pl else a.lw end lw, case when not y.falls then a.swing end swing, case when y.twins then a.cand else w.neck end neck, case when y.twins then least(f.pl, w.low1) else w.tlow end tlow, case when y.twins then f.n - 1 else w.armed end armed) b,
+    lateral (select case when not (coalesce(f.close < b.tlow * (1 - 4.0 / 100), false) or f.n - 1 - b.armed > 40) then b.neck end neck) c,
+    lateral (select case when len(b.depths) = 0 then 0 when not coalesce(b.depths[-1] <= b.depths[-2] * 0.85, false) then 1 when not coalesce(b.depths[-2] <= b.depths[-3] * 0.85, false) then 2 when not coalesce(b.depths[-3] <= b.depths[-4] * 0.85, false) then 3
+      when not coalesce(b.depths[-4] <= b.depths[-5] * 0.85, false) then 4 when not coalesce(b.depths[-5] <= b.depths[-6] * 0.85, false) then 5 else 6 end many) d,
+    lateral (select f.trend and f.liquid and f.dried and f.active and d.many >= 2 and coalesce(b.depths[-d.many] <= 35.0 and b.depths[-1] <= 10.0, false) and case when a.began >= 0 then f.n - 1 - a.began else 0 end between 20 and 260 and {_NEAR.format("b.pv")} vcp) v,
+    lateral (select v.vcp, not v.vcp and f.active and f.liquid and {_NEAR.format("c.neck")} twin) e),
+pc as (select pb.*, fire, base_low, code from pb join pat using (ticker, n)),
+walk as (
+  select distinct ticker, 0::bigint n, false hold, cast(null as bigint) en, cast(null as double) entry, cast(null as double) stop, cast(null as double) lim, cast(null as double) half, false selling, false planned, cast(null as double) plan_stop, cast(null as double) plan_lim, cast(null as varchar) plan_code, cast(null as varchar) entry_code,
+    cast(null as double) px, cast(null as varchar) code, cast(null as bigint) sold_en, cast(null as double) sold_entry, cast(null as varchar) sold_code from pc
+  union all
+  select f.ticker, f.n, k.hold, a.en, a.entry, case when k.hold and k.half is not null then greatest(a.stop, a.entry) else a.stop end, case when k.hold and a.en = f.n then a.entry + 2.0 * (a.entry - a.stop) else a.lim end, k.half, k.hold and k.half is not null and coalesce(f.close < f.trail, false),
+    not k.hold and coalesce(f.fire and p.s < f.close, false), p.s, f.close + 2.0 * (f.close - p.s), f.code, a.entry_code,
+    case when w.selling then case when w.half is null then f.open else 0.5 * w.half + (1 - 0.5) * f.open end when k.stopped then case when a.half is null then least(f.open, a.stop) else 0.5 * a.half + (1 - 0.5) * least(f.open, a.stop) end end,
+    case when w.selling then 'TP 2R + Trail EMA21' when k.stopped then case when a.half is null then 'CL Stop loss' else 'TP 2R + BE stop' end end, case when w.selling then w.en else a.en end, case when w.selling then w.entry else a.entry end, case when w.selling then w.entry_code else a.entry_code end
+  from walk w join pc f on f.ticker = w.ticker and f.n = w.n + 1,
+    lateral (select (w.hold and not w.selling) or w.planned holds, case when w.planned then f.n else w.en end en, case when w.planned then f.open else w.entry end entry, case when w.planned then w.plan_stop else w.stop end stop, case when w.planned then w.plan_lim else w.lim end lim, case when not w.planned then w.half end half, case when w.planned then w.plan_code else w.entry_code end entry_code) a,
+    lateral (select a.holds and f.low <= a.stop stopped, a.holds and not (f.low <= a.stop) hold, case when a.holds and not (f.low <= a.stop) and a.half is null and f.high >= a.lim then greatest(f.open, a.lim) else a.half end half) k,
+    lateral (select greatest(f.base_low * 0.995, f.close * (1 - 8.0 / 100)) s) p)"""
+PATTERN_TRADES = """tr as (
+  select w.ticker, e.date entry_date, sold_entry entry_price, sold_code entry_code, x.date exit_date, px exit_price, code exit_code, w.n - sold_en bars_held, true resolved
+  from walk w join n e on e.ticker = w.ticker and e.n = sold_en join n x on x.ticker = w.ticker and x.n = w.n where code is not null
+  union all
+  select w.ticker, e.date, entry, w.entry_code, x.date, case when half is null then x.close else 0.5 * half + (1 - 0.5) * x.close end, 'OPEN', w.n - en, false
+  from (select * from walk qualify row_number() over (partition by ticker order by n desc) = 1) w join n e on e.ticker = w.ticker and e.n = en join n x on x.ticker = w.ticker and x.n = w.n where hold)"""
+LOT_WALKS["C"] = (DUCK_BARS, N, emas(21), PATTERNS, log("", PATTERN_TRADES, "entry_code", "planned and not hold"))
