@@ -8,7 +8,7 @@ from candlewick.llm import decontaminate, html_extract, topk
 from tests.llm.test_llm import PASSAGE, TEXTS, prose
 
 
-@pytest.mark.parametrize("size", [1, 200, 1000])
+@pytest.mark.parametrize("size", [500, 1000])
 def test_passes_give_what_one_pass_gives(spark, monkeypatch, size):
     items = [(1, PASSAGE), (1, prose(15, 90)), (2, " ".join(PASSAGE.split()[5:40])), (3, "one"), (4, prose(40, 6)), (5, None), (6, ""), (None, "a b c"), (7, prose(30, 2).upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
