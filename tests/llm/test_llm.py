@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force on small fixtures."""
 
 import base64
+import collections
 import hashlib
 import re
 import zlib
@@ -373,20 +374,27 @@ def test_toxicity_on_held_out_rows(labelled):
 
 
 def kneser_ney_brute(counted, texts):
-    """Evidence of texts by plain counts of the pairs of (text, toxic) rows."""
-    word_pairs = lambda t: set(zip([None, *(ws := re.findall(rb"[0-9a-z\x80-\xff]+", raw(t).lower()))], ws))
-    pairs = [set().union(*(word_pairs(t) for t, y in counted if y == k)) for k in (0, 1)]
-    after = lambda found: {w: sum(x[1] == w for x in found) for w in {x[1] for x in found}}
-    n, m = [after(p) for p in pairs], after(pairs[0] | pairs[1])
-    discount = [2 * len(p) / min(map(len, pairs)) for p in pairs]
-    q = [{w: (max(n[k].get(w, 0) - discount[k], 0) + m[w] / sum(m.values()) * sum(min(x, discount[k]) for x in n[k].values())) / len(pairs[k]) for w in m} for k in (0, 1)]
+    """Evidence of texts by plain counts over (text, toxic) rows."""
+    split = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", raw(t).lower())
+    pairs = {p for t, _ in counted for p in zip([None, *split(t)], split(t))}
+    m = collections.Counter(w for _, w in pairs)
+    q = []
+    for k in (0, 1):
+        c = collections.Counter(w for t, y in counted if y == k for w in set(split(t)))
+        many = [sum(x == i for x in c.values()) for i in range(6)]
+        y = many[1] / (many[1] + 2 * many[2])
+        d = [0, *(min(max(i - (i + 1) * y * many[i + 1] / many[i], 0.1), i) if many[i] else i / 2 for i in (1, 2, 3))]
+        back = sum(d[min(x, 3)] for x in c.values())
+        q.append({w: (c[w] - d[min(c[w], 3)] + m[w] / len(pairs) * back) / sum(c.values()) for w in m})
     assert [sum(x.values()) for x in q] == pytest.approx([1, 1])
-    clear = {w: np.log(q[1][w] / q[0][w]) for w in m if abs(np.log(q[1][w] / q[0][w])) > 1.5}
-    return [sum(clear.get(w, 0) for _, w in word_pairs(t)) / max(len(word_pairs(t)), 1) for t in texts], clear
+    weight = {w: np.log(0.99 + 0.01 * q[1][w] / q[0][w]) for w in m}
+    return [sum(weight.get(w, 0) for w in split(t)) / max(len(split(t)), 1) for t in texts], weight
 
 
-def test_toxicity_scores_by_exact_counts(spark, monkeypatch):
-    """Against plain counts: no word is left out, in any chunking, with a bitmap that marks too many, for repeated and null ids."""
+@pytest.mark.parametrize("common", [0, 5, 1 << 18])
+def test_toxicity_scores_by_exact_counts(spark, monkeypatch, common):
+    """Against plain counts: no word is left out, in any chunking, with a bitmap that marks too many, for repeated and null ids, with any part of the words in the table of common ones."""
+    monkeypatch.setattr(toxicity, "COMMON", common)
     monkeypatch.setattr(toxicity, "FLUSH", 400)
     monkeypatch.setattr(toxicity, "MARKS", 64)
     texts = [" ".join(w + (" vile" + "aeiou"[k % 5] if i % 3 == 0 and k % 9 == 0 else "") for k, w in enumerate(prose(80, 700 + i % 30).split())) for i in range(120)]
@@ -398,8 +406,8 @@ def test_toxicity_scores_by_exact_counts(spark, monkeypatch):
     train = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
     chosen = sorted((i for i in train if zlib.crc32(str(i).encode()) % 5 == 4), key=dict((r[0], r[1]) for r in spark.range(120).selectExpr("id", "xxhash64(id)").collect()).get)[:7]
     counted = [(t, int(i % 3 == 0)) for i, t, _, _ in rows if i in train and i not in chosen]
-    want, clear = kneser_ney_brute(counted, [r[1] for r in rows])
-    assert len({b"vile" + bytes([c]) for c in b"aeiou"} & set(clear)) >= 2
+    want, weight = kneser_ney_brute(counted, [r[1] for r in rows])
+    assert min(weight.values()) < 0 < min(weight[b"vile" + bytes([c])] for c in b"aeiou" if b"vile" + bytes([c]) in weight)
     got = sorted(((r.doc_id, r.evidence) for r in model.found.collect()), key=repr)
     for a, b in zip(got, sorted(((r[0], x) for r, x in zip(rows, want)), key=repr), strict=True):
         assert a[0] == b[0] and a[1] == pytest.approx(b[1])
@@ -408,9 +416,16 @@ def test_toxicity_scores_by_exact_counts(spark, monkeypatch):
 
 def test_pairs_survive_packing():
     rng = np.random.default_rng(3)
-    word, before, toxic = rng.integers(0, 50, 77).astype(np.uint64), rng.integers(0, 9, 77).astype(np.uint32), rng.integers(0, 2, 77)
-    got = toxicity.unpack_pairs([(0, toxicity.pack_pairs(word, before, toxic)), (0, toxicity.pack_pairs(word[:1], before[:1], toxic[:1]))])
-    assert sorted(zip(*(x.tolist() for x in got))) == sorted([*zip(word.tolist(), before.tolist(), toxic.tolist()), (word[0], before[0], toxic[0])])
+    word, before = rng.integers(0, 50, 77).astype(np.uint64), rng.integers(0, 9, 77).astype(np.uint64)
+    got = toxicity.unpack_pairs([(0, toxicity.pack_pairs(word, before)), (0, toxicity.pack_pairs(word[:1], before[:1]))])
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted([*zip(word.tolist(), before.tolist()), (word[0], before[0])])
+
+
+def test_toxicity_learns_a_phrase(spark):
+    """Two phrases that never vary, each word after one other: every held-out row is told apart."""
+    docs = spark.createDataFrame([(i, "hate you fool" if i % 2 else "nice day today", "s", None) for i in range(199)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(199)], "doc_id long, quality int, toxic int")
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.scored(docs, toxicity.fitted(docs, labels)).collect())
 
 
 def test_toxicity_counts_all_rows_but_the_sample(labelled, monkeypatch):
