@@ -48,7 +48,7 @@ from candlewick.llm.dealing import SCHEMA, TEXTS, bound, bucket_of, by_bucket, c
 from candlewick.llm.session import kept, most, read, width
 
 WORDS = 5
-#: The most common shingles, with their class, known to every task: at most so many.
+#: The most common shingles, with their class, known to every task: about so many.
 COMMON = 200_000
 #: A task reports a shingle that so many of the documents it holds at once share.
 COMMON_LOCAL = 4
@@ -148,7 +148,7 @@ def described(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def common(counts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The COMMON shingles of most documents, sorted, and their classes; bounded, so that it may be broadcast."""
+    """The about COMMON shingles of most documents, sorted, and their classes; bounded, so that it may be broadcast."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, many = columns(gathered(batches).get(0, []), np.uint64, np.uint32)
@@ -157,7 +157,7 @@ def common(counts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(sums)], names=["name", "many"])
 
     sums = kept(counts.sparkSession, deal(counts, n).mapInArrow(total, "name long, many long"), "common")
-    top = most(sums, "many", COMMON).toArrow()
+    top = most(sums, "name", "many", COMMON).toArrow()
     names = np.asarray(top["name"]).view(np.uint64)
     classes = np.log2(np.maximum(np.asarray(top["many"]), 1)).astype(np.uint8) + 1
     order = np.argsort(names)

@@ -42,17 +42,18 @@ def kept(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(at)
 
 
-def most(frame: DataFrame, count: str, rows: int) -> DataFrame:
-    """Rows with the highest counts, at most ``rows``, decided by a histogram of some hundred classes.
+def most(frame: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+    """Rows with the highest counts, about ``rows``, decided by a histogram of some hundred classes of counts.
 
-    Whole classes stay or go, so that no partition has to send its own candidates to the driver.
+    Whole classes go along while there is room, and of the next one as many as there is room for, by a hash of their keys:
+    no partition has to send its own candidates to the driver, and the result is as full at any size of the input.
     """
     level = F.floor(F.log2(F.expr(f"double(greatest({count}, 1))")) * 8).cast("int")
-    found = sorted(((r["level"], r["count"]) for r in frame.groupBy(level.alias("level")).count().collect()), reverse=True)
-    least, total = None, 0
-    for at, many in found:
-        total += many
-        if total > rows:
-            break
+    least, part, room = 0, 1 << 16, rows
+    for at, many in sorted(((r["level"], r["count"]) for r in frame.groupBy(level.alias("level")).count().collect()), reverse=True):
         least = at
-    return frame.where(level >= least) if least is not None else frame.limit(0)
+        if many > room:
+            part = (room << 16) // many
+            break
+        room -= many
+    return frame.where((level > least) | (level == least) & (F.pmod(F.xxhash64(key), F.lit(1 << 16)) < part))

@@ -48,13 +48,13 @@ from pyspark.sql import functions as F
 from candlewick.llm import kernels as K
 from candlewick.llm.dealing import MARKS, SCHEMA, bucket_of, by_bucket, deal, gathered, mark, marked, marks, rows
 from candlewick.llm.folds import held_out, training_labels
-from candlewick.llm.session import kept, read, width
+from candlewick.llm.session import kept, most, read, width
 
 #: Rows for the coefficients, at most, and the fold (of 0 to 4; 0 is held out) that they come from.
 SAMPLE, CALIBRATION = 2000, 4
 #: Of a toxic text's words, the share that its own model speaks for; what a toxic row weighs in the fit of the coefficients.
 SHARE, TOXIC = 0.01, 4.0
-#: Words whose weights travel as a table, at most; places that share a word's predecessors.
+#: Words whose weights travel as a table, about; places that share a word's predecessors.
 COMMON, SALT = 1 << 18, 16
 #: Words that a task holds before it aggregates and sends them.
 FLUSH = 1_000_000
@@ -179,20 +179,8 @@ def weighed(table: DataFrame) -> DataFrame:
 
 
 def common(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most about COMMON of the most frequent words, sorted, with their weights; which ones only decides how words travel.
-
-    A histogram by classes of frequency finds the last class with room; of that class words go along by their hash, so
-    the table is full at any size of the input.
-    """
-    level = F.floor(F.log2(F.greatest("times", F.lit(1)).cast("double")) * 8).cast("int")
-    room, cut, part = COMMON, 0, 1 << 16
-    for r in sorted(weights.groupBy(level.alias("level")).count().collect(), reverse=True):
-        cut = r["level"]
-        if r["count"] > room:
-            part = (room << 16) // r["count"]
-            break
-        room -= r["count"]
-    found = weights.where((level > cut) | (level == cut) & (F.pmod(F.xxhash64("word"), F.lit(1 << 16)) < part)).select("word", "weight").toArrow()
+    """About COMMON of the most frequent words, sorted, with their weights; which ones only decides how words travel."""
+    found = most(weights, "word", "times", COMMON).select("word", "weight").toArrow()
     word = np.asarray(found["word"]).view(np.uint64)
     order = np.argsort(word)
     return word[order], np.asarray(found["weight"])[order]

@@ -713,7 +713,13 @@ def test_slices_hold_whole_rows():
     assert b"".join(x[2] for x in got) == b"b" * 50 + b"c" and sum(x[1] for x in got) == 4
 
 
-def test_most_keeps_whole_classes(spark):
-    frame = spark.createDataFrame([(i, 1 << (i // 3)) for i in range(12)], "k int, many long")
-    assert sorted(r.k for r in session.most(frame, "many", 7).collect()) == [6, 7, 8, 9, 10, 11]
-    assert session.most(frame.limit(0), "many", 7).count() == 0
+def test_most_is_full_at_any_size(spark):
+    """Whole classes of counts go along while there is room; of the next one a part, also where it is the first."""
+    frame = spark.createDataFrame([(k, 1 << k) for k in range(12)], "k long, many long")
+    assert {r.k for r in session.most(frame, "k", "many", 7).collect()} == set(range(5, 12))
+    assert session.most(frame.limit(0), "k", "many", 7).count() == 0 and session.most(frame, "k", "many", 0).count() == 0
+    even = spark.range(20_000).selectExpr("id k", "5L many")
+    assert 4_600 < session.most(even, "k", "many", 5_000).count() < 5_400
+    mixed = even.unionByName(spark.range(100_000, 100_010).selectExpr("id k", "90L many"))
+    got = session.most(mixed, "k", "many", 5_000).collect()
+    assert sum(r.many == 90 for r in got) == 10 and 4_600 < len(got) < 5_400
