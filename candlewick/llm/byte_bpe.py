@@ -369,14 +369,8 @@ def decode_stream(codec: Codec, blocks: Iterator[np.ndarray]) -> Iterator[str]:
     stream.end()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def worker_codec(raw: bytes) -> Codec:
-    key = hashlib.sha256(raw).hexdigest()
-    if key not in _CODECS:
-        _CODECS[key] = Codec(raw)
-    return _CODECS[key]
+    return K.built(hashlib.sha256(raw).hexdigest(), lambda: Codec(raw))
 
 
 def rank_bytes(path: str) -> bytes:
@@ -417,6 +411,7 @@ def tokenised(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     flat = np.concatenate(texts).astype(np.int32) if texts else np.zeros(0, np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        K.give_back()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
 

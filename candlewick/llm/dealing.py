@@ -12,6 +12,7 @@ in the sending tasks.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,10 +33,11 @@ def deal(frame: DataFrame, n: int) -> DataFrame:
 def bound(step: Callable, n: int) -> Callable:
     """The step with its number of buckets, under its own name in the plan."""
 
+    @K.released
+    @functools.wraps(step)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return step(batches, n)
 
-    run.__name__ = step.__name__
     return run
 
 
@@ -141,6 +143,7 @@ def texts(docs: DataFrame, n: int, nulls: bool = False, wanted: np.ndarray | Non
     """
     shipped = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = TextPacker(n, nulls=nulls)
         for batch in batches:
@@ -191,6 +194,7 @@ def keyed_texts(docs: DataFrame, n: int, carried: list[str] | None = None) -> Da
     """Rows of kind TEXTS under the row's key: key, doc_id, whether it is one, size (-1: null text), bytes, other columns."""
     carried = carried or []
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -211,7 +215,7 @@ def keyed_texts(docs: DataFrame, n: int, carried: list[str] | None = None) -> Da
 
         for batch in batches:
             rest = batch.select(list(range(2, batch.num_columns)))
-            for s in K.slices(batch.column(1), 8 << 20):
+            for s in K.slices(batch.column(1)):
                 doc, twin = row_names(batch.column(0), s)
                 sizes = np.diff(s.offsets)
                 held.append((row_key(doc, twin), doc, twin >> np.uint64(63) == 0, sizes, np.where(s.valid, sizes, -1), s.buf, rest.slice(s.first, s.n)))
@@ -225,9 +229,11 @@ def keyed_texts(docs: DataFrame, n: int, carried: list[str] | None = None) -> Da
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[F.col(c).alias(f"carried_{c}") for c in carried]).mapInArrow(run, SCHEMA)
 
 
-def read_texts(found: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, pa.Array, K.TextSlice, pa.Table | None]]:
-    """(keys, doc ids, texts, other columns) of each packed run of texts."""
+def read_texts(found: list[tuple[int, bytes]], limit: int | None = None) -> Iterator[tuple[np.ndarray, pa.Array, K.TextSlice, pa.Table | None]]:
+    """(keys, doc ids, texts, other columns) of each packed run of texts, or of slices of it of at most ``limit`` bytes."""
     for _, payload in found:
         key, doc, valid, sizes, buf, rest = K.unpack_columns(payload, np.uint64, np.int64, bool, np.int64, np.uint8, np.uint8)
         offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
-        yield key, pa.array(doc, pa.int64(), mask=~valid), K.TextSlice(0, buf, offsets, sizes >= 0), pa.ipc.open_stream(rest.tobytes()).read_all() if len(rest) else None
+        ids, others = pa.array(doc, pa.int64(), mask=~valid), pa.ipc.open_stream(rest.tobytes()).read_all() if len(rest) else None
+        for s in K.cut(buf, offsets, sizes >= 0, len(buf) if limit is None else limit):
+            yield key[s.first : s.first + s.n], ids.slice(s.first, s.n), s, others if others is None else others.slice(s.first, s.n)

@@ -222,16 +222,10 @@ def parts_of(benchmark: DataFrame) -> list[Broadcast]:
     return [context.broadcast([(r[0], r[1]) for r in own.where(place == k).collect()]) for k in range(many)]
 
 
-_BENCHMARKS: dict[tuple[str, int], Benchmark] = {}
-
-
 def worker_benchmark(items: list[tuple[int, str | None]], window: int) -> Benchmark:
     """The searches of a part, built once in a worker; the last part is kept."""
     key = hashlib.sha256(repr(items).encode()).hexdigest(), window
-    if key not in _BENCHMARKS:
-        _BENCHMARKS.clear()
-        _BENCHMARKS[key] = Benchmark(items, window)
-    return _BENCHMARKS[key]
+    return K.built(key, lambda: Benchmark(items, window))
 
 
 KINDS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64()))])
@@ -330,6 +324,7 @@ def stage(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
             for batch in batches:
                 for s in K.slices(batch.column(at)):
                     yield batch.slice(s.first, s.n).filter(pa.array(bench.scan(s)[1] == 0))
+            K.give_back()
 
         return run
 

@@ -114,6 +114,7 @@ def described(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     schema = "doc_id long, row long, n_shingles long, sig1 long, sig2 long, bucket int, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
@@ -184,6 +185,7 @@ def prefix(own: np.ndarray, names: np.ndarray, classes: np.ndarray) -> tuple[np.
 def send_postings(docs: DataFrame, n: int, names: np.ndarray, classes: np.ndarray) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast((names, classes))
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, classes = shipped.value
         seen: dict[tuple[int, int], int] = {}
@@ -390,9 +392,8 @@ class Kept:
 
 def sets_of(payload: bytes) -> Iterator[tuple[int, np.ndarray]]:
     ids, sizes, buf = K.unpack_columns(payload, np.int64, np.int64, np.uint8)
-    ends = np.cumsum(sizes)
-    s = K.TextSlice(0, buf, np.concatenate([[0], ends]), np.ones(len(ids), bool))
-    yield from zip(ids.tolist(), shingles(s))
+    for s in K.cut(buf, np.concatenate([[0], np.cumsum(sizes)]), np.ones(len(ids), bool)):
+        yield from zip(ids[s.first : s.first + s.n].tolist(), shingles(s))
 
 
 def send_centres(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -455,6 +456,7 @@ class Joined:
         return x
 
 
+@K.released
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a bucket whose full sets link and whose components no link before them here has joined."""
     got = gathered(batches)

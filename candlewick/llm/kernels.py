@@ -8,16 +8,23 @@ text forms a slice of its own), which bounds the working memory of a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Bytes of a slice.
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps; longer texts have them made anew.
+POWERS_KEPT = (1 << 21) + 1
 
 
 @dataclass
@@ -53,8 +60,11 @@ def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, offsets - base, valid
 
 
-def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[TextSlice]:
-    buf, offsets, valid = text_column(column)
+def slices(column: pa.Array, limit: int = SLICE) -> Iterator[TextSlice]:
+    return cut(*text_column(column), limit)
+
+
+def cut(buf: np.ndarray, offsets: np.ndarray, valid: np.ndarray, limit: int = SLICE) -> Iterator[TextSlice]:
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
@@ -83,8 +93,11 @@ BYTE_WORDS = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i in 0..n."""
-    if len(_POWERS.get("up", ())) <= n:
+    made = _POWERS
+    if len(made.get("up", ())) <= n:
         size = max(n + 1, 1 << 16)
+        if size > POWERS_KEPT:
+            made = {}
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             out = np.empty(size, U64)
             out[0] = 1
@@ -93,8 +106,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 step = min(done, size - done)
                 out[done : done + step] = out[:step] * U64(pow(base, done, 1 << 64))
                 done += step
-            _POWERS[key] = out
-    return _POWERS["up"], _POWERS["down"]
+            made[key] = out
+    return made["up"], made["down"]
 
 
 class SpanHash:
@@ -184,5 +197,36 @@ def unpack_columns(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+#: What a worker has built for all tasks of an operator: one thing at a time.
+_BUILT: dict[Any, Any] = {}
+
+
+def built(key: Any, make: Callable[[], Any]) -> Any:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
+def give_back() -> None:
+    """Memory that this worker holds without use goes back to the system: workers stay from task to task and from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
+def released(step: Callable) -> Callable:
+    """The step of a task, which frees what its worker built for another operator, and at its end what it no longer uses."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _BUILT.clear()
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
 def deltas(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))

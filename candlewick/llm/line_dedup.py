@@ -107,6 +107,7 @@ def later(name: np.ndarray, check: np.ndarray, doc: np.ndarray, twin: np.ndarray
 
 
 def send(docs: DataFrame, n: int, min_bytes: int) -> DataFrame:
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         many = 0
@@ -157,7 +158,7 @@ def rebuilt(batches: Iterator[pa.RecordBatch], min_bytes: int, columns_: list[st
     order = np.argsort(key, kind="stable")
     key, line, size = key[order], line[order], size[order]
     seen: set[int] = set()
-    for keys, ids, s, rest in read_texts(got.get(TEXTS, [])):
+    for keys, ids, s, rest in read_texts(got.get(TEXTS, []), K.SLICE):
         buf, offsets, valid = s.buf, s.offsets, s.valid
         starts, ends, before = lines(s)
         a, b = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
@@ -214,7 +215,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """docs with the removed lines gone; a document that lost all its lines goes too."""
     names = docs.columns
-    return dealt(docs, MIN_BYTES, [c for c in names if c not in ("text", "n_chars")]).mapInArrow(lambda b: rebuilt(b, MIN_BYTES, names), T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema]))
+    return dealt(docs, MIN_BYTES, [c for c in names if c not in ("text", "n_chars")]).mapInArrow(K.released(lambda b: rebuilt(b, MIN_BYTES, names)), T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema]))
 
 
 #: Equal lines on one diagonal of two documents, one after another, are a common run.

@@ -149,6 +149,7 @@ def scored(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataF
     """doc_id, held_out, score, predicted for every document."""
     shipped = docs.sparkSession.sparkContext.broadcast(net)
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in K.slices(batch.column(1)):
@@ -172,6 +173,7 @@ def stage(docs: DataFrame, net: Network) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index("text")
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in K.slices(batch.column(at)):
