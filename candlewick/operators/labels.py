@@ -76,7 +76,8 @@ def labelled(bars: DataFrame, entries: DataFrame, rules: list[Rule], costs: Cost
     else:
         wanted = numbered.select("ticker", "date", "k").join(entries.select("ticker", "date", *carry).dropDuplicates(["ticker", "date"]), ["ticker", "date"])
     steps = wanted.select("ticker", F.col("date").alias("_entry"), F.explode(F.sequence(F.col("k") + 1, F.col("k") + longest)).alias("k"), *carry)
-    met = steps.join(numbered, ["ticker", "k"]).groupBy("ticker", F.col("_entry").alias("date"), *carry)
+    # both are many rows by nature, whatever the files that they come from weigh
+    met = steps.hint("merge").join(numbered, ["ticker", "k"]).groupBy("ticker", F.col("_entry").alias("date"), *carry)
     own = met.agg(F.sort_array(F.collect_list(F.struct("k", "date", "open", "high", "low", "close"))).alias("ahead")).where("ahead[0].open > 0")
     fill = F.col("ahead")[0]["open"]
     paid = costs.buy_price(fill) if costs else fill

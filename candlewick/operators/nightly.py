@@ -122,8 +122,8 @@ def night(store: Store, incoming: DataFrame, order: str | None = None) -> Snapsh
     upsert_in(change, "prices", incoming)
     staged = change.staged()
     states = read_from(base, "signal_state")
-    new = incoming.select("ticker", "date")
-    late = new.join(states.select("ticker", "last_date"), "ticker").where("date <= last_date").select("ticker").distinct()
+    first = incoming.groupBy("ticker").agg(F.min("date").alias("first"))
+    late = first.join(states.select("ticker", "last_date"), "ticker").where("first <= last_date").select("ticker")
     prices = read_from(staged, "prices")
     again = prices.join(late, "ticker", "left_semi")
     after = with_actions(incoming).join(late, "ticker", "left_anti")

@@ -22,9 +22,10 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order: str |
     """Target with incoming rows in place of those of equal keys; new columns are added, none is dropped.
 
     Of incoming rows of equal keys the one with the greatest ``order`` counts; without an order they fail the job.
+    A first load brings all keys at once, and the size of compressed files tells little of that: they are never broadcast.
     """
     new = latest_by(incoming, keys, order) if order else unique(incoming, keys)
-    return target.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    return target.join(new.select(*keys).hint("merge"), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def unique(frame: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from candlewick.sources.tables import Store, put
 def published(store: Store, target: Store, gate: DataFrame | None = None, bars: int = 180, rule: labels.Rule = labels.HOLD_20) -> Snapshot:
     """One version of the target: all of its tables are of one state of the store, and appear at once.
 
-    ``gate`` (date, index_ok) is the market's state a day, for the strategies that ask for it.
+    ``gate`` (date, index_ok) is the market's state a day, for the strategies that ask for it; it is broadcast, a row a day, never the bars.
     """
     own = store.pin()
     prices, found = own.read("prices"), own.read("signals")
@@ -26,7 +26,7 @@ def published(store: Store, target: Store, gate: DataFrame | None = None, bars:
     put(change, "tickers", own.read("tickers"), "whole")
     put(change, "latest_signals", signals.latest(found), "whole")
     walked = prices.select("ticker", "date", "open", "high", "low", "close", "volume")
-    put(change, "trade_log", trade_log.published(walked if gate is None else walked.join(gate, "date")), "whole")
+    put(change, "trade_log", trade_log.published(walked if gate is None else walked.join(F.broadcast(gate), "date")), "whole")
     put(change, "quality_summary", quality.summary_rows(quality.flagged(prices)), "whole")
     measured = labels.labelled(prices, labels.eligible(found), [rule], None, carry=("tier",))
     put(change, "measured_outcomes", readers.measured_outcomes(spilled(measured, "measured"), rule.version), "whole")

@@ -143,7 +143,7 @@ query(
 
 
 def gated(s: SparkSession, d: str) -> DataFrame:
-    """Bars with the market gate as of their day: the index, one row a day, is densified onto the bars' days and met by an equi join."""
+    """Bars with the market gate as of their day: the index, one row a day, is densified onto the bars' days and broadcast to them, never the other way round."""
     bars = B.bars(s, d)
     index = B.index_series(bars).withColumn("ticker", F.lit("index"))
     w = S.by_ticker()
@@ -151,7 +151,7 @@ def gated(s: SparkSession, d: str) -> DataFrame:
     gate = index.select("date", S.yes((F.row_number().over(w) >= 200) & (avg(20) > avg(50)) & (F.col("close") > avg(200))).alias("own"))
     days = bars.select("date").distinct().join(gate, "date", "left").withColumn("ticker", F.lit("index"))
     carried = days.select("date", F.coalesce(F.last("own", ignorenulls=True).over(w.rowsBetween(S.W.unboundedPreceding, 0)), F.lit(False)).alias("index_ok"))
-    return bars.join(carried, "date")
+    return bars.join(F.broadcast(carried), "date")
 
 
 query("asof_gate", O.sql("select b.ticker, b.date, coalesce(g.k >= 200 and g.f > g.s and g.close > g.m, false) index_ok from bars b asof left join gate g on b.date >= g.date", O.DUCK_BARS, O.INDEX_GATE))(lambda s, d: gated(s, d).select("ticker", "date", "index_ok"))

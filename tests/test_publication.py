@@ -1,12 +1,14 @@
 """What is published for readers, on small tables, and small operators beside it."""
 
 import json
+import re
 from datetime import date, timedelta
 
 import numpy as np
 import pytest
 
-from candlewick.operators import calibration, charts, nightly, store, walkforward
+from candlewick import registry
+from candlewick.operators import calibration, charts, labels, nightly, store, walkforward
 from candlewick.operators.costs import CostError, Costs
 from candlewick.plans import publication, trade_log
 from candlewick.plans.strategies import STRATEGIES
@@ -50,6 +52,30 @@ def test_a_publication_is_one_version_of_its_own_rows(spark, tmp_path):
     assert days == sorted(days, reverse=True) and [r.signal_date for r in own_log[len(own_log) - len(days) :]] == days
 
 
+def test_rows_of_bars_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Files of bars weigh little, so by their size they would be: in upserts, for the gate, and under labels."""
+    joins = lambda frame: re.findall(r"(?:Broadcast|SortMerge|ShuffledHash)\w*Join.*", frame._jdf.queryExecution().executedPlan().toString())
+    rows = [r for k in range(2) for r in breakouts("AB"[k], k, 250)]
+    spark.createDataFrame(rows, BARS).write.parquet(f"{tmp_path}/bars")
+    bars = spark.read.parquet(f"{tmp_path}/bars")
+    for order in (None, "volume"):
+        assert all("SortMergeJoin" in j for j in joins(store.upsert(bars, bars, ["ticker", "date"], order)))
+    entries = bars.selectExpr("ticker", "date", "cast(day(date) as int) bars_available")
+    assert all("SortMergeJoin" in j for j in joins(labels.labelled(bars, entries, [labels.HOLD_20])))
+    own, target, walked = Store(spark, f"file://{tmp_path}/full"), Store(spark, f"file://{tmp_path}/slim"), []
+    own.init()
+    nightly.night(own, bars)
+    build = trade_log.published
+    monkeypatch.setattr(publication.trade_log, "published", lambda frame: walked.append(frame) or build(frame))
+    gate = spark.createDataFrame([(d, True) for d in sorted({r[1] for r in rows})], "date date, index_ok boolean")
+    publication.published(own, target, gate, bars=30)
+    assert ["BuildRight" in j for j in joins(walked[0])] == [True]
+    lines = "select 1L l_suppkey, timestamp'2020-01-01' + make_dt_interval(cast(id % 300 as int)) l_shipdate, id l_orderkey, 1 l_linenumber, id l_partkey, 0.05D l_discount, 1D l_quantity from range(900)"
+    spark.sql(lines).write.parquet(f"{tmp_path}/sf/lineitem.parquet")
+    gated = registry.gated(spark, f"{tmp_path}/sf")
+    assert "BuildRight" in joins(gated.select("date", "index_ok").distinct())[0] and gated.count() == 300
+
+
 def test_days_without_trade(spark):
     bars = spark.createDataFrame([("A", date(2024, 1, d)) for d in (1, 2, 5, 5, 6)] + [("B", date(2024, 1, 3)), (None, date(2024, 1, 1)), (None, date(2024, 1, 3))], "ticker string, date date")
     assert sorted((r.ticker or "", r.date.day) for r in charts.days_without_trade(bars).collect()) == [("", 2), ("A", 3), ("A", 4)]
