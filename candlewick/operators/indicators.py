@@ -18,8 +18,13 @@ def moving_averages(bars: DataFrame) -> DataFrame:
 
 
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
-    mid, spread = S.full(F.avg, "close", n), S.full(F.stddev_pop, "close", n)
-    return bars.withColumns({"bb_mid": mid, "bb_upper": mid + k * spread, "bb_lower": mid - k * spread})
+    """Mean and bands of the last n closes, from their distances to the newest: whole prices give a band that is whole exactly, so a price on it is neither above nor below."""
+    steps = F.transform(F.collect_list("close").over(S.last_n(n)), lambda x: x - F.col("close"))
+    own = bars.withColumns({"bb_mid": S.full(F.avg, "close", n), "_steps": steps})
+    total, squares = (F.aggregate("_steps", F.lit(0.0), add) for add in (lambda a, x: a + x, lambda a, x: a + x * x))
+    own = own.withColumns({"_sum": total, "_reach": k * F.sqrt(F.greatest(n * squares - total * total, F.lit(0.0)))})
+    band = lambda reach: F.when(F.col("bb_mid").isNotNull(), F.col("close") + (F.col("_sum") + reach) / n)
+    return own.withColumns({"bb_upper": band(F.col("_reach")), "bb_lower": band(-F.col("_reach"))}).drop("_steps", "_sum", "_reach")
 
 
 def donchian(bars: DataFrame, n: int = 20) -> DataFrame:
